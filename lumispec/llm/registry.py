@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import token_files
+from . import span_hash, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_span_fingerprints": span_hash.op3_span_fingerprints,
     "op9_token_files": token_files.op9_token_files,
 }
 
