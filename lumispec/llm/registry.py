@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import span_hash, substring_dedup, token_files
+from . import shingle_join, span_hash, substring_dedup, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_span_fingerprints": span_hash.op3_span_fingerprints,
     "op4_substring_dedup": substring_dedup.op4_substring_dedup,
+    "op5_shingle_join": shingle_join.op5_shingle_join,
     "op9_token_files": token_files.op9_token_files,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_substring_dedup": substring_dedup.OP4_SQL,
+    "op5_shingle_join": shingle_join.OP5_SQL,
 }
