@@ -12,9 +12,12 @@ document is read without unpacking the rest. Files are kept in a Parquet contain
 
 from __future__ import annotations
 
+import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -110,17 +113,23 @@ class Encoder:
     """Texts to ids. Words between ASCII white space are encoded once and remembered.
 
     That equals encoding the whole text where the tokenizer drops white space and joins nothing across it, as the word-level BPE
-    vocabulary does; with whole=True each text is encoded as one piece instead.
+    vocabulary does; with whole=True each text is encoded as one piece instead. Where the tokenizer lower-cases and parts a letter from
+    the stop or comma after it, so do we before looking words up: fewer distinct words are left to encode. Texts that may hold special
+    tokens, whose case counts, are left as they are.
     """
 
-    def __init__(self, tokenizer_path: str, end_id: int | None, whole: bool = False, limit: int = 500_000) -> None:
-        import os
+    STOP, PLAIN = re.compile(rb"(?<=[a-z])([,.])(?=[ \n])"), re.compile(rb"[a-z]+")
 
+    def __init__(self, tokenizer_path: str, end_id: int | None, whole: bool = False, limit: int = 1_000_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end, self.whole, self.limit = Tokenizer.from_file(tokenizer_path), end_id, whole, limit
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        ids = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
+        self.lower = ids("Az") == ids("az")
+        self.parts = self.lower and all(ids(f"az{x} b{x}\nc") == ids(f"az {x} b {x} c") for x in ",.")
+        self.plain = all(ids(w) == [x.id for x in self.tokenizer.model.tokenize(w)] for w in ("a", "the", "internationally", "qzxv"))
         self.forget()
 
     def forget(self) -> None:
@@ -134,19 +143,33 @@ class Encoder:
 
     def learn(self, words: set[bytes]) -> None:
         new = list(words.difference(self.at))
+        plain = [w for w in new if self.PLAIN.fullmatch(w)] if self.plain else []
+        if plain:  # the model alone: such a word is one piece, and normalised
+            tokenize = self.tokenizer.model.tokenize
+            self.keep(plain, [[x.id for x in tokenize(w.decode())] for w in plain])
+            new = [w for w in new if w not in self.at]
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
-            ids = [x.ids for x in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)]
-            lens = np.fromiter(map(len, ids), np.int64, len(ids))
-            total, n = int(lens.sum()), len(self.at)
-            while len(self.flat) < self.used + total:
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            while len(self.starts) < n + len(part):
-                self.starts, self.lens = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lens))
-            self.flat[self.used : self.used + total] = np.fromiter((i for x in ids for i in x), np.uint32, total)
-            self.starts[n : n + len(part)], self.lens[n : n + len(part)] = self.used + np.cumsum(lens) - lens, lens
-            self.at.update(zip(part, range(n, n + len(part)), strict=True))
-            self.used += total
+            self.keep(part, [x.ids for x in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)])
+
+    def keep(self, words: list[bytes], ids: list[list[int]]) -> None:
+        lens = np.fromiter(map(len, ids), np.int64, len(ids))
+        total, n = int(lens.sum()), len(self.at)
+        while len(self.flat) < self.used + total:
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while len(self.starts) < n + len(words):
+            self.starts, self.lens = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lens))
+        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
+        self.starts[n : n + len(words)], self.lens[n : n + len(words)] = self.used + np.cumsum(lens) - lens, lens
+        self.at.update(zip(words, range(n, n + len(words)), strict=True))
+        self.used += total
+
+    def words(self, text: bytes) -> list[bytes]:
+        if self.lower and b"<|" not in text:
+            text = text.translate(U.LOWER)
+            if self.parts:
+                text = self.STOP.sub(rb" \1 ", text)
+        return text.split()
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids and each text's count of them, its end included."""
@@ -157,7 +180,7 @@ class Encoder:
         n_words = np.zeros(len(texts), np.int64)
         for k, text in enumerate(texts):
             before = len(words)
-            words += text.split()
+            words += self.words(text)
             words.append(b" ")
             n_words[k] = len(words) - before
         if len(self.at) > self.limit:
