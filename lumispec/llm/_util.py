@@ -5,7 +5,7 @@ from __future__ import annotations
 import string
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -92,17 +92,17 @@ LOWER = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.
 
 
 class WordIds:
-    """Words to dense numbers for one Python worker, with a 64-bit hash of each word; forgets all beyond a limit."""
+    """64-bit hashes of words (or of what `digest` sees in them), each worked out once by a Python worker; all are forgotten beyond a limit."""
 
-    def __init__(self, limit: int = 400_000) -> None:
+    def __init__(self, digest: Callable[[bytes], int] | None = None, limit: int = 400_000) -> None:
         import xxhash
 
-        self.limit, self.digest = limit, xxhash.xxh3_64_intdigest
+        self.limit, self.digest = limit, digest or xxhash.xxh3_64_intdigest
         self.ids: dict[bytes, int] = {}
         self.hashes = np.empty(1024, np.uint64)
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        """The 64-bit hash of each word."""
+        """The hash of each word."""
         if len(self.ids) > self.limit:
             self.ids.clear()
         ids, new = self.ids, set(words).difference(self.ids)

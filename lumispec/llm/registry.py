@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import shingle_join, span_hash, substring_dedup, token_files
+from . import quality, shingle_join, span_hash, substring_dedup, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality": quality.op2_quality,
     "op3_span_fingerprints": span_hash.op3_span_fingerprints,
     "op4_substring_dedup": substring_dedup.op4_substring_dedup,
     "op5_shingle_join": shingle_join.op5_shingle_join,
