@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, shingle_join, span_hash, substring_dedup, token_files
+from . import language_cnn, quality, shingle_join, span_hash, substring_dedup, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": quality.op2_quality,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_substring_dedup": substring_dedup.op4_substring_dedup,
     "op5_shingle_join": shingle_join.op5_shingle_join,
     "op9_token_files": token_files.op9_token_files,
+    "op10_language": language_cnn.op10_language,
 }
 
 ORACLE_SQL: dict[str, str] = {
