@@ -118,7 +118,9 @@ class Encoder:
     tokens, whose case counts, are left as they are.
     """
 
-    STOP, PLAIN = re.compile(rb"(?<=[a-z])([,.])(?=[ \n])"), re.compile(rb"[a-z]+")
+    #: A run of ASCII marks between a small Latin letter (or one of Latin-1) and white space; words of such letters, composed and in lower case.
+    STOP = re.compile(rb"([!-/:-@\[-`{-~](?:(?<=[a-z].)|(?<=\xc3[\x9f-\xb6\xb8-\xbf].))[!-/:-@\[-`{-~]*)(?=[ \n])")
+    PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
 
     def __init__(self, tokenizer_path: str, end_id: int | None, whole: bool = False, limit: int = 1_000_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -128,8 +130,11 @@ class Encoder:
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         ids = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
         self.lower = ids("Az") == ids("az")
-        self.parts = self.lower and all(ids(f"az{x} b{x}\nc") == ids(f"az {x} b {x} c") for x in ",.")
-        self.plain = all(ids(w) == [x.id for x in self.tokenizer.model.tokenize(w)] for w in ("a", "the", "internationally", "qzxv"))
+        self.parts = self.lower and all(ids(f"az{x} \u00e9{x}{x}\nc") == ids(f"az {x} \u00e9 {x}{x} c") for x in map(chr, range(33, 127)) if not x.isalnum())
+        kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in kept]
+        self.letters = {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(rest)}  # how byte-level vocabularies write bytes
+        self.plain = all(ids(w) == self.by_model(w.encode()) for w in ("a", "the", "internationally", "qzxv", "\u00e9\u00e0\u00fc\u00df\u00f1o"))
         self.forget()
 
     def forget(self) -> None:
@@ -145,13 +150,15 @@ class Encoder:
         new = list(words.difference(self.at))
         plain = [w for w in new if self.PLAIN.fullmatch(w)] if self.plain else []
         if plain:  # the model alone: such a word is one piece, and normalised
-            tokenize = self.tokenizer.model.tokenize
-            self.keep(plain, [[x.id for x in tokenize(w.decode())] for w in plain])
+            self.keep(plain, [self.by_model(w) for w in plain])
             new = [w for w in new if w not in self.at]
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
             self.keep(part, [x.ids for x in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)])
 
+    def by_model(self, word: bytes) -> list[int]:
+        return [x.id for x in self.tokenizer.model.tokenize(word.decode() if word.isascii() else word.decode("latin-1").translate(self.letters))]
+
     def keep(self, words: list[bytes], ids: list[list[int]]) -> None:
         lens = np.fromiter(map(len, ids), np.int64, len(ids))
         total, n = int(lens.sum()), len(self.at)
