@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_cnn, quality, shingle_join, span_hash, substring_dedup, token_files, toxicity
+from . import decontaminate, language_cnn, packing, quality, shingle_join, span_hash, substring_dedup, token_files, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": quality.op2_quality,
     "op3_span_fingerprints": span_hash.op3_span_fingerprints,
     "op4_substring_dedup": substring_dedup.op4_substring_dedup,
     "op5_shingle_join": shingle_join.op5_shingle_join,
+    "op6_length_buckets": packing.op6_length_buckets,
     "op7_toxicity": toxicity.op7_toxicity,
+    "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_token_files": token_files.op9_token_files,
     "op10_language": language_cnn.op10_language,
 }
@@ -21,4 +23,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op4_substring_dedup": substring_dedup.OP4_SQL,
     "op5_shingle_join": shingle_join.OP5_SQL,
+    "op6_length_buckets": packing.oracle(),
 }
