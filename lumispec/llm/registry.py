@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_cnn, packing, quality, shingle_join, span_hash, substring_dedup, token_files, toxicity
+from . import decontaminate, language_cnn, maxent, packing, quality, shingle_join, span_hash, substring_dedup, token_files, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_maxent_score": maxent.op1_maxent_score,
     "op2_quality": quality.op2_quality,
     "op3_span_fingerprints": span_hash.op3_span_fingerprints,
     "op4_substring_dedup": substring_dedup.op4_substring_dedup,
