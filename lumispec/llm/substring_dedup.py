@@ -4,6 +4,9 @@ A window is `window` consecutive words. Its minimiser is the least hash among th
 that share a minimiser overlap in all but a word each; they travel as one packed string (a super-k-mer: their words, once) to the minimiser's
 bucket. Equal windows have equal minimisers and so meet in one bucket, where sorting the windows groups the equal ones exactly, whole bytes
 compared. Each occurrence in a document with a larger doc_id than the window's first one is removed.
+
+Words travel only where they can matter: a first shuffle deals the minimisers with their places, and super-k-mers of minimisers that one
+document alone holds stay where they are.
 """
 
 from __future__ import annotations
@@ -18,16 +21,19 @@ from pyspark.sql import functions as F
 
 from . import _util as U
 
-MMER = 3
+MMER = 5
 #: Packed bytes of a bucket that are sorted at once; a larger bucket is met in pieces of that size.
 BUCKET_BYTES = 8 << 20
-PIECES = "key long, doc_id long, digest long, at int, words int, packed binary"
-_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-RANGES = "doc_id long, digest long, first int, last int"
+#: place: first word << 32 | number of words.
+PLACES = "key long, doc_id long, digest int, place long, done boolean"
+PIECES = "key long, doc_id long, digest int, at int, packed binary"
+RANGES = "doc_id long, digest int, first int, last int"
 
 
-def _rows(names: list[str], *columns: pa.Array) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(list(columns), names=names)
+def _rows(schema: str, *columns: object) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_(), "string": pa.string()}
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, kinds[k]) for x, (_, k) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 
 
 def _merged(docs: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -38,74 +44,144 @@ def _merged(docs: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.n
     return heads, np.maximum.reduceat(last, heads) if len(heads) else last[:0]
 
 
-def super_kmers(texts: list[bytes], words_hash: U.WordIds, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-    """Document number, first word, number of words, minimiser and packed words of each super-k-mer of the texts."""
-    words: list[bytes] = []
-    counts = np.zeros(len(texts), np.int64)
-    for k, text in enumerate(texts):
-        own = text.split()
-        if len(own) >= window:
-            words += own
-            counts[k] = len(own)
-    none = np.zeros(0, np.int64)
-    if not words:
-        return none, none, none, none, []
-    h = words_hash.of(words)
-    n, m = len(words), min(MMER, window)
-    mers = h[: n - m + 1].copy()
-    for j in range(1, m):
-        mers = U.mix64(mers) + h[j : n - m + 1 + j]
-    mers = U.mix64(mers)
-    least, width, target = mers, 1, window - m + 1
-    while width < target:  # sliding minimum by doubling
-        step = min(width, target - width)
-        least, width = np.minimum(least[: len(least) - step], least[step:]), width + step
-    ends = np.cumsum(counts)
-    doc = np.repeat(np.arange(len(texts)), counts)[: len(least)]
-    inside = np.arange(len(least)) + window <= ends[doc]
-    new = inside.copy()
-    new[1:] &= (least[1:] != least[:-1]) | (doc[1:] != doc[:-1]) | ~inside[:-1]
-    starts = np.flatnonzero(new)
-    stop = np.flatnonzero(inside & ~np.append(inside[1:] & ~new[1:], False)) + 1
-    begin = np.zeros(n + 1, np.int64)
-    np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1, out=begin[1:])
-    buffer = b" ".join(words)
-    lasts = stop - 1 + window
-    packed = [buffer[a:b] for a, b in zip(begin[starts].tolist(), (begin[lasts] - 1).tolist(), strict=True)]
-    return doc[starts], starts - (ends - counts)[doc[starts]], lasts - starts, least[starts].view(np.int64), packed
-
-
-def _pieces(window: int):
-    """Super-k-mers of a partition's documents. Of equal ones in a chunk only the smallest document's travel; the others are decided at once
-    (packed is null, words their length), so that a group of copies sends a piece for each chunk, not for each copy."""
+class SuperKmers:
+    """The super-k-mers of some texts: document number, first word, number of words and minimiser of each."""
+
+    def __init__(self, texts: list[bytes], words_hash: U.WordIds, window: int) -> None:
+        words: list[bytes] = []
+        counts = np.zeros(len(texts), np.int64)
+        for k, text in enumerate(texts):
+            own = text.split()
+            if len(own) >= window:
+                words += own
+                counts[k] = len(own)
+        self.words = words
+        if not words:
+            self.doc = self.at = self.size = self.key = self.first = np.zeros(0, np.int64)
+            return
+        h = words_hash.of(words)
+        n, m = len(words), min(MMER, window)
+        mers = h[: n - m + 1].copy()
+        for j in range(1, m):
+            mers = U.mix64(mers) + h[j : n - m + 1 + j]
+        mers = U.mix64(mers)
+        least, width, target = mers, 1, window - m + 1
+        while width < target:  # sliding minimum by doubling
+            step = min(width, target - width)
+            least, width = np.minimum(least[: len(least) - step], least[step:]), width + step
+        ends = np.cumsum(counts)
+        doc = np.repeat(np.arange(len(texts)), counts)[: len(least)]
+        inside = np.arange(len(least)) + window <= ends[doc]
+        new = inside.copy()
+        new[1:] &= (least[1:] != least[:-1]) | (doc[1:] != doc[:-1]) | ~inside[:-1]
+        starts = np.flatnonzero(new)
+        stop = np.flatnonzero(inside & ~np.append(inside[1:] & ~new[1:], False)) + 1
+        self.first, self.doc, self.size = starts, doc[starts], stop - 1 + window - starts
+        self.at, self.key = starts - (ends - counts)[self.doc], least[starts].view(np.int64)
+
+    def __len__(self) -> int:
+        return len(self.key)
+
+    def packed(self, i: int) -> bytes:
+        return b" ".join(self.words[self.first[i] : self.first[i] + self.size[i]])
+
+
+def _places(window: int):
+    """Minimisers and places of a partition's super-k-mers. Of equal ones in a chunk only the smallest document's travel; the others are decided
+    at once (done), so that a group of copies sends a row for each chunk, not for each copy."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = U.WordIds()
         for part in U.slices(batches, "text"):
-            doc_ids = part.column(0).to_numpy()
-            digests = part.column(1).to_numpy()
-            doc, at, size, key, packed = super_kmers(U.byte_texts(part), hashes, window)
-            if not packed:
+            doc_ids, digests = part.column(0).to_numpy(), part.column(1).to_numpy()
+            found = SuperKmers(U.byte_texts(part), hashes, window)
+            if not len(found):
                 continue
-            ids, owner = doc_ids[doc], np.zeros(len(packed), np.int64)
-            numbers: dict[bytes, int] = {}
-            put = numbers.setdefault
-            owner[:] = [put(p, len(numbers)) for p in packed]
-            least = np.full(len(numbers), np.iinfo(np.int64).max)
-            np.minimum.at(least, owner, ids)
-            later = ids > least[owner]
+            ids = doc_ids[found.doc]
+            order = np.lexsort((ids, found.key))
+            key, own = found.key[order], ids[order]
+            heads = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            lasts = np.append(heads[1:], len(key)) - 1
+            later = np.zeros(len(found), bool)
+            for a, b in zip(heads[own[heads] != own[lasts]].tolist(), lasts[own[heads] != own[lasts]].tolist(), strict=True):
+                first: dict[bytes, int] = {}
+                for i in order[a : b + 1].tolist():  # in order of doc_id
+                    if first.setdefault(found.packed(i), ids[i]) < ids[i]:
+                        later[i] = True
             send = np.flatnonzero(~later)
-            keep = pa.array(packed, pa.binary()).take(pa.array(send))
-            names = [x.split()[0] for x in PIECES.split(", ")]
-            yield _rows(names, *(pa.array(x[send], k) for x, k in zip((key, ids, digests[doc], at, size), _KINDS, strict=False)), keep)
+            yield _rows(PLACES, found.key[send], ids[send], digests[found.doc[send]], found.at[send] << 32 | found.size[send], np.zeros(len(send), bool))
             if len(late := np.flatnonzero(later)):
-                heads, last = _merged(doc[late], at[late], (at + size)[late])
+                heads, last = _merged(found.doc[late], found.at[late], (found.at + found.size)[late])
                 late = late[heads]
-                yield _rows(names, *(pa.array(x, k) for x, k in zip((U.mix64(ids[late]).view(np.int64), ids[late], digests[doc[late]], at[late], last - at[late]), _KINDS, strict=False)), pa.nulls(len(late), pa.binary()))
+                at = found.at[late]
+                yield _rows(PLACES, U.mix64(ids[late] + at).view(np.int64), ids[late], digests[found.doc[late]], at << 32 | last - at, np.ones(len(late), bool))
 
     return run
 
 
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows in order of key and doc_id, those whose key more than one document has, and those that are done. A key's rows are held until a
+    second document comes."""
+    held: list[pa.RecordBatch] = []
+    key = doc = None
+    for batch in batches:
+        done = batch.filter(batch.column(4))
+        if len(done):
+            yield done
+        batch = batch.filter(pc.invert(batch.column(4)))
+        if not len(batch):
+            continue
+        keys, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        heads = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        lasts = np.append(heads[1:], len(keys)) - 1
+        several = ids[heads] != ids[lasts]
+        if keys[0] == key:
+            several[0] |= doc is None or ids[lasts[0]] != doc
+            if several[0]:
+                yield from held
+        if keys[0] != key or several[0] or len(heads) > 1:
+            held = []
+        if several.any():
+            yield batch.filter(pa.array(np.repeat(several, lasts - heads + 1)))
+        key, doc = keys[-1], None if several[-1] else ids[-1]
+        if doc is not None:
+            held.append(batch.slice(int(heads[-1])))
+
+
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last column's texts compressed, as they are shuffled to be read once or twice."""
+    import zstandard
+
+    press = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([press.compress(x) for x in U.byte_texts(batch, batch.schema.names[-1])], pa.binary())], names=batch.schema.names)
+
+
+def _unfolded(part: pa.RecordBatch) -> list[bytes]:
+    import zstandard
+
+    press = zstandard.ZstdDecompressor()
+    return [press.decompress(x) if x else b"" for x in part.column(part.schema.get_field_index("text")).to_pylist()]
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The packed words of the places asked for in each document."""
+    for part in U.slices(batches, "text", U.CHUNK_BYTES // 2):
+        ids, digests = part.column(0).to_pylist(), part.column(1).to_pylist()
+        column = part.column(part.schema.get_field_index("places"))
+        keys, places = (pc.list_flatten(column).field(i).to_numpy() for i in range(2))
+        ends = np.cumsum(pc.list_value_length(column).to_numpy()).tolist()
+        at, size = places >> 32, places & 0xFFFFFFFF
+        packed: list[bytes] = []
+        rows = np.repeat(np.arange(len(ids)), np.diff([0, *ends]))
+        begin = 0
+        for text, end in zip(_unfolded(part), ends, strict=True):
+            words = text.split()
+            packed += [b" ".join(words[a : a + n]) for a, n in zip(at[begin:end].tolist(), size[begin:end].tolist(), strict=True)]
+            begin = end
+        yield _rows(PIECES, keys, np.array(ids)[rows], np.array(digests, np.int32)[rows], at, packed)
+
+
 def later_windows(ids: np.ndarray, packed: pa.Array, window: int, known: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
     """For each window of the packed strings (in order): the string's number, and whether the window also begins in a smaller document."""
     texts = packed.to_pylist()
@@ -133,7 +209,6 @@ def later_windows(ids: np.ndarray, packed: pa.Array, window: int, known: dict |
 
 def _decided(window: int, limit: int):
     """Ranges of words to remove, from pieces in order of key and doc_id: whole buckets at once, or a large one piece by piece in order of doc_id."""
-    names = [x.split()[0] for x in RANGES.split(", ")]
 
     def sort(held: pa.Table, known: dict | None) -> Iterator[pa.RecordBatch]:
         key, ids = held["key"].to_numpy(), held["doc_id"].to_numpy()
@@ -155,20 +230,13 @@ def _decided(window: int, limit: int):
         at = held["at"].to_numpy().astype(np.int64)[piece] + w - first_of[piece]
         heads, last = _merged(piece, at, at + window)
         rows = piece[heads]
-        yield _rows(names, pa.array(ids[rows]), pa.array(held["digest"].to_numpy()[rows]), pa.array(at[heads], pa.int32()), pa.array(last, pa.int32()))
+        yield _rows(RANGES, ids[rows], held["digest"].to_numpy()[rows], at[heads], last)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
         size, known, known_key = 0, None, None
         for batch in batches:
             rows = pa.Table.from_batches([batch])
-            old = rows.filter(pc.is_null(rows["packed"]))
-            if len(old):
-                at = old["at"].combine_chunks()
-                yield _rows(names, old["doc_id"].combine_chunks(), old["digest"].combine_chunks(), at, pc.add(at, old["words"].combine_chunks()))
-                rows = rows.filter(pc.is_valid(rows["packed"]))
-            if not len(rows):
-                continue
             held.append(rows)
             size += pc.sum(pc.binary_length(rows["packed"])).as_py()
             if size < limit:
@@ -207,9 +275,9 @@ def _decided(window: int, limit: int):
 
 def _without_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds kept, n_words and n_removed."""
-    for part in U.slices(batches, "text"):
+    for part in U.slices(batches, "text", U.CHUNK_BYTES // 2):
         kept, total, removed = [], [], []
-        for text, ranges in zip(U.byte_texts(part), part.column(part.schema.get_field_index("ranges")).to_pylist(), strict=True):
+        for text, ranges in zip(_unfolded(part), part.column(part.schema.get_field_index("ranges")).to_pylist(), strict=True):
             words = text.split()
             n = len(words)
             if ranges:
@@ -223,13 +291,21 @@ def _without_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             removed.append(n - len(words))
         drop = [part.schema.get_field_index(c) for c in ("text", "ranges")]
         names = [c for i, c in enumerate(part.schema.names) if i not in drop]
-        yield _rows([*names, "kept", "n_words", "n_removed"], *(part.column(c) for c in names), pa.array(kept), pa.array(total, pa.int64()), pa.array(removed, pa.int64()))
+        more = [pa.array(kept, pa.string()), pa.array(total, pa.int64()), pa.array(removed, pa.int64())]
+        yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *more], names=[*names, "kept", "n_words", "n_removed"])
 
 
-def repeated_ranges(docs: DataFrame, window: int = 13) -> DataFrame:
-    """(doc_id, digest, first, last): ranges of words of docs (doc_id, digest, text) that windows also beginning in smaller documents cover."""
-    pieces = docs.where("doc_id is not null and text is not null").select("doc_id", "digest", "text").mapInArrow(_pieces(window), PIECES)
-    return pieces.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(_decided(window, BUCKET_BYTES), RANGES)
+def repeated_ranges(docs: DataFrame, folded: DataFrame, window: int = 13) -> DataFrame:
+    """(doc_id, digest, first, last): ranges of words of docs (doc_id, digest, text; no nulls) that windows also beginning in smaller documents
+    cover. folded: the same with compressed texts."""
+    places = docs.select("doc_id", "digest", "text").mapInArrow(_places(window), PLACES).repartition("key").sortWithinPartitions("key", "doc_id")
+    dealt = U.written(places.mapInArrow(_shared, PLACES))
+    first = F.shiftrightunsigned("place", 32)
+    done = dealt.where("done").select("doc_id", "digest", first.cast("int").alias("first"), (first + F.col("place").bitwiseAND(0xFFFFFFFF)).cast("int").alias("last"))
+    wanted = dealt.where("not done").groupBy("doc_id", "digest").agg(F.collect_list(F.struct("key", "place")).alias("places"))
+    pieces = folded.join(wanted, ["doc_id", "digest"]).select("doc_id", "digest", "text", "places").mapInArrow(_pieces, PIECES)
+    found = pieces.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(_decided(window, BUCKET_BYTES), RANGES)
+    return found.union(done)
 
 
 def dedup_substrings(docs: DataFrame, window: int = 13) -> DataFrame:
@@ -237,17 +313,26 @@ def dedup_substrings(docs: DataFrame, window: int = 13) -> DataFrame:
 
     A word goes if a window over it has a word sequence that also begins in a document with a smaller doc_id; windows are judged on the input.
     Null texts have no words. A document with a null doc_id keeps all and takes nothing from others; rows with one doc_id take nothing from
-    each other. Other columns pass through, but for names that this operator adds, which must not be there.
+    each other. Other columns pass through; one named kept, n_words, n_removed, digest or ranges comes back with _in at its end.
     """
-    clash = {"kept", "n_words", "n_removed", "digest", "ranges"} & set(docs.columns)
-    names = {c: f"_own_{c}" for c in clash}
-    held = docs.withColumnsRenamed(names).withColumn("digest", F.xxhash64("text"))
-    ranges = repeated_ranges(held, window).groupBy("doc_id", "digest").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
-    joined = held.join(ranges, ["doc_id", "digest"], "left").select(*held.columns, "ranges")
-    rest = [f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema if f.name != "text"]
-    out = joined.mapInArrow(_without_ranges, ", ".join([*rest, "kept string, n_words long, n_removed long"]))
-    back = [F.col(f"_own_{c}").alias(f"{c}_in") for c in sorted(clash)]
-    return out.select(*(c for c in docs.columns if c not in clash and c != "text"), *back, "kept", "n_words", "n_removed")
+    clash = [c for c in docs.columns if c in ("kept", "n_words", "n_removed", "digest", "ranges")]
+    named = docs.withColumnsRenamed({c: f"{c}_in" for c in clash})
+    rest = [c for c in named.columns if c not in ("doc_id", "text")]
+    kinds = {f.name: f"`{f.name}` {f.dataType.simpleString()}" for f in named.schema}
+    whole = named.where("doc_id is not null and text is not null").withColumn("digest", F.hash("text"))
+
+    def fold(df: DataFrame) -> DataFrame:
+        """doc_id, digest, other columns and the compressed text."""
+        texts = df.select("doc_id", "digest", *rest, "text").mapInArrow(_folded, ", ".join([kinds["doc_id"], "digest int", *(kinds[c] for c in rest), "text binary"]))
+        return texts
+
+    folded = fold(whole).where("doc_id is not null and digest is not null")  # as the joins ask, so that one shuffle serves both
+    ranges = repeated_ranges(whole, folded, window).groupBy("doc_id", "digest").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
+    joined = folded.join(ranges, ["doc_id", "digest"], "left").select("doc_id", *rest, "text", "ranges")
+    others = named.where("doc_id is null or text is null").withColumn("digest", F.lit(0))
+    all_ = joined.union(fold(others).select("doc_id", *rest, "text", F.lit(None).cast("array<struct<first:int,last:int>>").alias("ranges")))
+    out = all_.mapInArrow(_without_ranges, ", ".join([kinds["doc_id"], *(kinds[c] for c in rest), "kept string, n_words long, n_removed long"]))
+    return out.select(*(c for c in named.columns if c != "text"), "kept", "n_words", "n_removed")
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
