@@ -94,7 +94,7 @@ LOWER = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.
 class WordIds:
     """64-bit hashes of words (or of what `digest` sees in them), each worked out once by a Python worker; all are forgotten beyond a limit."""
 
-    def __init__(self, digest: Callable[[bytes], int] | None = None, limit: int = 400_000) -> None:
+    def __init__(self, digest: Callable[[bytes], int] | None = None, limit: int = 250_000) -> None:
         import xxhash
 
         self.limit, self.digest = limit, digest or xxhash.xxh3_64_intdigest

@@ -3,8 +3,11 @@
 Two sets of sizes a and b can reach the threshold only if they differ in at most D = (a + b)(100 - p) / (100 + p) n-grams. The n-gram columns
 are cut into more than D blocks, so that the two rows of such a pair are equal in some block that isn't empty: only pairs with an equal block
 are candidates, whatever n-grams are frequent. Their overlap counts are then accumulated block of columns by block of columns in numpy, and a
-pair is discarded as soon as what is left can't lift it over its bound. Documents with equal sets are one node. A bucket of many nodes isn't
-expanded into all pairs: its nodes are compared with a few of them, and later rounds compare across components only.
+pair is discarded as soon as what is left can't lift it over its bound. Documents with equal sets are one node.
+
+A bucket isn't expanded into all pairs. Its nodes are compared with its hub, the one that shares most blocks. Where that leaves more than one
+component in a bucket, n-grams are counted over the nodes of such buckets: a node with so many n-grams of its own that no other node can reach
+the bound has no partner and leaves. What is still open is compared with further hubs, then across components alone, until nothing is left out.
 """
 
 from __future__ import annotations
@@ -14,15 +17,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _util as U
 from .components import components
 
-#: Nodes of a bucket up to which all its pairs are candidates, and nodes that all others are compared with beyond.
-SMALL, HUBS = 6, 3
-#: Rounds in which each open bucket compares one node with the other components, before all pairs across components are.
+#: Rounds in which each open bucket compares a further hub with the other components, before all pairs across components are.
 ROUNDS = 3
 #: Growth of the size classes' upper bounds.
 RATIO = 1.4
@@ -150,70 +151,43 @@ FOUND = "kind int, a long, b long, n int"
 _FOUND_NAMES = [x.split()[0] for x in FOUND.split(", ")]
 
 
-def _candidates(percent: int):
-    """From rows in order of key and node: documents (kind 0: doc_id, node, n), candidate pairs (kind 1) and members of large buckets (kind 2: key, node).
-
-    What is held of a bucket is SMALL nodes at most, however large it is.
-    """
-
-    def fits(x: int, y: int) -> bool:
-        return 100 * min(x, y) >= percent * max(x, y)
+def _found(kind: int, a: np.ndarray | pa.Array, b: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(b), kind, np.int32)), a if isinstance(a, pa.Array) else pa.array(a), pa.array(b), pa.array(n)], names=_FOUND_NAMES)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, few, count, out = None, [], 0, []
 
-        def close() -> None:
-            if 1 < count <= SMALL:
-                out.extend((1, few[i][0], few[j][0], 0) for j in range(count) for i in range(j) if fits(few[i][1], few[j][1]))
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows in order of key and node: documents (kind 0: doc_id, node, n) and members of buckets of two nodes or more (kind 1: key, node, n).
 
-        for batch in batches:
-            is_doc = batch.column(4).to_numpy(zero_copy_only=False)
-            docs = batch.filter(batch.column(4))
-            if len(docs):
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(docs), np.int32)), docs.column(3), docs.column(1), docs.column(2)], names=_FOUND_NAMES)
-            keys, nodes, sizes = (batch.column(i).to_numpy()[~is_doc] for i in range(3))
-            if not len(keys):
-                continue
-            # rows that share their key with a neighbour in the batch, or stand at its ends
-            alone = np.ones(len(keys), bool)
-            alone[1:] &= keys[1:] != keys[:-1]
-            alone[:-1] &= keys[1:] != keys[:-1]
-            alone[[0, -1]] = False
-            rows = np.flatnonzero(~alone)
-            for k, node, n in zip(keys[rows].tolist(), nodes[rows].tolist(), sizes[rows].tolist(), strict=True):
-                if k != key:
-                    close()
-                    key, few, count, last = k, [(node, n)], 1, node
-                    continue
-                if node == last:
-                    continue
-                last = node
-                count += 1
-                if count <= SMALL:
-                    few.append((node, n))
-                    continue
-                if count == SMALL + 1:
-                    out.extend((2, k, x, 0) for x, _ in few)
-                    out.extend((1, few[i][0], few[j][0], 0) for j in range(SMALL) for i in range(min(j, HUBS)) if fits(few[i][1], few[j][1]))
-                out.append((2, k, node, 0))
-                out.extend((1, x, node, 0) for x, m in few[:HUBS] if fits(m, n))
-            if len(out) > 20_000:
-                yield _found(out)
-                out.clear()
-        close()
-        if out:
-            yield _found(out)
-
-    return run
-
-
-def _found(rows: list[tuple]) -> pa.RecordBatch:
-    kind, a, b, n = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int32())], names=_FOUND_NAMES)
+    One row is held of a bucket, however large it is.
+    """
+    key = node = size = None
+    sent = False
+    for batch in batches:
+        is_doc = batch.column(4).to_numpy(zero_copy_only=False)
+        docs = batch.filter(batch.column(4))
+        if len(docs):
+            yield _found(0, docs.column(3), docs.column(1).to_numpy(), docs.column(2).to_numpy())
+        keys, nodes, sizes = (batch.column(i).to_numpy()[~is_doc] for i in range(3))
+        if not len(keys):
+            continue
+        if key is not None and keys[0] == key:  # the last row again, as the bucket goes on
+            keys, nodes, sizes = (np.append(x, y).astype(y.dtype) for x, y in ((key, keys), (node, nodes), (size, sizes)))
+            carried = sent
+        else:
+            carried = None
+        fresh = np.append(True, (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1]))
+        keys, nodes, sizes = keys[fresh], nodes[fresh], sizes[fresh]
+        with_next = np.append(keys[1:] == keys[:-1], False)
+        send = with_next | np.append(False, with_next[:-1])
+        key, node, size, sent = keys[-1], nodes[-1], sizes[-1], bool(send[-1]) or (len(keys) == 1 and bool(carried))
+        if carried:
+            send[0] = False  # it is sent already
+        if send.any():
+            yield _found(1, keys[send], nodes[send], sizes[send])
 
 
 def _sets_of(width: int, bits: bytes):
-    """(doc_id, node, grams) of the documents that the filter lets through."""
+    """(node, grams) of the documents that the filter lets through: all that are asked for, and a few more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = U.WordIds()
@@ -222,7 +196,7 @@ def _sets_of(width: int, bits: bytes):
             whole = whole.filter(pa.array(held[whole.column(1).to_numpy()] > 0))
             for part in U.slices(iter([whole]), "text"):
                 sets = shingle_sets(U.byte_texts(part), hashes, width)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([_digest(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "node", "grams"])
+                yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "grams"])
 
     return run
 
@@ -254,6 +228,24 @@ def _linked(percent: int):
     return run
 
 
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
+        nodes = np.repeat(batch.column(0).to_numpy(), [len(x) for x in sets])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *sets])), pa.array(nodes)], names=["gram", "node"])
+
+
+def _without_partners(held: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Members of open buckets but for the nodes that can't link with any: those whose n-grams found in another node are too few for the least
+    overlap that a node of their buckets' smallest size asks for."""
+    nodes = held.groupBy("key").agg(F.min("n").alias("lo")).join(held.select("key", "node", "n"), "key").groupBy("node").agg(F.min("lo").alias("lo"), F.max("n").alias("n"))
+    own = sets.join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"]).select("node", "grams").mapInArrow(_grams, "gram long, node long")
+    alone = own.groupBy("gram").agg(F.count("*").alias("df"), F.min("node").alias("node")).where("df = 1").groupBy("node").agg(F.count("*").alias("own"))
+    least = F.ceil(percent * (F.col("n") + F.greatest("lo", F.floor(percent * F.col("n") / 100))) / (100 + percent))
+    hopeless = nodes.join(alone, "node").where(F.col("n") - F.col("own") < least).select("node")
+    return held.join(hopeless, "node", "left_anti")
+
+
 def link_documents(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     """One row a document of docs (doc_id, text): doc_id, n_shingles (distinct) and component_id, the smallest doc_id reachable by links.
 
@@ -262,40 +254,54 @@ def link_documents(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFr
     are documents of their own. Other columns are ignored; an empty table gives none.
     """
     docs = docs.select("doc_id", "text")
-    spark = docs.sparkSession
     rows = docs.mapInArrow(_incidence(width, percent), ROWS)
-    found = U.written(rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_candidates(percent), FOUND))
+    found = U.written(rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_buckets, FOUND))
     owners = found.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("node"), "n")
-    members = found.where("kind = 2").select(F.col("a").alias("key"), F.col("b").alias("node")).distinct()
-    pairs = U.written(found.where("kind = 1").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
+    inside = found.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("node"), "n")
+    central = inside.groupBy("node").agg(F.count("*").alias("blocks"))
+    members = U.written(inside.join(central, "node"))
 
     # the sets of nodes that take part, made anew from one document each
-    nodes = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).union(members.select("node")).distinct()
-    reps = U.written(owners.where("n > 0 and doc_id is not null").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")))
+    reps = U.written(owners.where("n > 0 and doc_id is not null").join(central, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id"))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).cast("int")
     bits = np.zeros(FILTER_BITS, np.uint8)
     bits[[r[0] for r in reps.select(place.alias("p")).distinct().collect()]] = 1  # FILTER_BITS numbers at most
-    passing = docs.where("doc_id is not null").select("doc_id", place.alias("place"), "text").mapInArrow(_sets_of(width, np.packbits(bits).tobytes()), "doc_id long, node long, grams binary")
-    sets = U.written(passing.join(reps, ["doc_id", "node"], "left_semi").dropDuplicates(["node"]).select("node", "grams"))
+    passing = docs.where("doc_id is not null").select("doc_id", place.alias("place"), "text").mapInArrow(_sets_of(width, np.packbits(bits).tobytes()), "node long, grams binary")
+    sets = U.written(passing)
 
     def linked(tried: DataFrame) -> DataFrame:
         both = tried.join(sets.select(F.col("node").alias("u"), F.col("grams").alias("gu")), "u").join(sets.select(F.col("node").alias("v"), F.col("grams").alias("gv")), "v")
-        return U.written(both.select("u", "v", "gu", "gv").mapInArrow(_linked(percent), "u long, v long"))
+        return U.written(both.select("u", "v", "gu", "gv").mapInArrow(_linked(percent), "u long, v long").distinct())
 
-    links, tried = linked(pairs), pairs
+    def pairs_with(held: DataFrame, other: DataFrame) -> DataFrame:
+        """Pairs of a bucket's nodes and others of it that differ in component and whose sizes allow a link."""
+        other = other.select("key", F.col("node").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx"))
+        across = held.join(other, "key").where((F.col("label") != F.col("lx")) & (100 * F.least("n", "nx") >= percent * F.greatest("n", "nx")))
+        return across.select(F.least("node", "x").alias("u"), F.greatest("node", "x").alias("v")).distinct()
+
+    def hubs(held: DataFrame, order: Column) -> DataFrame:
+        return held.groupBy("key").agg(F.max_by(F.struct("node", "label", "n"), order).alias("hub")).select("key", "hub.*")
+
+    def still_open(held: DataFrame, labels: DataFrame) -> DataFrame:
+        """Members, with their components, of the buckets that have more than one."""
+        held = held.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        several = held.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("key")
+        return U.written(held.join(several, "key", "left_semi"))
+
+    alone = members.withColumn("label", F.col("node"))
+    tried = U.written(pairs_with(alone, hubs(alone, F.struct("blocks", "node"))))
+    links = linked(tried)
     labels = components(links)
-    sizes = owners.where("n > 0").groupBy("node").agg(F.max("n").alias("n"))
+    more = members.groupBy("key").agg(F.count("*").alias("m")).where("m > 2").select("key")  # a bucket of two is done
+    held = still_open(members.join(more, "key", "left_semi"), labels)
+    if not held.isEmpty():
+        held = U.written(_without_partners(held, sets, percent))
     for turn in range(ROUNDS + 1):
-        held = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        open_keys = held.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("key")
-        held = U.written(held.join(open_keys, "key", "left_semi").join(sizes, "node"))
+        held = still_open(held, labels)
         if held.isEmpty():
             break
-        hubs = held.groupBy("key").agg(F.min_by(F.struct("node", "label", "n"), F.xxhash64("node", F.lit(turn))).alias("hub")).select("key", "hub.*") if turn < ROUNDS else held
-        other = hubs.select("key", F.col("node").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx"))
-        across = held.join(other, "key").where((F.col("label") != F.col("lx")) & (100 * F.least("n", "nx") >= percent * F.greatest("n", "nx")))
-        fresh = across.select(F.least("node", "x").alias("u"), F.greatest("node", "x").alias("v")).distinct().join(tried, ["u", "v"], "left_anti")
-        fresh = U.written(fresh)
+        other = hubs(held, F.xxhash64("node", F.lit(turn))) if turn < ROUNDS else held
+        fresh = U.written(pairs_with(held, other).join(tried, ["u", "v"], "left_anti"))
         links, tried = links.union(linked(fresh)), tried.union(fresh)
         labels = components(links)
 

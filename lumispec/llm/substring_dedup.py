@@ -273,7 +273,7 @@ def _decided(window: int, limit: int):
     return run
 
 
-def _without_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _without_ranges(batches: Iterator[pa.RecordBatch], as_they_are: bool) -> Iterator[pa.RecordBatch]:
     """Adds kept, n_words and n_removed."""
     for part in U.slices(batches, "text", U.CHUNK_BYTES // 2):
         kept, total, removed = [], [], []
@@ -286,7 +286,7 @@ def _without_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 np.add.at(gone, [r["last"] for r in ranges], -1)
                 stay = np.cumsum(gone[:n]) <= 0
                 words = [words[i] for i in np.flatnonzero(stay).tolist()]
-            kept.append(b" ".join(words).decode("utf-8", "replace"))
+            kept.append((text if as_they_are and len(words) == n else b" ".join(words)).decode("utf-8", "replace"))
             total.append(n)
             removed.append(n - len(words))
         drop = [part.schema.get_field_index(c) for c in ("text", "ranges")]
@@ -308,11 +308,11 @@ def repeated_ranges(docs: DataFrame, folded: DataFrame, window: int = 13) -> Dat
     return found.union(done)
 
 
-def dedup_substrings(docs: DataFrame, window: int = 13) -> DataFrame:
+def dedup_substrings(docs: DataFrame, window: int = 13, as_they_are: bool = False) -> DataFrame:
     """docs (doc_id, text, more columns) without text, and with kept (the words that stay, joined by one space), n_words and n_removed.
 
     A word goes if a window over it has a word sequence that also begins in a document with a smaller doc_id; windows are judged on the input.
-    Null texts have no words. A document with a null doc_id keeps all and takes nothing from others; rows with one doc_id take nothing from
+    With as_they_are, kept is the text itself where nothing goes. Null texts have no words; their kept is empty. A document with a null doc_id keeps all and takes nothing from others; rows with one doc_id take nothing from
     each other. Other columns pass through; one named kept, n_words, n_removed, digest or ranges comes back with _in at its end.
     """
     clash = [c for c in docs.columns if c in ("kept", "n_words", "n_removed", "digest", "ranges")]
@@ -331,7 +331,7 @@ def dedup_substrings(docs: DataFrame, window: int = 13) -> DataFrame:
     joined = folded.join(ranges, ["doc_id", "digest"], "left").select("doc_id", *rest, "text", "ranges")
     others = named.where("doc_id is null or text is null").withColumn("digest", F.lit(0))
     all_ = joined.union(fold(others).select("doc_id", *rest, "text", F.lit(None).cast("array<struct<first:int,last:int>>").alias("ranges")))
-    out = all_.mapInArrow(_without_ranges, ", ".join([kinds["doc_id"], *(kinds[c] for c in rest), "kept string, n_words long, n_removed long"]))
+    out = all_.mapInArrow(lambda batches: _without_ranges(batches, as_they_are), ", ".join([kinds["doc_id"], *(kinds[c] for c in rest), "kept string, n_words long, n_removed long"]))
     return out.select(*(c for c in named.columns if c != "text"), "kept", "n_words", "n_removed")
 
 
