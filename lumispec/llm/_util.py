@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that a Python worker handles at once; a single longer text is handled alone.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -94,7 +94,7 @@ LOWER = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.
 class WordIds:
     """64-bit hashes of words (or of what `digest` sees in them), each worked out once by a Python worker; all are forgotten beyond a limit."""
 
-    def __init__(self, digest: Callable[[bytes], int] | None = None, limit: int = 250_000) -> None:
+    def __init__(self, digest: Callable[[bytes], int] | None = None, limit: int = 150_000) -> None:
         import xxhash
 
         self.limit, self.digest = limit, digest or xxhash.xxh3_64_intdigest

@@ -1,13 +1,14 @@
 """N-gram Jaccard join: a blocked sparse product of the document by n-gram incidence matrix.
 
 Two sets of sizes a and b can reach the threshold only if they differ in at most D = (a + b)(100 - p) / (100 + p) n-grams. The n-gram columns
-are cut into more than D blocks, so that the two rows of such a pair are equal in some block that isn't empty: only pairs with an equal block
-are candidates, whatever n-grams are frequent. Their overlap counts are then accumulated block of columns by block of columns in numpy, and a
+are cut into more than D blocks, so that the two rows of such a pair are equal in some blocks that aren't empty: only pairs with an equal block
+are candidates, and only of rows with as many equal blocks as a pair needs, whatever n-grams are frequent. Their overlap counts are then accumulated block of columns by block of columns in numpy, and a
 pair is discarded as soon as what is left can't lift it over its bound. Documents with equal sets are one node.
 
 A bucket isn't expanded into all pairs. Its nodes are compared with its hub, the one that shares most blocks. Where that leaves more than one
 component in a bucket, n-grams are counted over the nodes of such buckets: a node with so many n-grams of its own that no other node can reach
-the bound has no partner and leaves. What is still open is compared with further hubs, then across components alone, until nothing is left out.
+the bound has no partner and leaves. What is still open is compared with further hubs; in the end all pairs across components are that share one
+of the rarest n-grams that their bounds leave them to differ in, so that no link is lost.
 """
 
 from __future__ import annotations
@@ -23,13 +24,13 @@ from pyspark.sql import functions as F
 from . import _util as U
 from .components import components
 
-#: Rounds in which each open bucket compares a further hub with the other components, before all pairs across components are.
+#: Rounds in which each open bucket compares a further hub with the other components, before the pairs left over are.
 ROUNDS = 3
 #: Growth of the size classes' upper bounds.
 RATIO = 1.4
 #: Bits of the filter on candidate documents.
 FILTER_BITS = 1 << 20
-ROWS = "key long, node long, n int, doc_id long, is_doc boolean"
+ROWS = "key long, node long, n long, doc_id long, is_doc boolean"
 _ROW_NAMES = [x.split()[0] for x in ROWS.split(", ")]
 
 
@@ -79,17 +80,18 @@ class Classes:
         return 2 * self.upper[c] * (100 - self.percent) // (100 + self.percent)
 
     def spare(self, c: np.ndarray) -> np.ndarray:
-        """Blocks beyond D + 1: as many may be empty."""
-        return 2 + self.differ(c) // 12
+        """Blocks beyond D + 1: as many may be empty, or else are equal as well in a pair that links."""
+        return 2 + self.differ(c) // 4
 
 
-def block_keys(sets: list[np.ndarray], classes: Classes) -> tuple[np.ndarray, np.ndarray]:
-    """Number of the set and key, for each block that a set is to be compared by. Sets must not be empty."""
+def block_keys(sets: list[np.ndarray], classes: Classes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of the set, key, and size | need << 32 | next << 62, for each block that a set is to be compared by: it needs `need` equal blocks at
+    least to have a partner, among those of its own class or (next 1) the next. Sets must not be empty."""
     n = np.fromiter(map(len, sets), np.int64, len(sets))
     own = classes.of(n)
     further = n * 100 // classes.percent > classes.upper[own]  # may have partners in the next class
-    all_sets, all_keys = [], []
-    for chosen, c in ((np.arange(len(sets)), own), (np.flatnonzero(further), own[further] + 1)):
+    all_sets, all_keys, all_marks = [], [], []
+    for further_class, chosen, c in ((0, np.arange(len(sets)), own), (1, np.flatnonzero(further), own[further] + 1)):
         some = classes.differ(c) > 0
         chosen, c = chosen[some], c[some]
         if not len(chosen):
@@ -102,16 +104,20 @@ def block_keys(sets: list[np.ndarray], classes: Classes) -> tuple[np.ndarray, np
         heads = np.flatnonzero(new)
         total = np.add.reduceat(U.mix64(h), heads)
         place = block[heads] + (c[of[heads]].astype(np.uint64) << np.uint64(40)) + np.uint64(1 << 60)
+        filled = np.bincount(of[heads], minlength=len(chosen))
+        need = np.maximum(1, 1 + classes.spare(c) - (blocks - filled))  # of the D + 1 + spare blocks, D differ at most, and empty ones have no key
+        marks = n[chosen] | need << 32 | further_class << 62
         all_sets.append(chosen[of[heads]])
         all_keys.append(U.mix64(total + U.mix64(place)))
-        filled = np.bincount(of[heads], minlength=len(chosen))
+        all_marks.append(marks[of[heads]])
         for i in np.flatnonzero(blocks - filled > classes.spare(c)):  # too many empty blocks: they count as well
             empty = np.setdiff1d(np.arange(blocks[i], dtype=np.uint64), block[heads][of[heads] == i])
             all_sets.append(np.full(len(empty), chosen[i]))
             all_keys.append(U.mix64(U.mix64(empty + (np.uint64(c[i]) << np.uint64(40)) + np.uint64(1 << 61))))
+            all_marks.append(np.full(len(empty), marks[i]))
     if not all_sets:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate(all_sets), np.concatenate(all_keys)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return np.concatenate(all_sets), np.concatenate(all_keys), np.concatenate(all_marks)
 
 
 def _digest(s: np.ndarray) -> int:
@@ -128,10 +134,10 @@ def _incidence(width: int, percent: int):
         for part in U.slices(batches, "text"):
             sets = shingle_sets(U.byte_texts(part), hashes, width)
             nodes = np.array([_digest(s) for s in sets], np.int64)
-            n = np.fromiter(map(len, sets), np.int32, len(sets))
+            n = np.fromiter(map(len, sets), np.int64, len(sets))
             yield pa.RecordBatch.from_arrays([pa.array(U.mix64(nodes.view(np.uint64) + np.arange(len(sets), dtype=np.uint64)).view(np.int64)), pa.array(nodes), pa.array(n), part.column(0), pa.array(np.ones(len(sets), bool))], names=_ROW_NAMES)
             ids = part.column(0).is_valid().to_numpy(zero_copy_only=False)
-            if len(seen) > 500_000:
+            if len(seen) > 100_000:
                 seen.clear()
             first = {}
             for i in np.flatnonzero((n > 0) & ids).tolist():
@@ -139,15 +145,17 @@ def _incidence(width: int, percent: int):
                     first[int(nodes[i])] = i
             seen.update(first)
             chosen = list(first.values())
-            of, keys = block_keys([sets[i] for i in chosen], classes) if chosen else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+            if not chosen:
+                continue
+            of, keys, marks = block_keys([sets[i] for i in chosen], classes)
             if len(of):
                 rows = np.array(chosen)[of]
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(nodes[rows]), pa.array(n[rows]), pa.nulls(len(of), pa.int64()), pa.array(np.zeros(len(of), bool))], names=_ROW_NAMES)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(nodes[rows]), pa.array(marks), pa.nulls(len(of), pa.int64()), pa.array(np.zeros(len(of), bool))], names=_ROW_NAMES)
 
     return run
 
 
-FOUND = "kind int, a long, b long, n int"
+FOUND = "kind int, a long, b long, n long"
 _FOUND_NAMES = [x.split()[0] for x in FOUND.split(", ")]
 
 
@@ -235,17 +243,47 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *sets])), pa.array(nodes)], names=["gram", "node"])
 
 
+def _nodes_of(held: DataFrame) -> DataFrame:
+    """(node, label, n, lo) of the members of buckets: lo is the smallest size that a partner of the node may have."""
+    smallest = held.groupBy("key").agg(F.min("n").alias("lo"))
+    return held.join(smallest, "key").groupBy("node").agg(F.max("label").alias("label"), F.max("n").alias("n"), F.min("lo").alias("lo"))
+
+
+def _least_overlap(percent: int) -> Column:
+    """The fewest common n-grams with which a node of size n links with one of size lo, or of the least size that can link at all."""
+    return F.ceil(percent * (F.col("n") + F.greatest("lo", F.ceil(percent * F.col("n") / 100))) / (100 + percent))
+
+
+def _grams_of(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    return sets.join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"]).select("node", "grams").mapInArrow(_grams, "gram long, node long")
+
+
 def _without_partners(held: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Members of open buckets but for the nodes that can't link with any: those whose n-grams found in another node are too few for the least
-    overlap that a node of their buckets' smallest size asks for."""
-    nodes = held.groupBy("key").agg(F.min("n").alias("lo")).join(held.select("key", "node", "n"), "key").groupBy("node").agg(F.min("lo").alias("lo"), F.max("n").alias("n"))
-    own = sets.join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"]).select("node", "grams").mapInArrow(_grams, "gram long, node long")
-    alone = own.groupBy("gram").agg(F.count("*").alias("df"), F.min("node").alias("node")).where("df = 1").groupBy("node").agg(F.count("*").alias("own"))
-    least = F.ceil(percent * (F.col("n") + F.greatest("lo", F.floor(percent * F.col("n") / 100))) / (100 + percent))
-    hopeless = nodes.join(alone, "node").where(F.col("n") - F.col("own") < least).select("node")
+    """Members of open buckets but for the nodes that can't link with any: those whose n-grams found in another node are too few."""
+    nodes = U.written(_nodes_of(held))
+    alone = _grams_of(nodes, sets).groupBy("gram").agg(F.count("*").alias("df"), F.min("node").alias("node")).where("df = 1").groupBy("node").agg(F.count("*").alias("own"))
+    hopeless = nodes.join(alone, "node").where(F.col("n") - F.col("own") < _least_overlap(percent)).select("node")
     return held.join(hopeless, "node", "left_anti")
 
 
+def _rarest_pairs(held: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All pairs across components that may still link: two sets with an overlap of o share one of the first n - o + 1 n-grams of each, in one
+    order of all n-grams. The order is by rarity, so that what a large group has in common is in few of these prefixes."""
+    nodes = U.written(_nodes_of(held))
+    grams = U.written(_grams_of(nodes, sets))
+    df = grams.groupBy("gram").agg(F.count("*").alias("df"))
+    first = (F.col("n") - _least_overlap(percent) + 1).cast("int")
+    ordered = grams.join(df.where("df > 1"), "gram").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("grams"))
+    alone = grams.join(df.where("df = 1"), "gram").groupBy("node").agg(F.count("*").cast("int").alias("own"))
+    left = nodes.join(ordered, "node").join(alone, "node", "left").withColumn("left", first - F.coalesce("own", F.lit(0))).where("left > 0")
+    prefix = left.select("node", "label", "n", F.explode(F.slice("grams", F.lit(1), F.col("left"))["gram"]).alias("gram"))
+    several = prefix.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("gram")
+    prefix = U.written(prefix.join(several, "gram", "left_semi"))
+    other = prefix.select("gram", F.col("node").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx"))
+    across = prefix.join(other, "gram").where((F.col("node") < F.col("x")) & (F.col("label") != F.col("lx")) & (100 * F.least("n", "nx") >= percent * F.greatest("n", "nx")))
+    return across.select(F.col("node").alias("u"), F.col("x").alias("v")).distinct()
+
+
 def link_documents(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     """One row a document of docs (doc_id, text): doc_id, n_shingles (distinct) and component_id, the smallest doc_id reachable by links.
 
@@ -257,9 +295,13 @@ def link_documents(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFr
     rows = docs.mapInArrow(_incidence(width, percent), ROWS)
     found = U.written(rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_buckets, FOUND))
     owners = found.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("node"), "n")
-    inside = found.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("node"), "n")
-    central = inside.groupBy("node").agg(F.count("*").alias("blocks"))
-    members = U.written(inside.join(central, "node"))
+    mark = F.col("n")
+    inside = found.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("node"), mark.bitwiseAND(0xFFFFFFFF).alias("n"), F.shiftright(mark, 62).alias("class"), F.shiftright(mark, 32).bitwiseAND(0x3FFFFFFF).alias("need"))
+    enough = inside.groupBy("node", "class").agg(F.count("*").alias("blocks"), F.max("need").alias("need")).where("blocks >= need").drop("need")
+    kept = U.written(inside.drop("need").join(enough, ["node", "class"]).drop("class"))  # nodes with too few equal blocks have no partner
+    shared = kept.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
+    members = U.written(kept.join(shared, "key", "left_semi"))
+    central = members.select("node").distinct()
 
     # the sets of nodes that take part, made anew from one document each
     reps = U.written(owners.where("n > 0 and doc_id is not null").join(central, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id"))
@@ -300,8 +342,8 @@ def link_documents(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFr
         held = still_open(held, labels)
         if held.isEmpty():
             break
-        other = hubs(held, F.xxhash64("node", F.lit(turn))) if turn < ROUNDS else held
-        fresh = U.written(pairs_with(held, other).join(tried, ["u", "v"], "left_anti"))
+        fresh = pairs_with(held, hubs(held, F.xxhash64("node", F.lit(turn)))) if turn < ROUNDS else _rarest_pairs(held, sets, percent)
+        fresh = U.written(fresh.join(tried, ["u", "v"], "left_anti"))
         links, tried = links.union(linked(fresh)), tried.union(fresh)
         labels = components(links)
 
