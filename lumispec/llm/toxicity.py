@@ -20,7 +20,8 @@ from . import _util as U
 from . import linear
 from .quality import bounded_sample
 
-BITS = 20
+#: Features are 32-bit hashes; those in fewer labelled rows than LEAST are left out.
+LEAST = 4
 #: Labelled rows that a chain is fitted on at most, those of least xxhash64(doc_id).
 SAMPLE = 12_000
 #: Bytes of the word beginnings that are features of their own.
@@ -32,9 +33,10 @@ _MARKS = b"""!"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"""
 
 
 class WordFeatures:
-    """Feature numbers of words: the lower-cased word without marks around it, and its first bytes."""
+    """Feature numbers of words (the lower-cased word without marks around it, and its first bytes): places among the kept hashes, in ascending
+    order, or the hashes themselves where none are given."""
 
-    def __init__(self, kept: np.ndarray | None = None, limit: int = 400_000) -> None:
+    def __init__(self, kept: np.ndarray | None = None, limit: int = 250_000) -> None:
         self.kept, self.limit = kept, limit
         self.at: dict[bytes, int] = {}
         self.ids = np.zeros((1024, 1 + len(PREFIXES)), np.int64)
@@ -48,11 +50,12 @@ class WordFeatures:
             self.ids, self.some = np.concatenate([self.ids, np.zeros_like(self.ids)]), np.concatenate([self.some, np.zeros_like(self.some)])
         bare = [w.translate(U.LOWER).strip(_MARKS) for w in new]
         for k, size in enumerate((None, *PREFIXES)):
-            ids = np.array([h(w, seed=0) if size is None else h(w[:size], seed=size) for w in bare], np.uint64) >> np.uint64(64 - BITS)
+            ids = np.array([h(w, seed=0) if size is None else h(w[:size], seed=size) for w in bare], np.uint64) >> np.uint64(32)
             self.ids[n : n + len(new), k] = np.where([len(w) >= (size or 1) for w in bare], ids.astype(np.int64), -1)
         if self.kept is not None:
             own = self.ids[n : n + len(new)]
-            own[~self.kept[own] | (own < 0)] = -1
+            at = np.minimum(np.searchsorted(self.kept, own), max(0, len(self.kept) - 1))
+            own[:] = np.where(self.kept[at] == own, at, -1) if len(self.kept) else -1
             self.some[n : n + len(new)] = (own >= 0).any(1)
         else:
             self.some[n : n + len(new)] = True
@@ -74,8 +77,8 @@ class WordFeatures:
         use = np.flatnonzero(self.some[index])
         doc = np.repeat(np.arange(len(texts)), counts)[use]
         ids = self.ids[index[use]]
-        both = np.unique((doc[:, None] << BITS | ids)[ids >= 0])
-        return both >> BITS, both & ((1 << BITS) - 1)
+        both = np.unique((doc[:, None] << 32 | ids)[ids >= 0])
+        return both >> 32, both & 0xFFFFFFFF
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,12 +86,11 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in U.slices(batches, "text"):
         doc, ids = words.of(U.byte_texts(part))
         ends = np.searchsorted(doc, np.arange(len(part) + 1))
-        yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(ends.astype(np.int32), ids.astype(np.int32))], names=["label", "features"])
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(ends.astype(np.int32), ids.astype(np.uint32).view(np.int32))], names=["label", "features"])
 
 
-def _strong(rows: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _strong(rows: list[np.ndarray], y: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """z scores of the features' log odds ratios between the classes, and the features that go beyond Z_SCORE."""
-    size = 1 << BITS
     df1, df0 = (np.bincount(np.concatenate([np.zeros(0, np.int64), *(rows[i] for i in np.flatnonzero(y == c))]), minlength=size) for c in (1, 0))
     n1, n0 = int((y == 1).sum()), int((y == 0).sum())
     odds = np.log((df1 + 0.5) / (n1 - df1 + 0.5)) - np.log((df0 + 0.5) / (n0 - df0 + 0.5))
@@ -99,10 +101,10 @@ def _strong(rows: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.ndarr
 class Link:
     """One linear model of the chain, over the kept features and the probabilities of earlier categories."""
 
-    def __init__(self, rows: list[np.ndarray], earlier: np.ndarray, y: np.ndarray) -> None:
-        self.constant = float(y.mean()) if len(y) else 0.0
+    def __init__(self, rows: list[np.ndarray], size: int, earlier: np.ndarray, y: np.ndarray) -> None:
+        self.size, self.constant = size, float(y.mean()) if len(y) else 0.0
         self.plain = len(y) == 0 or np.bincount(y, minlength=2).min() < 2 * FOLDS
-        self.kept = np.zeros(1 << BITS, bool)
+        self.kept = np.zeros(size, bool)
         if self.plain:
             return
         fold, margins = np.arange(len(y)) % FOLDS, np.zeros(len(y))
@@ -116,22 +118,23 @@ class Link:
 
     def _x(self, rows: list[np.ndarray], earlier: np.ndarray) -> linear.Sparse:
         """Kept features, then one for each earlier category and a constant one."""
-        more = np.arange(earlier.shape[1] + 1) + (1 << BITS)
+        more = np.arange(earlier.shape[1] + 1) + self.size
         ids = [r[self.kept[r]] for r in rows]
         return linear.Sparse([np.concatenate([x, more]) for x in ids], [np.concatenate([self.r[x], e, [1.0]]) for x, e in zip(ids, earlier, strict=True)])
 
     def _fit(self, rows: list[np.ndarray], earlier: np.ndarray, y: np.ndarray) -> None:
-        self.kept = _strong(rows, y)[1]
-        self.r = linear.log_count_ratio(linear.Sparse([x[self.kept[x]] for x in rows]), y, 1 << BITS)
+        self.kept = _strong(rows, y, self.size)[1]
+        self.r = linear.log_count_ratio(linear.Sparse([x[self.kept[x]] for x in rows]), y, self.size)
         share = np.where(y > 0, (y > 0).mean(), (y <= 0).mean())
-        self.w = linear.hinge_dual(self._x(rows, earlier), np.where(y > 0, 1.0, -1.0), (1 << BITS) + earlier.shape[1] + 1, COST / (2 * share))
+        self.w = linear.hinge_dual(self._x(rows, earlier), np.where(y > 0, 1.0, -1.0), self.size + earlier.shape[1] + 1, COST / (2 * share))
 
-    def ready(self) -> None:
-        """Leaves what scoring needs."""
+    def ready(self, used: np.ndarray) -> None:
+        """Leaves what scoring needs: the weights of the used features."""
         if not self.plain:
-            self.scaled = np.where(self.kept, self.w[: 1 << BITS] * self.r, 0).astype(np.float32)
-            self.more = self.w[1 << BITS :]
+            self.scaled = np.where(self.kept, self.w[: self.size] * self.r, 0)[used].astype(np.float32)
+            self.more = self.w[self.size :]
             del self.w, self.r, self.out_of_fold
+        del self.kept
 
     def score(self, doc: np.ndarray, ids: np.ndarray, earlier: np.ndarray) -> np.ndarray:
         if self.plain:
@@ -140,17 +143,23 @@ class Link:
 
 
 class Chain:
-    """Models of the categories, in order. targets: 0 or 1 for each category and row."""
+    """Models of the categories, in order. rows: ascending feature hashes; targets: 0 or 1 for each category and row."""
 
     def __init__(self, rows: list[np.ndarray], targets: dict[str, np.ndarray]) -> None:
+        hashes, df = np.unique(np.concatenate([np.zeros(0, np.int64), *rows]), return_counts=True)
+        hashes = hashes[df >= LEAST]
+        rows = [np.searchsorted(hashes, r[np.isin(r, hashes)]) for r in rows]
         self.names, self.links = list(targets), []
         earlier = np.zeros((len(rows), 0))
         for name in self.names:
-            link = Link(rows, earlier, targets[name])
+            link = Link(rows, len(hashes), earlier, targets[name])
             self.links.append(link)
             earlier = np.column_stack([earlier, np.full(len(rows), link.constant) if link.plain else link.out_of_fold])
-            link.ready()
-        self.kept = np.logical_or.reduce([x.kept for x in self.links])
+        used = np.flatnonzero(np.logical_or.reduce([x.kept for x in self.links]))
+        for link in self.links:
+            link.ready(used)
+        #: Hashes of the features that count, in ascending order.
+        self.kept = hashes[used]
 
     def score(self, doc: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
         """A column for each category."""
@@ -162,15 +171,18 @@ class Chain:
 
 def severe(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     """1 for the labelled rows that hold SEVERE_WORDS or more strong features of the label."""
-    z, strong = _strong(rows, y)
+    hashes, ids = np.unique(np.concatenate([np.zeros(0, np.int64), *rows]), return_inverse=True)
+    ends = np.cumsum([len(r) for r in rows])[:-1]
+    own = np.split(ids, ends)
+    z, strong = _strong(own, y, len(hashes))
     strong &= z > 0
-    return np.array([int(label == 1 and strong[r].sum() >= SEVERE_WORDS * (1 + len(PREFIXES))) for r, label in zip(rows, y, strict=True)], np.int64)
+    return np.array([int(label == 1 and strong[r].sum() >= SEVERE_WORDS * (1 + len(PREFIXES))) for r, label in zip(own, y, strict=True)], np.int64)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = SAMPLE) -> Chain:
     """Fits the chain severe, then the label itself, on a bounded sample of docs (doc_id, text) that labels (doc_id, label 0 or 1) covers."""
     found = bounded_sample(docs, labels, label, limit).mapInArrow(_features, "label int, features array<int>").toArrow()
-    rows = [np.asarray(x.values) for x in found["features"]]
+    rows = [np.sort(np.asarray(x.values).view(np.uint32).astype(np.int64)) for x in found["features"]]
     y = found["label"].to_numpy().astype(np.int64)
     return Chain(rows, {f"severe_{label}": severe(rows, y) if len(y) else y, label: y})
 
