@@ -9,6 +9,7 @@ but its answer (the item's last words) as well.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +22,12 @@ from . import _util as U
 BLOCK = 32
 #: Rank of the latent space, columns more in the random sketch, and power iterations.
 RANK, MORE, POWER = 128, 16, 2
-#: Terms in a larger share of documents say nothing.
-COMMON = 0.05
-NEAR, COPY, PARAPHRASE = 0.35, 0.75, 0.5
+#: Terms in a larger share of documents say nothing, but for each item's rarest.
+COMMON, RAREST = 0.01, 8
+#: Least cosine of a candidate, least share of the item's vector that its window holds, and the most terms that a window is asked to hold.
+NEAR, SHARE, TERMS = 0.35, 0.25, 3
+#: Shares of an item in the longest common subsequence that make a leak, alone or with the answer.
+COPY, PARAPHRASE = 0.75, 0.5
 #: Last words of an item that count as its answer, and the share of them that must be there.
 ANSWER, ANSWER_SHARE = 4, 0.5
 #: Benchmark items that are searched for at once.
@@ -39,15 +43,18 @@ def terms(text: bytes) -> list[bytes]:
 class Vocabulary:
     """Numbers of the terms of raw words, -1 for others; remembers words up to a limit."""
 
-    def __init__(self, numbers: dict[bytes, int], limit: int = 400_000) -> None:
+    def __init__(self, numbers: dict[bytes, int], limit: int = 200_000) -> None:
         self.numbers, self.limit, self.seen = numbers, limit, {}
 
     def of(self, words: list[bytes]) -> np.ndarray:
         if len(self.seen) > self.limit:
             self.seen.clear()
-        for w in set(words).difference(self.seen):
-            self.seen[w] = self.numbers.get(w.translate(U.LOWER).strip(_MARKS), -1)
-        return np.fromiter(map(self.seen.__getitem__, words), np.int64, len(words))
+        ids = np.fromiter(map(self.seen.get, words, repeat(-2)), np.int64, len(words))
+        new = np.flatnonzero(ids == -2)
+        found = {w: self.numbers.get(w.translate(U.LOWER).strip(_MARKS), -1) for w in {words[i] for i in new.tolist()}}
+        ids[new] = [found[words[i]] for i in new.tolist()]
+        self.seen.update(found)
+        return ids
 
 
 def document_frequencies(docs: DataFrame, numbers: dict[bytes, int]) -> tuple[np.ndarray, int]:
@@ -135,7 +142,11 @@ class Index:
         self.numbers = {w: i for w, i in numbers.items() if weight[i] > 0}
         rows = [v @ space[i] for i, v in _rows([t for _, t in items], numbers, weight)]
         own = np.array(rows, np.float32).reshape(len(items), space.shape[1])
-        self.items = own / np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-9)
+        self.size = np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-9)
+        self.items = own / self.size
+        whole = np.array([np.sqrt(sum((weight[i] ** 2 for i in {numbers[w] for w in words}), 0.0)) for words in self.words], np.float32)
+        self.size = np.maximum(self.size[:, 0] * whole, 1e-9)  # of the item as a window would hold it
+        self.least = max(1, min([TERMS, *(len({w for w in words if w in self.numbers}) // 2 for words in self.words if words)]))
 
     def search(self, texts: list[bytes], vocabulary: Vocabulary) -> list[tuple[int, int, float, float, float]]:
         """(text, item, cosine, share of the item in the longest common subsequence, share of its answer) of the leaks, the best window of each."""
@@ -150,14 +161,25 @@ class Index:
         blocks = -(-counts // BLOCK) + 1  # one more, so that windows don't cross from text to text
         key = (np.cumsum(blocks) - blocks)[doc] + (hit - begin[doc]) // BLOCK
         heads = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        sums, of, key, n = np.add.reduceat(self.vectors[ids[hit]], heads, axis=0), doc[heads], key[heads], np.diff(np.append(heads, len(hit)))
-        both = np.append(key[1:] == key[:-1] + 1, False)
-        sums[:-1][both[:-1]] += sums[1:][both[:-1]].copy() if both.any() else 0
-        n[:-1] += np.where(both[:-1], n[1:], 0)
-        near = np.flatnonzero(n >= 2)
-        cosine = sums[near] @ self.items.T / np.maximum(np.linalg.norm(sums[near], axis=1, keepdims=True), 1e-9)
+        sizes, own = np.diff(np.append(heads, len(key))), key[heads]
+        followed = np.append(own[1:] == own[:-1] + 1, False)
+        n = sizes + np.where(followed, np.append(sizes[1:], 0), 0)
+        near = np.flatnonzero(n >= self.least)  # blocks that begin a window with terms enough
+        if not len(near):
+            return []
+        used = np.zeros(len(own), bool)
+        used[near] = True
+        used[1:] |= used[:-1] & followed[:-1]
+        rows, held = np.repeat(used, sizes), np.cumsum(used) - 1
+        sums = np.add.reduceat(self.vectors[ids[hit[rows]]], np.cumsum(sizes[used]) - sizes[used], axis=0)
+        both = followed[near]
+        windows = sums[held[near]]
+        windows[both] += sums[held[near[both]] + 1]
+        dot = windows @ self.items.T
+        cosine = dot / np.maximum(np.linalg.norm(windows, axis=1, keepdims=True), 1e-9)
+        of, key = doc[heads], own
         best: dict[tuple[int, int], tuple[float, float, float]] = {}
-        for w, i in zip(*np.nonzero(cosine >= NEAR), strict=True):
+        for w, i in zip(*np.nonzero((cosine >= NEAR) & (dot >= SHARE * self.size)), strict=True):
             d, item = int(of[near[w]]), self.words[i]
             if not item:
                 continue
@@ -193,7 +215,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     if not numbers:
         return docs.sparkSession.createDataFrame([], LEAKS)
     df, n = document_frequencies(docs, numbers)
-    weight = np.where(df > max(COMMON * n, 10), 0.0, np.log((n + 1) / (df + 1)) + 1)
+    common = df > max(COMMON * n, 10)
+    for _, text in items:
+        common[sorted({numbers[w] for w in terms(text)}, key=lambda i: (df[i], i))[:RAREST]] = False
+    weight = np.where(common, 0.0, np.log((n + 1) / (df + 1)) + 1)
     space = latent_space(benchmark, numbers, weight)
     found = None
     for at in range(0, len(items), ITEMS):
