@@ -148,7 +148,10 @@ class Chain:
     def __init__(self, rows: list[np.ndarray], targets: dict[str, np.ndarray]) -> None:
         hashes, df = np.unique(np.concatenate([np.zeros(0, np.int64), *rows]), return_counts=True)
         hashes = hashes[df >= LEAST]
-        rows = [np.searchsorted(hashes, r[np.isin(r, hashes)]) for r in rows]
+        flat, sizes = np.concatenate([np.zeros(0, np.int64), *rows]), [len(r) for r in rows]
+        at = np.minimum(np.searchsorted(hashes, flat), max(0, len(hashes) - 1))
+        known = hashes[at] == flat if len(hashes) else np.zeros(len(flat), bool)
+        rows = [x[k] for x, k in zip(np.split(at, np.cumsum(sizes)[:-1]), np.split(known, np.cumsum(sizes)[:-1]), strict=True)] if rows else []
         self.names, self.links = list(targets), []
         earlier = np.zeros((len(rows), 0))
         for name in self.names:
@@ -172,8 +175,7 @@ class Chain:
 def severe(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     """1 for the labelled rows that hold SEVERE_WORDS or more strong features of the label."""
     hashes, ids = np.unique(np.concatenate([np.zeros(0, np.int64), *rows]), return_inverse=True)
-    ends = np.cumsum([len(r) for r in rows])[:-1]
-    own = np.split(ids, ends)
+    own = np.split(ids, np.cumsum([len(r) for r in rows])[:-1]) if rows else []
     z, strong = _strong(own, y, len(hashes))
     strong &= z > 0
     return np.array([int(label == 1 and strong[r].sum() >= SEVERE_WORDS * (1 + len(PREFIXES))) for r, label in zip(own, y, strict=True)], np.int64)
