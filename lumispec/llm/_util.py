@@ -13,6 +13,8 @@ import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+pa.set_memory_pool(pa.system_memory_pool())  # gives memory back between batches, where others keep it
+
 #: Text bytes that a Python worker handles at once; a single longer text is handled alone.
 CHUNK_BYTES = 2 << 20
 
