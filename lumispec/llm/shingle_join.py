@@ -275,12 +275,15 @@ def _rarest_pairs(held: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     first = (F.col("n") - _least_overlap(percent) + 1).cast("int")
     ordered = grams.join(df.where("df > 1"), "gram").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("grams"))
     alone = grams.join(df.where("df = 1"), "gram").groupBy("node").agg(F.count("*").cast("int").alias("own"))
-    left = nodes.join(ordered, "node").join(alone, "node", "left").withColumn("left", first - F.coalesce("own", F.lit(0))).where("left > 0")
-    prefix = left.select("node", "label", "n", F.explode(F.slice("grams", F.lit(1), F.col("left"))["gram"]).alias("gram"))
+    left = nodes.join(ordered, "node").join(alone, "node", "left").withColumn("own", F.coalesce("own", F.lit(0))).withColumn("left", first - F.col("own")).where("left > 0")
+    # rest: the n-grams from this one on
+    prefix = left.select("node", "label", "n", "own", F.posexplode(F.slice("grams", F.lit(1), F.col("left"))["gram"]).alias("at", "gram")).select("node", "label", "n", "gram", (F.col("n") - F.col("own") - F.col("at")).alias("rest"))
     several = prefix.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("gram")
     prefix = U.written(prefix.join(several, "gram", "left_semi"))
-    other = prefix.select("gram", F.col("node").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx"))
-    across = prefix.join(other, "gram").where((F.col("node") < F.col("x")) & (F.col("label") != F.col("lx")) & (100 * F.least("n", "nx") >= percent * F.greatest("n", "nx")))
+    other = prefix.select("gram", F.col("node").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx"), F.col("rest").alias("rx"))
+    # at the first n-gram that two sets share, each has enough left for their overlap
+    enough = (100 + percent) * F.least("rest", "rx") >= percent * (F.col("n") + F.col("nx"))
+    across = prefix.join(other, "gram").where((F.col("node") < F.col("x")) & (F.col("label") != F.col("lx")) & enough)
     return across.select(F.col("node").alias("u"), F.col("x").alias("v")).distinct()
 
 
