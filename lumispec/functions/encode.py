@@ -93,3 +93,18 @@ def classify_error(message: Column | str, kinds: list[tuple[str, str]]) -> Colum
     for name, pattern in reversed(kinds):
         out = F.when(F.regexp_like(_c(message), F.lit(pattern)), name).otherwise(out)
     return out
+
+
+def score_text(score: Column | str) -> Column:
+    """A score as shown: two decimals."""
+    return F.format_string("%.2f", _c(score).cast("double"))
+
+
+def count_text(count: Column | str) -> Column:
+    """A count with separators of thousands."""
+    return F.format_number(_c(count), 0)
+
+
+def seconds_text(us: Column | str) -> Column:
+    """Microseconds as seconds with two decimals."""
+    return F.concat(F.format_string("%.2f", _c(us) / 1_000_000), F.lit(" s"))

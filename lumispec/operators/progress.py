@@ -54,3 +54,26 @@ def stage_durations(events: DataFrame) -> DataFrame:
     at = lambda stage: F.min(F.when(F.col("stage") == stage, F.unix_micros(F.col("ts").cast("timestamp"))))
     firsts = events.groupBy("run_id").agg(*(at(s).alias(s) for s in ("start", "indexStart", "metaStart", "done")))
     return firsts.select("run_id", (F.col("indexStart") - F.col("start")).alias("decode_us"), (F.col("metaStart") - F.col("indexStart")).alias("index_us"), (F.col("done") - F.col("start")).alias("total_us"))
+
+
+def throttle_stream(events: DataFrame, interval_us: int) -> DataFrame:
+    """throttle() over a stream: the state of a run is the time of its last genome event emitted. Events of a run count in the order in which they
+    come; within a batch, in order of time."""
+    if interval_us <= 0:
+        return events
+    held = events.withColumn("_us", F.unix_micros(F.col("ts").cast("timestamp")))
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        last = state.get[0] if state.exists else None
+        for batch in batches:
+            batch = batch.sort_values(["_us", "seq"])
+            keep = np.ones(len(batch), bool)
+            for i, (us, stage) in enumerate(zip(batch["_us"], batch["stage"], strict=True)):
+                if stage == "genome":
+                    keep[i] = last is None or us - last >= interval_us
+                    last = us if keep[i] else last
+            yield batch[keep].drop(columns="_us")
+        if last is not None:
+            state.update((int(last),))
+
+    return held.groupBy("run_id").applyInPandasWithState(run, events.schema, "last long", "append", "NoTimeout")

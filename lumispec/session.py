@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .operators.library import Library, build_library
 from .operators.search import identify
@@ -13,7 +14,7 @@ from .operators.validate import validate
 from .schemas import BIN_WIDTH, COARSE_LIMIT, PPM, TOP_RESULTS
 from .sources import export, pickle_source
 from .sources.discovery import discover
-from .sources.spectra import read_files, parse_files
+from .sources.spectra import parse_files, read_files
 
 GROUP = "lumispec-identify"
 
@@ -58,7 +59,22 @@ class Session:
         found = identify(library.peaks, queries, coarse_limit, ppm, library.manifest["bin_width"], top)
         return found.join(queries.select("query_id", "query_file").distinct(), "query_id").orderBy("query_id", "rank")
 
+    def identify_in_blocks(self, paths: list[str], every: int = 64, cancelled: Callable[[], bool] = lambda: False, **options: object) -> Iterator[tuple[int, int, DataFrame | None]]:
+        """(processed, total, results) block by block of `every` files, first (0, total, None): for a progress display. The files of a block are one
+        plan. Once cancelled() is true, no further block begins."""
+        every, total = max(every, 1), len(paths)
+        if not total:
+            raise ValueError("no query files")
+        yield 0, total, None
+        for at in range(0, total, every):
+            if cancelled():
+                return
+            block = paths[at : at + every]
+            found = self.identify(block, **options).withColumn("query_id", F.col("query_id") + at)
+            yield at + len(block), total, found
+
     def cancel(self) -> None:
+        """Ends the jobs of identifications that run."""
         self.spark.sparkContext.cancelJobGroup(GROUP)
 
     def validate(self) -> DataFrame:

@@ -54,6 +54,9 @@ def test_session(spark, source, queries, tmp_path):
     assert "0,Genome Zero,d__Bacteria;p__Shared,2,900" in [r[0] for r in spark.read.text(str(tmp_path / "genomes")).collect()]
     assert [r[0] for r in spark.read.text(str(tmp_path / "results/part=0")).collect()] == [export.RESULTS_HEADER]
     assert Session(spark).open(str(tmp_path / "library")).manifest == library.manifest
+    steps = [(n, total, df and df.count()) for n, total, df in session.identify_in_blocks(queries, every=1)]
+    assert steps == [(0, 2, None), (1, 2, 2), (2, 2, 1)]
+    assert [n for n, *_ in session.identify_in_blocks(queries, every=1, cancelled=lambda: True)] == [0]
     session.cancel()
     out = tmp_path / "binary"
     assert binary.from_library(library, out) == {"genome_count": 2, "total_peak_count": 4, "bin_count": 14001}
@@ -128,6 +131,17 @@ def test_progress(spark):
     assert tuple(P.stage_durations(events).where("run_id = 1").first())[1:] == (130_000_000, 10_000_000, 150_000_000)
 
 
+def test_throttled_stream(spark, tmp_path):
+    t = dt.datetime(2024, 1, 1)
+    rows = [(1, i, t + dt.timedelta(seconds=s), stage, 0, 0) for i, (s, stage) in enumerate([(0, "start"), (1, "genome"), (20, "genome"), (61, "genome"), (62, "done")])]
+    schema = "run_id long, seq long, ts timestamp, stage string, genomes long, peaks long"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = P.throttle_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), 60_000_000)
+    query = stream.writeStream.format("memory").queryName("throttled").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sorted(r.seq for r in spark.table("throttled").collect()) == [0, 1, 3, 4]
+
+
 def test_pickles(spark, tmp_path):
     big = {f"k{i}" * (1 + 200 * (i == 3)): [float(j) for j in range(i % 5)] for i in range(2500)} | {"long": [0.5] * 3000}
     path = tmp_path / "all.db"

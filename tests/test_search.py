@@ -118,6 +118,8 @@ def test_text_functions(spark):
     assert [tuple(r) for r in got] == [('"a,""b""\nc"', "y z.db", "_x_y_z.db"), ("plain\r", "q.mgf", "q.mgf")]
     kind = spark.createDataFrame([("Failed to open x",), ("CRC mismatch",), ("?",)], "m string").select(E.classify_error("m", E.DATABASE_ERRORS)).collect()
     assert [r[0] for r in kind] == ["unreadable", "format", "other"]
+    shown = spark.createDataFrame([(1.235, 1234567, 2_320_000)], "s double, n long, us long").select(E.score_text("s"), E.count_text("n"), E.seconds_text("us")).first()
+    assert tuple(shown) in (("1.24", "1,234,567", "2.32 s"), ("1.23", "1,234,567", "2.32 s"))
     d = spark.createDataFrame([(0, 5)], "q long, p long").select(E.ppm_distance("q", "p")).first()[0]
     assert d is None
     assert spark.range(1).select(F.lit(1)).count() == 1
