@@ -16,16 +16,26 @@ from pyspark.sql import functions as F
 pa.set_memory_pool(pa.system_memory_pool())  # gives memory back between batches, where others keep it
 
 #: Text bytes that a Python worker handles at once; a single longer text is handled alone.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
+#: Rows of an Arrow batch; Spark's own number is meant for narrow rows.
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to BATCH_ROWS: rows hold whole texts, of which executors and workers keep several batches."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir); one of our own only where none is set."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not conf:
         conf = tempfile.mkdtemp(prefix="lumispec-")
         spark.sparkContext.setCheckpointDir(conf)
@@ -35,6 +45,7 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """df as a table written in the shared folder: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/lumispec-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -96,7 +107,7 @@ LOWER = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.
 class WordIds:
     """64-bit hashes of words (or of what `digest` sees in them), each worked out once by a Python worker; all are forgotten beyond a limit."""
 
-    def __init__(self, digest: Callable[[bytes], int] | None = None, limit: int = 150_000) -> None:
+    def __init__(self, digest: Callable[[bytes], int] | None = None, limit: int = 100_000) -> None:
         import xxhash
 
         self.limit, self.digest = limit, digest or xxhash.xxh3_64_intdigest

@@ -43,7 +43,7 @@ def terms(text: bytes) -> list[bytes]:
 class Vocabulary:
     """Numbers of the terms of raw words, -1 for others; remembers words up to a limit."""
 
-    def __init__(self, numbers: dict[bytes, int], limit: int = 200_000) -> None:
+    def __init__(self, numbers: dict[bytes, int], limit: int = 100_000) -> None:
         self.numbers, self.limit, self.seen = numbers, limit, {}
 
     def of(self, words: list[bytes]) -> np.ndarray:

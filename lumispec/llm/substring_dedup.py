@@ -23,7 +23,7 @@ from . import _util as U
 
 MMER = 5
 #: Packed bytes of a bucket that are sorted at once; a larger bucket is met in pieces of that size.
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 4 << 20
 #: place: first word << 32 | number of words.
 PLACES = "key long, doc_id long, digest int, place long, done boolean"
 PIECES = "key long, doc_id long, digest int, at int, packed binary"
@@ -166,7 +166,7 @@ def _unfolded(part: pa.RecordBatch) -> list[bytes]:
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The packed words of the places asked for in each document."""
-    for part in U.slices(batches, "text", U.CHUNK_BYTES // 2):
+    for part in U.slices(batches, "text", U.CHUNK_BYTES):
         ids, digests = part.column(0).to_pylist(), part.column(1).to_pylist()
         column = part.column(part.schema.get_field_index("places"))
         keys, places = (pc.list_flatten(column).field(i).to_numpy() for i in range(2))
@@ -275,7 +275,7 @@ def _decided(window: int, limit: int):
 
 def _without_ranges(batches: Iterator[pa.RecordBatch], as_they_are: bool) -> Iterator[pa.RecordBatch]:
     """Adds kept, n_words and n_removed."""
-    for part in U.slices(batches, "text", U.CHUNK_BYTES // 2):
+    for part in U.slices(batches, "text", U.CHUNK_BYTES):
         kept, total, removed = [], [], []
         for text, ranges in zip(_unfolded(part), part.column(part.schema.get_field_index("ranges")).to_pylist(), strict=True):
             words = text.split()

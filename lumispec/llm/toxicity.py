@@ -36,7 +36,7 @@ class WordFeatures:
     """Feature numbers of words (the lower-cased word without marks around it, and its first bytes): places among the kept hashes, in ascending
     order, or the hashes themselves where none are given."""
 
-    def __init__(self, kept: np.ndarray | None = None, limit: int = 250_000) -> None:
+    def __init__(self, kept: np.ndarray | None = None, limit: int = 100_000) -> None:
         self.kept, self.limit = kept, limit
         self.at: dict[bytes, int] = {}
         self.ids = np.zeros((1024, 1 + len(PREFIXES)), np.int64)
