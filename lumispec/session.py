@@ -12,6 +12,7 @@ from .operators.library import Library, build_library
 from .operators.search import identify
 from .operators.validate import validate
 from .schemas import BIN_WIDTH, COARSE_LIMIT, PPM, TOP_RESULTS
+from .ship import ship
 from .sources import export, pickle_source
 from .sources.discovery import discover
 from .sources.spectra import parse_files, read_files
@@ -21,6 +22,7 @@ GROUP = "lumispec-identify"
 
 class Session:
     def __init__(self, spark: SparkSession) -> None:
+        ship(spark)
         self.spark = spark
         self.library: Library | None = None
 
