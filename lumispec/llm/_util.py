@@ -42,6 +42,18 @@ def shared_dir(spark: SparkSession) -> str:
     return conf.rstrip("/")
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: a fit's arrays would else count as the driver's for good."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """df as a table written in the shared folder: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
@@ -62,11 +74,14 @@ def partitions_for(df: DataFrame, column: str, target_bytes: int) -> int:
     return max(1, -(-int(n) // target_bytes))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cuts record batches so that a column's bytes stay within limit, or the slice is one row."""
+def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES, size: Callable[[bytes], int] | None = None) -> Iterator[pa.RecordBatch]:
+    """Cuts record batches so that a column's bytes (or what `size` makes of them) stay within limit, or the slice is one row."""
     for batch in batches:
         k = batch.schema.get_field_index(column)
-        sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(k)), 0).to_numpy(zero_copy_only=False)
+        if size:
+            sizes = np.array([size(x) if x else 0 for x in batch.column(k).to_pylist()], np.int64)
+        else:
+            sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(k)), 0).to_numpy(zero_copy_only=False)
         ends = np.cumsum(sizes)
         at = 0
         while at < len(batch):

@@ -164,9 +164,16 @@ def _unfolded(part: pa.RecordBatch) -> list[bytes]:
     return [press.decompress(x) if x else b"" for x in part.column(part.schema.get_field_index("text")).to_pylist()]
 
 
+def _whole_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices by the texts' own sizes: a repetitive text is many times its compressed size."""
+    import zstandard
+
+    return U.slices(batches, "text", size=zstandard.frame_content_size)
+
+
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The packed words of the places asked for in each document."""
-    for part in U.slices(batches, "text", U.CHUNK_BYTES):
+    for part in _whole_slices(batches):
         ids, digests = part.column(0).to_pylist(), part.column(1).to_pylist()
         column = part.column(part.schema.get_field_index("places"))
         keys, places = (pc.list_flatten(column).field(i).to_numpy() for i in range(2))
@@ -275,7 +282,7 @@ def _decided(window: int, limit: int):
 
 def _without_ranges(batches: Iterator[pa.RecordBatch], as_they_are: bool) -> Iterator[pa.RecordBatch]:
     """Adds kept, n_words and n_removed."""
-    for part in U.slices(batches, "text", U.CHUNK_BYTES):
+    for part in _whole_slices(batches):
         kept, total, removed = [], [], []
         for text, ranges in zip(_unfolded(part), part.column(part.schema.get_field_index("ranges")).to_pylist(), strict=True):
             words = text.split()
