@@ -21,7 +21,7 @@ from . import linear
 
 BITS = 20
 #: Labelled rows that a model is fitted on at most, those of least xxhash64(doc_id); and the least number of them that must have an n-gram.
-SAMPLE, LEAST = 6000, 4
+SAMPLE, LEAST = 4000, 4
 COST, FOLDS = 1.0, 3
 
 _RUNS = [(re.compile(rb"[a-z\x80-\xff]+"), b"a"), (re.compile(rb"[A-Z]+"), b"A"), (re.compile(rb"[0-9]+"), b"0"), (re.compile(rb"(.)\1+", re.DOTALL), rb"\1")]
@@ -132,7 +132,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int =
     """Fits on a bounded sample of docs (doc_id, text) that labels (doc_id, label 0 or 1) covers; only feature numbers come to the driver."""
     found = bounded_sample(docs, labels, label, limit).mapInArrow(_features, "label int, grams array<int>").toArrow()
     rows = [np.asarray(x.values) for x in found["grams"]]
-    return NBSVM(rows, found["label"].to_numpy().astype(np.int64))
+    model = NBSVM(rows, found["label"].to_numpy().astype(np.int64))
+    del found, rows
+    U.give_back()
+    return model
 
 
 def score_documents(docs: DataFrame, model: NBSVM) -> DataFrame:

@@ -310,7 +310,7 @@ def link_documents(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFr
     reps = U.written(owners.where("n > 0 and doc_id is not null").join(central, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id"))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).cast("int")
     bits = np.zeros(FILTER_BITS, np.uint8)
-    bits[[r[0] for r in reps.select(place.alias("p")).distinct().collect()]] = 1  # FILTER_BITS numbers at most
+    bits[reps.select(place.alias("p")).distinct().toArrow()["p"].to_numpy()] = 1  # FILTER_BITS numbers at most
     passing = docs.where("doc_id is not null").select("doc_id", place.alias("place"), "text").mapInArrow(_sets_of(width, np.packbits(bits).tobytes()), "node long, grams binary")
     sets = U.written(passing)
 
@@ -350,6 +350,7 @@ def link_documents(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFr
         links, tried = links.union(linked(fresh)), tried.union(fresh)
         labels = components(links)
 
+    U.give_back()  # plans of the rounds
     labelled = owners.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = labelled.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("least"))
     out = labelled.join(least, "label", "left")

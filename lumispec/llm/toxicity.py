@@ -186,7 +186,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = S
     found = bounded_sample(docs, labels, label, limit).mapInArrow(_features, "label int, features array<int>").toArrow()
     rows = [np.sort(np.asarray(x.values).view(np.uint32).astype(np.int64)) for x in found["features"]]
     y = found["label"].to_numpy().astype(np.int64)
-    return Chain(rows, {f"severe_{label}": severe(rows, y) if len(y) else y, label: y})
+    chain = Chain(rows, {f"severe_{label}": severe(rows, y) if len(y) else y, label: y})
+    del found, rows
+    U.give_back()
+    return chain
 
 
 def score_documents(docs: DataFrame, chain: Chain) -> DataFrame:
