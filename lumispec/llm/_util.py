@@ -75,7 +75,9 @@ def partitions_for(df: DataFrame, column: str, target_bytes: int) -> int:
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES, size: Callable[[bytes], int] | None = None) -> Iterator[pa.RecordBatch]:
-    """Cuts record batches so that a column's bytes (or what `size` makes of them) stay within limit, or the slice is one row."""
+    """Cuts record batches so that a column's bytes (or what `size` makes of them) stay within limit, or the slice is one row. What the worker's last
+    task has freed goes back to the system first."""
+    give_back()
     for batch in batches:
         k = batch.schema.get_field_index(column)
         if size:
