@@ -13,6 +13,8 @@ from lumispec.llm import decontaminate, packing, quality, shingle_join, substrin
 
 #: Quality below which a document goes.
 LEAST_QUALITY = 0.3
+#: Words of a shingle, and per cent of shingles in common from which two documents are near duplicates. The query op5 has its own.
+NEAR_WIDTH, NEAR_PERCENT = 5, 80
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,9 +26,9 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates: that of the smallest doc_id. Documents without words or doc_id stay. Of rows with one
-    doc_id all stay or go."""
-    found = shingle_join.link_documents(docs)
+    """One document of each component of near duplicates (five-word shingles with a Jaccard similarity of 0.8 or more): that of the smallest
+    doc_id. Documents without words or doc_id stay. Of rows with one doc_id all stay or go."""
+    found = shingle_join.link_documents(docs, width=NEAR_WIDTH, percent=NEAR_PERCENT)
     gone = found.where("component_id is not null and component_id != doc_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 

@@ -54,3 +54,27 @@ def test_stages_on_nothing(spark, tmp_path):
     assert C.run(spark, sf).count() == 0
     kept = substring_dedup.dedup_substrings(spark.createDataFrame([(1, " a  b ")], "doc_id long, text string"), as_they_are=True)
     assert kept.select(F.col("kept")).first()[0] == " a  b "
+
+
+def test_near_duplicates_by_brute_force(spark):
+    """Five words and 0.8: shortened, extended and edited copies on both sides of the threshold, many of them between 0.80 and 0.85."""
+    rnd = random.Random(5)
+    texts = []
+    for i in range(24):
+        text = [f"w{i}x{rnd.randrange(10**6)}" for _ in range(100)]
+        edited = list(text)
+        for at in (30, 60)[: 1 + i % 2]:
+            edited[at] = "new"
+        texts += [text, text[: 78 + i % 12], text + [f"more{i}y{k}" for k in range(18 + i % 12)], edited]
+    sets = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in texts]
+    near = lambda a, b: len(a & b) / len(a | b)
+    alike = {(i, j): near(sets[i], sets[j]) for i in range(len(texts)) for j in range(i) if sets[i] & sets[j]}
+    assert sum(0.80 <= x < 0.85 for x in alike.values()) > 20 and sum(0.75 < x < 0.80 for x in alike.values()) > 5
+    least = list(range(len(texts)))
+    for _ in texts:
+        for (i, j), x in alike.items():
+            if x >= 0.8:
+                least[i] = least[j] = min(least[i], least[j])
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = {r.doc_id for r in C.drop_near_duplicates(spark, docs, "").collect()}
+    assert got == {i for i, x in enumerate(least) if i == x}
