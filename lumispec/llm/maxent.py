@@ -29,8 +29,8 @@ HEAD, LISTED, LONGEST = 4096, 100_000, 64
 #: Classes of frequent words and of all others; rows of hashed weights.
 HEAD_CLASSES, TAIL_CLASSES, ROW_BITS = 32, 16, 14
 CLASSES, ROWS = HEAD_CLASSES + TAIL_CLASSES, 1 << ROW_BITS
-#: Each training document is in one of the rounds; of its batches of tokens, all of which are counted, every third takes a step.
-ROUNDS, BATCH, STEP, RATE = 2, 2048, 3, 0.15
+#: Each training document is in one of the rounds; each batch of its tokens takes a step.
+ROUNDS, BATCH, RATE = 2, 2048, 0.15
 #: Documents from which the classes of frequent words are found, and context words.
 CLASS_DOCS, CONTEXTS = 2000, 256
 #: Rows of weights that travel as one.
@@ -206,19 +206,20 @@ def train_round(model: Model, docs: DataFrame, within: np.ndarray) -> None:
             own = word < head
             pairs += np.bincount(before[own] * head + word[own], minlength=len(pairs))
             n += 1
-            for at in range(BATCH * (int(rows[:, 0].sum()) % STEP) if len(word) > STEP * BATCH else 0, len(word), BATCH * STEP):
+            for at in range(0, len(word), BATCH):
                 f, y = rows[:, at : at + BATCH], cls[at : at + BATCH]
                 g = np.exp(_logits(w, b, f))
                 g /= g.sum(1, keepdims=True)
                 g[np.arange(len(y)), y] -= 1
                 flat = f.reshape(-1)
-                order = np.argsort(flat, kind="stable")
+                order = np.argsort(flat.astype(np.uint16), kind="stable")  # ROW_BITS are fewer than 16, which sort fast
                 flat = flat[order]
                 heads = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
                 touched = flat[heads]
-                slope = np.add.reduceat(g[order % len(y)], heads, axis=0)
-                square[touched] += slope * slope
-                w[touched] -= RATE * slope / np.sqrt(square[touched])
+                slope = np.add.reduceat(g.take(order % len(y), 0), heads, axis=0)
+                total = square.take(touched, 0) + slope * slope
+                square[touched] = total
+                w[touched] -= RATE * slope / np.sqrt(total)
                 used[touched] += np.diff(np.append(heads, len(flat)))
                 slope = g.sum(0)
                 square_b += slope * slope

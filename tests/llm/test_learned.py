@@ -201,6 +201,17 @@ def test_language_model_adds_up(spark):
     assert abs(total + end + unused - 1) < 1e-3
 
 
+def test_language_model_trains_on_all_tokens(spark):
+    """Weights move for every feature of every training token: in a document of several batches, in one of many, and in short ones."""
+    rnd = random.Random(7)
+    docs = [" ".join(f"w{rnd.randrange(3000)}" for _ in range(n)) for n in (5000, 30_000, 300)]
+    for text in docs:
+        model, _ = maxent.fit(spark.createDataFrame([(1, text)], "doc_id long, text string").coalesce(1))
+        doc, word, _ = (reader := maxent.Reader(model)).read([text.encode()])
+        rows = reader.features(doc, word)[2]
+        assert np.abs(model.weights[np.unique(rows)]).sum(1).min() > 0
+
+
 def test_leaks(spark):
     rnd = random.Random(8)
     vocabulary = ["".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(400)]
