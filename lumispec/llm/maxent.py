@@ -16,6 +16,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +32,9 @@ HEAD_CLASSES, TAIL_CLASSES, ROW_BITS = 32, 16, 14
 CLASSES, ROWS = HEAD_CLASSES + TAIL_CLASSES, 1 << ROW_BITS
 #: Each training document is in one of the rounds; each batch of its tokens takes a step.
 ROUNDS, BATCH, RATE = 2, 2048, 0.15
-#: Documents from which the classes of frequent words are found, and context words.
-CLASS_DOCS, CONTEXTS = 2000, 256
-#: Rows of weights that travel as one.
+#: Context words by which the classes of frequent words are found.
+CONTEXTS = 256
+#: Rows of weights, or of counts of context words, that travel as one.
 BLOCK = 256
 END = b""  # no word is empty
 LOG10 = math.log(10)
@@ -153,25 +154,39 @@ def _logits(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarr
 
 
 def find_classes(model: Model, docs: DataFrame) -> np.ndarray:
-    """Classes of the head words: k-means of the leading singular vectors of their positive mutual information with the words around them, in a
-    bounded number of documents. The end of a text has a class of its own."""
+    """Classes of the head words: k-means of the leading singular vectors of their positive mutual information with the words around them, in all
+    documents. The end of a text has a class of its own."""
+    head = min(HEAD, len(model.listed))
+    other = max(head, CONTEXTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, near = Reader(model), np.zeros((min(HEAD, len(model.listed)), CONTEXTS))
+        known, near = dict(zip(model.listed[:head], range(head), strict=True)), np.zeros(head * CONTEXTS, np.int64)
         for part in U.slices(batches, "text"):
-            doc, word, _ = reader.read(U.byte_texts(part))
+            texts = [tokens(x) for x in U.byte_texts(part)]
+            counts = np.fromiter(map(len, texts), np.int64, len(texts))
+            word = np.fromiter(map(known.get, chain.from_iterable(texts), repeat(other)), np.int64, int(counts.sum()))
+            doc, cells = np.repeat(np.arange(len(texts)), counts), []
             for k in (1, 2, 3):
                 a, b, same = word[:-k], word[k:], doc[:-k] == doc[k:]
                 for x, y in ((a, b), (b, a)):
-                    use = same & (x < len(near)) & (y < CONTEXTS)
-                    near += np.bincount(x[use] * CONTEXTS + y[use], minlength=near.size).reshape(near.shape)
-        some = np.flatnonzero(near.sum(1))
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(list(near[some]), pa.list_(pa.float64()))], names=["word", "near"])
+                    use = same & (x < head) & (y < CONTEXTS)
+                    cells.append(x[use] * CONTEXTS + y[use])
+            near += np.bincount(np.concatenate(cells), minlength=len(near))
+        step = BLOCK * CONTEXTS
+        some = [(k, x.tobytes()) for k in range(-(-head // BLOCK)) if (x := near[k * step : (k + 1) * step]).any()]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in some], pa.int32()), pa.array([x for _, x in some], pa.binary())], names=["block", "sums"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x = np.frombuffer(x, np.int64)
+                held[k] = held[k] + x if k in held else x
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], names=["block", "sums"])
 
-    head = min(HEAD, len(model.listed))
     near = np.zeros((head, CONTEXTS))
-    for word, row in docs.orderBy(F.xxhash64("doc_id"), "doc_id").limit(CLASS_DOCS).select("text").mapInArrow(run, "word long, near array<double>").collect():
-        near[word] += row
+    for k, x in docs.select("text").mapInArrow(run, "block int, sums binary").repartition("block").mapInArrow(add, "block int, sums binary").collect():
+        near[k * BLOCK : (k + 1) * BLOCK] = np.frombuffer(x, np.int64).reshape(-1, CONTEXTS)
     total = max(near.sum(), 1)
     expected = near.sum(1, keepdims=True) @ near.sum(0, keepdims=True) / total
     ppmi = np.log(np.maximum((near + 1e-3) / (expected + 1e-3), 1))

@@ -212,6 +212,17 @@ def test_language_model_trains_on_all_tokens(spark):
         assert np.abs(model.weights[np.unique(rows)]).sum(1).min() > 0
 
 
+def test_language_model_classes_see_all_documents(spark):
+    """Which documents hold a word must not matter for its class, as a sample of documents would make it."""
+    rnd = random.Random(9)
+    texts = [f"the w{rnd.randrange(2000)} of w{rnd.randrange(2000)} a w{rnd.randrange(2000)}" for _ in range(2600)]
+    c = Counter(w for t in texts for w in maxent.tokens(t.encode()))
+    listed = sorted(c, key=lambda w: (-c[w], w))
+    model = maxent.Model(listed, np.array([c[w] for w in listed]), c.total(), len(c), np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
+    one, other = (maxent.find_classes(model, table(spark, [(first + i, t) for i, t in enumerate(texts)], "doc_id long, text string")) for first in (0, 50_000))
+    assert (one == other).all()
+
+
 def test_leaks(spark):
     rnd = random.Random(8)
     vocabulary = ["".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(400)]
