@@ -12,15 +12,20 @@ from ..schemas import BIN_WIDTH, SCHEMA_VERSION
 from .ordered import exclusive_sum, number_by
 
 
-def peaks_of(source: DataFrame, order: str = "source") -> DataFrame:
-    """source (ordinal, accession, peaks) to (genome_id, accession, local_peak_idx, milli_mz): ids by source order or by accession."""
+def numbered(source: DataFrame, order: str = "source") -> DataFrame:
+    """source (ordinal, accession, peaks) to (genome_id, accession, peaks): ids by source order or by accession, equal ones by source order."""
     if order == "accession":
-        firsts = source.select("accession", "peaks").repartitionByRange("accession").sortWithinPartitions("accession").withColumn("ordinal", F.monotonically_increasing_id())
+        firsts = source.select("accession", F.col("ordinal").alias("_source"), "peaks").repartitionByRange("accession").sortWithinPartitions("accession", "_source").withColumn("ordinal", F.monotonically_increasing_id())
         counted = firsts.withColumn("_part", F.spark_partition_id())
         sizes = counted.groupBy("_part").agg(F.count("*").alias("_n"), F.min("ordinal").alias("_first"))
         ids = exclusive_sum(sizes, "_part", "_n", "_start").select("_part", "_first", "_start")
         source = counted.join(ids, "_part").select((F.col("_start") + F.col("ordinal") - F.col("_first")).alias("ordinal"), "accession", "peaks")
-    return source.select(F.col("ordinal").alias("genome_id"), "accession", F.posexplode("peaks").alias("local_peak_idx", "mz")).select("genome_id", "accession", F.col("local_peak_idx").cast("long"), E.encode_mz("mz").alias("milli_mz"))
+    return source.select(F.col("ordinal").alias("genome_id"), "accession", "peaks")
+
+
+def peaks_of(source: DataFrame, order: str = "source") -> DataFrame:
+    """source (ordinal, accession, peaks) to (genome_id, accession, local_peak_idx, milli_mz), numbered in that order."""
+    return numbered(source, order).select("genome_id", "accession", F.posexplode("peaks").alias("local_peak_idx", "mz")).select("genome_id", "accession", F.col("local_peak_idx").cast("long"), E.encode_mz("mz").alias("milli_mz"))
 
 
 def postings(peaks: DataFrame, bin_width: int = BIN_WIDTH) -> DataFrame:
@@ -118,10 +123,7 @@ def build_library(source: DataFrame, genes: DataFrame, names: DataFrame, taxonom
     peaks.select("genome_id", "local_peak_idx", "milli_mz").repartitionByRange("genome_id").sortWithinPartitions("genome_id", "local_peak_idx").write.parquet(f"{path}/peaks")
     stored = spark.read.parquet(f"{path}/peaks")
     postings(stored, bin_width).write.parquet(f"{path}/postings")
-    if order == "source":
-        ids = source.select(F.col("ordinal").alias("genome_id"), "accession", F.size("peaks").cast("long").alias("total_peaks"))
-    else:
-        ids = peaks.groupBy("genome_id", "accession").agg(F.count("*").alias("total_peaks"))
+    ids = numbered(source, order).select("genome_id", "accession", F.size("peaks").cast("long").alias("total_peaks"))
     enriched = enrich(ids.select("genome_id", "accession"), genes, names, taxonomy, strict).join(ids.select("genome_id", "total_peaks"), "genome_id")
     enriched.write.parquet(f"{path}/genomes")
     report = build_report(stored, spark.read.parquet(f"{path}/genomes"), bin_width).first().asDict()

@@ -202,3 +202,14 @@ def test_samples(spark):
     assert got == {"01-a_b.txt": "COM=a/b\n# generated from all.db\n1.0000 1.0\n", "02-c.mgf": "BEGIN IONS\nTITLE=c\nCOM=c\n2.0000 1.0\n3.0000 1.0\nEND IONS\n"}
     with pytest.raises(ValueError):
         export.sample_queries(source, 0)
+
+
+@pytest.mark.parametrize("order", ["source", "accession"])
+def test_genomes_without_peaks_stay(spark, tmp_path, order):
+    source = spark.createDataFrame([(0, "c", [2.0]), (1, "b", []), (2, "a", [1.0, 3.0])], "ordinal long, accession string, peaks array<double>")
+    genes, names, taxa = (spark.createDataFrame([], f"accession string, {x}") for x in ("gene_count long", "name string", "taxonomy_id long, taxonomy string"))
+    library = L.build_library(source, genes, names, taxa, str(tmp_path / "library"), order=order)
+    got = [(r.genome_id, r.accession, r.total_peaks) for r in library.genomes.orderBy("genome_id").collect()]
+    want = [("c", 1), ("b", 0), ("a", 2)]
+    assert got == [(k, *x) for k, x in enumerate(want if order == "source" else want[::-1])]
+    assert library.manifest["genome_count"] == 3 and library.peaks.where("genome_id = 1").count() == 0
