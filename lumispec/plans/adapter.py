@@ -58,7 +58,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(src, id, line): peak lines of several spellings, and the first lines of documents as noise."""
+    """(src, id, line): peak lines of several spellings, and all lines of documents."""
     o = table(spark, sf_dir, "orders").withColumn("whole", F.floor("o_totalprice").cast("long").cast("string"))
     kind, whole, part = F.col("o_orderkey") % 8, F.col("whole"), F.substring("o_orderpriority", 1, 1)
     line = (
@@ -71,7 +71,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == 6, F.concat(whole, F.lit("e-1\t.5 9 9")))
         .otherwise(F.concat(F.lit("BEGIN "), whole))
     )
-    d = table(spark, sf_dir, "documents").select(F.lit("documents").alias("src"), F.col("doc_id").alias("id"), F.element_at(F.split("text", "\n"), 1).alias("line"))
+    d = table(spark, sf_dir, "documents").select(F.lit("documents").alias("src"), F.col("doc_id").alias("id"), F.explode(F.split("text", "\n")).alias("line"))
     return o.select(F.lit("orders").alias("src"), F.col("o_orderkey").alias("id"), line.alias("line")).union(d)
 
 

@@ -30,3 +30,10 @@ def test_query(spark, name, tmp_path):
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_entry(spark):
     assert entry.entry(spark).count() == 88
+
+
+def test_peak_lines_beyond_the_first(spark, tmp_path):
+    spark.createDataFrame([(1, "noise\n100.5 2\n# no\n300 1"), (2, None), (3, "")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "o_orderkey long, o_totalprice double, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    got = entry.queries()["parse_peak_lines"](spark, str(tmp_path)).collect()
+    assert sorted((r.src, r.id, r.mz) for r in got) == [("documents", 1, 100.5), ("documents", 1, 300.0)]
