@@ -121,25 +121,134 @@ def mix64(x: np.ndarray) -> np.ndarray:
 LOWER = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.encode())
 
 
-class WordIds:
-    """64-bit hashes of words (or of what `digest` sees in them), each worked out once by a Python worker; all are forgotten beyond a limit."""
-
-    def __init__(self, digest: Callable[[bytes], int] | None = None, limit: int = 100_000) -> None:
+#: White space between words: the bytes 9 to 13 and 32.
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_MARK = np.isin(np.arange(256), np.frombuffer(string.punctuation.encode(), np.uint8))
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
+#: Bytes of a word beyond which its hash is worked out by itself.
+LONG_WORD = 64
+
+
+class Words:
+    """The words of some texts as places in one buffer, found for all texts at once: no word becomes an object of its own.
+
+    counts: the words of each text; begin, end: the places of each word's bytes in buffer.
+    """
+
+    def __init__(self, texts: list[bytes], lower: bool = True) -> None:
+        texts_and_breaks = b"\n".join([*texts, b""])
+        self.buffer = texts_and_breaks.translate(LOWER) if lower else texts_and_breaks
+        self.bytes = np.frombuffer(self.buffer, np.uint8)
+        breaks = np.flatnonzero(_SPACE.take(self.bytes))
+        begin = np.append(0, breaks[:-1] + 1) if len(breaks) else breaks
+        some = breaks > begin
+        self.begin, self.end = begin[some], breaks[some]
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+        at = np.searchsorted(self.begin, np.append(0, np.cumsum(sizes)))
+        self.counts = np.diff(at)
+
+    def __len__(self) -> int:
+        return len(self.begin)
+
+    @property
+    def text(self) -> np.ndarray:
+        """The number of each word's text."""
+        return np.repeat(np.arange(len(self.counts)), self.counts)
+
+    def take(self, which: np.ndarray) -> list[bytes]:
+        """Those words as bytes."""
+        buffer = self.buffer
+        return [buffer[a:b] for a, b in zip(self.begin[which].tolist(), self.end[which].tolist(), strict=True)]
+
+    def bare(self) -> tuple[np.ndarray, np.ndarray]:
+        """begin and end of each word without the ASCII marks around it; words of marks alone have none."""
+        begin, end = self.begin.copy(), self.end.copy()
+        for places, step, last in ((begin, 1, 0), (end, -1, -1)):
+            some, turns = np.flatnonzero(_MARK.take(self.bytes.take(places + last))) if len(places) else np.zeros(0, np.int64), 0
+            while len(some) and turns < 16:
+                places[some] += step
+                some = some[begin[some] < end[some]]
+                some, turns = some[_MARK.take(self.bytes.take(places[some] + last))], turns + 1
+            if len(some):  # long runs of marks
+                kept = np.append(np.flatnonzero(~(_MARK | _SPACE).take(self.bytes)), len(self.bytes))
+                found = np.searchsorted(kept, places[some], side="left")
+                places[some] = np.minimum(kept[found], end[some]) if step > 0 else np.maximum(kept[found - 1] + 1, begin[some])
+        return begin, end
+
+    def hashes(self, begin: np.ndarray | None = None, end: np.ndarray | None = None) -> np.ndarray:
+        """A 64-bit hash of each word, or of the bytes between other places, by its bytes alone."""
+        return hash_spans(self.buffer, self.begin if begin is None else begin, self.end if end is None else end)
+
+
+def hash_spans(buffer: bytes, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the spans of a buffer, eight bytes at a time for all spans at once."""
+    if not len(begin):
+        return np.zeros(0, np.uint64)
+    padded = buffer + bytes(8)
+    eight = np.ndarray(len(buffer) + 1, "<u8", padded, 0, (1,))  # the eight bytes from each place on
+    size = end - begin
+    h = eight[begin] & _LOW_BYTES[np.minimum(size, 8)]
+    h = mix64(mix64(h) + size.astype(np.uint64))
+    more, at = np.flatnonzero((size > 8) & (size <= LONG_WORD)), 8
+    while len(more):
+        h[more] = mix64(h[more] + mix64(eight[begin[more] + at] & _LOW_BYTES[np.minimum(size[more] - at, 8)]) * np.uint64(0x9E3779B97F4A7C15))
+        at += 8
+        more = more[size[more] > at]
+    if len(long := np.flatnonzero(size > LONG_WORD)):
         import xxhash
 
-        self.limit, self.digest = limit, digest or xxhash.xxh3_64_intdigest
-        self.ids: dict[bytes, int] = {}
-        self.hashes = np.empty(1024, np.uint64)
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        """The hash of each word."""
-        if len(self.ids) > self.limit:
-            self.ids.clear()
-        ids, new = self.ids, set(words).difference(self.ids)
-        if new:
-            at, digest = len(ids), self.digest
-            while len(self.hashes) < at + len(new):
-                self.hashes = np.concatenate([self.hashes, np.empty_like(self.hashes)])
-            self.hashes[at : at + len(new)] = [digest(w) for w in new]
-            ids.update(zip(new, range(at, at + len(new)), strict=True))
-        return self.hashes[np.fromiter(map(ids.__getitem__, words), np.int64, len(words))]
+        h[long] = np.array([xxhash.xxh3_64_intdigest(buffer[a:b]) for a, b in zip(begin[long].tolist(), end[long].tolist(), strict=True)], np.uint64)
+    return h
+
+
+class HashTable:
+    """Numbers of known 64-bit hashes, looked up for many at once."""
+
+    def __init__(self, known: np.ndarray) -> None:
+        """known: distinct hashes; their numbers are their places."""
+        self.order = np.argsort(known, kind="stable").astype(np.int64)
+        self.sorted = np.append(known[self.order], np.uint64(2**64 - 1))
+        bits = max(1, len(known).bit_length() + 2)
+        self.shift = np.uint64(64 - bits)
+        self.first = np.searchsorted(self.sorted[:-1], np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each hash, -1 for unknown ones."""
+        if len(self.sorted) == 1:
+            return np.full(len(hashes), -1, np.int64)
+        at = self.first.take((hashes >> self.shift).astype(np.int64)).astype(np.int64)
+        here = self.sorted.take(at)
+        behind = np.flatnonzero(here < hashes)
+        while len(behind):
+            at[behind] += 1
+            here[behind] = self.sorted[at[behind]]
+            behind = behind[here[behind] < hashes[behind]]
+        found = np.append(self.order, -1).take(at)
+        found[here != hashes] = -1
+        return found
+
+
+class Memo:
+    """What `make` gives for each distinct word, by its hash, each worked out once by a Python worker; all are forgotten beyond a limit."""
+
+    def __init__(self, make: Callable[[list[bytes]], np.ndarray], limit: int = 200_000) -> None:
+        self.make, self.limit = make, limit
+        self.table, self.known, self.values = HashTable(np.zeros(0, np.uint64)), np.zeros(0, np.uint64), None
+
+    def of(self, words: Words, hashes: np.ndarray) -> np.ndarray:
+        """The value of each word (hashes: theirs, whatever their case)."""
+        at = self.table.find(hashes)
+        new = np.flatnonzero(at < 0)
+        if len(new) or self.values is None:
+            fresh, first = np.unique(hashes[new], return_index=True)
+            made = self.make(words.take(new[first]))
+            if self.values is None or len(self.known) > self.limit:
+                if self.values is not None:  # those at hand stay
+                    old = np.unique(at[at >= 0])
+                    self.known, self.values = self.known[old], self.values[old]
+                else:
+                    self.values = made[:0]
+            self.known, self.values = np.concatenate([self.known, fresh]), np.concatenate([self.values, made])
+            self.table = HashTable(self.known)
+            at = self.table.find(hashes)
+        return self.values[at]

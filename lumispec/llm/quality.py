@@ -37,23 +37,21 @@ class NGrams:
     """Distinct n-gram numbers of texts."""
 
     def __init__(self) -> None:
-        import xxhash
+        def shapes(words: list[bytes]) -> np.ndarray:
+            made = [shape(w) for w in words]
+            ends = np.cumsum(np.fromiter(map(len, made), np.int64, len(made)))
+            return U.mix64(U.hash_spans(b"".join(made), np.append(0, ends[:-1])[: len(made)], ends) + np.uint64(1))
 
-        self.words = U.WordIds(lambda w: xxhash.xxh3_64_intdigest(w.translate(U.LOWER)))
-        self.shapes = U.WordIds(lambda w: xxhash.xxh3_64_intdigest(shape(w), seed=1))
+        self.shapes = U.Memo(shapes)
 
     def of(self, texts: list[bytes], kept: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Text numbers and n-gram numbers, distinct and in order; of the kept ones alone where kept (a boolean for each) is given."""
-        words: list[bytes] = []
-        counts = np.zeros(len(texts), np.int64)
-        for k, text in enumerate(texts):
-            own = text.split()
-            words += own
-            counts[k] = len(own)
-        if not words:
+        words = U.Words(texts, lower=False)
+        if not len(words):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        doc = np.repeat(np.arange(len(texts)), counts)
-        h, s = self.words.of(words), self.shapes.of(words)
+        doc = words.text
+        h = U.hash_spans(words.buffer.translate(U.LOWER), words.begin, words.end)
+        s = self.shapes.of(words, words.hashes())
         again = np.zeros(len(words), bool)
         again[1:] = (h[1:] == h[:-1]) & (doc[1:] == doc[:-1])
         s = s + again.astype(np.uint64)
