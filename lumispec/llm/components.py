@@ -1,32 +1,69 @@
-"""Connected components of links by alternating large-star and small-star steps; nothing is gathered on the driver but a count and a checksum."""
+"""Connected components of links by local forests and alternating large-star and small-star steps; nothing is gathered on the driver but a count
+and a checksum."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _util as U
 
+#: Links that a task joins into a forest at once.
+FOREST = 1 << 20
+
+
+def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the links that aren't the smallest of their component, and the smallest of it."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    root = np.arange(len(nodes))
+    while len(a):
+        a, b = root[a], root[b]
+        apart = a != b
+        a, b = np.minimum(a, b)[apart], np.maximum(a, b)[apart]
+        np.minimum.at(root, b, a)
+        while (root[root] != root).any():
+            root = root[root]
+    below = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[below], nodes[root[below]]
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
 
+def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[pa.RecordBatch] = []
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    def joined() -> pa.RecordBatch:
+        u, v = forest(*(np.concatenate([x.column(i).to_numpy() for x in held]) for i in range(2)))
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    for batch in batches:
+        held.append(batch)
+        if sum(map(len, held)) >= FOREST:
+            yield joined()
+            held = []
+    if held:
+        yield joined()
+
+
+def _star(edges: DataFrame) -> DataFrame:
+    """A large-star and a small-star step on what the tasks' own forests leave."""
+    edges = edges.mapInArrow(_forests, "u long, v long")
+    both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
+    least = large.groupBy("u").agg(F.min("v").alias("m"))
+    moved = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).where("u != v").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
     """links (u, v) to (node, label): label is the smallest node reachable. Nodes without links are left out. Each round is a written table."""
-    edges = U.written(links.select("u", "v").where("u != v").distinct())
-    before = None
+    edges, before = links.select("u", "v").where("u != v"), None
     while True:
-        edges = U.written(_small_star(_large_star(edges)))
+        edges = U.written(_star(edges))
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -2,13 +2,13 @@
 
 Two sets of sizes a and b can reach the threshold only if they differ in at most D = (a + b)(100 - p) / (100 + p) n-grams. The n-gram columns
 are cut into more than D blocks, so that the two rows of such a pair are equal in some blocks that aren't empty: only pairs with an equal block
-are candidates, and only of rows with as many equal blocks as a pair needs, whatever n-grams are frequent. Their overlap counts are then accumulated block of columns by block of columns in numpy, and a
-pair is discarded as soon as what is left can't lift it over its bound. Documents with equal sets are one node.
+are candidates, and only of rows with as many equal blocks as a pair needs, whatever n-grams are frequent. The overlap counts of many
+candidates are then accumulated at once, block of columns by block of columns, as a sparse product in numpy; a pair is discarded as soon as what
+is left can't lift it over its bound. Documents with equal sets are one node.
 
 A bucket isn't expanded into all pairs. Its nodes are compared with its hub, the one that shares most blocks. Where that leaves more than one
-component in a bucket, n-grams are counted over the nodes of such buckets: a node with so many n-grams of its own that no other node can reach
-the bound has no partner and leaves. What is still open is compared with further hubs; in the end all pairs across components are that share one
-of the rarest n-grams that their bounds leave them to differ in, so that no link is lost.
+component in a bucket, all pairs across components are compared that share one of the rarest n-grams that their bounds leave them to differ in,
+so that no link is lost. Where these would be many, open buckets are compared with further hubs first.
 """
 
 from __future__ import annotations
@@ -20,35 +20,36 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import _util as U
 from .components import components
 
-#: Rounds in which each open bucket compares a further hub with the other components, before the pairs left over are.
-ROUNDS = 3
+#: Rounds in which each open bucket compares a further hub with the other components, and the pairs left over for each row of rare n-grams that
+#: make such a round worth while.
+ROUNDS, MANY = 3, 200
 #: Growth of the size classes' upper bounds.
 RATIO = 1.4
-#: Bits of the filter on candidate documents.
-FILTER_BITS = 1 << 20
+#: Members of a bucket that joins on its key deal to one task.
+PIECE = 512
+#: Bits for each candidate document of the filter on them, and its most bits; beyond, more documents pass than are asked for.
+FILTER_SHARE, FILTER_BITS = 16, 1 << 27
+#: Bytes of n-grams whose overlaps are counted at once, and blocks of columns.
+PRODUCT_BYTES, COLUMNS = 4 << 20, 8
 ROWS = "key long, node long, n long, doc_id long, is_doc boolean"
 _ROW_NAMES = [x.split()[0] for x in ROWS.split(", ")]
 
 
-def shingle_sets(texts: list[bytes], hashes: U.WordIds, width: int) -> list[np.ndarray]:
+def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
     """The sorted distinct 64-bit hashes of each text's shingles: `width` words, or all words where there are fewer."""
-    words: list[bytes] = []
-    counts = np.zeros(len(texts), np.int64)
-    for k, text in enumerate(texts):
-        own = text.translate(U.LOWER).split()
-        words += own
-        counts[k] = len(own)
-    h = hashes.of(words) if words else np.zeros(0, np.uint64)
+    words = U.Words(texts)
+    h = words.hashes()
     mers = h[: max(0, len(h) - width + 1)].copy()
     for j in range(1, width):
         mers = U.mix64(mers) + h[j : len(mers) + j]
     mers = U.mix64(mers)
     out, at = [], 0
-    for n in counts.tolist():
+    for n in words.counts.tolist():
         if n >= width:
             own = np.sort(mers[at : at + n - width + 1])
             own = own[np.append(True, own[1:] != own[:-1])]
@@ -130,9 +131,9 @@ def _incidence(width: int, percent: int):
     """A row for each document (its node and size), and the node's block keys once for each task that meets it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, classes, seen = U.WordIds(), Classes(percent), set()
+        classes, seen = Classes(percent), set()
         for part in U.slices(batches, "text"):
-            sets = shingle_sets(U.byte_texts(part), hashes, width)
+            sets = shingle_sets(U.byte_texts(part), width)
             nodes = np.array([_digest(s) for s in sets], np.int64)
             n = np.fromiter(map(len, sets), np.int64, len(sets))
             yield pa.RecordBatch.from_arrays([pa.array(U.mix64(nodes.view(np.uint64) + np.arange(len(sets), dtype=np.uint64)).view(np.int64)), pa.array(nodes), pa.array(n), part.column(0), pa.array(np.ones(len(sets), bool))], names=_ROW_NAMES)
@@ -155,82 +156,97 @@ def _incidence(width: int, percent: int):
     return run
 
 
-FOUND = "kind int, a long, b long, n long"
+FOUND = "kind int, a long, b long, n long, part int"
 _FOUND_NAMES = [x.split()[0] for x in FOUND.split(", ")]
 
 
-def _found(kind: int, a: np.ndarray | pa.Array, b: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(b), kind, np.int32)), a if isinstance(a, pa.Array) else pa.array(a), pa.array(b), pa.array(n)], names=_FOUND_NAMES)
+def _found(kind: int, a: np.ndarray | pa.Array, b: np.ndarray, n: np.ndarray, part: np.ndarray | int = 0) -> pa.RecordBatch:
+    part = np.broadcast_to(part, len(b)).astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(b), kind, np.int32)), a if isinstance(a, pa.Array) else pa.array(a), pa.array(b), pa.array(n), pa.array(part)], names=_FOUND_NAMES)
 
 
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows in order of key and node: documents (kind 0: doc_id, node, n) and members of buckets of two nodes or more (kind 1: key, node, n).
+def _buckets(piece: int):
+    """From rows in order of key and node: documents (kind 0: doc_id, node, n) and members of buckets of two nodes or more (kind 1: key, node, n and
+    the part of the bucket, `piece` rows each). One row is held of a bucket, however large it is."""
 
-    One row is held of a bucket, however large it is.
-    """
-    key = node = size = None
-    sent = False
-    for batch in batches:
-        is_doc = batch.column(4).to_numpy(zero_copy_only=False)
-        docs = batch.filter(batch.column(4))
-        if len(docs):
-            yield _found(0, docs.column(3), docs.column(1).to_numpy(), docs.column(2).to_numpy())
-        keys, nodes, sizes = (batch.column(i).to_numpy()[~is_doc] for i in range(3))
-        if not len(keys):
-            continue
-        if key is not None and keys[0] == key:  # the last row again, as the bucket goes on
-            keys, nodes, sizes = (np.append(x, y).astype(y.dtype) for x, y in ((key, keys), (node, nodes), (size, sizes)))
-            carried = sent
-        else:
-            carried = None
-        fresh = np.append(True, (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1]))
-        keys, nodes, sizes = keys[fresh], nodes[fresh], sizes[fresh]
-        with_next = np.append(keys[1:] == keys[:-1], False)
-        send = with_next | np.append(False, with_next[:-1])
-        key, node, size, sent = keys[-1], nodes[-1], sizes[-1], bool(send[-1]) or (len(keys) == 1 and bool(carried))
-        if carried:
-            send[0] = False  # it is sent already
-        if send.any():
-            yield _found(1, keys[send], nodes[send], sizes[send])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = node = size = None
+        sent, before = False, 0  # whether the last row is sent; rows of its bucket before it
+        for batch in batches:
+            is_doc = batch.column(4).to_numpy(zero_copy_only=False)
+            docs = batch.filter(batch.column(4))
+            if len(docs):
+                yield _found(0, docs.column(3), docs.column(1).to_numpy(), docs.column(2).to_numpy())
+            keys, nodes, sizes = (batch.column(i).to_numpy()[~is_doc] for i in range(3))
+            if not len(keys):
+                continue
+            carried, earlier = None, 0
+            if key is not None and keys[0] == key:  # the last row again, as the bucket goes on
+                keys, nodes, sizes = (np.append(x, y).astype(y.dtype) for x, y in ((key, keys), (node, nodes), (size, sizes)))
+                carried, earlier = sent, before
+            fresh = np.append(True, (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1]))
+            keys, nodes, sizes = keys[fresh], nodes[fresh], sizes[fresh]
+            with_next = np.append(keys[1:] == keys[:-1], False)
+            heads = np.flatnonzero(np.append(True, ~with_next[:-1]))
+            place = np.arange(len(keys)) - np.repeat(heads, np.diff(np.append(heads, len(keys))))
+            place[: heads[1] if len(heads) > 1 else len(keys)] += earlier
+            send = with_next | np.append(False, with_next[:-1])
+            key, node, size, before, sent = keys[-1], nodes[-1], sizes[-1], int(place[-1]), bool(send[-1]) or (len(keys) == 1 and bool(carried))
+            if carried:
+                send[0] = False  # it is sent already
+            if send.any():
+                yield _found(1, keys[send], nodes[send], sizes[send], place[send] // piece)
 
+    return run
 
 def _sets_of(width: int, bits: bytes):
     """(node, grams) of the documents that the filter lets through: all that are asked for, and a few more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = U.WordIds()
-        held = np.unpackbits(np.frombuffer(bits, np.uint8))
+        held = np.frombuffer(bits, np.uint8)
         for whole in batches:
-            whole = whole.filter(pa.array(held[whole.column(1).to_numpy()] > 0))
+            place = whole.column(1).to_numpy()
+            whole = whole.filter(pa.array((held[place >> 3] >> (place & 7).astype(np.uint8) & 1) > 0))
             for part in U.slices(iter([whole]), "text"):
-                sets = shingle_sets(U.byte_texts(part), hashes, width)
+                sets = shingle_sets(U.byte_texts(part), width)
                 yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "grams"])
 
     return run
 
 
-def block_overlap(a: np.ndarray, b: np.ndarray, percent: int, blocks: int = 8) -> bool:
-    """Whether 100 * overlap >= percent * union, for sorted distinct hashes: overlap accumulates by blocks of columns until it's decided."""
-    need = -(-percent * (len(a) + len(b)) // (100 + percent))
-    if len(a) > len(b):
-        a, b = b, a
-    cuts = np.arange(1, blocks, dtype=np.uint64) * np.uint64(2**64 // blocks)
-    at_a, at_b = ([0, *np.searchsorted(x, cuts).tolist(), len(x)] for x in (a, b))
-    got = 0
-    for i in range(blocks):
-        if got + min(len(a) - at_a[i], len(b) - at_b[i]) < need:
-            return False
-        x, y = a[at_a[i] : at_a[i + 1]], b[at_b[i] : at_b[i + 1]]
-        if len(x) and len(y):
-            got += int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-    return got >= need
+def overlaps_reach(a: list[np.ndarray], b: list[np.ndarray], percent: int) -> np.ndarray:
+    """For each pair of sets of distinct hashes, whether 100 * overlap >= percent * union.
+
+    The product of the two incidence matrices' rows, pair by pair, is summed block of columns by block of columns; pairs that what is left can't
+    lift over their bound leave.
+    """
+    n_a, n_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
+    need = -(-percent * (n_a + n_b) // (100 + percent))
+    got, open_ = np.zeros(len(a), np.int64), np.minimum(n_a, n_b) >= need
+    pairs = [np.repeat(np.arange(len(a)), n) for n in (n_a, n_b)]
+    grams = [np.concatenate([np.zeros(0, np.uint64), *x]) for x in (a, b)]
+    column = [(g >> np.uint64(61)).astype(np.int64) for g in grams]
+    rest = [np.bincount(p * COLUMNS + c, minlength=len(a) * COLUMNS).reshape(-1, COLUMNS) for p, c in zip(pairs, column, strict=True)]
+    left = [x[:, ::-1].cumsum(1)[:, ::-1] for x in rest]  # n-grams in this block and those after it
+    for k in range(COLUMNS):
+        cells = []
+        for p, g, c in zip(pairs, grams, column, strict=True):
+            use = np.flatnonzero((c == k) & open_[p])
+            cells.append((p[use], U.mix64(g[use] + U.mix64(p[use].astype(np.uint64) + np.uint64(1)))))
+        both = np.concatenate([x for _, x in cells])
+        order = both.argsort(kind="stable")
+        twice = order[:-1][both[order[1:]] == both[order[:-1]]]  # a cell of both rows, that of a first
+        got += np.bincount(cells[0][0][twice], minlength=len(a))
+        after = np.minimum(*(x[:, k + 1] for x in left)) if k + 1 < COLUMNS else 0
+        open_ &= got + after >= need
+    return open_
 
 
 def _linked(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in U.slices(batches, "gu", PRODUCT_BYTES):
             a, b = ([np.frombuffer(x, np.uint64) for x in batch.column(i).to_pylist()] for i in (2, 3))
-            keep = pa.array([block_overlap(x, y, percent) for x, y in zip(a, b, strict=True)], pa.bool_())
+            keep = pa.array(overlaps_reach(a, b, percent))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["u", "v"])
 
     return run
@@ -243,112 +259,113 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *sets])), pa.array(nodes)], names=["gram", "node"])
 
 
-def _nodes_of(held: DataFrame) -> DataFrame:
-    """(node, label, n, lo) of the members of buckets: lo is the smallest size that a partner of the node may have."""
-    smallest = held.groupBy("key").agg(F.min("n").alias("lo"))
-    return held.join(smallest, "key").groupBy("node").agg(F.max("label").alias("label"), F.max("n").alias("n"), F.min("lo").alias("lo"))
-
-
 def _least_overlap(percent: int) -> Column:
     """The fewest common n-grams with which a node of size n links with one of size lo, or of the least size that can link at all."""
     return F.ceil(percent * (F.col("n") + F.greatest("lo", F.ceil(percent * F.col("n") / 100))) / (100 + percent))
 
 
-def _grams_of(nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    return sets.join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"]).select("node", "grams").mapInArrow(_grams, "gram long, node long")
-
-
-def _without_partners(held: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Members of open buckets but for the nodes that can't link with any: those whose n-grams found in another node are too few."""
-    nodes = U.written(_nodes_of(held))
-    alone = _grams_of(nodes, sets).groupBy("gram").agg(F.count("*").alias("df"), F.min("node").alias("node")).where("df = 1").groupBy("node").agg(F.count("*").alias("own"))
-    hopeless = nodes.join(alone, "node").where(F.col("n") - F.col("own") < _least_overlap(percent)).select("node")
-    return held.join(hopeless, "node", "left_anti")
-
-
-def _rarest_pairs(held: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """All pairs across components that may still link: two sets with an overlap of o share one of the first n - o + 1 n-grams of each, in one
-    order of all n-grams. The order is by rarity, so that what a large group has in common is in few of these prefixes."""
-    nodes = U.written(_nodes_of(held))
-    grams = U.written(_grams_of(nodes, sets))
+def _prefixes(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(gram, node, label, n, rest, ...) of the n-grams by which nodes (node, label, n, lo) meet all that they may still link with, those of one label
+    left out: two sets with an overlap of o share one of the first n - o + 1 n-grams of each, in one order of all n-grams. The order is by
+    rarity, so that what a large group has in common is in few of these prefixes; a node with so many n-grams of its own that no other can reach
+    the bound has none."""
+    grams = U.written(sets.join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"]).select("node", "grams").mapInArrow(_grams, "gram long, node long"))
     df = grams.groupBy("gram").agg(F.count("*").alias("df"))
     first = (F.col("n") - _least_overlap(percent) + 1).cast("int")
     ordered = grams.join(df.where("df > 1"), "gram").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("grams"))
-    alone = grams.join(df.where("df = 1"), "gram").groupBy("node").agg(F.count("*").cast("int").alias("own"))
-    left = nodes.join(ordered, "node").join(alone, "node", "left").withColumn("own", F.coalesce("own", F.lit(0))).withColumn("left", first - F.col("own")).where("left > 0")
+    shared = F.size("grams")
+    left = nodes.join(ordered, "node").withColumn("own", F.col("n").cast("int") - shared).withColumn("left", first - F.col("own")).where("left > 0")
     # rest: the n-grams from this one on
     prefix = left.select("node", "label", "n", "own", F.posexplode(F.slice("grams", F.lit(1), F.col("left"))["gram"]).alias("at", "gram")).select("node", "label", "n", "gram", (F.col("n") - F.col("own") - F.col("at")).alias("rest"))
-    several = prefix.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("gram")
-    prefix = U.written(prefix.join(several, "gram", "left_semi"))
+    prefix = U.written(prefix)
+    each = prefix.groupBy("gram", "label").agg(F.count("*").alias("c"))
+    several = each.groupBy("gram").agg(F.count("*").alias("labels"), F.sum("c").alias("m"), F.max_by("label", F.struct("c", "label")).alias("major"), F.max("c").alias("of_major"))
+    return U.written(prefix.join(several.where("labels > 1").drop("labels"), "gram"))
+
+
+def _prefix_pairs(prefix: DataFrame, percent: int) -> DataFrame:
+    """Pairs across labels that share an n-gram. Those within the label that most of an n-gram's nodes have aren't even looked at."""
     other = prefix.select("gram", F.col("node").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx"), F.col("rest").alias("rx"))
     # at the first n-gram that two sets share, each has enough left for their overlap
     enough = (100 + percent) * F.least("rest", "rx") >= percent * (F.col("n") + F.col("nx"))
-    across = prefix.join(other, "gram").where((F.col("node") < F.col("x")) & (F.col("label") != F.col("lx")) & enough)
-    return across.select(F.col("node").alias("u"), F.col("x").alias("v")).distinct()
+    once = (F.col("lx") == F.col("major")) | (F.col("node") < F.col("x"))
+    across = prefix.where("label != major").join(other, "gram").where((F.col("label") != F.col("lx")) & once & enough)
+    return across.select(F.least("node", "x").alias("u"), F.greatest("node", "x").alias("v")).distinct()
 
 
 def link_documents(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     """One row a document of docs (doc_id, text): doc_id, n_shingles (distinct) and component_id, the smallest doc_id reachable by links.
 
     Two documents link when 100 * intersection >= percent * union of their sets of shingles (`width` lower-cased words; all words where there are
-    fewer). Documents without words are linked with nothing; so are those with a null doc_id, whose component is null. Rows with one doc_id
-    are documents of their own. Other columns are ignored; an empty table gives none.
+    fewer). Null and empty texts and those without words have no shingles and are linked with nothing; so are documents with a null doc_id, whose
+    component is null. Rows with one doc_id are documents of their own, with one component if they link. Equal sets are one node, whatever their
+    number; very long texts are read whole, and a pair of exactly the threshold links. Other columns are ignored, whatever their names; an empty
+    table gives none.
     """
     docs = docs.select("doc_id", "text")
     rows = docs.mapInArrow(_incidence(width, percent), ROWS)
-    found = U.written(rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_buckets, FOUND))
+    found = U.written(rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_buckets(PIECE), FOUND))
     owners = found.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("node"), "n")
     mark = F.col("n")
-    inside = found.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("node"), mark.bitwiseAND(0xFFFFFFFF).alias("n"), F.shiftright(mark, 62).alias("class"), F.shiftright(mark, 32).bitwiseAND(0x3FFFFFFF).alias("need"))
-    enough = inside.groupBy("node", "class").agg(F.count("*").alias("blocks"), F.max("need").alias("need")).where("blocks >= need").drop("need")
-    kept = U.written(inside.drop("need").join(enough, ["node", "class"]).drop("class"))  # nodes with too few equal blocks have no partner
-    shared = kept.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
-    members = U.written(kept.join(shared, "key", "left_semi"))
-    central = members.select("node").distinct()
+    inside = found.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("node"), "part", mark.bitwiseAND(0xFFFFFFFF).alias("n"), F.shiftright(mark, 62).alias("class"), F.shiftright(mark, 32).bitwiseAND(0x3FFFFFFF).alias("need"))
+    of_node = Window.partitionBy("node", "class")  # a node's blocks: a part of its n-grams at most
+    counted = inside.withColumn("blocks", F.count("*").over(of_node)).withColumn("need", F.max("need").over(of_node))
+    kept = U.written(counted.where("blocks >= need").drop("need", "class"))  # nodes with too few equal blocks have no partner
+
+    def by_piece(buckets: DataFrame) -> DataFrame:
+        """Buckets (key, parts, ...), a row for each piece, so that members of a large one meet it in several tasks."""
+        return buckets.withColumn("part", F.explode(F.sequence(F.lit(0), "parts"))).drop("parts")
+
+    def hubs(held: DataFrame, order: Column) -> DataFrame:
+        best = held.groupBy("key").agg(F.max_by(F.struct("node", "label", "n"), order).alias("hub"), F.count("*").alias("m"), F.max("part").alias("parts")).where("m > 1")
+        return best.select("key", "parts", "m", F.col("hub.node").alias("x"), F.col("hub.label").alias("lx"), F.col("hub.n").alias("nx"))
+
+    def pairs(across: DataFrame) -> DataFrame:
+        """Pairs of a bucket's nodes and its hub that differ in component and whose sizes allow a link."""
+        across = across.where((F.col("label") != F.col("lx")) & (100 * F.least("n", "nx") >= percent * F.greatest("n", "nx")))
+        return across.select(F.least("node", "x").alias("u"), F.greatest("node", "x").alias("v")).distinct()
+
+    alone = kept.withColumn("label", F.col("node"))
+    members = U.written(alone.join(by_piece(hubs(alone, F.struct("blocks", "node"))), ["key", "part"]))
 
     # the sets of nodes that take part, made anew from one document each
+    central = members.select("node").distinct()
     reps = U.written(owners.where("n > 0 and doc_id is not null").join(central, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id"))
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).cast("int")
-    bits = np.zeros(FILTER_BITS, np.uint8)
-    bits[reps.select(place.alias("p")).distinct().toArrow()["p"].to_numpy()] = 1  # FILTER_BITS numbers at most
-    passing = docs.where("doc_id is not null").select("doc_id", place.alias("place"), "text").mapInArrow(_sets_of(width, np.packbits(bits).tobytes()), "node long, grams binary")
+    size = min(FILTER_BITS, max(1 << 15, 1 << (FILTER_SHARE * reps.count()).bit_length()))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(size))
+    bits = bytearray(size // 8)
+    for k, some in reps.groupBy(F.shiftright(place, 15)).agg(F.bitmap_construct_agg(place.bitwiseAND((1 << 15) - 1))).collect():  # size / 8 bytes
+        bits[k << 12 : (k + 1) << 12] = some
+    passing = docs.where("doc_id is not null").select("doc_id", place.alias("place"), "text").mapInArrow(_sets_of(width, bytes(bits)), "node long, grams binary")
     sets = U.written(passing)
 
     def linked(tried: DataFrame) -> DataFrame:
         both = tried.join(sets.select(F.col("node").alias("u"), F.col("grams").alias("gu")), "u").join(sets.select(F.col("node").alias("v"), F.col("grams").alias("gv")), "v")
-        return U.written(both.select("u", "v", "gu", "gv").mapInArrow(_linked(percent), "u long, v long").distinct())
-
-    def pairs_with(held: DataFrame, other: DataFrame) -> DataFrame:
-        """Pairs of a bucket's nodes and others of it that differ in component and whose sizes allow a link."""
-        other = other.select("key", F.col("node").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx"))
-        across = held.join(other, "key").where((F.col("label") != F.col("lx")) & (100 * F.least("n", "nx") >= percent * F.greatest("n", "nx")))
-        return across.select(F.least("node", "x").alias("u"), F.greatest("node", "x").alias("v")).distinct()
-
-    def hubs(held: DataFrame, order: Column) -> DataFrame:
-        return held.groupBy("key").agg(F.max_by(F.struct("node", "label", "n"), order).alias("hub")).select("key", "hub.*")
+        return U.written(both.select("u", "v", "gu", "gv").mapInArrow(_linked(percent), "u long, v long"))
 
-    def still_open(held: DataFrame, labels: DataFrame) -> DataFrame:
-        """Members, with their components, of the buckets that have more than one."""
-        held = held.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        several = held.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("key")
-        return U.written(held.join(several, "key", "left_semi"))
+    def still_open(labels: DataFrame) -> DataFrame:
+        """Members, with their components, of the buckets that have more than one, and the smallest size in it. A bucket of two is done."""
+        held = members.where("m > 2").select("key", "part", "node", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        several = held.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.min("n").alias("lo"), F.max("part").alias("parts")).where("a != b").select("key", "lo", "parts")
+        return U.written(held.join(by_piece(several), ["key", "part"]))
 
-    alone = members.withColumn("label", F.col("node"))
-    tried = U.written(pairs_with(alone, hubs(alone, F.struct("blocks", "node"))))
-    links = linked(tried)
+    links = linked(pairs(members))
     labels = components(links)
-    more = members.groupBy("key").agg(F.count("*").alias("m")).where("m > 2").select("key")  # a bucket of two is done
-    held = still_open(members.join(more, "key", "left_semi"), labels)
-    if not held.isEmpty():
-        held = U.written(_without_partners(held, sets, percent))
     for turn in range(ROUNDS + 1):
-        held = still_open(held, labels)
+        held = still_open(labels)
         if held.isEmpty():
             break
-        fresh = pairs_with(held, hubs(held, F.xxhash64("node", F.lit(turn)))) if turn < ROUNDS else _rarest_pairs(held, sets, percent)
-        fresh = U.written(fresh.join(tried, ["u", "v"], "left_anti"))
-        links, tried = links.union(linked(fresh)), tried.union(fresh)
-        labels = components(links)
+        nodes = U.written(held.groupBy("node").agg(F.max("label").alias("label"), F.max("n").alias("n"), F.min("lo").alias("lo")))
+        prefix = _prefixes(nodes, sets, percent)
+        n_pairs, n_rows = prefix.agg(F.sum((F.col("m") - F.col("of_major")).cast("double")), F.count("*")).first()  # each row with those of other labels
+        last = turn == ROUNDS or (n_pairs or 0) <= MANY * n_rows
+        further = hubs(held, F.xxhash64("node", F.lit(turn))).drop("m")
+        fresh = linked(_prefix_pairs(prefix, percent) if last else pairs(held.join(by_piece(further), ["key", "part"])))
+        if not fresh.isEmpty():
+            links = links.union(fresh)
+            labels = components(links)
+        if last:
+            break
 
     U.give_back()  # plans of the rounds
     labelled = owners.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
