@@ -6,7 +6,8 @@ bucket. Equal windows have equal minimisers and so meet in one bucket, where sor
 compared. Each occurrence in a document with a larger doc_id than the window's first one is removed.
 
 Words travel only where they can matter: a first shuffle deals the minimisers with their places, and super-k-mers of minimisers that one
-document alone holds stay where they are.
+document alone holds stay where they are. Those of a minimiser with more than HOT places travel window by window, each to the bucket of its
+words, so that a frequent minimiser is shared out among the tasks.
 """
 
 from __future__ import annotations
@@ -16,18 +17,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import _util as U
 
 MMER = 5
 #: Packed bytes of a bucket that are sorted at once; a larger bucket is met in pieces of that size.
 BUCKET_BYTES = 4 << 20
-#: place: first word << 32 | number of words.
-PLACES = "key long, doc_id long, digest int, place long, done boolean"
-PIECES = "key long, doc_id long, digest int, at int, packed binary"
-RANGES = "doc_id long, digest int, first int, last int"
+#: Places of a minimiser from which its super-k-mers are dealt by their windows.
+HOT = 4096
+#: place: first word << 32 | number of words; kind: of PLAIN places, those whose windows are all known to be later ones (DONE), or of a hot minimiser.
+PLAIN, DONE, SPREAD = range(3)
+PLACES = "key long, doc_id long, digest long, place long, kind int"
+PIECES = "key long, doc_id long, digest long, at int, packed binary"
+RANGES = "doc_id long, digest long, first int, last int"
 
 
 def _rows(schema: str, *columns: object) -> pa.RecordBatch:
@@ -47,20 +52,13 @@ def _merged(docs: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.n
 class SuperKmers:
     """The super-k-mers of some texts: document number, first word, number of words and minimiser of each."""
 
-    def __init__(self, texts: list[bytes], words_hash: U.WordIds, window: int) -> None:
-        words: list[bytes] = []
-        counts = np.zeros(len(texts), np.int64)
-        for k, text in enumerate(texts):
-            own = text.split()
-            if len(own) >= window:
-                words += own
-                counts[k] = len(own)
-        self.words = words
-        if not words:
+    def __init__(self, texts: list[bytes], window: int) -> None:
+        self.words = words = U.Words(texts, lower=False)
+        n, m = len(words), min(MMER, window)
+        if n < window:
             self.doc = self.at = self.size = self.key = self.first = np.zeros(0, np.int64)
             return
-        h = words_hash.of(words)
-        n, m = len(words), min(MMER, window)
+        h = words.hashes()
         mers = h[: n - m + 1].copy()
         for j in range(1, m):
             mers = U.mix64(mers) + h[j : n - m + 1 + j]
@@ -69,21 +67,26 @@ class SuperKmers:
         while width < target:  # sliding minimum by doubling
             step = min(width, target - width)
             least, width = np.minimum(least[: len(least) - step], least[step:]), width + step
-        ends = np.cumsum(counts)
-        doc = np.repeat(np.arange(len(texts)), counts)[: len(least)]
+        ends = np.cumsum(words.counts)
+        doc = words.text[: len(least)]
         inside = np.arange(len(least)) + window <= ends[doc]
         new = inside.copy()
         new[1:] &= (least[1:] != least[:-1]) | (doc[1:] != doc[:-1]) | ~inside[:-1]
         starts = np.flatnonzero(new)
         stop = np.flatnonzero(inside & ~np.append(inside[1:] & ~new[1:], False)) + 1
         self.first, self.doc, self.size = starts, doc[starts], stop - 1 + window - starts
-        self.at, self.key = starts - (ends - counts)[self.doc], least[starts].view(np.int64)
+        self.at, self.key = starts - (ends - words.counts)[self.doc], least[starts].view(np.int64)
 
     def __len__(self) -> int:
         return len(self.key)
 
     def packed(self, i: int) -> bytes:
-        return b" ".join(self.words[self.first[i] : self.first[i] + self.size[i]])
+        return packed(self.words, self.first[i], self.size[i])
+
+
+def packed(words: U.Words, first: int, n: int) -> bytes:
+    """n words from the first on, joined by one space."""
+    return b" ".join(words.buffer[words.begin[first] : words.end[first + n - 1]].split())
 
 
 def _places(window: int):
@@ -91,10 +94,9 @@ def _places(window: int):
     at once (done), so that a group of copies sends a row for each chunk, not for each copy."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = U.WordIds()
         for part in U.slices(batches, "text"):
             doc_ids, digests = part.column(0).to_numpy(), part.column(1).to_numpy()
-            found = SuperKmers(U.byte_texts(part), hashes, window)
+            found = SuperKmers(U.byte_texts(part), window)
             if not len(found):
                 continue
             ids = doc_ids[found.doc]
@@ -109,43 +111,59 @@ def _places(window: int):
                     if first.setdefault(found.packed(i), ids[i]) < ids[i]:
                         later[i] = True
             send = np.flatnonzero(~later)
-            yield _rows(PLACES, found.key[send], ids[send], digests[found.doc[send]], found.at[send] << 32 | found.size[send], np.zeros(len(send), bool))
+            yield _rows(PLACES, found.key[send], ids[send], digests[found.doc[send]], found.at[send] << 32 | found.size[send], np.full(len(send), PLAIN))
             if len(late := np.flatnonzero(later)):
                 heads, last = _merged(found.doc[late], found.at[late], (found.at + found.size)[late])
                 late = late[heads]
                 at = found.at[late]
-                yield _rows(PLACES, U.mix64(ids[late] + at).view(np.int64), ids[late], digests[found.doc[late]], at << 32 | last - at, np.ones(len(late), bool))
+                yield _rows(PLACES, U.mix64(ids[late] + at).view(np.int64), ids[late], digests[found.doc[late]], at << 32 | last - at, np.full(len(late), DONE))
 
     return run
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows in order of key and doc_id, those whose key more than one document has, and those that are done. A key's rows are held until a
-    second document comes."""
-    held: list[pa.RecordBatch] = []
-    key = doc = None
-    for batch in batches:
-        done = batch.filter(batch.column(4))
-        if len(done):
-            yield done
-        batch = batch.filter(pc.invert(batch.column(4)))
-        if not len(batch):
-            continue
-        keys, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        heads = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-        lasts = np.append(heads[1:], len(keys)) - 1
-        several = ids[heads] != ids[lasts]
-        if keys[0] == key:
-            several[0] |= doc is None or ids[lasts[0]] != doc
-            if several[0]:
-                yield from held
-        if keys[0] != key or several[0] or len(heads) > 1:
-            held = []
-        if several.any():
-            yield batch.filter(pa.array(np.repeat(several, lasts - heads + 1)))
-        key, doc = keys[-1], None if several[-1] else ids[-1]
-        if doc is not None:
-            held.append(batch.slice(int(heads[-1])))
+def _shared(hot: int):
+    """Of rows in order of key and doc_id, those whose key more than one document has, and those that are done. A key's rows are held until it ends,
+    or has more than `hot` of them: from there on they pass at once."""
+
+    def kept(rows: pa.Table, spread: bool = False) -> Iterator[pa.RecordBatch]:
+        """Rows of whole keys, or of one hot key."""
+        key, ids = rows["key"].to_numpy(), rows["doc_id"].to_numpy()
+        heads = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        sizes = np.diff(np.append(heads, len(key)))
+        several = np.repeat((ids[heads] != ids[heads + sizes - 1]) | spread, sizes)
+        kind = np.where(np.repeat((sizes > hot) | spread, sizes), SPREAD, PLAIN)
+        rows = rows.set_column(4, "kind", pa.array(kind, pa.int32())).filter(pa.array(several))
+        yield from rows.to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, hot_key = None, None
+        for batch in batches:
+            done = pc.equal(batch.column(4), DONE)
+            if len(late := batch.filter(done)):
+                yield late
+            rows = pa.Table.from_batches([batch.filter(pc.invert(done))])
+            if hot_key is not None and len(rows):
+                n = int(np.searchsorted(rows["key"].to_numpy(), hot_key, side="right"))
+                if n:
+                    yield from kept(rows.slice(0, n), True)
+                if n == len(rows):
+                    continue
+                rows, hot_key = rows.slice(n), None
+            rows = rows if held is None else pa.concat_tables([held, rows])
+            if not len(rows):
+                continue
+            key = rows["key"].to_numpy()
+            cut = int(np.searchsorted(key, key[-1]))
+            if cut:
+                yield from kept(rows.slice(0, cut))
+            held = rows.slice(cut).combine_chunks()
+            if len(held) > hot:
+                yield from kept(held, True)
+                held, hot_key = None, key[-1]
+        if held is not None and len(held):
+            yield from kept(held)
+
+    return run
 
 
 def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +172,8 @@ def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     press = zstandard.ZstdCompressor(level=3)
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([press.compress(x) for x in U.byte_texts(batch, batch.schema.names[-1])], pa.binary())], names=batch.schema.names)
+        texts = batch.columns[-1].cast(pa.binary()).to_pylist()
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([x if x is None else press.compress(x) for x in texts], pa.binary())], names=batch.schema.names)
 
 
 def _unfolded(part: pa.RecordBatch) -> list[bytes]:
@@ -171,22 +190,31 @@ def _whole_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     return U.slices(batches, "text", size=zstandard.frame_content_size)
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The packed words of the places asked for in each document."""
-    for part in _whole_slices(batches):
-        ids, digests = part.column(0).to_pylist(), part.column(1).to_pylist()
-        column = part.column(part.schema.get_field_index("places"))
-        keys, places = (pc.list_flatten(column).field(i).to_numpy() for i in range(2))
-        ends = np.cumsum(pc.list_value_length(column).to_numpy()).tolist()
-        at, size = places >> 32, places & 0xFFFFFFFF
-        packed: list[bytes] = []
-        rows = np.repeat(np.arange(len(ids)), np.diff([0, *ends]))
-        begin = 0
-        for text, end in zip(_unfolded(part), ends, strict=True):
-            words = text.split()
-            packed += [b" ".join(words[a : a + n]) for a, n in zip(at[begin:end].tolist(), size[begin:end].tolist(), strict=True)]
-            begin = end
-        yield _rows(PIECES, keys, np.array(ids)[rows], np.array(digests, np.int32)[rows], at, packed)
+def _pieces(window: int):
+    """The packed words of the places asked for in each document; those of hot minimisers window by window, with a key from their words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _whole_slices(batches):
+            ids, digests = part.column(0).to_numpy(), part.column(1).to_numpy()
+            column = part.column(part.schema.get_field_index("places"))
+            keys, places, kinds = (pc.list_flatten(column).field(i).to_numpy() for i in range(3))
+            rows = np.repeat(np.arange(len(ids)), pc.list_value_length(column).to_numpy())
+            words = U.Words(_unfolded(part), lower=False)
+            begin = np.cumsum(words.counts) - words.counts
+            at, size, spread = places >> 32, places & 0xFFFFFFFF, kinds == SPREAD
+            n = np.where(spread, size - window + 1, 1)  # pieces of each place
+            rows, keys, at = np.repeat(rows, n), np.repeat(keys, n), U.ragged(at, n)
+            size, spread = np.repeat(np.where(spread, window, size), n), np.repeat(spread, n)
+            made = [packed(words, a, k) for a, k in zip((begin[rows] + at).tolist(), size.tolist(), strict=True)]
+            if spread.any():
+                import xxhash
+
+                some = np.flatnonzero(spread)
+                keys = keys.copy()
+                keys[some] = np.array([xxhash.xxh3_64_intdigest(made[i]) for i in some.tolist()], np.uint64).view(np.int64)
+            yield _rows(PIECES, keys, ids[rows], digests[rows], at, made)
+
+    return run
 
 
 def later_windows(ids: np.ndarray, packed: pa.Array, window: int, known: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -281,10 +309,11 @@ def _decided(window: int, limit: int):
 
 
 def _without_ranges(batches: Iterator[pa.RecordBatch], as_they_are: bool) -> Iterator[pa.RecordBatch]:
-    """Adds kept, n_words and n_removed."""
+    """Adds kept, n_words and n_removed in place of the last two columns (text, ranges)."""
     for part in _whole_slices(batches):
         kept, total, removed = [], [], []
-        for text, ranges in zip(_unfolded(part), part.column(part.schema.get_field_index("ranges")).to_pylist(), strict=True):
+        column = part.column(part.schema.get_field_index("text"))
+        for text, ranges, null in zip(_unfolded(part), part.column(part.schema.get_field_index("ranges")).to_pylist(), column.is_null().to_pylist(), strict=True):
             words = text.split()
             n = len(words)
             if ranges:
@@ -293,53 +322,83 @@ def _without_ranges(batches: Iterator[pa.RecordBatch], as_they_are: bool) -> Ite
                 np.add.at(gone, [r["last"] for r in ranges], -1)
                 stay = np.cumsum(gone[:n]) <= 0
                 words = [words[i] for i in np.flatnonzero(stay).tolist()]
-            kept.append((text if as_they_are and len(words) == n else b" ".join(words)).decode("utf-8", "replace"))
+            kept.append(None if null and as_they_are else (text if as_they_are and len(words) == n else b" ".join(words)).decode("utf-8", "replace"))
             total.append(n)
             removed.append(n - len(words))
-        drop = [part.schema.get_field_index(c) for c in ("text", "ranges")]
-        names = [c for i, c in enumerate(part.schema.names) if i not in drop]
         more = [pa.array(kept, pa.string()), pa.array(total, pa.int64()), pa.array(removed, pa.int64())]
-        yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *more], names=[*names, "kept", "n_words", "n_removed"])
+        yield pa.RecordBatch.from_arrays([*part.columns[:-2], *more], names=[*part.schema.names[:-2], "kept", "n_words", "n_removed"])
 
 
 def repeated_ranges(docs: DataFrame, folded: DataFrame, window: int = 13) -> DataFrame:
     """(doc_id, digest, first, last): ranges of words of docs (doc_id, digest, text; no nulls) that windows also beginning in smaller documents
     cover. folded: the same with compressed texts."""
     places = docs.select("doc_id", "digest", "text").mapInArrow(_places(window), PLACES).repartition("key").sortWithinPartitions("key", "doc_id")
-    dealt = U.written(places.mapInArrow(_shared, PLACES))
+    dealt = U.written(places.mapInArrow(_shared(HOT), PLACES))
     first = F.shiftrightunsigned("place", 32)
-    done = dealt.where("done").select("doc_id", "digest", first.cast("int").alias("first"), (first + F.col("place").bitwiseAND(0xFFFFFFFF)).cast("int").alias("last"))
-    wanted = dealt.where("not done").groupBy("doc_id", "digest").agg(F.collect_list(F.struct("key", "place")).alias("places"))
-    pieces = folded.join(wanted, ["doc_id", "digest"]).select("doc_id", "digest", "text", "places").mapInArrow(_pieces, PIECES)
+    done = dealt.where(F.col("kind") == DONE).select("doc_id", "digest", first.cast("int").alias("first"), (first + F.col("place").bitwiseAND(0xFFFFFFFF)).cast("int").alias("last"))
+    wanted = dealt.where(F.col("kind") != DONE).groupBy("doc_id", "digest").agg(F.collect_list(F.struct("key", "place", "kind")).alias("places"))
+    pieces = folded.join(wanted, ["doc_id", "digest"]).select("doc_id", "digest", "text", "places").mapInArrow(_pieces(window), PIECES)
     found = pieces.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(_decided(window, BUCKET_BYTES), RANGES)
     return found.union(done)
 
 
-def dedup_substrings(docs: DataFrame, window: int = 13, as_they_are: bool = False) -> DataFrame:
-    """docs (doc_id, text, more columns) without text, and with kept (the words that stay, joined by one space), n_words and n_removed.
+def _cut(docs: DataFrame, window: int, as_they_are: bool) -> DataFrame:
+    """doc_id, rest (a structure of all other columns, if there are any), kept, n_words and n_removed of docs."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    named = docs.select("doc_id", *([F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest))).alias("rest")] if rest else []), "text")
+    own = [c for c in ("doc_id", "rest") if c in named.columns]
+    fields = {f.name: f for f in named.schema}
 
-    A word goes if a window over it has a word sequence that also begins in a document with a smaller doc_id; windows are judged on the input.
-    With as_they_are, kept is the text itself where nothing goes. Null texts have no words; their kept is empty. A document with a null doc_id keeps all and takes nothing from others; rows with one doc_id take nothing from
-    each other. Other columns pass through; one named kept, n_words, n_removed, digest or ranges comes back with _in at its end.
-    """
-    clash = [c for c in docs.columns if c in ("kept", "n_words", "n_removed", "digest", "ranges")]
-    named = docs.withColumnsRenamed({c: f"{c}_in" for c in clash})
-    rest = [c for c in named.columns if c not in ("doc_id", "text")]
-    kinds = {f.name: f"`{f.name}` {f.dataType.simpleString()}" for f in named.schema}
-    whole = named.where("doc_id is not null and text is not null").withColumn("digest", F.hash("text"))
+    def kinds(columns: list[str], more: str) -> StructType:
+        return StructType([*(fields[c] for c in columns), *StructType.fromDDL(more)])
+
+    whole = named.where("doc_id is not null and text is not null").withColumn("digest", F.xxhash64("text"))
 
     def fold(df: DataFrame) -> DataFrame:
-        """doc_id, digest, other columns and the compressed text."""
-        texts = df.select("doc_id", "digest", *rest, "text").mapInArrow(_folded, ", ".join([kinds["doc_id"], "digest int", *(kinds[c] for c in rest), "text binary"]))
-        return texts
+        """Other columns, the digest and the compressed text."""
+        return df.select(*own, "digest", "text").mapInArrow(_folded, kinds(own, "digest long, text binary"))
 
     folded = fold(whole).where("doc_id is not null and digest is not null")  # as the joins ask, so that one shuffle serves both
     ranges = repeated_ranges(whole, folded, window).groupBy("doc_id", "digest").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
-    joined = folded.join(ranges, ["doc_id", "digest"], "left").select("doc_id", *rest, "text", "ranges")
-    others = named.where("doc_id is null or text is null").withColumn("digest", F.lit(0))
-    all_ = joined.union(fold(others).select("doc_id", *rest, "text", F.lit(None).cast("array<struct<first:int,last:int>>").alias("ranges")))
-    out = all_.mapInArrow(lambda batches: _without_ranges(batches, as_they_are), ", ".join([kinds["doc_id"], *(kinds[c] for c in rest), "kept string, n_words long, n_removed long"]))
-    return out.select(*(c for c in named.columns if c != "text"), "kept", "n_words", "n_removed")
+    joined = folded.join(ranges, ["doc_id", "digest"], "left").select(*own, "text", "ranges")
+    others = named.where("doc_id is null or text is null").withColumn("digest", F.lit(0).cast("long"))
+    all_ = joined.union(fold(others).select(*own, "text", F.lit(None).cast("array<struct<first:int,last:int>>").alias("ranges")))
+    return all_.mapInArrow(lambda batches: _without_ranges(batches, as_they_are), kinds(own, "kept string, n_words long, n_removed long"))
+
+
+def dedup_substrings(docs: DataFrame, window: int = 13) -> DataFrame:
+    """docs (doc_id, text, more columns) without text, and with kept (the words that stay, joined by one space), n_words and n_removed.
+
+    A word goes if a window over it has a word sequence that also begins in a document with a smaller doc_id; windows are judged on the input.
+    Null and empty texts have no words; their kept is empty. Very long texts are read whole. A document with a null doc_id keeps all and takes
+    nothing from others; rows with one doc_id take nothing from each other, so that repeated rows have equal results. An empty table gives none.
+    Other columns pass through, whatever their names; one named kept, n_words or n_removed gets _in at its end, as often as it takes.
+    """
+    taken = {"kept", "n_words", "n_removed", *docs.columns}
+    out, names = [], []
+    for i, c in enumerate(c for c in docs.columns if c not in ("doc_id", "text")):
+        name = c
+        while name in ("kept", "n_words", "n_removed") or (name != c and name in taken):
+            name += "_in"
+        taken.add(name)
+        names.append(name)
+        out.append(F.col(f"rest.c{i}").alias(name))
+    return _cut(docs, window, False).select("doc_id", *out, "kept", "n_words", "n_removed")
+
+
+def without_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
+    """The columns of docs (doc_id, text, more columns), the text without the words that dedup_substrings removes. Texts that lose nothing stay as
+    they are, null ones too; documents that lose all their words go. n_chars, where there is such a column, follows a changed text."""
+    cut = _cut(docs, window, True).where("n_removed = 0 or n_removed < n_words")
+    at = {c: f"rest.c{i}" for i, c in enumerate(c for c in docs.columns if c not in ("doc_id", "text"))}
+    changed = F.col("n_removed") > 0
+
+    def column(c: str) -> Column:
+        if c == "n_chars":
+            return F.when(changed, F.char_length("kept").cast(docs.schema[c].dataType)).otherwise(F.col(at[c]))
+        return F.col("doc_id") if c == "doc_id" else F.col("kept") if c == "text" else F.col(at[c])
+
+    return cut.select(*(column(c).alias(c) for c in docs.columns))
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
