@@ -29,62 +29,32 @@ PREFIXES = (5, 7)
 #: Standard errors of the log odds ratio from which a feature is taken, and distinct strong words that make a labelled document severe.
 Z_SCORE, SEVERE_WORDS = 4.0, 3
 FOLDS, COST = 4, 1.0
-_MARKS = b"""!"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"""
-
-
-class WordFeatures:
-    """Feature numbers of words (the lower-cased word without marks around it, and its first bytes): places among the kept hashes, in ascending
-    order, or the hashes themselves where none are given."""
-
-    def __init__(self, kept: np.ndarray | None = None, limit: int = 100_000) -> None:
-        self.kept, self.limit = kept, limit
-        self.at: dict[bytes, int] = {}
-        self.ids = np.zeros((1024, 1 + len(PREFIXES)), np.int64)
-        self.some = np.zeros(1024, bool)
-
-    def _learn(self, new: set[bytes]) -> None:
-        import xxhash
-
-        n, h = len(self.at), xxhash.xxh3_64_intdigest
-        while len(self.ids) < n + len(new):
-            self.ids, self.some = np.concatenate([self.ids, np.zeros_like(self.ids)]), np.concatenate([self.some, np.zeros_like(self.some)])
-        bare = [w.translate(U.LOWER).strip(_MARKS) for w in new]
-        for k, size in enumerate((None, *PREFIXES)):
-            ids = np.array([h(w, seed=0) if size is None else h(w[:size], seed=size) for w in bare], np.uint64) >> np.uint64(32)
-            self.ids[n : n + len(new), k] = np.where([len(w) >= (size or 1) for w in bare], ids.astype(np.int64), -1)
-        if self.kept is not None:
-            own = self.ids[n : n + len(new)]
-            at = np.minimum(np.searchsorted(self.kept, own), max(0, len(self.kept) - 1))
-            own[:] = np.where(self.kept[at] == own, at, -1) if len(self.kept) else -1
-            self.some[n : n + len(new)] = (own >= 0).any(1)
-        else:
-            self.some[n : n + len(new)] = True
-        self.at.update(zip(new, range(n, n + len(new)), strict=True))
-
-    def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Text numbers and feature numbers, distinct and in order."""
-        words: list[bytes] = []
-        counts = np.zeros(len(texts), np.int64)
-        for k, text in enumerate(texts):
-            own = text.split()
-            words += own
-            counts[k] = len(own)
-        if len(self.at) > self.limit:
-            self.at.clear()
-        if new := set(words).difference(self.at):
-            self._learn(new)
-        index = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
-        use = np.flatnonzero(self.some[index])
-        doc = np.repeat(np.arange(len(texts)), counts)[use]
-        ids = self.ids[index[use]]
-        both = np.unique((doc[:, None] << 32 | ids)[ids >= 0])
-        return both >> 32, both & 0xFFFFFFFF
+
+
+def word_features(texts: list[bytes], kept: U.HashTable | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Text numbers and feature numbers, distinct and in order. A feature is a lower-cased word without marks around it, or its first bytes; its
+    number is a 32-bit hash, odd for whole words, or its place among the kept ones."""
+    words = U.Words(texts)
+    begin, end = words.bare()
+    some = np.flatnonzero(end > begin)
+    begin, end, doc = begin[some], end[some], words.text[some]
+    found = []
+    for size in (None, *PREFIXES):
+        use = slice(None) if size is None else np.flatnonzero(end - begin >= size)
+        h = words.hashes(begin[use], end[use] if size is None else begin[use] + size)
+        ids = U.mix64(h + np.uint64(size or 0)) >> np.uint64(32)
+        ids = (ids | np.uint64(1) if size is None else ids & ~np.uint64(1)).astype(np.int64)
+        if kept is not None:
+            ids = kept.find(ids.astype(np.uint64) << np.uint64(32))
+        of = doc[use][ids >= 0]
+        found.append(of << 32 | ids[ids >= 0])
+    both = np.unique(np.concatenate(found))
+    return both >> 32, both & 0xFFFFFFFF
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words = WordFeatures()
     for part in U.slices(batches, "text"):
-        doc, ids = words.of(U.byte_texts(part))
+        doc, ids = word_features(U.byte_texts(part))
         ends = np.searchsorted(doc, np.arange(len(part) + 1))
         yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(ends.astype(np.int32), ids.astype(np.uint32).view(np.int32))], names=["label", "features"])
 
@@ -173,12 +143,12 @@ class Chain:
 
 
 def severe(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    """1 for the labelled rows that hold SEVERE_WORDS or more strong features of the label."""
+    """1 for the labelled rows that hold SEVERE_WORDS or more distinct strong words of the label; beginnings of words don't count."""
     hashes, ids = np.unique(np.concatenate([np.zeros(0, np.int64), *rows]), return_inverse=True)
     own = np.split(ids, np.cumsum([len(r) for r in rows])[:-1]) if rows else []
     z, strong = _strong(own, y, len(hashes))
-    strong &= z > 0
-    return np.array([int(label == 1 and strong[r].sum() >= SEVERE_WORDS * (1 + len(PREFIXES))) for r, label in zip(own, y, strict=True)], np.int64)
+    strong &= (z > 0) & (hashes % 2 == 1)
+    return np.array([int(label == 1 and strong[r].sum() >= SEVERE_WORDS) for r, label in zip(own, y, strict=True)], np.int64)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = SAMPLE) -> Chain:
@@ -199,9 +169,9 @@ def score_documents(docs: DataFrame, chain: Chain) -> DataFrame:
     held = docs.drop(*added)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordFeatures(chain.kept)
+        kept = U.HashTable(chain.kept.astype(np.uint64) << np.uint64(32))
         for part in U.slices(batches, "text"):
-            scores = chain.score(*words.of(U.byte_texts(part)), len(part))
+            scores = chain.score(*word_features(U.byte_texts(part), kept), len(part))
             yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(x) for x in scores.T)], names=[*part.schema.names, *added])
 
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema]
