@@ -49,6 +49,7 @@ def split(text):
 @pytest.mark.parametrize("limit", [8 << 20, 300])
 def test_substrings(spark, seed, limit, monkeypatch):
     monkeypatch.setattr(substring_dedup, "BUCKET_BYTES", limit)
+    monkeypatch.setattr(substring_dedup, "HOT", 4096 if limit > 300 else 3)
     values = texts(seed)
     ids = [*range(5, len(values) + 2), 5, None, None]  # two documents of one id, and some of none
     ids = ids[: len(values)]
@@ -65,16 +66,53 @@ def test_substrings(spark, seed, limit, monkeypatch):
         gone = {k + j for k in range(len(w) - 12) if i is not None and first[tuple(w[k : k + 13])] < i for j in range(13)}
         want.append((i if i is not None else -1, b" ".join(x for k, x in enumerate(w) if k not in gone).decode(), len(w), len(gone)))
     out = substring_dedup.dedup_substrings(documents(spark, values, ids))
-    assert out.columns == ["doc_id", "ranges_in", "n_words_in", "kept", "n_words", "n_removed"]
+    assert out.columns == ["doc_id", "ranges", "n_words_in", "kept", "n_words", "n_removed"]
     got = [(r.doc_id if r.doc_id is not None else -1, r.kept, r.n_words, r.n_removed) for r in out.collect()]
     assert sorted(got) == sorted(want)
     assert substring_dedup.dedup_substrings(documents(spark, values).limit(0)).count() == 0
 
 
+def test_substrings_names_and_ties(spark):
+    """Columns with any names come back with their own values; equal rows, texts and ids are told apart."""
+    w = [f"w{i}" for i in range(20)]
+    text = " ".join(w)
+    rows = [(2, text, 1, 2, "k", "ki", "p", "r", 5), (2, text, 1, 2, "k", "ki", "p", "r", 5), (2, "x " + text, 3, 4, "l", "li", "q", "s", 6), (1, "y " + text, 5, 6, "m", "mi", "t", "u", 7)]
+    names = "doc_id long, text string, n_words int, digest int, kept string, kept_in string, places string, ranges string, rest int"
+    docs = spark.createDataFrame(rows, names)
+    out = substring_dedup.dedup_substrings(docs)
+    assert out.columns == ["doc_id", "n_words_in", "digest", "kept_in_in", "kept_in", "places", "ranges", "rest", "kept", "n_words", "n_removed"]
+    got = sorted(tuple(r) for r in out.collect())
+    assert got == [(1, 5, 6, "m", "mi", "t", "u", 7, "y " + text, 21, 0), *[(2, 1, 2, "k", "ki", "p", "r", 5, "", 20, 20)] * 2, (2, 3, 4, "l", "li", "q", "s", 6, "x", 21, 20)]
+    assert substring_dedup.without_repeats(spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")).orderBy("doc_id").collect() == [(1, None), (2, "")]
+    back = substring_dedup.without_repeats(docs)
+    assert back.columns == docs.columns
+    assert sorted(tuple(r) for r in back.collect()) == [rows[3], (2, "x", *rows[2][2:])]
+
+
+def test_shared_places():
+    """Places of keys that several documents have pass, once each, however batches are cut; those of hot keys are marked."""
+    import pyarrow as pa
+
+    rnd = random.Random(2)
+    rows = sorted((rnd.randrange(9), rnd.randrange(4)) for _ in range(60)) + [(20, 1)] * 30 + [(21, k) for k in range(30)] + [(22, 5)]
+    docs, sizes = defaultdict(set), defaultdict(int)
+    for k, d in rows:
+        docs[k].add(d)
+        sizes[k] += 1
+    want = sorted((k, d, substring_dedup.SPREAD if sizes[k] > 10 else substring_dedup.PLAIN) for k, d in rows if len(docs[k]) > 1)
+    for cut in (1, 3, 8, 500):
+        parts = [rows[i : i + cut] for i in range(0, len(rows), cut)]
+        batches = [substring_dedup._rows(substring_dedup.PLACES, *(np.array(x) for x in zip(*p)), np.zeros(len(p)), np.zeros(len(p), int), np.zeros(len(p), int)) for p in parts]
+        got = sorted((r["key"], r["doc_id"], r["kind"]) for x in substring_dedup._shared(10)(iter(batches)) for r in x.to_pylist())
+        assert [g for g in got if g[0] != 20] == want  # one document's places of a hot key may pass or not
+
+
 @pytest.mark.parametrize("seed", range(4))
-@pytest.mark.parametrize("rounds", [0, 3])
-def test_shingle_join(spark, seed, rounds, monkeypatch):
+@pytest.mark.parametrize(("rounds", "many"), [(3, 200), (3, -1)])
+def test_shingle_join(spark, seed, rounds, many, monkeypatch):
     monkeypatch.setattr(shingle_join, "ROUNDS", rounds)
+    monkeypatch.setattr(shingle_join, "MANY", many)  # -1: every round compares with hubs first
+    monkeypatch.setattr(shingle_join, "PIECE", 4)
     rnd = random.Random(seed)
     values = texts(seed, 25)
     base = [f"w{rnd.randrange(90)}" for _ in range(150)]
@@ -107,6 +145,41 @@ def test_shingle_join_odd(spark):
     assert shingle_join.link_documents(documents(spark, ["a"]).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("percent", [50, 85, 100])
+def test_overlaps(percent):
+    rng = np.random.default_rng(percent)
+    a, b = [], []
+    for _ in range(300):
+        pool = rng.integers(0, 2**64, 40, dtype=np.uint64)
+        x, y = (np.unique(rng.choice(pool, rng.integers(1, 40))) for _ in range(2))
+        a.append(x)
+        b.append(x if rng.random() < 0.2 else np.unique(np.append(x, y[:3])))
+    want = [100 * len(np.intersect1d(x, y)) >= percent * len(np.union1d(x, y)) for x, y in zip(a, b)]
+    assert shingle_join.overlaps_reach(a, b, percent).tolist() == want
+    assert shingle_join.overlaps_reach([], [], percent).tolist() == []
+
+
+def test_buckets():
+    """Members of buckets of two nodes or more, once each and in pieces, however the batches are cut."""
+    import pyarrow as pa
+
+    rnd = random.Random(1)
+    rows = sorted({(rnd.randrange(12), rnd.randrange(30)) for _ in range(90)} | {(50, k) for k in range(40)} | {(60, 1)})
+    sizes = defaultdict(int)
+    for k, _ in rows:
+        sizes[k] += 1
+    place, want = defaultdict(int), []
+    for k, n in rows:
+        if sizes[k] > 1:
+            want.append((k, n, place[k] // 8))
+        place[k] += 1
+    for cut in (1, 2, 7, 1000):
+        twice = [r for r in rows for _ in range(2)]  # as several tasks send them
+        batches = [pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in part], pa.int64()) for i in range(2)), pa.array([9] * len(part), pa.int64()), pa.nulls(len(part), pa.int64()), pa.array([False] * len(part))], names=shingle_join._ROW_NAMES) for part in (twice[i : i + cut] for i in range(0, len(twice), cut))]
+        got = [tuple(r.values()) for x in shingle_join._buckets(8)(iter(batches)) for r in x.select(["a", "b", "part"]).to_pylist()]
+        assert sorted(got) == sorted(want)
+
+
 def test_components(spark):
     rnd = random.Random(5)
     links = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1040)]
