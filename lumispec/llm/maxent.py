@@ -16,7 +16,6 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -46,10 +45,15 @@ def tokens(text: bytes) -> list[bytes]:
     return words
 
 
-def tail_class(word: bytes) -> int:
-    import xxhash
+def tail_classes(words: list[bytes]) -> np.ndarray:
+    """The class of each word by its last letters."""
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+    begin = np.append(0, ends[:-1])[: len(words)]
+    return _tail_classes(b"".join(words), begin, ends)
 
-    return xxhash.xxh3_64_intdigest(word[-3:]) % TAIL_CLASSES
+
+def _tail_classes(buffer: bytes, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return (U.hash_spans(buffer, np.maximum(begin, end - 3), end) % np.uint64(TAIL_CLASSES)).astype(np.int64)
 
 
 def count_tokens(docs: DataFrame) -> DataFrame:
@@ -93,43 +97,55 @@ class Model:
         return math.log10(self.total + 0.5 * (self.distinct + 1))
 
 
+@dataclass
+class Rare:
+    """Tokens that aren't listed: their places among the words, hashes, text numbers and classes."""
+
+    words: U.Words
+    at: np.ndarray
+    hashes: np.ndarray
+    doc: np.ndarray
+    cls: np.ndarray
+
+    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
+        """One of the tokens (by its number) for each text and word, and how many there are."""
+        key = U.mix64(self.hashes ^ U.mix64(self.doc.astype(np.uint64) + np.uint64(1)))
+        _, first, times = np.unique(key, return_index=True, return_counts=True)
+        return first, times
+
+
 class Reader:
     """Texts to symbols, classes and feature rows, for one task."""
 
-    def __init__(self, model: Model, limit: int = 60_000) -> None:
-        self.model, self.limit, n = model, limit, len(model.listed)
-        self.head = min(HEAD, n)
+    def __init__(self, model: Model) -> None:
+        self.model, self.n = model, len(model.listed)
+        self.head = min(HEAD, self.n)
         self.symbols = self.head + TAIL_CLASSES + 1  # the last: before the text
-        self.known = dict(zip(model.listed, range(n), strict=True))
-        self.cls = np.zeros(n + 1024, np.int64)
-        self.cls[: self.head] = model.head_class
-        self.cls[self.head : n] = [HEAD_CLASSES + tail_class(w) for w in model.listed[self.head :]]
-        self.n, self.at = n, dict(self.known)
+        ends = np.cumsum(np.fromiter(map(len, model.listed), np.int64, self.n))
+        buffer, begin = b"".join(model.listed), np.append(0, ends[:-1])[: self.n]
+        self.table = U.HashTable(U.hash_spans(buffer, begin, ends))
+        self.end = model.listed.index(END) if END in model.listed else -1
+        self.cls = np.concatenate([model.head_class, HEAD_CLASSES + _tail_classes(buffer, begin, ends)[self.head :]])
         s = np.arange(self.symbols, dtype=np.uint64)
         self.rows = [(U.mix64(s + np.uint64(k << 32)) >> np.uint64(64 - ROW_BITS)).astype(np.int64) for k in (1, 3, 4)]
 
-    def read(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """Text number and word number of each token, and the tokens."""
-        words: list[bytes] = []
-        counts = np.zeros(len(texts), np.int64)
-        for k, text in enumerate(texts):
-            own = tokens(text)
-            words += own
-            counts[k] = len(own)
-        if len(self.at) > self.n + self.limit:
-            self.at = dict(self.known)
-        at = self.at
-        if new := set(words).difference(at):
-            n = len(at)
-            while len(self.cls) < n + len(new):
-                self.cls = np.concatenate([self.cls, np.zeros_like(self.cls)])
-            self.cls[n : n + len(new)] = [HEAD_CLASSES + tail_class(w) for w in new]
-            at.update(zip(new, range(n, n + len(new)), strict=True))
-        return np.repeat(np.arange(len(texts)), counts), np.fromiter(map(at.__getitem__, words), np.int64, len(words)), words
-
-    def features(self, doc: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Class, class before (CLASSES: none) and the four feature rows of each token."""
-        cls = self.cls[word]
+    def read(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, Rare]:
+        """Text number, place among the listed words (their number for all others) and class of each token, and the tokens that aren't listed."""
+        words = U.Words(texts)
+        h = words.hashes()
+        found = self.table.find(h)
+        found[found < 0] = self.n
+        cls = np.append(self.cls, 0).take(found)
+        rare = np.flatnonzero(found == self.n)
+        cls[rare] = HEAD_CLASSES + _tail_classes(words.buffer, words.begin[rare], words.end[rare])
+        doc = np.repeat(np.arange(len(texts)), words.counts + 1)
+        word, of = np.full(len(doc), self.end if self.end >= 0 else self.n), np.full(len(doc), self.cls[self.end] if self.end >= 0 else HEAD_CLASSES + tail_classes([END])[0])
+        place = np.arange(len(words)) + words.text
+        word[place], of[place] = found, cls
+        return doc, word, of, Rare(words, rare, h[rare], words.text[rare], cls[rare])
+
+    def features(self, doc: np.ndarray, word: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Class before (CLASSES: none) and the four feature rows of each token."""
         symbol = np.where(word < self.head, word, self.head + cls - HEAD_CLASSES)
         start = self.symbols - 1
         back = []
@@ -141,7 +157,7 @@ class Reader:
         rows = np.stack([self.rows[0][back[0]], pair.astype(np.int64), self.rows[1][back[1]], self.rows[2][back[2]]])
         before = np.full(len(word), CLASSES)
         before[1:] = np.where(doc[1:] == doc[:-1], cls[:-1], CLASSES)
-        return cls, before, rows
+        return before, rows
 
 
 def _logits(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -160,12 +176,10 @@ def find_classes(model: Model, docs: DataFrame) -> np.ndarray:
     other = max(head, CONTEXTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, near = dict(zip(model.listed[:head], range(head), strict=True)), np.zeros(head * CONTEXTS, np.int64)
+        reader, near = Reader(model), np.zeros(head * CONTEXTS, np.int64)
         for part in U.slices(batches, "text"):
-            texts = [tokens(x) for x in U.byte_texts(part)]
-            counts = np.fromiter(map(len, texts), np.int64, len(texts))
-            word = np.fromiter(map(known.get, chain.from_iterable(texts), repeat(other)), np.int64, int(counts.sum()))
-            doc, cells = np.repeat(np.arange(len(texts)), counts), []
+            doc, word, _, _ = reader.read(U.byte_texts(part))
+            word[word >= head], cells = other, []
             for k in (1, 2, 3):
                 a, b, same = word[:-k], word[k:], doc[:-k] == doc[k:]
                 for x, y in ((a, b), (b, a)):
@@ -216,8 +230,8 @@ def train_round(model: Model, docs: DataFrame, within: np.ndarray) -> None:
         square, square_b, used = np.full(w.shape, 1e-2, np.float32), np.full(b.shape, 1e-2, np.float32), np.zeros(ROWS, np.float32)
         pairs, n = np.zeros((CLASSES + 1) * head, np.float32), 0
         for part in U.slices(batches, "text"):
-            doc, word, _ = reader.read(U.byte_texts(part))
-            cls, before, rows = reader.features(doc, word)
+            doc, word, cls, _ = reader.read(U.byte_texts(part))
+            before, rows = reader.features(doc, word, cls)
             own = word < head
             pairs += np.bincount(before[own] * head + word[own], minlength=len(pairs))
             n += 1
@@ -232,9 +246,13 @@ def train_round(model: Model, docs: DataFrame, within: np.ndarray) -> None:
                 heads = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
                 touched = flat[heads]
                 slope = np.add.reduceat(g.take(order % len(y), 0), heads, axis=0)
-                total = square.take(touched, 0) + slope * slope
+                total = square.take(touched, 0)
+                total += slope * slope
                 square[touched] = total
-                w[touched] -= RATE * slope / np.sqrt(total)
+                move = np.divide(slope, np.sqrt(total, out=total), out=total)
+                move *= np.float32(-RATE)
+                move += w.take(touched, 0)
+                w[touched] = move
                 used[touched] += np.diff(np.append(heads, len(flat)))
                 slope = g.sum(0)
                 square_b += slope * slope
@@ -304,8 +322,9 @@ def fit(train: DataFrame) -> tuple[Model, DataFrame]:
 
     def tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rest = [(tail_class(w), c) for w, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if w not in frequent]
-            cls, c = (np.array([x[i] for x in rest], np.int64) for i in range(2))
+            words, c = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+            rest = np.array([w not in frequent for w in words], bool)
+            cls, c = tail_classes(words)[rest], c[rest]
             sums = [np.bincount(cls, x, TAIL_CLASSES).astype(np.int64) for x in (c, c == 1)]
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(TAIL_CLASSES)), *map(pa.array, sums)], names=["cls", "n", "once"])
 
@@ -325,8 +344,10 @@ def fit(train: DataFrame) -> tuple[Model, DataFrame]:
 def score_documents(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     """One row a document of docs (doc_id, text): doc_id, n_tokens, n_known, base_score and score (log10 probabilities of the whole text).
 
-    Null texts are empty: their one token is the end. Rows with one doc_id are scored each for itself; a null doc_id stays null. Other columns
-    are ignored. Words that no task knows meet their counts in a join on the word.
+    Null texts are empty: their one token is the end. Rows with one doc_id are scored each for itself, equal ones equally; a null doc_id stays
+    null. Very long texts are scored whole. Other columns are ignored, whatever their names; an empty table gives none. A model that has seen no
+    text knows no token: base_score is that of counts of 0, and score that of equally likely classes whose words are all unseen. Words that no
+    task knows meet their counts in a join on the word.
     """
     spark, n_listed, head = docs.sparkSession, len(model.listed), min(HEAD, len(model.listed))
     known_unseen = [(k, float(np.log10(max((1 - u) / t, 1e-300))) if t else -300.0, float(np.log10(u))) for k, (t, u) in enumerate(zip(model.tail_total, model.tail_unseen, strict=True))]
@@ -337,8 +358,8 @@ def score_documents(docs: DataFrame, model: Model, counts: DataFrame) -> DataFra
         tail_known = np.array([x[1] for x in known_unseen])
         count_log = np.log10(np.maximum(model.counts, 1))
         for part in U.slices(batches, "text"):
-            doc, word, words = reader.read(U.byte_texts(part))
-            cls, before, rows = reader.features(doc, word)
+            doc, word, cls, rare = reader.read(U.byte_texts(part))
+            before, rows = reader.features(doc, word, cls)
             log = np.empty(len(word))
             for at in range(0, len(word), BATCH):
                 y = cls[at : at + BATCH]
@@ -353,19 +374,17 @@ def score_documents(docs: DataFrame, model: Model, counts: DataFrame) -> DataFra
             n = len(part)
             yield pa.RecordBatch.from_arrays([
                 part.column(0), part.column(1), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int32()), pa.array(np.bincount(doc, minlength=n)),
-                pa.array(np.bincount(doc[listed], minlength=n)), pa.array(np.bincount(doc[listed], base[word[listed]], n)), pa.array(np.bincount(doc, log, n)),
+                pa.array(np.bincount(doc[listed], minlength=n)), pa.array(np.bincount(doc[listed], base[word[listed]], n).astype(np.float64)), pa.array(np.bincount(doc, log, n)),
             ], names=names)
-            rare = np.flatnonzero(word >= n_listed)
-            if len(rare):
-                _, first, times = np.unique(doc[rare] * (int(word.max()) + 1) + word[rare], return_index=True, return_counts=True)
-                which = rare[first]
-                m, of = len(which), pa.array(doc[which])
+            if len(rare.at):
+                which, times = rare.distinct()
+                m, of = len(which), pa.array(rare.doc[which])
                 zero = pa.array(np.zeros(m))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(of), part.column(1).take(of), pa.array([words[i] for i in which.tolist()], pa.binary()), pa.array(cls[which] - HEAD_CLASSES, pa.int32()), pa.array(times), pa.array(np.zeros(m, np.int64)), zero, zero], names=names)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(of), part.column(1).take(of), pa.array(rare.words.take(rare.at[which]), pa.binary()), pa.array(rare.cls[which] - HEAD_CLASSES, pa.int32()), pa.array(times), pa.array(np.zeros(m, np.int64)), zero, zero], names=names)
 
     names = ["doc_id", "digest", "word", "cls", "n", "known", "base", "log"]
-    kinds = "doc_id long, digest int, word binary, cls int, n long, known long, base double, log double"
-    rows = U.written(docs.select("doc_id", F.hash("text").alias("digest"), "text").mapInArrow(run, kinds))
+    kinds = "doc_id long, digest long, word binary, cls int, n long, known long, base double, log double"
+    rows = U.written(docs.select("doc_id", F.xxhash64("text").alias("digest"), "text").mapInArrow(run, kinds))
     whole = rows.where("word is null").select("doc_id", "digest", F.lit(1).alias("copies"), "n", "known", "base", "log")
     classes = F.broadcast(spark.createDataFrame(known_unseen, "cls int, seen double, unseen double"))
     found = rows.where("word is not null").select("doc_id", "digest", "word", "cls", F.col("n").alias("times")).join(counts, "word", "left").join(classes, "cls")
