@@ -167,38 +167,69 @@ def test_language_model_adds_up(spark):
     model, counts = maxent.fit(docs)
     words = [bytes(r.word) for r in counts.collect() if r.word]
     context = "the haus"
-    probe = [(0, context)] + [(i + 1, f"{context} {w.decode()}") for i, w in enumerate(words)]
+    probe = [f"{context} {w.decode()}" for w in words]
     unseen, k = {}, 0
     while len(unseen) < maxent.TAIL_CLASSES:
         w = f"zz{k}"
         k += 1
         if w.encode() not in words:
-            unseen.setdefault(maxent.tail_class(w.encode()), w)
-    probe += [(10_000 + j, f"{context} {w}") for j, w in unseen.items()]
-    reader = maxent.Reader(model)
-
-    def last(text: str) -> float:
-        doc, word, _ = reader.read([text.encode()])
-        cls, before, rows = reader.features(doc, word)
-        z = maxent._logits(model.weights, model.bias, rows)
-        logs = z[np.arange(len(cls)), cls] - np.log(np.exp(z).sum(1))
-        k = len(word) - 2  # the word before the end
-        out = logs[k]
-        if word[k] < reader.head:
-            return math.exp(out + model.within[before[k], word[k]])
-        j = cls[k] - maxent.HEAD_CLASSES
-        c = model.counts[word[k]] if word[k] < len(model.listed) else 0
-        return math.exp(out) * ((1 - model.tail_unseen[j]) * c / model.tail_total[j] if c else model.tail_unseen[j])
-
-    total = sum(last(t) for i, t in probe if i)
-    doc, word, _ = reader.read([context.encode()])
-    cls, before, rows = reader.features(doc, word)
-    z = maxent._logits(model.weights, model.bias, rows)
-    end = math.exp(z[-1, cls[-1]] - math.log(np.exp(z[-1]).sum()) + model.within[before[-1], word[-1]])
+            unseen.setdefault(int(maxent.tail_classes([w.encode()])[0]), w)
+    probe += [f"{context} {w}" for w in unseen.values()]
+    total = sum(math.exp(plain_log(model, counts, t)[-2]) for t in probe)
+    total += math.exp(plain_log(model, counts, context)[-1])
     # classes that no known word is in hold what is missing
+    reader = maxent.Reader(model)
+    doc, word, cls, _ = reader.read([context.encode()])
+    z = maxent._logits(model.weights, model.bias, reader.features(doc, word, cls)[1])
     used = set(model.head_class.tolist()) | set(range(maxent.HEAD_CLASSES, maxent.CLASSES))
     unused = 1 - np.exp(z[-1])[sorted(used)].sum() / np.exp(z[-1]).sum()
-    assert abs(total + end + unused - 1) < 1e-3
+    assert abs(total + unused - 1) < 1e-3
+
+
+def plain_log(model, counts, text):
+    """log P of each token of a text, token by token from the model's tables."""
+    head, c = min(maxent.HEAD, len(model.listed)), {bytes(r.word): r.c for r in counts.collect()}
+    place = {w: i for i, w in enumerate(model.listed[:head])}
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tokens = [*(text or "").translate(low).encode().split(), b""]
+    tail = lambda w: int(maxent.tail_classes([w])[0])
+    symbol = [place[w] if w in place else head + tail(w) for w in tokens]
+    cls = [int(model.head_class[place[w]]) if w in place else maxent.HEAD_CLASSES + tail(w) for w in tokens]
+    n, out = head + maxent.TAIL_CLASSES + 1, []
+    row = lambda x, k: int(U.mix64(np.array([x + (k << 32)], np.uint64))[0] >> np.uint64(64 - maxent.ROW_BITS))
+    for t, w in enumerate(tokens):
+        back = [symbol[t - k] if t >= k else n - 1 for k in (1, 2, 3)]
+        z = model.bias + sum(model.weights[row(x, k)].astype(float) for x, k in ((back[0], 1), (back[0] * n + back[1], 2), (back[1], 3), (back[2], 4)))
+        log = z[cls[t]] - math.log(np.exp(z).sum())
+        if w in place:
+            log += model.within[cls[t - 1] if t else maxent.CLASSES, place[w]]
+        else:
+            j = tail(w)
+            log += math.log((1 - model.tail_unseen[j]) * c[w] / model.tail_total[j] if w in c else model.tail_unseen[j])
+        out.append(log)
+    return out
+
+
+def test_language_model_scores_by_plain_loops(spark, monkeypatch):
+    """score is the sum over tokens of what the model's tables say, for head words, other listed ones, unlisted ones and unseen ones."""
+    monkeypatch.setattr(maxent, "LISTED", 60)
+    rnd = random.Random(12)
+    rows = [(i, prose(rnd, rnd.choice(list(WORDS)), rnd.randrange(0, 40))) for i in range(120)] + [(500, None), (501, "neverseen der THE"), (502, "x" * 100 + " the " * 2000)]
+    docs = table(spark, rows, "doc_id long, text string").withColumn("word", F.lit("x")).withColumn("log", F.lit(1))
+    model, counts = maxent.fit(docs.where("doc_id < 100 or doc_id = 502"))
+    assert len(model.listed) == 60 < model.distinct
+    got = {r.doc_id: r.score for r in maxent.score_documents(docs, model, counts).collect()}
+    for i, t in rows[80:]:
+        if i != 502:
+            assert abs(got[i] - sum(plain_log(model, counts, t)) / math.log(10)) < 1e-3 * max(1, abs(got[i]))
+
+
+def test_language_model_without_training(spark):
+    docs = table(spark, [(1, "the house"), (2, None), (None, "x")], "doc_id long, text string")
+    model, counts = maxent.fit(docs.limit(0))
+    got = {r.doc_id: r for r in maxent.score_documents(docs, model, counts).collect()}
+    assert {i: (r.n_tokens, r.n_known) for i, r in got.items()} == {1: (3, 0), 2: (1, 0), None: (2, 0)}
+    assert all(math.isfinite(r.score) and r.score < 0 for r in got.values()) and abs(got[1].base_score) < 1e-9
 
 
 def test_language_model_trains_on_all_tokens(spark):
@@ -207,8 +238,8 @@ def test_language_model_trains_on_all_tokens(spark):
     docs = [" ".join(f"w{rnd.randrange(3000)}" for _ in range(n)) for n in (5000, 30_000, 300)]
     for text in docs:
         model, _ = maxent.fit(spark.createDataFrame([(1, text)], "doc_id long, text string").coalesce(1))
-        doc, word, _ = (reader := maxent.Reader(model)).read([text.encode()])
-        rows = reader.features(doc, word)[2]
+        doc, word, cls, _ = (reader := maxent.Reader(model)).read([text.encode()])
+        rows = reader.features(doc, word, cls)[1]
         assert np.abs(model.weights[np.unique(rows)]).sum(1).min() > 0
 
 
@@ -248,6 +279,51 @@ def test_leaks(spark):
     assert decontaminate.leaks(frame.limit(0), bench).count() == 0
 
 
+def test_leaks_by_brute_force(spark):
+    """Items of 5 to 1000 words, copied or reworded, against a judgement of every item at every place of every document."""
+    rnd = random.Random(3)
+    vocabulary = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randrange(3, 8))) for _ in range(2000)]
+    words = lambda n: [vocabulary[int(2000 * rnd.random() ** 2)] for _ in range(n)]
+    items = [words(n) for n in (5, 12, 30, 60, 65, 100, 200, 300, 500, 1000) for _ in range(2)]
+    docs = []
+    for rate in (0, 0.1, 0.2, 0.3):
+        for item in items:
+            docs.append(words(rnd.randrange(200)) + [rnd.choice(vocabulary) if rnd.random() < rate else w for w in item] + words(rnd.randrange(200)))
+    docs += [words(300) for _ in range(60)]
+    want, size = set(), 2 * decontaminate.BLOCK
+    for d, text in enumerate(docs):
+        text = [w.encode() for w in text]
+        for i, item in enumerate(items):
+            item = [w.encode() for w in item]
+            around = (text[max(0, at - len(item)) : at + size + len(item)] for at in range(0, len(text), decontaminate.BLOCK))
+            if any(decontaminate.leaked(*decontaminate.judged(item, x)) for x in around if 2 * len({*item} & {*x}) >= 0.9 * len({*item})):
+                want.add((d, i))
+    assert {(d, d) for d in range(len(items))} <= want
+    frame = table(spark, [(i, " ".join(t)) for i, t in enumerate(docs)], "doc_id long, text string")
+    bench = table(spark, [(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(frame, bench).collect()}
+    assert got <= want and len(got) >= 0.97 * len(want) and {(d, d) for d in range(len(items))} <= got
+
+
+def test_leaks_in_blocks_of_items(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "ITEMS", 3)
+    rnd = random.Random(4)
+    items = [[f"w{rnd.randrange(300)}" for _ in range(20)] for _ in range(8)]
+    docs = [(i, " ".join([f"w{rnd.randrange(300)}" for _ in range(40)] + items[i % 8])) for i in range(16)]
+    bench = table(spark, [(i, " ".join(t)) for i, t in enumerate(items)] + [(0, " ".join(items[0])), (None, None)], "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id) for r in decontaminate.leaks(table(spark, docs, "doc_id long, text string"), bench).collect())
+    assert got == sorted([(i, i % 8) for i in range(16)] + [(0, 0), (8, 0)])
+
+
+def test_severe_counts_words():
+    """Three short strong words make a document severe, one long word with its beginnings doesn't."""
+    texts = [b"vile bad ugly x", b"horrendously y", b"fine words here"] * 60
+    doc, ids = toxicity.word_features(texts)
+    rows = [ids[doc == i] for i in range(len(texts))]
+    y = np.array([1, 1, 0] * 60)
+    assert toxicity.severe(rows, y).tolist() == [1, 0, 0] * 60
+
+
 def test_lcs():
     rnd = random.Random(2)
     for _ in range(50):
