@@ -60,7 +60,8 @@ def _star(edges: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """links (u, v) to (node, label): label is the smallest node reachable. Nodes without links are left out. Each round is a written table."""
+    """links (u, v) to (node, label): label is the smallest node reachable. Nodes without links are left out. Each round is a written table, and so
+    is the result, so that Spark can split joins with it."""
     edges, before = links.select("u", "v").where("u != v"), None
     while True:
         edges = U.written(_star(edges))
@@ -69,4 +70,4 @@ def components(links: DataFrame) -> DataFrame:
             break
         before = now
     labels = edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
-    return labels.union(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+    return U.written(labels.union(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()))

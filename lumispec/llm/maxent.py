@@ -124,7 +124,7 @@ class Reader:
         ends = np.cumsum(np.fromiter(map(len, model.listed), np.int64, self.n))
         buffer, begin = b"".join(model.listed), np.append(0, ends[:-1])[: self.n]
         self.table = U.HashTable(U.hash_spans(buffer, begin, ends))
-        self.end = model.listed.index(END) if END in model.listed else -1
+        self.end = model.listed.index(END)
         self.cls = np.concatenate([model.head_class, HEAD_CLASSES + _tail_classes(buffer, begin, ends)[self.head :]])
         s = np.arange(self.symbols, dtype=np.uint64)
         self.rows = [(U.mix64(s + np.uint64(k << 32)) >> np.uint64(64 - ROW_BITS)).astype(np.int64) for k in (1, 3, 4)]
@@ -139,7 +139,7 @@ class Reader:
         rare = np.flatnonzero(found == self.n)
         cls[rare] = HEAD_CLASSES + _tail_classes(words.buffer, words.begin[rare], words.end[rare])
         doc = np.repeat(np.arange(len(texts)), words.counts + 1)
-        word, of = np.full(len(doc), self.end if self.end >= 0 else self.n), np.full(len(doc), self.cls[self.end] if self.end >= 0 else HEAD_CLASSES + tail_classes([END])[0])
+        word, of = np.full(len(doc), self.end), np.full(len(doc), self.cls[self.end])
         place = np.arange(len(words)) + words.text
         word[place], of[place] = found, cls
         return doc, word, of, Rare(words, rare, h[rare], words.text[rare], cls[rare])
@@ -311,12 +311,13 @@ def fit(train: DataFrame) -> tuple[Model, DataFrame]:
     counts = U.written(count_tokens(train))
     total, distinct = counts.agg(F.sum("c"), F.count("*")).first()
     top = counts.where(F.octet_length("word") <= LONGEST).orderBy(F.desc("c"), "word").limit(LISTED).toArrow()
-    listed = top["word"].to_pylist()
-    model = Model(listed, top["c"].to_numpy().astype(np.int64), int(total or 0), int(distinct), np.zeros(0, np.int64), np.zeros(TAIL_CLASSES), np.ones(TAIL_CLASSES))
+    listed, numbers = top["word"].to_pylist(), top["c"].to_numpy().astype(np.int64)
+    if END not in listed:  # rarer than all of these, or never seen
+        listed, numbers = [*listed, END], np.append(numbers, [(counts.where(F.octet_length("word") == 0).first() or (END, 0))[1]])
+    model = Model(listed, numbers, int(total or 0), int(distinct), np.zeros(0, np.int64), np.zeros(TAIL_CLASSES), np.ones(TAIL_CLASSES))
     head = min(HEAD, len(listed))
     model.head_class = np.zeros(head, np.int64)
-    if head:
-        model.head_class = find_classes(model, train)
+    model.head_class = find_classes(model, train)
 
     frequent = set(listed[:head])
 
@@ -334,10 +335,7 @@ def fit(train: DataFrame) -> tuple[Model, DataFrame]:
     pairs = np.zeros((CLASSES + 1, head))
     for k in range(ROUNDS):
         train_round(model, train.where(F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)) == k), pairs)
-    if head:
-        model.within = fit_within(model, pairs)
-    else:
-        model.within = np.zeros((CLASSES + 1, 0), np.float32)
+    model.within = fit_within(model, pairs)
     return model, counts
 
 
@@ -354,8 +352,8 @@ def score_documents(docs: DataFrame, model: Model, counts: DataFrame) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(model)
-        base = np.log10(model.counts + 0.5) if n_listed else np.zeros(0)
-        tail_known = np.array([x[1] for x in known_unseen])
+        base = np.log10(model.counts + 0.5)
+        tail_known, tail_unseen = (np.array([x[k] for x in known_unseen]) for k in (1, 2))
         count_log = np.log10(np.maximum(model.counts, 1))
         for part in U.slices(batches, "text"):
             doc, word, cls, rare = reader.read(U.byte_texts(part))
@@ -370,11 +368,11 @@ def score_documents(docs: DataFrame, model: Model, counts: DataFrame) -> DataFra
             log /= LOG10
             listed = np.flatnonzero(word < n_listed)
             tail = listed[word[listed] >= head]
-            log[tail] += tail_known[cls[tail] - HEAD_CLASSES] + count_log[word[tail]]
+            log[tail] += np.where(model.counts[word[tail]] > 0, tail_known[cls[tail] - HEAD_CLASSES] + count_log[word[tail]], tail_unseen[cls[tail] - HEAD_CLASSES])
             n = len(part)
             yield pa.RecordBatch.from_arrays([
                 part.column(0), part.column(1), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int32()), pa.array(np.bincount(doc, minlength=n)),
-                pa.array(np.bincount(doc[listed], minlength=n)), pa.array(np.bincount(doc[listed], base[word[listed]], n).astype(np.float64)), pa.array(np.bincount(doc, log, n)),
+                pa.array(np.bincount(doc[listed[model.counts[word[listed]] > 0]], minlength=n)), pa.array(np.bincount(doc[listed], base[word[listed]], n).astype(np.float64)), pa.array(np.bincount(doc, log, n)),
             ], names=names)
             if len(rare.at):
                 which, times = rare.distinct()

@@ -270,9 +270,9 @@ def _prefixes(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     rarity, so that what a large group has in common is in few of these prefixes; a node with so many n-grams of its own that no other can reach
     the bound has none."""
     grams = U.written(sets.join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"]).select("node", "grams").mapInArrow(_grams, "gram long, node long"))
-    df = grams.groupBy("gram").agg(F.count("*").alias("df"))
+    df = U.written(grams.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1"))  # a table, so that Spark can split the join
     first = (F.col("n") - _least_overlap(percent) + 1).cast("int")
-    ordered = grams.join(df.where("df > 1"), "gram").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("grams"))
+    ordered = grams.join(df, "gram").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("grams"))
     shared = F.size("grams")
     left = nodes.join(ordered, "node").withColumn("own", F.col("n").cast("int") - shared).withColumn("left", first - F.col("own")).where("left > 0")
     # rest: the n-grams from this one on
@@ -280,7 +280,7 @@ def _prefixes(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     prefix = U.written(prefix)
     each = prefix.groupBy("gram", "label").agg(F.count("*").alias("c"))
     several = each.groupBy("gram").agg(F.count("*").alias("labels"), F.sum("c").alias("m"), F.max_by("label", F.struct("c", "label")).alias("major"), F.max("c").alias("of_major"))
-    return U.written(prefix.join(several.where("labels > 1").drop("labels"), "gram"))
+    return U.written(prefix.join(U.written(several.where("labels > 1").drop("labels")), "gram"))
 
 
 def _prefix_pairs(prefix: DataFrame, percent: int) -> DataFrame:
@@ -369,7 +369,7 @@ def link_documents(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFr
 
     U.give_back()  # plans of the rounds
     labelled = owners.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = labelled.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("least"))
+    least = U.written(labelled.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("least")))
     out = labelled.join(least, "label", "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
