@@ -174,6 +174,7 @@ def find_classes(model: Model, docs: DataFrame) -> np.ndarray:
     documents. The end of a text has a class of its own."""
     head = min(HEAD, len(model.listed))
     other = max(head, CONTEXTS)
+    model.head_class = np.zeros(head, np.int64)  # not known yet
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, near = Reader(model), np.zeros(head * CONTEXTS, np.int64)
@@ -316,7 +317,6 @@ def fit(train: DataFrame) -> tuple[Model, DataFrame]:
         listed, numbers = [*listed, END], np.append(numbers, [(counts.where(F.octet_length("word") == 0).first() or (END, 0))[1]])
     model = Model(listed, numbers, int(total or 0), int(distinct), np.zeros(0, np.int64), np.zeros(TAIL_CLASSES), np.ones(TAIL_CLASSES))
     head = min(HEAD, len(listed))
-    model.head_class = np.zeros(head, np.int64)
     model.head_class = find_classes(model, train)
 
     frequent = set(listed[:head])
