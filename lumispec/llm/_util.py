@@ -106,15 +106,15 @@ def ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     return np.repeat(starts - before, lens) + np.arange(total)
 
 
-def mix64(x: np.ndarray) -> np.ndarray:
+def mix64(x: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
     """A bijective 64-bit finaliser (multiply and xor-shift)."""
-    x = x.astype(np.uint64, copy=True)
-    x ^= x >> np.uint64(30)
-    x *= np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(27)
-    x *= np.uint64(0x94D049BB133111EB)
-    x ^= x >> np.uint64(31)
-    return x
+    x = x.astype(np.uint64, copy=True) if out is None else out
+    t = x >> np.uint64(30)
+    for factor, shift in ((0xBF58476D1CE4E5B9, 27), (0x94D049BB133111EB, 31)):
+        np.bitwise_xor(x, t, out=x)
+        np.multiply(x, np.uint64(factor), out=x)
+        np.right_shift(x, np.uint64(shift), out=t)
+    return np.bitwise_xor(x, t, out=x)
 
 
 #: bytes.translate table that lower-cases A-Z alone.
@@ -187,11 +187,14 @@ def hash_spans(buffer: bytes, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     padded = buffer + bytes(8)
     eight = np.ndarray(len(buffer) + 1, "<u8", padded, 0, (1,))  # the eight bytes from each place on
     size = end - begin
-    h = eight[begin] & _LOW_BYTES[np.minimum(size, 8)]
-    h = mix64(mix64(h) + size.astype(np.uint64))
+    h = eight[begin] & _LOW_BYTES.take(np.minimum(size, 8))
+    h *= np.uint64(0x9E3779B97F4A7C15)
+    h += size.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    h = mix64(h, out=h)
     more, at = np.flatnonzero((size > 8) & (size <= LONG_WORD)), 8
     while len(more):
-        h[more] = mix64(h[more] + mix64(eight[begin[more] + at] & _LOW_BYTES[np.minimum(size[more] - at, 8)]) * np.uint64(0x9E3779B97F4A7C15))
+        own = (eight[begin[more] + at] & _LOW_BYTES.take(np.minimum(size[more] - at, 8))) * np.uint64(0x9E3779B97F4A7C15)
+        h[more] = mix64(own + mix64(h[more]))
         at += 8
         more = more[size[more] > at]
     if len(long := np.flatnonzero(size > LONG_WORD)):

@@ -6,7 +6,7 @@ class of frequent words, a softmax over each word and its pairing with the class
 words never seen (one event). So the probabilities of a token's V + 1 events add up to no more than 1.
 
 Counts cover all training tokens. The weights are trained by rounds of distributed gradient updates: each task goes through its documents in
-batches with its own AdaGrad steps, and the rows of weights are averaged by how often each task used them. Scores are sums of log10
+batches with its own AdaGrad steps (one rate for each row of weights), and the rows of weights are averaged by how often each task used them. Scores are sums of log10
 probabilities, worked out for batches of tokens in numpy. Words beyond a bounded list of frequent ones get their counts by a join.
 """
 
@@ -35,6 +35,8 @@ ROUNDS, BATCH, RATE = 2, 2048, 0.15
 CONTEXTS = 256
 #: Rows of weights, or of counts of context words, that travel as one.
 BLOCK = 256
+#: Batch rows of one feature that are added one by one; those beyond are added by reduceat, which is slow where sums are many and short.
+SHORT = 12
 END = b""  # no word is empty
 LOG10 = math.log(10)
 
@@ -169,6 +171,23 @@ def _logits(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarr
     return z
 
 
+def row_sums(g: np.ndarray, of: np.ndarray, heads: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of the rows g[of[head : head + size]], for heads in order of falling size: the first row of all sums, then the second of those that have
+    one, and so on."""
+    out = g.take(of[heads], 0)
+    falling = -sizes
+    for k in range(1, SHORT):
+        n = int(np.searchsorted(falling, -k))  # sizes beyond k
+        if not n:
+            return out
+        out[:n] += g.take(of[heads[:n] + k], 0)
+    n = int(np.searchsorted(falling, -SHORT))
+    if n:
+        rest = sizes[:n] - SHORT
+        out[:n] += np.add.reduceat(g.take(of[U.ragged(heads[:n] + SHORT, rest)], 0), np.cumsum(rest) - rest, axis=0)
+    return out
+
+
 def find_classes(model: Model, docs: DataFrame) -> np.ndarray:
     """Classes of the head words: k-means of the leading singular vectors of their positive mutual information with the words around them, in all
     documents. The end of a text has a class of its own."""
@@ -181,11 +200,13 @@ def find_classes(model: Model, docs: DataFrame) -> np.ndarray:
         for part in U.slices(batches, "text"):
             doc, word, _, _ = reader.read(U.byte_texts(part))
             word[word >= head], cells = other, []
+            frequent = np.flatnonzero(word < CONTEXTS)
             for k in (1, 2, 3):
-                a, b, same = word[:-k], word[k:], doc[:-k] == doc[k:]
-                for x, y in ((a, b), (b, a)):
-                    use = same & (x < head) & (y < CONTEXTS)
-                    cells.append(x[use] * CONTEXTS + y[use])
+                for side in (-k, k):
+                    y = frequent[(frequent + side >= 0) & (frequent + side < len(word))]
+                    x = y + side
+                    use = (doc[x] == doc[y]) & (word[x] < head)
+                    cells.append(word[x[use]] * CONTEXTS + word[y[use]])
             near += np.bincount(np.concatenate(cells), minlength=len(near))
         step = BLOCK * CONTEXTS
         some = [(k, x.tobytes()) for k in range(-(-head // BLOCK)) if (x := near[k * step : (k + 1) * step]).any()]
@@ -228,7 +249,7 @@ def train_round(model: Model, docs: DataFrame, within: np.ndarray) -> None:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(model)
         w, b = model.weights.copy(), model.bias.copy()
-        square, square_b, used = np.full(w.shape, 1e-2, np.float32), np.full(b.shape, 1e-2, np.float32), np.zeros(ROWS, np.float32)
+        square, square_b, used = np.full(ROWS, 1e-2, np.float32), np.full(b.shape, 1e-2, np.float32), np.zeros(ROWS, np.float32)
         pairs, n = np.zeros((CLASSES + 1) * head, np.float32), 0
         for part in U.slices(batches, "text"):
             doc, word, cls, _ = reader.read(U.byte_texts(part))
@@ -245,16 +266,16 @@ def train_round(model: Model, docs: DataFrame, within: np.ndarray) -> None:
                 order = np.argsort(flat.astype(np.uint16), kind="stable")  # ROW_BITS are fewer than 16, which sort fast
                 flat = flat[order]
                 heads = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
+                sizes = np.diff(np.append(heads, len(flat)))
+                falling = np.argsort(-sizes.astype(np.int16), kind="stable")
+                heads, sizes = heads[falling], sizes[falling]
                 touched = flat[heads]
-                slope = np.add.reduceat(g.take(order % len(y), 0), heads, axis=0)
-                total = square.take(touched, 0)
-                total += slope * slope
-                square[touched] = total
-                move = np.divide(slope, np.sqrt(total, out=total), out=total)
-                move *= np.float32(-RATE)
-                move += w.take(touched, 0)
-                w[touched] = move
-                used[touched] += np.diff(np.append(heads, len(flat)))
+                slope = row_sums(g, order % len(y), heads, sizes)
+                square[touched] += np.einsum("ij,ij->i", slope, slope) / CLASSES
+                slope *= (-RATE / np.sqrt(square[touched]))[:, None]
+                slope += w.take(touched, 0)
+                w[touched] = slope
+                used[touched] += sizes
                 slope = g.sum(0)
                 square_b += slope * slope
                 b -= RATE * slope / np.sqrt(square_b)
