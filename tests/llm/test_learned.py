@@ -243,6 +243,15 @@ def test_language_model_trains_on_all_tokens(spark):
         assert np.abs(model.weights[np.unique(rows)]).sum(1).min() > 0
 
 
+def test_row_sums():
+    rng = np.random.default_rng(1)
+    sizes = -np.sort(-np.concatenate([rng.integers(1, 60, 50), np.ones(200, np.int64)]))
+    of, g = rng.integers(0, 500, sizes.sum()), rng.normal(size=(500, 7))
+    heads = np.cumsum(sizes) - sizes
+    want = [g[of[h : h + n]].sum(0) for h, n in zip(heads, sizes)]
+    assert np.abs(maxent.row_sums(g, of, heads, sizes) - want).max() < 1e-9
+
+
 def test_language_model_classes_see_all_documents(spark):
     """Which documents hold a word must not matter for its class, as a sample of documents would make it."""
     rnd = random.Random(9)
