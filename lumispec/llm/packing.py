@@ -12,25 +12,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import _util as U
+from ._util import ragged
 
 BUCKETS, BUDGET = 8, 65_536
-#: Lengths up to which each is a possible boundary; beyond, boundaries lie STEPS to an octave, which bounds what the driver gathers.
-EXACT, STEPS = 4096, 64
-#: Documents of a bucket's shard, which one task numbers.
+#: Documents that one task numbers, about.
 SHARD_ROWS = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def grid(length):
-    """The least possible boundary that holds a length (a column)."""
-    octave = F.floor(F.log2((length - 1) / EXACT))
-    step = F.greatest(F.lit(1), (F.lit(EXACT) * F.pow(2, octave) / STEPS)).cast("long")
-    return F.when(length <= EXACT, length.cast("long")).otherwise(F.ceil(length / step).cast("long") * step)
-
-
 def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
     """At most `buckets` of the lengths (ascending) as boundaries, the largest among them, so that the sum of each document's boundary is least.
-    Of equal solutions, the one whose last buckets begin at the least lengths."""
+    Of equal solutions, the one whose last buckets begin at the least lengths.
+
+    The best last cut grows with the length (the cost of a bucket is concave in its ends), so that each round halves the lengths that are left
+    between lengths whose cuts are known: n log n steps for n lengths and each bucket.
+    """
     n = len(lengths)
     if not n:
         return []
@@ -39,11 +35,22 @@ def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[in
     cuts = []
     for _ in range(1, min(buckets, n)):
         new, cut = cost.copy(), np.full(n, -1)
-        for j in range(1, n):
-            each = cost[:j] + lengths[j] * (before[j + 1] - before[1 : j + 1])
-            i = int(each.argmin())
-            if each[i] < new[j]:
-                new[j], cut[j] = each[i], i
+        low, high = np.array([1]), np.array([n - 1])  # spans of lengths, and of their possible cuts
+        first, last = np.array([0]), np.array([n - 2])
+        while len(low):
+            mid = (low + high) // 2
+            sizes = np.minimum(last, mid - 1) - first + 1
+            heads = np.cumsum(sizes) - sizes
+            i, j = ragged(first, sizes), np.repeat(mid, sizes)
+            each = cost[i] + lengths[j] * (before[j + 1] - before[i + 1])
+            least = np.minimum.reduceat(each, heads)
+            hits = np.flatnonzero(each == np.repeat(least, sizes))
+            best = i[hits[np.searchsorted(hits, heads)]]
+            better = least < new[mid]
+            new[mid[better]], cut[mid[better]] = least[better], best[better]
+            low, high, first, last = (np.concatenate(x) for x in ((low, mid + 1), (mid - 1, high), (first, best), (best, last)))
+            some = low <= high
+            low, high, first, last = low[some], high[some], first[some], last[some]
         cuts.append(cut)
         cost = new
     out, j = [int(lengths[-1])], n - 1
@@ -55,37 +62,35 @@ def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[in
 
 
 def pack(docs: DataFrame, length: str, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
-    """docs (doc_id, a length column of at least 1, more columns) with bucket (from 0), bucket_length, batch and slot.
+    """docs (doc_id, a length column, more columns) with bucket (from 0), bucket_length, batch and slot.
 
-    batch numbers the bucket's batches in ascending doc_id (nulls first, equal ids by length); slot is the row within its batch. A document
-    longer than the budget is a batch of its own. Columns of these names are replaced. An empty table gives none.
+    batch numbers the bucket's batches in ascending doc_id (nulls first, equal ids by length, equal rows in any order); slot is the row within its
+    batch. A document longer than the budget is a batch of its own; a null length, or one below 1, counts as 1. Columns of these names are
+    replaced, others pass through, whatever their names. An empty table gives none. The driver gathers one count for each distinct length.
     """
-    held = docs.drop("bucket", "bucket_length", "batch", "slot").withColumn("_grid", grid(F.col(length)))
-    histogram = held.groupBy("_grid").count().toPandas().sort_values("_grid")
-    cuts = boundaries(histogram["_grid"].to_numpy(), histogram["count"].to_numpy(), buckets)
-    rows = int(histogram["count"].sum())
-    low, high = held.agg(F.min("doc_id"), F.max("doc_id")).first()
-    # shards of ascending doc_id, so that a hot bucket is numbered by many tasks
-    shards = max(1, -(-rows // SHARD_ROWS) * len(cuts))
-    shard = F.coalesce(F.width_bucket("doc_id", F.lit(low or 0).cast("double"), F.lit((high or 0) + 1).cast("double"), F.lit(shards)), F.lit(0)) if low is not None else F.lit(0)
+    own = [c for c in docs.columns if c not in ("bucket", "bucket_length", "batch", "slot")]
+    row = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(own))).alias("row")
+    held = docs.select(row, F.col("doc_id").alias("id"), F.greatest(F.coalesce(F.col(f"`{length}`"), F.lit(1)), F.lit(1)).cast("long").alias("length"))
+    histogram = held.groupBy("length").count().toPandas().sort_values("length")
+    cuts = boundaries(histogram["length"].to_numpy(), histogram["count"].to_numpy(), buckets) or [1]
+    shards = max(1, -(-int(histogram["count"].sum()) // SHARD_ROWS))
     number = F.lit(0)
     for k, cut in enumerate(cuts[:-1]):
-        number = F.when(F.col("_grid") > cut, F.lit(k + 1)).otherwise(number) if k else F.when(F.col("_grid") > cut, 1).otherwise(0)
-    sizes = F.array(*[F.lit(c).cast("long") for c in cuts] or [F.lit(1).cast("long")])
-    held = held.withColumn("bucket", number.cast("int")).withColumn("_shard", shard.cast("long"))
-    held = held.withColumn("bucket_length", F.element_at(sizes, F.col("bucket") + 1))
-    counts = held.groupBy("bucket", "_shard").count()
-    before = counts.select("bucket", "_shard", (F.sum("count").over(Window.partitionBy("bucket").orderBy("_shard")) - F.col("count")).alias("_before"))
-    place = F.row_number().over(Window.partitionBy("bucket", "_shard").orderBy("doc_id", length)) - 1
-    numbered = held.withColumn("_at", place).join(before, ["bucket", "_shard"]).withColumn("_at", F.col("_at") + F.col("_before"))
+        number = F.when(F.col("length") > cut, k + 1).otherwise(number)
+    held = held.withColumn("bucket", number.cast("int")).withColumn("bucket_length", F.element_at(F.array(*(F.lit(c).cast("long") for c in cuts)), F.col("bucket") + 1))
+    # ranges of ascending doc_id with about as many rows each; a table, as each row's range must not change
+    held = U.written(held.repartitionByRange(shards, "id", "length").withColumn("shard", F.spark_partition_id()))
+    counts = held.groupBy("bucket", "shard").count()
+    before = counts.select("bucket", "shard", (F.sum("count").over(Window.partitionBy("bucket").orderBy("shard")) - F.col("count")).alias("before"))
+    place = F.row_number().over(Window.partitionBy("bucket", "shard").orderBy("id", "length")) - 1
+    numbered = held.withColumn("place", place).join(before, ["bucket", "shard"]).withColumn("place", F.col("place") + F.col("before"))
     per = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.col("bucket_length")))
-    out = numbered.withColumn("batch", F.floor(F.col("_at") / per)).withColumn("slot", F.col("_at") % per)
-    return out.select(*(c for c in held.columns if c not in ("_grid", "_shard", "bucket", "bucket_length")), "bucket", "bucket_length", "batch", "slot")
+    return numbered.select(*(F.col(f"row.c{i}").alias(c) for i, c in enumerate(own)), "bucket", "bucket_length", F.floor(F.col("place") / per).alias("batch"), (F.col("place") % per).alias("slot"))
 
 
 def word_lengths(docs: DataFrame) -> DataFrame:
-    """doc_id and n_tokens: the words of the whole text, and one end."""
-    return docs.select("doc_id", (F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)) + 1).cast("long").alias("n_tokens"))
+    """doc_id and n_tokens, written once: the words of the whole text, and one end. Null and empty texts have the end alone."""
+    return U.written(docs.select("doc_id", (F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)) + 1).cast("long").alias("n_tokens")))
 
 
 def op6_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,10 +100,9 @@ def op6_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def oracle(documents: str = "documents", buckets: int = BUCKETS, budget: int = BUDGET) -> str:
     """DuckDB SQL for op6: the dynamic programme as a chain of joins, one for each bucket more."""
-    step = f"CAST({EXACT} * pow(2, floor(log2((n_tokens - 1) / CAST({EXACT} AS DOUBLE)))) / {STEPS} AS BIGINT)"
     parts = [
         rf"n AS (SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) + 1 AS BIGINT) AS n_tokens FROM {documents})",
-        f"g AS (SELECT doc_id, n_tokens, CASE WHEN n_tokens <= {EXACT} THEN n_tokens ELSE CAST(ceil(n_tokens / CAST({step} AS DOUBLE)) AS BIGINT) * {step} END AS v FROM n)",
+        "g AS (SELECT doc_id, n_tokens, n_tokens AS v FROM n)",
         "h AS (SELECT v, row_number() OVER (ORDER BY v) AS j, sum(count(*)) OVER (ORDER BY v) AS c FROM g GROUP BY v)",
         "f1 AS (SELECT j, v, c, v * c AS cost, CAST(NULL AS BIGINT) AS cut FROM h)",
     ]
