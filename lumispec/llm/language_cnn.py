@@ -21,6 +21,7 @@ WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 16
 STRIDE = WINDOW - max(WIDTHS) + 1
 #: About so many documents of each language are learnt from, and so many windows of each.
 PER_LANGUAGE, WINDOWS = 800, 3
+LANGUAGES = 10_000
 EPOCHS, BATCH, RATE = 6, 64, 0.01
 UNKNOWN = "und"
 
@@ -135,7 +136,7 @@ def has_letter(text: bytes) -> bool:
 
 
 def _training_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """WINDOWS windows of each text, spread evenly over it."""
+    """WINDOWS windows of each text, spread evenly from its beginning to its end."""
     for part in U.slices(batches, "text"):
         langs, windows = [], []
         for lang, text in zip(part.column(0).to_pylist(), U.byte_texts(part), strict=True):
@@ -143,17 +144,18 @@ def _training_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
                 last = max(0, len(text) - WINDOW)
                 for k in range(WINDOWS if last else 1):
                     langs.append(lang)
-                    windows.append(text[last * k // WINDOWS :][:WINDOW].ljust(WINDOW, b"\0"))
+                    windows.append(text[last * k // (WINDOWS - 1) :][:WINDOW].ljust(WINDOW, b"\0"))
         yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(windows, pa.binary())], names=["lang", "window"])
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> ByteCNN:
     """Trains on docs (doc_id, text, lang), rows with a null lang or text left out: about per_language documents of each language, chosen by
-    xxhash64(doc_id), give windows to the driver. The number of languages is taken to be small."""
+    xxhash64(doc_id), give windows to the driver. A table of languages up to LANGUAGES is broadcast; rows that share a doc_id are chosen together."""
     known = docs.where("lang is not null and text is not null").select("doc_id", "lang", "text")
     counts = known.groupBy("lang").count()
     share = (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)) < per_language / F.col("count")
-    found = known.join(F.broadcast(counts), "lang").where(share).select("lang", "text").mapInArrow(_training_windows, "lang string, window binary").toArrow()
+    few = counts.limit(LANGUAGES + 1).count() <= LANGUAGES
+    found = known.join(F.broadcast(counts) if few else counts, "lang").where(share).select("lang", "text").mapInArrow(_training_windows, "lang string, window binary").toArrow()
     found = found.sort_by([("lang", "ascending"), ("window", "ascending")])
     langs = found["lang"].to_pylist()
     model = ByteCNN(sorted(set(langs)) or [UNKNOWN])
@@ -167,7 +169,8 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> ByteCNN:
 def identify(docs: DataFrame, model: ByteCNN) -> DataFrame:
     """docs (text and more columns) with lang_pred and score, its probability; `und` and 0 for a text that is null or has no letter.
 
-    Whole texts are read. Other columns pass through; those named lang_pred or score are replaced. A model that has seen one language or none
+    Whole texts are read, however long; repeated rows have equal answers, and of equally likely languages the first by name counts. An empty table
+    gives none. Other columns pass through; those named lang_pred or score are replaced. A model that has seen one language or none
     answers with it, or with `und`.
     """
     held = docs.drop("lang_pred", "score")
