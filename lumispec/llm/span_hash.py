@@ -95,8 +95,11 @@ def equal_spans(a: PrefixHash, i: int, b: PrefixHash, j: int, width: int) -> boo
 
 
 def longest_common_extension(a: PrefixHash, i: int, b: PrefixHash, j: int) -> int:
-    """The most code points in which a from i and b from j agree, by binary search over span equality."""
-    low, high = 0, min(a.n - i, b.n - j)
+    """The most code points in which a from i and b from j agree, by binary search over span equality, below the first power of two that is too many."""
+    low, high, step = 0, min(a.n - i, b.n - j), 1
+    while step < high and equal_spans(a, i, b, j, step):
+        low, step = step, 2 * step
+    high = min(high, step)
     while low < high:
         mid = (low + high + 1) // 2
         low, high = (mid, high) if equal_spans(a, i, b, j, mid) else (low, mid - 1)
@@ -158,12 +161,15 @@ def _edited(doc: _Doc, after: _Doc) -> tuple[str, str]:
 
 def _result(doc: _Doc, after: _Doc) -> tuple:
     text, edited = _edited(doc, after)
-    return doc.id, doc.hashes.n, hashlib.sha256(text.encode("utf-8", "replace")).hexdigest(), doc.print, edited, likeness(doc.print, edited), likeness(doc.print, after.print)
+    n, half = doc.hashes.n, doc.hashes.n // 2
+    common = longest_common_extension(doc.hashes, 0, after.hashes, 0)
+    kept = n - half + longest_common_extension(doc.hashes, n - half, after.hashes, 0)
+    return doc.id, doc.hashes.n, hashlib.sha256(text.encode("utf-8", "replace")).hexdigest(), doc.print, edited, likeness(doc.print, edited), likeness(doc.print, after.print), kept, common
 
 
-RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, common_edited long, common_next long"
 _NAMES = [x.split()[0] for x in RESULT.split(", ")]
-_KINDS = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+_KINDS = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
 #: Text bytes of a range partition.
 PART_BYTES = 24 << 20
 
@@ -173,13 +179,16 @@ def _texts(batch: pa.RecordBatch, column: str) -> list[str]:
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
-    """One row a document of docs (doc_id, text): its fingerprint, and how like it is to the next document and to the edited text.
+    """One row a document of docs (doc_id, text): its fingerprint, how like it is to those of the edited text and of the next document (near_*), and
+    how many code points it has in common with either from the beginning (common_*, longest common extensions).
 
     The order is ascending doc_id (nulls first, equal ids by text), the last document's next is the first. Null texts count as empty; an empty
-    table gives none. The text is shuffled once, by ranges of doc_id. Each range's first and last text, one of each for a partition, meet in a
-    small join.
+    table gives none; repeated rows follow each other. Very long texts are hashed whole, in about 100 bytes a code point. Other columns are
+    ignored, whatever their names. The text is shuffled once, by ranges of doc_id and, among equal ids, of text. Each range's first and last text,
+    one of each for a partition, meet in a small join.
     """
-    ordered = docs.select("doc_id", "text").repartitionByRange(U.partitions_for(docs, "text", PART_BYTES), "doc_id").sortWithinPartitions("doc_id", "text")
+    start = F.substring("text", 1, 64)  # parts rows of one doc_id, or of none, without reading texts twice
+    ordered = docs.select("doc_id", "text").repartitionByRange(U.partitions_for(docs, "text", PART_BYTES), F.col("doc_id"), start).sortWithinPartitions("doc_id", "text")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before, done, edge = TaskContext.get().partitionId(), None, [], []
@@ -195,14 +204,14 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
             for doc_id, text in zip(ids, _texts(piece, "text"), strict=True):
                 doc = _Doc(doc_id, text)
                 if before is None:
-                    edge.append((1, part, text, doc_id, *[None] * 6))
+                    edge.append((1, part, text, doc_id, *[None] * 8))
                 else:
                     done.append(_result(before, doc))
                 before = doc
             if done or edge:
                 yield batch()
         if before is not None:
-            edge.append((2, part, before.text, before.id, *[None] * 6))
+            edge.append((2, part, before.text, before.id, *[None] * 8))
             yield batch()
 
     found = U.written(ordered.mapInArrow(rows, f"kind int, part int, text string, {RESULT}"))
