@@ -216,7 +216,8 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, end_id: i
     An empty table makes an empty set of files. Other columns are ignored. The text is shuffled once.
     """
     parts = U.partitions_for(docs, "text", file_bytes)
-    ordered = docs.select("doc_id", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    start = F.substring("text", 1, 64)  # parts rows of one doc_id, or of none
+    ordered = docs.select("doc_id", "text").repartitionByRange(parts, F.col("doc_id"), start).sortWithinPartitions("doc_id", "text")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, file, block, start = encoder(tokenizer_path, end_id, whole), TaskContext.get().partitionId(), 0, 0
