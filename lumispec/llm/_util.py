@@ -13,8 +13,6 @@ import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-pa.set_memory_pool(pa.system_memory_pool())  # gives memory back between batches, where others keep it
-
 #: Text bytes that a Python worker handles at once; a single longer text is handled alone.
 CHUNK_BYTES = 1 << 20
 #: Rows of an Arrow batch; Spark's own number is meant for narrow rows.
@@ -34,9 +32,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); one of our own only where none is set."""
+    """The folder that driver and executors share (spark.checkpoint.dir). Where none is set, a local session gets one of our own; a cluster must have
+    one."""
     conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not conf:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         conf = tempfile.mkdtemp(prefix="lumispec-")
         spark.sparkContext.setCheckpointDir(conf)
     return conf.rstrip("/")
@@ -54,15 +55,33 @@ def give_back() -> None:
         pass
 
 
+#: Paths of the tables that written() has made and drop_tables() hasn't deleted.
+_TABLES: list[str] = []
+
+
 def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """df as a table written in the shared folder: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     small_batches(spark)
     path = f"{shared_dir(spark)}/lumispec-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
+    _TABLES.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tables() -> list[str]:
+    return list(_TABLES)
+
+
+def drop_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes written tables that nothing reads any more."""
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        _TABLES.remove(path)
+
+
 def remainder5(doc_id: Column) -> Column:
     """crc32 of the id's decimal text, mod 5; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5
@@ -77,6 +96,7 @@ def partitions_for(df: DataFrame, column: str, target_bytes: int) -> int:
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES, size: Callable[[bytes], int] | None = None) -> Iterator[pa.RecordBatch]:
     """Cuts record batches so that a column's bytes (or what `size` makes of them) stay within limit, or the slice is one row. What the worker's last
     task has freed goes back to the system first."""
+    pa.set_memory_pool(pa.system_memory_pool())  # the worker's: gives memory back between batches, where others keep it
     give_back()
     for batch in batches:
         k = batch.schema.get_field_index(column)

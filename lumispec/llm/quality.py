@@ -80,11 +80,12 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def bounded_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int) -> DataFrame:
-    """label and text of at most `limit` labelled documents of docs (doc_id, text): those of least xxhash64(doc_id). labels: one row counts for
-    each doc_id, the one of the least label."""
+    """label and text of at most `limit` labelled documents of docs (doc_id, text): those of least xxhash64(doc_id). One row counts for each doc_id,
+    of labels that of the least label, of docs the least text."""
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", "text")  # limit rows at most
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # limit rows at most
+    return found.groupBy("doc_id").agg(F.min("label").alias("label"), F.min("text").alias("text")).select("label", "text")
 
 
 class NBSVM:
@@ -137,8 +138,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int =
 
 
 def score_documents(docs: DataFrame, model: NBSVM) -> DataFrame:
-    """docs (text and more columns) with score, the probability of class 1. Null and empty texts have the score of no n-grams. Other columns pass
-    through; one named score is replaced."""
+    """docs (text and more columns) with score, the probability of class 1. Null and empty texts have the score of no n-grams; equal texts have
+    equal scores, and very long ones are read whole. An empty table gives none. Other columns pass through; one named score is replaced."""
     columns = [c for c in docs.columns if c != "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,6 +152,19 @@ def score_documents(docs: DataFrame, model: NBSVM) -> DataFrame:
     return docs.select(*columns).mapInArrow(run, ", ".join([*kinds, "score double"]))
 
 
+def keep_good(docs: DataFrame, model: NBSVM, least: float) -> DataFrame:
+    """The rows of docs (text and more columns, whatever their names) whose score is `least` or more; null and empty texts are judged by the score of
+    no n-grams, equal texts alike."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams = NGrams()
+        for part in U.slices(batches, "text"):
+            score = model.score(*grams.of(U.byte_texts(part), model.kept), len(part))
+            yield part.filter(pa.array(score >= least))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of documents: learnt from labels.quality of the rows that aren't held out."""
     docs = U.table(spark, sf_dir, "documents").select("doc_id", "text")

@@ -164,7 +164,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = S
 
 def score_documents(docs: DataFrame, chain: Chain) -> DataFrame:
     """docs (text and more columns) with a probability column for each category of the chain, named p_<category>. Null and empty texts are scored
-    as texts without words. Other columns pass through; those of these names are replaced."""
+    as texts without words, equal texts equally, and very long ones over all their words. An empty table gives none. Other columns pass through;
+    those of these names are replaced."""
     added = [f"p_{name}" for name in chain.names]
     held = docs.drop(*added)
 
