@@ -1,6 +1,7 @@
 """Operators with exact results, against plain loops."""
 
 import hashlib
+import os
 import random
 import zlib
 from collections import defaultdict
@@ -229,6 +230,9 @@ def test_fingerprints(spark):
         assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
         assert (r.fingerprint, r.edited_fingerprint) == (span_hash.fingerprint(t), span_hash.fingerprint(edited))
         assert r.near_next == span_hash.likeness(span_hash.fingerprint(t), span_hash.fingerprint(after))
+        assert r.near_edited == span_hash.likeness(span_hash.fingerprint(t), span_hash.fingerprint(edited))
+        common = [len(os.path.commonprefix([t, x])) for x in (edited, after)]
+        assert [r.common_edited, r.common_next] == common
     prints = {span_hash.fingerprint(t) for t in whole}
     assert len(prints) == len(set(whole))
     assert span_hash.fingerprint_documents(documents(spark, values).limit(0)).count() == 0
@@ -306,6 +310,24 @@ def test_boundaries(buckets):
         cuts = packing.boundaries(lengths, counts, buckets)
         assert len(cuts) <= buckets and cuts == sorted(cuts) and cost(cuts) == best
     assert packing.boundaries(lengths[:0], counts[:0], 3) == []
+    lengths, counts = np.arange(1, 400) * 7, np.array([rnd.randrange(1, 90) for _ in range(399)])
+    cost, before = lengths * np.cumsum(counts), np.append(0, np.cumsum(counts))
+    for _ in range(1, buckets):  # the plain quadratic programme
+        cost = np.array([min([cost[j], *(cost[:j] + lengths[j] * (before[j + 1] - before[1 : j + 1]))]) for j in range(399)])
+    cuts = packing.boundaries(lengths, counts, buckets)
+    assert sum(int(n) * min(c for c in cuts if c >= v) for v, n in zip(lengths, counts, strict=True)) == cost[-1]
+
+
+def test_packing_odd(spark):
+    """Null lengths, names that the operator uses itself, repeated rows, and one far-off doc_id, which must not put all others into one shard."""
+    rows = [(i % 50 if i else 10**15, None if i == 3 else 5, i, "u", "v", 9) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, n long, `row` int, shard string, place string, slot int")
+    out = packing.pack(docs, "n", 2, 20)
+    assert out.columns == ["doc_id", "n", "row", "shard", "place", "bucket", "bucket_length", "batch", "slot"]
+    got = out.collect()
+    assert sorted(r["row"] for r in got) == list(range(400)) and {(r["shard"], r["place"]) for r in got} == {("u", "v")}
+    assert [(r.bucket, r.bucket_length, r.batch, r.slot) for r in got if r.n is None] == [(0, 1, 0, 0)]
+    assert len({(r.bucket, r.batch, r.slot) for r in got}) == 400 and {r.bucket_length for r in got} == {1, 5}
 
 
 def test_packing(spark, monkeypatch):
@@ -339,8 +361,6 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_sql(spark, name, tmp_path):
-    import os
-
     import duckdb
 
     if not os.path.isdir(SF):

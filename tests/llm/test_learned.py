@@ -60,6 +60,10 @@ def test_quality(spark, labelled):
     assert len(rows) == docs.count() and all(0 <= r.score <= 1 for r in rows)
     assert accuracy(rows, labels, "quality", "score", 0.3) > 0.95
     assert quality.score_documents(docs.limit(0), model).count() == 0
+    kept = quality.keep_good(docs.withColumn("score", F.lit("old")).withColumn("score_in", F.lit(2)), model, 0.3)
+    assert kept.columns == ["doc_id", "text", "score", "score_in"] and kept.count() == sum(r.score >= 0.3 for r in rows)
+    again = docs.union(docs.where("doc_id = 3")).union(docs.where("doc_id = 3").withColumn("text", F.lit("zzz")))  # one id, several rows
+    assert quality.bounded_sample(again, labels, "quality", 400).count() == quality.bounded_sample(docs, labels, "quality", 400).count() <= 400
     one = quality.fit(docs, labels.where("quality = 1"))  # one class alone
     assert {r.score for r in quality.score_documents(docs, one).collect()} == {1.0}
     none = quality.fit(docs, labels.limit(0))
@@ -121,6 +125,15 @@ def test_language(spark):
     assert {r.lang_pred for r in language_cnn.identify(docs, alone).collect()} == {"und"}
 
 
+def test_training_windows_reach_the_end():
+    import pyarrow as pa
+
+    text = "".join(chr(97 + i % 26) for i in range(2000))
+    batch = pa.RecordBatch.from_arrays([pa.array(["a", "b"]), pa.array([text, "short"])], names=["lang", "text"])
+    got = next(language_cnn._training_windows(iter([batch]))).to_pydict()
+    assert got["lang"] == ["a"] * 3 + ["b"] and got["window"][0] == text[:256].encode() and got["window"][2] == text[-256:].encode()
+
+
 def test_network_gradients_and_windows():
     texts = [b"abc", b"x" * 256, b"y" * 257, bytes(range(1, 200)) * 7]
     windows, counts = language_cnn.windows_of(texts)
