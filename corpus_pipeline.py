@@ -18,11 +18,10 @@ NEAR_WIDTH, NEAR_PERCENT = 5, 80
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of quality LEAST_QUALITY or more. The classifier learns from labels.quality of this stage's documents, but for a fifth of them."""
+    """Documents of quality LEAST_QUALITY or more. The classifier learns from labels.quality of this stage's documents, but for a fifth of them.
+    Null and empty texts are judged as texts without words, equal texts alike; columns pass through, whatever their names."""
     labels = U.table(spark, sf_dir, "labels").where(U.remainder5(F.col("doc_id")) != 0)
-    scored = quality.score_documents(docs.withColumnRenamed("score", "score_in") if "score" in docs.columns else docs, quality.fit(docs, labels))
-    kept = scored.where(F.col("score") >= LEAST_QUALITY).drop("score")
-    return kept.withColumnRenamed("score_in", "score").select(*docs.columns) if "score" in docs.columns else kept.select(*docs.columns)
+    return quality.keep_good(docs, quality.fit(docs, labels), LEAST_QUALITY)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,22 +33,20 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that smaller doc_ids hold already; those of which nothing is left go. Unchanged texts stay as they are;
-    n_chars follows a changed one."""
-    cut = substring_dedup.dedup_substrings(docs, as_they_are=True).where("n_removed = 0 or n_removed < n_words").withColumnRenamed("kept", "text")
-    if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return cut.select(*docs.columns)
+    """Documents without the passages that smaller doc_ids hold already; those of which nothing is left go. Unchanged texts stay as they are, null and
+    empty ones too; n_chars follows a changed one. Rows with one doc_id, or none, take nothing from each other."""
+    return substring_dedup.without_repeats(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item. Null and empty texts hold none; of rows with one doc_id all go if one does, and rows without doc_id
+    stay."""
     found = U.written(decontaminate.leaks(docs, U.table(spark, sf_dir, "benchmark")).select("doc_id").distinct())
     return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
 
 
 def pack_lengths(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bucket, batch and slot of each document."""
+    """Bucket, batch and slot of each document, by its words and one end; repeated and null doc_ids are rows of their own."""
     return packing.pack(packing.word_lengths(docs), "n_tokens")
 
 
@@ -66,10 +63,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written in the shared folder and read again by the next."""
+    """All stages over documents, each written in the shared folder and read again by the next. Tables that only a finished stage has read are
+    deleted."""
     docs = U.table(spark, sf_dir, "documents")
+    before: list[str] = U.tables()
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = U.written(docs)
+            U.drop_tables(spark, [path for path in U.tables()[:-1] if path not in before])
     return docs
