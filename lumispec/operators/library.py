@@ -85,6 +85,15 @@ def build_report(peaks: DataFrame, genomes: DataFrame, bin_width: int = BIN_WIDT
     return genomes.agg(F.count("*").alias("genome_count")).crossJoin(own)  # one row each
 
 
+def lookup_postings(rows: DataFrame, milli_mz: int, bin_width: int) -> DataFrame:
+    """Postings of the peak's bin; the filter reaches the scan, whose files hold ranges of bins. Nothing for a bin width of 0."""
+    return rows.where(F.col("bin_id") == milli_mz // bin_width) if bin_width > 0 else rows.limit(0)
+
+
+def lookup_peaks(peaks: DataFrame, genome_id: int) -> DataFrame:
+    return peaks.where(F.col("genome_id") == genome_id).select("local_peak_idx", "milli_mz")
+
+
 class Library:
     """A built library: Parquet tables peaks, postings and genomes, and a manifest."""
 
@@ -103,12 +112,10 @@ class Library:
     genomes = property(lambda self: self.table("genomes"))
 
     def postings_for(self, milli_mz: int) -> DataFrame:
-        """Postings of the peak's bin; the filter reaches the scan, whose files hold ranges of bins. Nothing for a bin width of 0."""
-        width = self.manifest["bin_width"]
-        return self.postings.where(F.col("bin_id") == milli_mz // width) if width > 0 else self.postings.limit(0)
+        return lookup_postings(self.postings, milli_mz, self.manifest["bin_width"])
 
     def genome_peaks(self, genome_id: int) -> DataFrame:
-        return self.peaks.where(F.col("genome_id") == genome_id).select("local_peak_idx", "milli_mz")
+        return lookup_peaks(self.peaks, genome_id)
 
     def genome_metadata(self, genome_id: int) -> DataFrame:
         return self.genomes.where(F.col("genome_id") == genome_id)

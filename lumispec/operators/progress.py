@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 def throttle(events: DataFrame, interval_us: int) -> DataFrame:
     """Events that are emitted: of the genome events of a run, the first and each that comes interval_us or more after the last one emitted; all
     others. A run's events stream by in order, so that a task holds one time stamp, however long the run."""
-    rest = events.where("stage != 'genome'")
+    rest = events.where("not (stage <=> 'genome')")
     genome = events.where("stage = 'genome'")
     if interval_us <= 0:
         return events

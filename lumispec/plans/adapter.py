@@ -40,6 +40,21 @@ def genomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("genome_id"), F.concat(F.lit("acc_"), F.col("s_suppkey").cast("string")).alias("accession"))
 
 
+def source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(ordinal, accession, peaks): the lists of m/z of all genomes, some of them empty."""
+    lists = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", (F.col("l_extendedprice") / 10).cast("double").alias("mz")))).alias("rows"))
+    rows = genomes(spark, sf_dir).join(lists, F.col("genome_id") == F.col("l_suppkey"), "left")
+    return rows.select(F.col("genome_id").cast("long").alias("ordinal"), "accession", F.coalesce(F.col("rows.mz"), F.array().cast("array<double>")).alias("peaks"))
+
+
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, query_file, content): the orders of each customer as lines of a query file."""
+    line = F.concat(F.format_string("%.4f", F.col("o_totalprice").cast("double") / 50), F.lit(" "), F.substring("o_orderpriority", 1, 1))
+    lists = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", line.alias("line")))), lambda x: x["line"]).alias("lines"))
+    name = F.concat(F.lit("q"), F.col("o_custkey").cast("string"), F.lit(".mgf"))
+    return lists.select(F.col("o_custkey").alias("query_id"), name.alias("query_file"), F.concat(F.lit("BEGIN IONS\r\nTITLE=x\n# none\n"), F.array_join("lines", "\nCOM=1 2\n\n"), F.lit("\nEND IONS\n")).alias("content"))
+
+
 def metadata(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """genes, names and taxonomy by accession; some names and taxa are left out, and some counts are negative."""
     s = table(spark, sf_dir, "supplier").withColumn("accession", F.concat(F.lit("acc_"), F.col("s_suppkey").cast("string")))

@@ -15,6 +15,7 @@ from ..operators import search as S
 from ..operators import validate as V
 from ..schemas import BIN_WIDTH, COARSE_LIMIT, PPM
 from ..sources import export as X
+from ..sources.spectra import parse_files
 from . import adapter as A
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -304,3 +305,178 @@ def error_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
     message = F.element_at(F.array(*map(F.lit, MESSAGES)), (F.col("s_suppkey") % len(MESSAGES) + 1).cast("int"))
     rows = A.table(spark, sf_dir, "supplier").select("s_suppkey", message.alias("m"))
     return rows.select("s_suppkey", E.classify_error("m", E.DATABASE_ERRORS).alias("database_error"), E.classify_error("m", E.BUILD_ERRORS).alias("build_error"))
+
+
+@query(f"{A.with_views('lib0', 'peaks')} SELECT milli_mz // {BIN_WIDTH} AS bin_id, genome_id, local_peak_idx FROM peaks WHERE milli_mz // {BIN_WIDTH} = 2500000 // {BIN_WIDTH}")
+def postings_of_peak(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The postings in the bin of one m/z."""
+    return L.lookup_postings(L.postings(A.peaks(spark, sf_dir)), 2_500_000, BIN_WIDTH)
+
+
+@query(f"{A.with_views('lib0', 'peaks')} SELECT local_peak_idx, milli_mz FROM peaks WHERE genome_id = 3")
+def peaks_of_genome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.lookup_peaks(A.peaks(spark, sf_dir), 3)
+
+
+@query(f"{A.with_views('meta')} SELECT * FROM meta WHERE genome_id = 3")
+def metadata_of_genome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _enriched(spark, sf_dir).where("genome_id = 3")
+
+
+@query(f"{A.with_views('meta')} SELECT genome_id, display_name, taxonomy FROM meta")
+def dictionary_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names and taxonomy by way of their dictionary ids."""
+    rows = _enriched(spark, sf_dir)
+    out = rows.select("genome_id")
+    for column in ("display_name", "taxonomy"):
+        entries = L.dictionary(rows, column, "genome_id")
+        ids = rows.select("genome_id", F.col(column).alias("value")).join(entries, "value").select("genome_id", "dict_id")
+        out = out.join(ids.join(entries, "dict_id").select("genome_id", F.col("value").alias(column)), "genome_id")
+    return out
+
+
+@query(f"{A.with_views('meta')} SELECT * FROM meta WHERE genome_id % 7 <> 0 AND genome_id % 5 <> 0")
+def metadata_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Enrichment that no genome's metadata may be missing from, of those that have all."""
+    return L.enrich(A.genomes(spark, sf_dir).where("genome_id % 7 != 0 and genome_id % 5 != 0"), *A.metadata(spark, sf_dir), strict=True)
+
+
+@query(f"{A.with_views('lib0', 'genomes')}, c AS (SELECT accession, count(l.genome_id) AS n FROM genomes g LEFT JOIN lib0 l USING (genome_id) GROUP BY 1) SELECT row_number() OVER (ORDER BY accession) - 1 AS genome_id, accession, n AS total_peaks FROM c")
+def accession_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Genomes numbered by accession, those without peaks too."""
+    return L.numbered(A.source(spark, sf_dir), "accession").select("genome_id", "accession", F.size("peaks").cast("long").alias("total_peaks"))
+
+
+@query(f"{A.with_views('lib0', 'genomes')}, p AS (SELECT *, row_number() OVER (PARTITION BY genome_id ORDER BY l_orderkey, l_linenumber, milli_mz) - 1 AS local_peak_idx FROM lib0) SELECT genome_id, accession, local_peak_idx, milli_mz FROM p JOIN genomes USING (genome_id)")
+def source_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Peaks of genomes numbered as they come, and in their lists' order."""
+    return L.peaks_of(A.source(spark, sf_dir))
+
+
+@query("SELECT s_suppkey, CASE WHEN s_acctbal < 0 THEN NULL ELSE CAST(s_acctbal AS FLOAT) END AS intensity, CASE WHEN s_acctbal < 0 OR s_acctbal * 1000000 + 0.5 >= 4294967296 THEN NULL ELSE CAST(floor(CAST(s_acctbal * 1000 AS DOUBLE) * 1000 + 0.5) AS BIGINT) END AS milli_mz FROM supplier")
+def encode_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intensities and m/z, null where they are out of range."""
+    value = F.col("s_acctbal")
+    return A.table(spark, sf_dir, "supplier").select("s_suppkey", E.encode_intensity(value, False).alias("intensity"), E.encode_mz(value * 1000, False).alias("milli_mz"))
+
+
+@query("SELECT s_suppkey, greatest(CAST(trunc(s_acctbal) AS BIGINT), 0) AS gene_count, CAST(CASE WHEN s_suppkey % 3 = 0 THEN 0 ELSE greatest(s_nationkey - 5, 0) END AS BIGINT) AS taxonomy_id, CASE WHEN s_suppkey % 4 = 0 THEN '' ELSE s_name END AS taxonomy FROM supplier")
+def metadata_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Negative counts and ids, and what is missing, as their defaults."""
+    id_, text = F.when(F.col("s_suppkey") % 3 != 0, F.col("s_nationkey") - 5), F.when(F.col("s_suppkey") % 4 != 0, F.col("s_name"))
+    tax = E.normalise_taxonomy(id_, text)
+    return A.table(spark, sf_dir, "supplier").select("s_suppkey", E.clamp_gene_count("s_acctbal").alias("gene_count"), tax["id"].alias("taxonomy_id"), tax["text"].alias("taxonomy"))
+
+
+@query("SELECT o_orderkey, printf('%.2f', CAST(o_custkey / 8 AS DOUBLE)) AS score, regexp_replace(reverse(regexp_replace(reverse(CAST(o_orderkey * 1000 AS VARCHAR)), '([0-9]{3})', '\\1,', 'g')), '^,', '') AS peaks, printf('%.2f', CAST(o_custkey / 4 AS DOUBLE)) || ' s' AS duration FROM orders WHERE o_custkey % 2 = 0")
+def shown_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores, counts and durations as they are shown."""
+    rows = A.table(spark, sf_dir, "orders").where("o_custkey % 2 = 0")
+    return rows.select("o_orderkey", E.score_text(F.col("o_custkey") / 8).alias("score"), E.count_text(F.col("o_orderkey") * 1000).alias("peaks"), E.seconds_text(F.col("o_custkey") * 250_000).alias("duration"))
+
+
+@query("SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN s_name || '.mgf' WHEN 1 THEN '///' WHEN 2 THEN 'x' || s_suppkey ELSE 'b' END AS name FROM supplier")
+def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("s_suppkey")
+    path = F.when(key % 4 == 0, F.concat(F.lit("/data/"), "s_name", F.lit(".mgf"))).when(key % 4 == 1, "///").when(key % 4 == 2, F.concat(F.lit("x"), key.cast("string"))).otherwise("a//b/")
+    return A.table(spark, sf_dir, "supplier").select("s_suppkey", E.basename(path).alias("name"))
+
+
+_FILES_SQL = "parsed AS (SELECT o_custkey AS query_id, 'q' || o_custkey || '.mgf' AS query_file, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS BIGINT) AS ord, CAST(floor(CAST(printf('%.4f', CAST(o_totalprice AS DOUBLE) / 50) AS DOUBLE) * 1000 + 0.5) AS BIGINT) AS q_mz, CAST(CAST(substr(o_orderpriority, 1, 1) AS DOUBLE) AS FLOAT) AS intensity FROM orders)"
+
+
+@query(f"{A.with_views('lib0')}, {_FILES_SQL} SELECT query_id, query_file, ord, q_mz AS milli_mz, intensity FROM parsed")
+def parse_query_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The peaks of whole query files, with titles, comments and junk between them."""
+    return parse_files(A.files(spark, sf_dir))
+
+
+@query(f"{A.with_views('lib0')}, {_FILES_SQL}, q AS (SELECT * FROM parsed), {_hits()}, {_cand(COARSE_LIMIT)}, {_ranked(PPM)} SELECT DISTINCT r.query_id, query_file, genome_id, score, matched_ribosomal, matched_total, rank FROM ranked r JOIN parsed USING (query_id) WHERE rank <= 3")
+def identify_query_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three best results of each query file, from its text."""
+    queries = parse_files(A.files(spark, sf_dir))
+    found = S.identify(A.library(spark, sf_dir), queries, top=3)
+    return found.join(queries.select("query_id", "query_file").distinct(), "query_id")
+
+
+@query(f"{_identify(COARSE_LIMIT).rpartition(' SELECT ')[0]} SELECT count(DISTINCT query_id) AS queries, count(*) AS results, CAST(sum(matched_total) AS BIGINT) AS matched FROM ranked")
+def batch_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a batch has come to: queries with results, results, and matched peaks."""
+    return S.totals(identify_flagship(spark, sf_dir))
+
+
+@query(f"{A.with_views('lib0', 'q')}, {_hits()}, {_cand(COARSE_LIMIT)}, asked AS (SELECT query_id, genome_id, hit_count FROM cand UNION ALL SELECT query_id, genome_id + 1000000, hit_count FROM cand) SELECT query_id, genome_id FROM asked WHERE genome_id IN (SELECT genome_id FROM lib0)")
+def known_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of genomes that the library hasn't got are dropped by the rerank."""
+    found = coarse_topk(spark, sf_dir)
+    asked = found.union(found.select("query_id", F.col("genome_id") + 1_000_000, "hit_count"))
+    return S.rerank(asked, A.library(spark, sf_dir), A.queries(spark, sf_dir)).select("query_id", "genome_id")
+
+
+@query(f"""{A.with_views('lib0', 'genomes')}, r AS (SELECT genome_id, row_number() OVER (ORDER BY genome_id) AS n, least(5, count(*) OVER ()) AS total FROM genomes QUALIFY n <= 5),
+p AS (SELECT l_suppkey AS genome_id, string_agg(printf('%.4f 1.0', CAST(l_extendedprice AS DOUBLE) / 10), chr(10) ORDER BY l_orderkey, l_linenumber, l_extendedprice) AS rows FROM lineitem GROUP BY 1)
+SELECT printf('%02d', n) || '-acc_' || genome_id || CASE WHEN n = total THEN '.mgf' ELSE '.txt' END AS name, CASE WHEN n = total THEN 'BEGIN IONS' || chr(10) || 'TITLE=acc_' || genome_id || chr(10) || 'COM=acc_' || genome_id || chr(10) || coalesce(rows, '') || chr(10) || 'END IONS' || chr(10)
+ ELSE 'COM=acc_' || genome_id || chr(10) || '# generated from all.db' || chr(10) || coalesce(rows, '') || chr(10) END AS content FROM r LEFT JOIN p USING (genome_id)""")
+def sample_query_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Query files of the first five genomes, the last of them in MGF."""
+    return X.sample_queries(A.source(spark, sf_dir), 5)
+
+
+_FALLING = "o AS (SELECT id, CASE WHEN id % 11 = 4 THEN pos - 1000000 ELSE pos END AS pos FROM o0)"
+
+
+def _falling(offsets: DataFrame, id_: str, offset: str) -> DataFrame:
+    """Offsets with faults, so that the rule has something to count."""
+    return offsets.select(id_, (F.col(offset) - F.when(F.col(id_) % 11 == 4, 1_000_000).otherwise(0)).alias(offset))
+
+
+@query(f"{A.with_views('lib0')}, h AS (SELECT milli_mz // {BIN_WIDTH} AS b, count(*) AS n FROM lib0 GROUP BY 1), d AS (SELECT unnest(range((SELECT max(b) FROM h) + 2)) AS id), o0 AS (SELECT id, sum(coalesce(n, 0)) OVER (ORDER BY id) - coalesce(n, 0) AS pos FROM d LEFT JOIN h ON b = id), {_FALLING} SELECT 'bin_offsets' AS rule, count(*) AS violations FROM o JOIN o n ON n.id = o.id + 1 WHERE n.pos < o.pos")
+def invariant_bin_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.monotonic(_falling(L.bin_offsets(A.library(spark, sf_dir)), "bin_id", "offset"), "bin_id", "offset", "bin_offsets")
+
+
+@query(f"{A.with_views('lib0', 'genomes')}, c AS (SELECT g.genome_id AS id, count(l.genome_id) AS n FROM genomes g LEFT JOIN lib0 l USING (genome_id) GROUP BY 1), o0 AS (SELECT id, sum(n) OVER (ORDER BY id) - n AS pos FROM c), {_FALLING} SELECT 'genome_offsets' AS rule, count(*) AS violations FROM o JOIN o n ON n.id = o.id + 1 WHERE n.pos < o.pos")
+def invariant_genome_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    offsets = L.genome_offsets(A.library(spark, sf_dir), A.genomes(spark, sf_dir))
+    return V.monotonic(_falling(offsets, "genome_id", "start_offset"), "genome_id", "start_offset", "genome_offsets")
+
+
+def _dictionary_rule_sql(column: str) -> str:
+    inner = _dictionary_sql(column)
+    head, _, rest = inner.partition(", f AS ")
+    f, _, tail = rest.partition(" SELECT CAST(row_number()")
+    entries = f"d AS (SELECT CAST(row_number(){tail})"
+    return f"{head}, f AS {f}, {entries}, used AS (SELECT dict_id + CASE WHEN genome_id % 13 = 2 THEN 1000000 ELSE 0 END AS id FROM meta JOIN d ON d.value = meta.{column}) SELECT '{column}_ids' AS rule, count(*) AS violations FROM used WHERE id NOT IN (SELECT dict_id FROM d)"
+
+
+def _dictionary_rule(spark: SparkSession, sf_dir: str, column: str) -> DataFrame:
+    rows = _enriched(spark, sf_dir)
+    entries = L.dictionary(rows, column, "genome_id")
+    used = rows.join(entries, rows[column] == entries["value"]).select((F.col("dict_id") + F.when(F.col("genome_id") % 13 == 2, 1_000_000).otherwise(0)).alias("id"))
+    return V.dictionary_ids(used, "id", entries, f"{column}_ids")
+
+
+@query(_dictionary_rule_sql("display_name"))
+def invariant_name_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dictionary_rule(spark, sf_dir, "display_name")
+
+
+@query(_dictionary_rule_sql("taxonomy"))
+def invariant_taxonomy_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dictionary_rule(spark, sf_dir, "taxonomy")
+
+
+@query("SELECT 'name_utf8' AS rule, count(*) AS violations FROM supplier WHERE s_suppkey % 9 = 1")
+def invariant_utf8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that aren't UTF-8, of which every ninth is made one."""
+    broken = F.concat(F.col("s_name").cast("binary"), F.unhex(F.lit("FF"))).cast("string")
+    rows = A.table(spark, sf_dir, "supplier").select(F.when(F.col("s_suppkey") % 9 == 1, broken).otherwise(F.col("s_name")).alias("name"))
+    return V.strings(rows, "name", "name_utf8")
+
+
+@query(f"{A.with_views('lib0', 'genomes')} SELECT 'schema_version' AS rule, CAST(1 AS BIGINT) AS violations UNION ALL SELECT 'bin_width', 1 UNION ALL SELECT 'bin_count', 0 UNION ALL SELECT 'posting_count', 0 UNION ALL SELECT 'total_peak_count', 1 UNION ALL SELECT 'genome_count', 0")
+def invariant_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A manifest with a wrong version, bin width and number of peaks."""
+    peaks, genomes = A.peaks(spark, sf_dir), A.genomes(spark, sf_dir)
+    manifest = {"schema_version": 2, "bin_width": 0, "bin_count": 5, "total_peak_count": -1, "genome_count": genomes.count()}
+    return V.manifest_rules(manifest, peaks, L.postings(peaks), genomes)

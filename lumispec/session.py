@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,10 +53,9 @@ class Session:
         return self.library
 
     def identify(self, paths: list[str], coarse_limit: int = COARSE_LIMIT, ppm: int = PPM, top: int = TOP_RESULTS, permissive: bool = False, split_mgf: bool = False) -> DataFrame:
-        """Results of query files with query_file, as one lazy plan in the order of files, then rank. The job runs under a group of its own, which
+        """Results of query files with query_file, as one lazy plan in the order of files, then rank. What is run on it within running() is what
         cancel() ends."""
         library = self._open()
-        self.spark.sparkContext.setJobGroup(GROUP, "identification", interruptOnCancel=True)
         files = read_files(self.spark, paths)
         queries = parse_files(files, split_mgf, permissive)
         found = identify(library.peaks, queries, coarse_limit, ppm, library.manifest["bin_width"], top)
@@ -75,8 +75,19 @@ class Session:
             found = self.identify(block, **options).withColumn("query_id", F.col("query_id") + at)
             yield at + len(block), total, found
 
+    @contextmanager
+    def running(self) -> Iterator[None]:
+        """Jobs that this thread starts within are of one group, which cancel() ends; those after are not."""
+        context = self.spark.sparkContext
+        context.setJobGroup(GROUP, "identification", interruptOnCancel=True)
+        try:
+            yield
+        finally:
+            for key in ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel"):
+                context.setLocalProperty(key, None)
+
     def cancel(self) -> None:
-        """Ends the jobs of identifications that run."""
+        """Ends the jobs that run within running()."""
         self.spark.sparkContext.cancelJobGroup(GROUP)
 
     def validate(self) -> DataFrame:
@@ -86,4 +97,5 @@ class Session:
         export.write_lines(export.genome_lines(self._open().genomes), export.GENOMES_HEADER, ["genome_id"], path)
 
     def export_results(self, results: DataFrame, path: str) -> None:
-        export.write_lines(export.result_lines(results), export.RESULTS_HEADER, ["query_id", "rank"], path)
+        with self.running():
+            export.write_lines(export.result_lines(results), export.RESULTS_HEADER, ["query_id", "rank"], path)

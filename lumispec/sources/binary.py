@@ -16,7 +16,7 @@ from ..schemas import BIN_WIDTH, SCHEMA_VERSION
 
 #: Magic bytes; the header's fields (magic, version, bin width, genomes, peaks, offset and length of three sections, four CRCs,
 #: reserved zeros); files.
-MAGIC = bytes([0x47, 0x50, 0x4D, 0x44, 0x42, 0x00, 0x01, 0x00])
+MAGIC = b"GPMDB\0\1\0"
 HEADER = struct.Struct("<8sIIQQQQQQQQIIII160s")
 FILES = ("header.bin", "mass_index.bin", "genome_peaks.bin", "meta.bin")
 CRC_AT = 80
@@ -118,51 +118,42 @@ def read(path: str | Path) -> dict:
 
 
 def validate(path: str | Path) -> tuple[bool, list[str]]:
-    """Whether a folder holds a sound library, and what is wrong. Missing files, or a header of the wrong size, end the search."""
+    """Whether a folder holds a sound library, and the rules that it breaks. Files that are missing, or a header that can't be one, end the search;
+    so does a faulty header, as what it points to would make no sense."""
     folder = Path(path)
-    errors = [f"{f} is missing" for f in FILES if not (folder / f).exists()]
-    if errors:
-        return False, errors
+    broken = [f"file:{f}" for f in FILES if not (folder / f).exists()]
+    if broken:
+        return False, broken
     raw = [(folder / f).read_bytes() for f in FILES]
     if len(raw[0]) != HEADER.size:
-        return False, ["header.bin size mismatch"]
+        return False, ["header_size"]
     f = HEADER.unpack(raw[0])
-    fault = lambda bad, text: errors.append(text) if bad else None
-    fault(f[0] != MAGIC, "header magic mismatch")
-    fault(f[1] != SCHEMA_VERSION, "schema version mismatch")
-    fault(any(f[15]), "header reserved bytes must be zero")
-    fault(f[2] <= 0, "bin width must be positive")
-    fault(not raw[3], "meta.bin is empty")
-    at = HEADER.size
-    for k, (name, part) in enumerate(zip(("mass_index", "genome_peaks", "meta"), raw[1:], strict=True)):
-        fault(f[5 + 2 * k] != at, f"{name} offset mismatch")
-        fault(f[6 + 2 * k] != len(part), f"{name} length mismatch")
-        fault(f[12 + k] != zlib.crc32(part), f"{name} crc mismatch")
-        at += len(part)
-    fault(f[8] != 4 * f[4], "genome_peaks.bin size does not match total_peak_count")
-    fault(f[11] != zlib.crc32(raw[0][:CRC_AT] + b"\0\0\0\0" + raw[0][CRC_AT + 4 :]), "header crc mismatch")
-    if errors:
-        return False, errors
+    sections = range(3)
+    starts = np.cumsum([HEADER.size, *map(len, raw[1:])])
+    rules = {
+        "magic": f[0] == MAGIC, "schema_version": f[1] == SCHEMA_VERSION, "reserved": not any(f[15]), "bin_width": f[2] > 0, "metadata": len(raw[3]) > 0,
+        "section_offsets": all(f[5 + 2 * k] == starts[k] for k in sections), "section_lengths": all(f[6 + 2 * k] == len(raw[1 + k]) for k in sections),
+        **{f"checksum:{name}": f[12 + k] == zlib.crc32(raw[1 + k]) for k, name in enumerate(FILES[1:])},
+        "peak_bytes": f[8] == 4 * f[4], "checksum:header.bin": f[11] == zlib.crc32(raw[0][:CRC_AT] + b"\0\0\0\0" + raw[0][CRC_AT + 4 :]),
+    }
+    broken = [name for name, holds in rules.items() if not holds]
+    if broken:
+        return False, broken
     try:
         x = read(folder)
-    except (ValueError, struct.error, IndexError) as e:
-        return False, [str(e) or "layout mismatch"]
-    g, total, width = f[3], f[4], f[2]
-    fault(len(x["bin_offsets"]) < 2, "bin count must be positive")
-    fault((np.diff(x["bin_offsets"]) < 0).any() or x["bin_offsets"][0] != 0, "bin offsets must not fall")
-    fault(x["bin_offsets"][-1] != total, "posting count mismatch")
-    fault((np.diff(x["genome_offsets"]) < 0).any() or x["genome_offsets"][0] != 0 or x["genome_offsets"][-1] != total, "genome offsets mismatch")
-    genome, local = x["postings"].T if len(x["postings"]) else (np.zeros(0, np.int64),) * 2
-    if (genome >= g).any():
-        errors.append("posting genome out of range")
-    elif not errors:
-        at = x["genome_offsets"][genome] + local
-        fault((local >= np.diff(x["genome_offsets"])[genome]).any(), "posting index out of range")
-        if not errors:
-            bins = np.repeat(np.arange(len(x["bin_offsets"]) - 1), np.diff(x["bin_offsets"]))
-            fault((x["peaks"][at] // width != bins).any(), "posting in the wrong bin")
-            fault(len(np.unique(at)) != total, "peaks must have one posting each")
-    return not errors, errors
+    except (ValueError, struct.error, IndexError):
+        return False, ["layout"]
+    bins, genomes, (genome, local) = x["bin_offsets"], x["genome_offsets"], x["postings"].reshape(-1, 2).T
+    whole = lambda offsets: offsets[0] == 0 and offsets[-1] == f[4] and not (np.diff(offsets) < 0).any()
+    rules = {"bin_count": len(bins) > 1, "bin_offsets": whole(bins), "genome_offsets": whole(genomes), "posting_genome": not (genome >= f[3]).any()}
+    if all(rules.values()):
+        rules["posting_index"] = not (local >= np.diff(genomes)[genome]).any()
+    if all(rules.values()):
+        at = genomes[genome] + local
+        rules["posting_bin"] = (x["peaks"][at] // f[2] == np.repeat(np.arange(len(bins) - 1), np.diff(bins))).all()
+        rules["one_posting_a_peak"] = len(np.unique(at)) == f[4]
+    broken = [name for name, holds in rules.items() if not holds]
+    return not broken, broken
 
 
 def to_frames(spark: SparkSession, path: str | Path) -> dict[str, DataFrame]:

@@ -187,11 +187,11 @@ def test_binary_faults(spark, tmp_path):
     assert frames["postings"].count() == 4
     raw = (tmp_path / "meta.bin").read_bytes()
     (tmp_path / "meta.bin").write_bytes(raw[:-1] + b"!")
-    assert binary.validate(tmp_path) == (False, ["meta crc mismatch"])
+    assert binary.validate(tmp_path) == (False, ["checksum:meta.bin"])
     (tmp_path / "header.bin").write_bytes(b"x")
-    assert binary.validate(tmp_path) == (False, ["header.bin size mismatch"])
+    assert binary.validate(tmp_path) == (False, ["header_size"])
     (tmp_path / "meta.bin").unlink()
-    assert binary.validate(tmp_path) == (False, ["meta.bin is missing"])
+    assert binary.validate(tmp_path) == (False, ["file:meta.bin"])
     assert binary.write([], [], tmp_path / "empty")["bin_count"] == 1
     assert binary.validate(tmp_path / "empty") == (True, [])
 

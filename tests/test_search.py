@@ -123,3 +123,16 @@ def test_text_functions(spark):
     d = spark.createDataFrame([(0, 5)], "q long, p long").select(E.ppm_distance("q", "p")).first()[0]
     assert d is None
     assert spark.range(1).select(F.lit(1)).count() == 1
+
+
+def test_rerank_drops_unknown_genomes(spark):
+    library = spark.createDataFrame([(1, 100_000), (2, 200_000)], "genome_id long, milli_mz long")
+    queries = spark.createDataFrame([(9, 0, 100_000, 1.0)], "query_id long, ord long, milli_mz long, intensity float")
+    asked = spark.createDataFrame([(9, 1, 1), (9, 2, 1), (9, 7, 5)], "query_id long, genome_id long, hit_count long")
+    assert {(r.genome_id, r.score) for r in S.rerank(asked, library, queries).collect()} == {(1, 1.0), (2, 0.0)}
+
+
+def test_throttle_keeps_null_stages(spark):
+    rows = [(1, 0, "2024-01-01 00:00:00", None), (1, 1, "2024-01-01 00:00:01", "genome"), (1, 2, "2024-01-01 00:00:02", "genome")]
+    events = spark.createDataFrame(rows, "run_id long, seq long, ts string, stage string")
+    assert sorted(r.seq for r in P.throttle(events, 10_000_000).collect()) == [0, 1]
