@@ -339,11 +339,12 @@ def test_leaks_in_blocks_of_items(spark, monkeypatch):
 
 def test_severe_counts_words():
     """Three short strong words make a document severe, one long word with its beginnings doesn't."""
-    texts = [b"vile bad ugly x", b"horrendously y", b"fine words here"] * 60
+    n = 200  # a word of one class alone is strong from about 150 documents on
+    texts = [b"vile bad ugly x", b"horrendously y", b"fine words here"] * n
     doc, ids = toxicity.word_features(texts)
     rows = [ids[doc == i] for i in range(len(texts))]
-    y = np.array([1, 1, 0] * 60)
-    assert toxicity.severe(rows, y).tolist() == [1, 0, 0] * 60
+    y = np.array([1, 1, 0] * n)
+    assert toxicity.severe(rows, y).tolist() == [1, 0, 0] * n
 
 
 def test_lcs():
