@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_cnn, maxent, packing, quality, shingle_join, span_hash, substring_dedup, token_files, toxicity
+from . import decontaminate, language_cnn, maxent, packing, prefix_trie, quality, shingle_join, simhash, span_hash, substring_dedup, token_files, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_maxent_score": maxent.op1_maxent_score,
@@ -19,10 +19,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_token_files": token_files.op9_token_files,
     "op10_language": language_cnn.op10_language,
+    "op11_prefix_trie": prefix_trie.op11_prefix_trie,
+    "op12_simhash": simhash.op12_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_substring_dedup": substring_dedup.OP4_SQL,
     "op5_shingle_join": shingle_join.OP5_SQL,
     "op6_length_buckets": packing.oracle(),
+    "op11_prefix_trie": prefix_trie.OP11_SQL,
 }

@@ -366,7 +366,8 @@ def test_sql(spark, name, tmp_path):
     if not os.path.isdir(SF):
         pytest.skip("no test tables")
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for t in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     con.execute(f"CREATE TABLE want AS {registry.ORACLE_SQL[name]}")
     registry.QUERIES[name](spark, SF).write.parquet(str(tmp_path / "got"))
     con.execute(f"CREATE TABLE got AS SELECT * FROM '{tmp_path}/got/*.parquet'")
