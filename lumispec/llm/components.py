@@ -49,12 +49,13 @@ def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _star(edges: DataFrame) -> DataFrame:
-    """A large-star and a small-star step on what the tasks' own forests leave."""
-    edges = edges.mapInArrow(_forests, "u long, v long")
+    """A large-star and a small-star step on what the tasks' own forests leave. A centre's links may be most of all rows: what a join meets is a
+    written table on both sides, so that Spark can split it."""
+    edges = U.written(edges.mapInArrow(_forests, "u long, v long"))
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
-    least = large.groupBy("u").agg(F.min("v").alias("m"))
+    least = U.written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+    large = U.written(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v"))
+    least = U.written(large.groupBy("u").agg(F.min("v").alias("m")))
     moved = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).where("u != v").distinct()
 
