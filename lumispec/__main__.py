@@ -9,7 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-from .schemas import BIN_WIDTH, COARSE_LIMIT, PPM
+from .schemas import BIN_WIDTH, COARSE_LIMIT, PPM, SHARDS
 from .session import Session
 from .sources import binary, export, pickle_source
 from .sources.discovery import discover
@@ -24,6 +24,7 @@ def main(argv: list[str] | None = None) -> int:
     build.add_argument("--bin-width", type=int, default=BIN_WIDTH)
     build.add_argument("--order", choices=["source", "accession"], default="source")
     build.add_argument("--strict", action="store_true")
+    build.add_argument("--shards", type=int, default=SHARDS, help="folders of each table, about")
     build.add_argument("--progress-jsonl", action="store_true")
     build.add_argument("--binary", help="also write the four-file layout here")
     samples = sub.add_parser("samples", help="write query files of the first genomes")
@@ -47,7 +48,7 @@ def main(argv: list[str] | None = None) -> int:
     session = Session(spark)
     if args.command == "build":
         say = (lambda e: print(json.dumps(e), file=sys.stderr)) if args.progress_jsonl else None
-        library = session.build(args.source, args.out, args.bin_width, args.order, args.strict, say)
+        library = session.build(args.source, args.out, args.bin_width, args.order, args.strict, args.shards, say)
         if args.binary:
             binary.from_library(library, args.binary)
     elif args.command == "samples":

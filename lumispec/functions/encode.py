@@ -47,9 +47,9 @@ def ppm_distance(q: str, p: str) -> Column:
     return F.expr(f"abs({q} - {p}) * 1000000 div nullif({q}, 0)")
 
 
-def closeness(distance: Column, ppm: int) -> Column:
+def closeness(distance: Column, ppm: Column) -> Column:
     """1 - distance / ppm, each step rounded to FLOAT."""
-    return (F.lit(1.0).cast("float") - (distance.cast("float") / F.lit(float(ppm)).cast("float")).cast("float")).cast("float")
+    return (F.lit(1.0).cast("float") - (distance.cast("float") / ppm.cast("float")).cast("float")).cast("float")
 
 
 def clamp_gene_count(count: Column | str) -> Column:

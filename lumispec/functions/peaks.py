@@ -18,13 +18,33 @@ def _number(x: Column) -> Column:
     return F.when(F.regexp_like(x, F.lit(NUMBER)), F.coalesce(special, x.try_cast("double")))
 
 
+def peak_fields(line: Column | str) -> Column:
+    """struct<text, first, second> of a line: without white space around it, and its first two fields. What follows them isn't split: they end at the
+    first separators, however long the line."""
+    line = F.col(line) if isinstance(line, str) else line
+    text = F.regexp_replace(line, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    parts = F.split(F.regexp_replace(text, f"^[{SPACE},]+", ""), f"[{SPACE},]+", 3)
+    return F.struct(text.alias("text"), F.get(parts, 0).alias("first"), F.nullif(F.get(parts, 1), F.lit("")).alias("second"))
+
+
+#: What a line may be.
+PEAK, BLANK, COMMENT, TITLE, NO_MZ, NO_INTENSITY = "peak", "blank", "comment", "title", "no_mz", "no_intensity"
+
+
+def classify_peak_line(fields: Column) -> Column:
+    """struct<kind, mz, intensity> of peak_fields(): a peak, or why the line is none. Blank lines, # comments and COM= titles are skipped by intent;
+    in no_mz the first field is no number, in no_intensity the second. One field alone has intensity 1; a third and more are ignored."""
+    text, first, second = fields["text"], fields["first"], fields["second"]
+    mz, intensity = _number(first), F.when(second.isNotNull(), _number(second)).otherwise(1.0)
+    kind = (
+        F.when(text == "", BLANK).when(F.startswith(text, F.lit("#")), COMMENT).when(F.startswith(text, F.lit("COM=")), TITLE)
+        .when(mz.isNull(), NO_MZ).when(intensity.isNull(), NO_INTENSITY).otherwise(PEAK)
+    )
+    return F.struct(kind.alias("kind"), F.when(kind == PEAK, mz).alias("mz"), F.when(kind == PEAK, intensity).alias("intensity"))
+
+
 def parse_peak_line(line: Column | str) -> Column:
     """struct<mz, intensity> of a line, or null where there is no peak: blank lines, # comments, COM= lines, and lines whose first field, or
-    second if there is one, is no number. One field alone has intensity 1; a third and more are ignored."""
-    line = F.col(line) if isinstance(line, str) else line
-    trimmed = F.regexp_replace(line, f"^[{SPACE}]+|[{SPACE}]+$", "")
-    fields = F.filter(F.split(trimmed, f"[{SPACE},]+"), lambda x: x != "")
-    mz = _number(F.try_element_at(fields, F.lit(1)))
-    intensity = F.when(F.size(fields) > 1, _number(F.try_element_at(fields, F.lit(2)))).otherwise(1.0)
-    skip = (trimmed == "") | F.startswith(trimmed, F.lit("#")) | F.startswith(trimmed, F.lit("COM="))
-    return F.when(~skip & mz.isNotNull() & intensity.isNotNull(), F.struct(mz.alias("mz"), intensity.alias("intensity")))
+    second if there is one, is no number."""
+    found = classify_peak_line(peak_fields(line))
+    return F.when(found["kind"] == PEAK, F.struct(found["mz"].alias("mz"), found["intensity"].alias("intensity")))

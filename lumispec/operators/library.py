@@ -3,29 +3,35 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import encode as E
-from ..schemas import BIN_WIDTH, SCHEMA_VERSION
-from .ordered import exclusive_sum, number_by
+from ..schemas import BIN_WIDTH, GENOMES, PEAKS, POSTINGS, SCHEMA_VERSION, SHARDS
+from . import layout
+from .ordered import exclusive_sum, number_by, sorted_number
 
 
 def numbered(source: DataFrame, order: str = "source") -> DataFrame:
-    """source (ordinal, accession, peaks) to (genome_id, accession, peaks): ids by source order or by accession, equal ones by source order."""
+    """source (ordinal, accession, peaks; ordinals distinct) to (genome_id, accession, peaks): ids by source order or by accession, equal ones by
+    source order. Only accessions and ordinals are sorted; the peaks meet their ids by ordinal."""
     if order == "accession":
-        firsts = source.select("accession", F.col("ordinal").alias("_source"), "peaks").repartitionByRange("accession").sortWithinPartitions("accession", "_source").withColumn("ordinal", F.monotonically_increasing_id())
-        counted = firsts.withColumn("_part", F.spark_partition_id())
-        sizes = counted.groupBy("_part").agg(F.count("*").alias("_n"), F.min("ordinal").alias("_first"))
-        ids = exclusive_sum(sizes, "_part", "_n", "_start").select("_part", "_first", "_start")
-        source = counted.join(ids, "_part").select((F.col("_start") + F.col("ordinal") - F.col("_first")).alias("ordinal"), "accession", "peaks")
+        ids = sorted_number(source.select("accession", "ordinal"), ["accession", "ordinal"], "genome_id").select("ordinal", "genome_id")
+        return source.join(ids, "ordinal").select("genome_id", "accession", "peaks")
     return source.select(F.col("ordinal").alias("genome_id"), "accession", "peaks")
 
 
+def listed(ids: DataFrame) -> DataFrame:
+    """numbered() lists to (genome_id, accession, local_peak_idx, milli_mz), a row for each peak."""
+    rows = ids.select("genome_id", "accession", F.posexplode("peaks").alias("local_peak_idx", "mz"))
+    return rows.select("genome_id", "accession", F.col("local_peak_idx").cast("long").alias("local_peak_idx"), E.encode_mz("mz").alias("milli_mz"))
+
+
 def peaks_of(source: DataFrame, order: str = "source") -> DataFrame:
     """source (ordinal, accession, peaks) to (genome_id, accession, local_peak_idx, milli_mz), numbered in that order."""
-    return numbered(source, order).select("genome_id", "accession", F.posexplode("peaks").alias("local_peak_idx", "mz")).select("genome_id", "accession", F.col("local_peak_idx").cast("long"), E.encode_mz("mz").alias("milli_mz"))
+    return listed(numbered(source, order))
 
 
 def postings(peaks: DataFrame, bin_width: int = BIN_WIDTH) -> DataFrame:
@@ -79,6 +85,12 @@ def enrich(genomes: DataFrame, genes: DataFrame, names: DataFrame, taxonomy: Dat
     return out.select("genome_id", "accession", F.coalesce("name", "accession").alias("display_name"), tax["id"].alias("taxonomy_id"), tax["text"].alias("taxonomy"), gene_count.alias("gene_count"))
 
 
+def missing_metadata(genomes: DataFrame, genes: DataFrame, names: DataFrame, taxonomy: DataFrame) -> DataFrame:
+    """(genome_id, accession, lacks): what strict enrichment refuses, a row for each genome and kind of metadata that it lacks."""
+    parts = [genomes.join(df.select("accession"), "accession", "left_anti").select("genome_id", "accession", F.lit(kind).alias("lacks")) for df, kind in ((genes, "genes"), (names, "name"), (taxonomy, "taxonomy"))]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
 def build_report(peaks: DataFrame, genomes: DataFrame, bin_width: int = BIN_WIDTH) -> DataFrame:
     """One row: genome_count, total_peak_count, bin_count (1 for an empty library)."""
     own = peaks.agg(F.count("*").alias("total_peak_count"), F.coalesce(F.max(E.bin_id("milli_mz", bin_width)) + 1, F.lit(1)).cast("long").alias("bin_count"))
@@ -86,7 +98,7 @@ def build_report(peaks: DataFrame, genomes: DataFrame, bin_width: int = BIN_WIDT
 
 
 def lookup_postings(rows: DataFrame, milli_mz: int, bin_width: int) -> DataFrame:
-    """Postings of the peak's bin; the filter reaches the scan, whose files hold ranges of bins. Nothing for a bin width of 0."""
+    """Postings of the peak's bin. Nothing for a bin width of 0."""
     return rows.where(F.col("bin_id") == milli_mz // bin_width) if bin_width > 0 else rows.limit(0)
 
 
@@ -95,7 +107,12 @@ def lookup_peaks(peaks: DataFrame, genome_id: int) -> DataFrame:
 
 
 class Library:
-    """A built library: Parquet tables peaks, postings and genomes, and a manifest."""
+    """A built library: Parquet tables and a manifest.
+
+    postings, bin_offsets: folders for bands of band_width bins each; peaks, genomes, genome_offsets: folders for shards of shard_width genomes each.
+    Rows are in order within a folder, so that a lookup lists one folder and reads the row groups that can hold its key. names, taxa: dictionaries
+    of what genomes name by name_id and taxon_id.
+    """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
@@ -105,35 +122,93 @@ class Library:
             raise ValueError(f"schema version {self.manifest.get('schema_version')!r} isn't {SCHEMA_VERSION}")
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}")
+        return self.spark.read.schema(_SCHEMAS[name]).parquet(f"{self.path}/{name}")
 
-    peaks = property(lambda self: self.table("peaks"))
-    postings = property(lambda self: self.table("postings"))
-    genomes = property(lambda self: self.table("genomes"))
+    peaks = property(lambda self: self.table("peaks").drop("shard"))
+    postings = property(lambda self: self.table("postings").drop("band"))
+    genomes = property(lambda self: self.table("genomes").drop("shard"))
+    bin_offsets = property(lambda self: self.table("bin_offsets").drop("band"))
+    genome_offsets = property(lambda self: self.table("genome_offsets").drop("shard"))
+    names = property(lambda self: self.table("names"))
+    taxa = property(lambda self: self.table("taxa"))
 
     def postings_for(self, milli_mz: int) -> DataFrame:
-        return lookup_postings(self.postings, milli_mz, self.manifest["bin_width"])
+        """Postings of the bin of one peak; nothing beyond the last bin."""
+        width = self.manifest["bin_width"]
+        band = milli_mz // width // self.manifest["band_width"] if width > 0 else 0
+        return lookup_postings(self.table("postings").where(F.col("band") == band), milli_mz, width).drop("band")
+
+    def _of_genome(self, name: str, genome_id: int) -> DataFrame:
+        return self.table(name).where((F.col("shard") == genome_id // self.manifest["shard_width"]) & (F.col("genome_id") == genome_id))
 
     def genome_peaks(self, genome_id: int) -> DataFrame:
-        return lookup_peaks(self.peaks, genome_id)
+        return self._of_genome("peaks", genome_id).select("local_peak_idx", "milli_mz")
 
     def genome_metadata(self, genome_id: int) -> DataFrame:
-        return self.genomes.where(F.col("genome_id") == genome_id)
-
-
-def build_library(source: DataFrame, genes: DataFrame, names: DataFrame, taxonomy: DataFrame, path: str, bin_width: int = BIN_WIDTH, order: str = "source", strict: bool = False) -> Library:
-    """Writes a library to path from a source (ordinal, accession, peaks) and its metadata."""
-    if bin_width <= 0:
-        raise ValueError("bin width must be positive")
-    spark = source.sparkSession
-    peaks = peaks_of(source, order)
-    peaks.select("genome_id", "local_peak_idx", "milli_mz").repartitionByRange("genome_id").sortWithinPartitions("genome_id", "local_peak_idx").write.parquet(f"{path}/peaks")
-    stored = spark.read.parquet(f"{path}/peaks")
-    postings(stored, bin_width).write.parquet(f"{path}/postings")
-    ids = numbered(source, order).select("genome_id", "accession", F.size("peaks").cast("long").alias("total_peaks"))
-    enriched = enrich(ids.select("genome_id", "accession"), genes, names, taxonomy, strict).join(ids.select("genome_id", "total_peaks"), "genome_id")
-    enriched.write.parquet(f"{path}/genomes")
-    report = build_report(stored, spark.read.parquet(f"{path}/genomes"), bin_width).first().asDict()
-    manifest = json.dumps({"schema_version": SCHEMA_VERSION, "bin_width": bin_width, **report})
-    spark.createDataFrame([(manifest,)], "value string").coalesce(1).write.text(f"{path}/manifest")
+        return self._of_genome("genomes", genome_id).drop("shard")
+
+    def postings_of(self, wanted: DataFrame) -> DataFrame:
+        """The postings of the bins of many peaks, wanted (milli_mz): (milli_mz, bin_id, genome_id, local_peak_idx), each distinct peak once. Bands
+        that nothing asks for aren't read where Spark's dynamic pruning finds the join's other side small."""
+        width, band = self.manifest["bin_width"], self.manifest["band_width"]
+        asked = wanted.select(F.col("milli_mz").cast("long").alias("milli_mz")).distinct().withColumn("bin_id", E.bin_id("milli_mz", width)).withColumn("band", F.expr(f"bin_id div {band}L"))
+        return asked.join(self.table("postings"), ["band", "bin_id"]).select("milli_mz", "bin_id", "genome_id", "local_peak_idx")
+
+
+_SCHEMAS = {
+    "peaks": f"{PEAKS}, shard long", "postings": f"{POSTINGS}, band long", "genomes": f"{GENOMES}, name_id long, taxon_id long, shard long",
+    "bin_offsets": "bin_id long, offset long, band long", "genome_offsets": "genome_id long, total_peaks long, start_offset long, end_offset long, shard long",
+    "names": "dict_id long, value string", "taxa": "dict_id long, value string",
+}
+
+
+def _stored(df: DataFrame, path: str, part: str, width: int, keys: list[str], mode: str) -> DataFrame:
+    """Writes df sorted by keys, dealt by ranges of them, in a folder for each `width` values of the first key. Rows of one value may fill many
+    ranges, so that no task holds a hot one."""
+    rows = df.withColumn(part, F.expr(f"`{keys[0]}` div {width}L"))
+    rows.repartitionByRange(*keys).sortWithinPartitions(part, *keys).write.mode(mode).partitionBy(part).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def build_library(
+    source: DataFrame, genes: DataFrame, names: DataFrame, taxonomy: DataFrame, path: str, bin_width: int = BIN_WIDTH, order: str = "source", strict: bool = False,
+    shards: int = SHARDS, mode: str = "error", on_event: Callable[[dict], None] | None = None,
+) -> Library:
+    """Writes a library to path from a source (ordinal, accession, peaks) and its metadata. shards: folders of each partitioned table, about. mode:
+    Spark's, for all tables; with overwrite a build may be run again over what an earlier one left. on_event gets a dict for each stage that
+    begins: index, metadata, finalize, each with the counts that are known by then."""
+    if bin_width <= 0 or shards <= 0:
+        raise ValueError("bin width and shards must be positive")
+    spark, path = source.sparkSession, path.rstrip("/")
+    tell = on_event or (lambda event: None)
+    ids = numbered(source, order)
+    sizes = ids.select("genome_id", "accession", F.size("peaks").cast("long").alias("total_peaks"))
+    n = sizes.agg(F.max("genome_id")).first()[0]
+    shard_width = max(1, -(-((n if n is not None else 0) + 1) // shards))
+    peaks = _stored(listed(ids).select("genome_id", "local_peak_idx", "milli_mz"), f"{path}/peaks", "shard", shard_width, ["genome_id", "local_peak_idx"], mode)
+    report = build_report(peaks, sizes, bin_width).first().asDict()
+    tell({"stage": "indexStart", **report})
+    band_width = max(1, -(-report["bin_count"] // shards))
+    _stored(postings(peaks, bin_width), f"{path}/postings", "band", band_width, ["bin_id", "genome_id", "local_peak_idx"], mode)
+    _stored(bin_offsets(peaks, bin_width), f"{path}/bin_offsets", "band", band_width, ["bin_id"], mode)
+    tell({"stage": "metaStart", **report})
+    offsets = _stored(genome_offsets(peaks, sizes), f"{path}/genome_offsets", "shard", shard_width, ["genome_id"], mode)
+    rows = enrich(sizes.select("genome_id", "accession"), genes, names, taxonomy, strict).join(offsets.select("genome_id", "total_peaks"), "genome_id")
+    for column, name, id_ in (("display_name", "names", "name_id"), ("taxonomy", "taxa", "taxon_id")):
+        dictionary(rows.select("genome_id", column), column, "genome_id").orderBy("dict_id").write.mode(mode).parquet(f"{path}/{name}")
+        entries = spark.read.schema(_SCHEMAS[name]).parquet(f"{path}/{name}").select(F.col("dict_id").alias(id_), F.col("value").alias(column))
+        rows = rows.join(entries, column)
+    order_of = [c.split()[0] for c in f"{GENOMES}, name_id long, taxon_id long".split(", ")]
+    _stored(rows.select(*order_of), f"{path}/genomes", "shard", shard_width, ["genome_id"], mode)
+    tell({"stage": "finalizeStart", **report})
+    sums = {f"crc_{name}": layout.checksum(spark, f"{path}/{name}", *STORED[name]).first()["crc"] for name in STORED}
+    manifest = json.dumps({"schema_version": SCHEMA_VERSION, "bin_width": bin_width, "band_width": band_width, "shard_width": shard_width, **report, **sums})
+    spark.createDataFrame([(manifest,)], "value string").coalesce(1).write.mode(mode).text(f"{path}/manifest")
     return Library(spark, path)
+
+
+#: The order of rows of stored tables, and the columns that their checksums cover.
+STORED = {
+    "peaks": (["genome_id", "local_peak_idx"], ["milli_mz"]),
+    "postings": (["bin_id", "genome_id", "local_peak_idx"], ["genome_id", "local_peak_idx"]),
+}

@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import encode as E
+from . import layout
+from .library import STORED
+from .ordered import with_next
 
 
 def _count(df: DataFrame, rule: str) -> DataFrame:
@@ -46,9 +49,30 @@ def coverage(postings: DataFrame, peaks: DataFrame) -> DataFrame:
 
 
 def monotonic(offsets: DataFrame, order: str, offset: str, rule: str) -> DataFrame:
-    """Offsets below the one before them: each row meets the next id's in an equi-join."""
-    after = offsets.select((F.col(order) - 1).alias(order), F.col(offset).alias("_next"))
-    return _count(offsets.join(after, order).where(F.col("_next") < F.col(offset)), rule)
+    """Offsets below the one before them."""
+    return _count(with_next(offsets.select(order, offset), order, [offset]).where(F.col(f"next_{offset}") < F.col(offset)), rule)
+
+
+def offset_edges(offsets: DataFrame, order: str, offset: str, total: int, rule: str) -> DataFrame:
+    """Four rules of offsets (order, offset), one for each id from 0 on: the first is 0, the last is total, no id is left out or comes twice, and none
+    lies below the one before. No offsets at all break the first two."""
+    ends = offsets.agg(F.min_by(offset, order).alias("first"), F.max_by(offset, order).alias("last"), F.min(order).alias("low"))
+    rows = with_next(offsets.select(order, offset).groupBy(order).agg(F.min(offset).alias(offset), F.count("*").alias("_n")), order, [offset])
+    steps = rows.agg(
+        F.coalesce(F.sum(F.when(F.col(f"next_{order}") != F.col(order) + 1, 1).otherwise(0) + F.col("_n") - 1), F.lit(0)).alias("gaps"),
+        F.coalesce(F.sum(F.when(F.col(f"next_{offset}") < F.col(offset), 1)), F.lit(0)).alias("falls"),
+    )
+    one = lambda bad: F.when(F.coalesce(bad, F.lit(True)), 1).otherwise(0)
+    rules = {"first": one((F.col("first") != 0) | (F.col("low") != 0)), "last": one(F.col("last") != total), "gap": F.col("gaps"), "fall": F.col("falls")}
+    both = ends.join(F.broadcast(steps), F.lit(True))  # one row each
+    return both.select(F.inline(F.array(*(F.struct(F.lit(f"{rule}_{k}").alias("rule"), v.cast("long").alias("violations")) for k, v in rules.items()))))
+
+
+def offsets_agree(offsets: DataFrame, order: str, offset: str, counts: DataFrame, count: str, rule: str) -> DataFrame:
+    """Ids whose rows (counts: order, count) aren't as many as from their offset to the next."""
+    own = with_next(offsets.select(order, offset), order, [offset]).where(F.col(f"next_{offset}").isNotNull())
+    both = own.join(counts.select(order, F.col(count).alias("_n")), order, "full")
+    return _count(both.where(F.coalesce(F.col(f"next_{offset}") - F.col(offset), F.lit(0)) != F.coalesce("_n", F.lit(0))), rule)
 
 
 def dictionary_ids(used: DataFrame, id_: str, dictionary: DataFrame, rule: str) -> DataFrame:
@@ -62,35 +86,54 @@ def strings(df: DataFrame, column: str, rule: str) -> DataFrame:
 
 
 def manifest_rules(manifest: dict, peaks: DataFrame, postings: DataFrame, genomes: DataFrame) -> DataFrame:
-    """The manifest against the tables."""
-    spark = peaks.sparkSession
-    counts = {"total_peak_count": peaks.count(), "genome_count": genomes.count()}
-    rows = [
-        ("schema_version", int(manifest.get("schema_version") != 1)),
-        ("bin_width", int(not manifest.get("bin_width", 0) > 0)),
-        ("bin_count", int(not manifest.get("bin_count", 0) > 0)),
-        ("posting_count", int(postings.count() != counts["total_peak_count"])),
-        *((k, int(manifest.get(k) != v)) for k, v in counts.items()),
-    ]
-    return spark.createDataFrame(rows, "rule string, violations long")
+    """The manifest against the tables, as one row for each rule."""
+    width = manifest.get("bin_width", 0)
+    bins = F.coalesce(F.floor(F.max("milli_mz") / width) + 1, F.lit(1)) if width > 0 else F.lit(None).cast("long")
+    counts = peaks.agg(F.count("*").alias("peaks"), bins.alias("bins"))
+    for name, df in (("postings", postings), ("genomes", genomes)):
+        counts = counts.join(F.broadcast(df.agg(F.count("*").alias(name))), F.lit(True))  # one row each
+    number = lambda key: F.lit(manifest.get(key)).cast("long")
+    rules = {
+        "schema_version": number("schema_version") != 1, "bin_width": number("bin_width") <= 0, "bin_count": number("bin_count") != F.col("bins"),
+        "posting_count": F.col("postings") != F.col("peaks"), "total_peak_count": number("total_peak_count") != F.col("peaks"), "genome_count": number("genome_count") != F.col("genomes"),
+    }
+    bad = lambda rule: F.when(F.coalesce(rule, F.lit(True)), 1).otherwise(0).cast("long")
+    return counts.select(F.inline(F.array(*(F.struct(F.lit(k).alias("rule"), bad(v).alias("violations")) for k, v in rules.items()))))
+
+
+def checksums(library) -> DataFrame:
+    """Stored tables whose bytes, in order, haven't the manifest's checksum."""
+    parts = []
+    for name, (keys, stored) in STORED.items():
+        own = layout.checksum(library.spark, f"{library.path}/{name}", keys, stored)
+        parts.append(own.select(F.lit(f"crc_{name}").alias("rule"), F.when(F.col("crc") == F.lit(library.manifest.get(f"crc_{name}")).cast("long"), 0).otherwise(1).cast("long").alias("violations")))
+    return reduce(DataFrame.union, parts)
 
 
 def validate(library) -> DataFrame:
     """All rules of a built library: (rule, violations)."""
-    from .library import bin_offsets, genome_offsets
-
-    peaks, postings, genomes, width = library.peaks, library.postings, library.genomes, library.manifest["bin_width"]
-    offsets = genome_offsets(peaks, genomes)
+    peaks, postings, genomes, manifest = library.peaks, library.postings, library.genomes, library.manifest
+    width, total = manifest["bin_width"], manifest["total_peak_count"]
+    offsets, bins = library.genome_offsets, library.bin_offsets
+    # one offset more than genomes, as for bins
+    ends = offsets.select("genome_id", "start_offset").union(offsets.agg((F.coalesce(F.max("genome_id"), F.lit(-1)) + 1).cast("long"), F.coalesce(F.max_by("end_offset", "genome_id"), F.lit(0)).cast("long")))
+    ordered = [layout.order_faults(library.spark, f"{library.path}/{name}", keys).select(F.lit(f"order_{name}").alias("rule"), "violations") for name, (keys, _) in STORED.items()]
     parts = [
-        manifest_rules(library.manifest, peaks, postings, genomes),
+        manifest_rules(manifest, peaks, postings, genomes),
         genome_bound(postings, genomes),
         local_index_bound(postings, peaks),
-        global_index_bound(postings, offsets, library.manifest["total_peak_count"]),
+        global_index_bound(postings, offsets, total),
         bin_consistency(postings, peaks, width),
         coverage(postings, peaks),
-        monotonic(bin_offsets(peaks, width), "bin_id", "offset", "bin_offsets"),
-        monotonic(offsets, "genome_id", "start_offset", "genome_offsets"),
+        offset_edges(bins, "bin_id", "offset", total, "bin_offsets"),
+        offset_edges(ends, "genome_id", "start_offset", total, "genome_offsets"),
+        offsets_agree(bins, "bin_id", "offset", postings.groupBy("bin_id").agg(F.count("*").alias("n")), "n", "bin_offsets_agree"),
+        offsets_agree(ends, "genome_id", "start_offset", peaks.groupBy("genome_id").agg(F.count("*").alias("n")), "n", "genome_offsets_agree"),
+        dictionary_ids(genomes, "name_id", library.names, "name_ids"),
+        dictionary_ids(genomes, "taxon_id", library.taxa, "taxon_ids"),
         strings(genomes, "display_name", "name_utf8"),
         strings(genomes, "taxonomy", "taxonomy_utf8"),
+        *ordered,
+        checksums(library),
     ]
     return reduce(DataFrame.union, parts)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -72,11 +72,10 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), "ts", kinds[F.col("event_type")].alias("stage"), F.col("event_id").alias("genomes"), F.floor(F.col("value") * 100).cast("long").alias("peaks"))
 
 
-def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(src, id, line): peak lines of several spellings, and all lines of documents."""
-    o = table(spark, sf_dir, "orders").withColumn("whole", F.floor("o_totalprice").cast("long").cast("string"))
-    kind, whole, part = F.col("o_orderkey") % 8, F.col("whole"), F.substring("o_orderpriority", 1, 1)
-    line = (
+def peak_line() -> Column:
+    """An order as a peak line, of several spellings."""
+    whole, kind, part = F.floor("o_totalprice").cast("long").cast("string"), F.col("o_orderkey") % 8, F.substring("o_orderpriority", 1, 1)
+    return (
         F.when(kind == 0, F.concat(whole, F.lit(".25 "), part))
         .when(kind == 1, F.concat(whole, F.lit(","), part, F.lit(".5")))
         .when(kind == 2, F.concat(F.lit("# "), whole))
@@ -86,8 +85,13 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == 6, F.concat(whole, F.lit("e-1\t.5 9 9")))
         .otherwise(F.concat(F.lit("BEGIN "), whole))
     )
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src, id, line): peak lines of several spellings, and all lines of documents."""
+    o = table(spark, sf_dir, "orders").select(F.lit("orders").alias("src"), F.col("o_orderkey").alias("id"), peak_line().alias("line"))
     d = table(spark, sf_dir, "documents").select(F.lit("documents").alias("src"), F.col("doc_id").alias("id"), F.explode(F.split("text", "\n")).alias("line"))
-    return o.select(F.lit("orders").alias("src"), F.col("o_orderkey").alias("id"), line.alias("line")).union(d)
+    return o.union(d)
 
 
 #: The same views for DuckDB.
@@ -100,7 +104,7 @@ SQL = {
     "ev": "ev AS (SELECT user_id AS run_id, event_id AS seq, ts, CASE event_type WHEN 'signup' THEN 'start' WHEN 'click' THEN 'genome' WHEN 'view' THEN 'indexStart' WHEN 'purchase' THEN 'metaStart' ELSE 'done' END AS stage, event_id AS genomes, CAST(floor(value * 100) AS BIGINT) AS peaks FROM events)",
     "lines": r"""lines AS (SELECT 'orders' AS src, o_orderkey AS id, CASE o_orderkey % 8 WHEN 0 THEN w || '.25 ' || p WHEN 1 THEN w || ',' || p || '.5' WHEN 2 THEN '# ' || w WHEN 3 THEN 'COM=' || w
  WHEN 4 THEN ' ' || chr(9) || w || '  ' WHEN 5 THEN w || ' x 3' WHEN 6 THEN w || 'e-1' || chr(9) || '.5 9 9' ELSE 'BEGIN ' || w END AS line
- FROM (SELECT o_orderkey, CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) AS w, substr(o_orderpriority, 1, 1) AS p FROM orders) UNION ALL SELECT 'documents', doc_id, split_part(text, chr(10), 1) FROM documents)""",
+ FROM (SELECT o_orderkey, CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) AS w, substr(o_orderpriority, 1, 1) AS p FROM orders) UNION ALL SELECT 'documents', doc_id, unnest(string_split(text, chr(10))) FROM documents)""",
 }
 
 

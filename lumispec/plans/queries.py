@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from ..functions import encode as E
 from ..functions.peaks import NUMBER, SPACE, parse_peak_line
+from ..operators import layout
 from ..operators import library as L
 from ..operators import progress as P
 from ..operators import search as S
 from ..operators import validate as V
 from ..schemas import BIN_WIDTH, COARSE_LIMIT, PPM
+from ..shared import new_folder
 from ..sources import export as X
 from ..sources.spectra import parse_files
 from . import adapter as A
@@ -81,7 +83,7 @@ def coarse_limit_1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_identify(None))
 def rerank_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All coarse hits reranked."""
-    return S.rerank(coarse_hits(spark, sf_dir), A.library(spark, sf_dir), A.queries(spark, sf_dir))
+    return S.rerank(coarse_hits(spark, sf_dir), A.library(spark, sf_dir), A.queries(spark, sf_dir), genomes=A.genomes(spark, sf_dir))
 
 
 @query(_identify(COARSE_LIMIT, where="WHERE matched_total = 0"))
@@ -115,9 +117,7 @@ def _sweep_sql() -> str:
 @query(_sweep_sql())
 def ppm_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship under three tolerances."""
-    library, queries = A.library(spark, sf_dir), A.queries(spark, sf_dir)
-    parts = [S.identify(library, queries, ppm=p).select(F.lit(p).alias("ppm"), "*") for p in (5, 50, 500)]
-    return parts[0].union(parts[1]).union(parts[2])
+    return S.ppm_sweep(A.library(spark, sf_dir), A.queries(spark, sf_dir), [5, 50, 500])
 
 
 _WIDTHS = (50, 100, 1000)
@@ -125,9 +125,8 @@ _WIDTHS = (50, 100, 1000)
 
 @query(f"{A.with_views('lib0', 'q')} " + " UNION ALL ".join(f"SELECT {w} AS bin_width, query_id, genome_id, CAST(hit_count AS BIGINT) AS hit_count FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hit_count DESC, genome_id) AS r FROM (SELECT query_id, genome_id, count(*) AS hit_count FROM q JOIN lib0 ON q_mz // {w} = milli_mz // {w} GROUP BY query_id, genome_id)) WHERE r <= {COARSE_LIMIT}" for w in _WIDTHS))
 def bin_width_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    library, queries = A.library(spark, sf_dir), A.queries(spark, sf_dir)
-    parts = [S.top_per_query(S.coarse_hits(library, queries, w), COARSE_LIMIT).select(F.lit(w).alias("bin_width"), "*") for w in _WIDTHS]
-    return parts[0].union(parts[1]).union(parts[2])
+    hits = S.coarse_sweep(A.library(spark, sf_dir), A.queries(spark, sf_dir), list(_WIDTHS))
+    return S.top_per_query(hits, COARSE_LIMIT, ["bin_width"])
 
 
 @query(f"{A.with_views('lib0', 'peaks')} SELECT milli_mz // {BIN_WIDTH} AS bin_id, genome_id, local_peak_idx FROM peaks")
@@ -265,9 +264,9 @@ def invariant_21(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""{A.with_views('ev')}, g AS (SELECT run_id, seq, epoch_us(ts) AS us FROM ev WHERE stage = 'genome'),
-nxt AS (SELECT a.run_id, a.us, min(b.us) AS after FROM g a LEFT JOIN g b ON a.run_id = b.run_id AND b.us >= a.us + {INTERVAL_US} GROUP BY 1, 2),
-walk AS (SELECT run_id, min(us) AS us FROM g GROUP BY 1 UNION ALL SELECT w.run_id, n.after FROM walk w JOIN nxt n ON n.run_id = w.run_id AND n.us = w.us WHERE n.after IS NOT NULL)
-SELECT run_id, seq, stage FROM ev WHERE stage <> 'genome' UNION ALL SELECT g.run_id, g.seq, 'genome' FROM g JOIN walk w ON g.run_id = w.run_id AND g.us = w.us"""
+nxt AS (SELECT a.run_id, a.us, min({{'us': b.us, 'seq': b.seq}}) AS after FROM (SELECT DISTINCT run_id, us FROM g) a JOIN g b ON a.run_id = b.run_id AND b.us >= a.us + {INTERVAL_US} GROUP BY 1, 2),
+walk AS (SELECT run_id, min({{'us': us, 'seq': seq}}) AS x FROM g GROUP BY 1 UNION ALL SELECT w.run_id, n.after FROM walk w JOIN nxt n ON n.run_id = w.run_id AND n.us = w.x.us)
+SELECT run_id, seq, stage FROM ev WHERE stage <> 'genome' UNION ALL SELECT run_id, x.seq, 'genome' FROM walk"""
 )
 def progress_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.throttle(A.events(spark, sf_dir), INTERVAL_US).select("run_id", "seq", "stage")
@@ -307,10 +306,12 @@ def error_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("s_suppkey", E.classify_error("m", E.DATABASE_ERRORS).alias("database_error"), E.classify_error("m", E.BUILD_ERRORS).alias("build_error"))
 
 
-@query(f"{A.with_views('lib0', 'peaks')} SELECT milli_mz // {BIN_WIDTH} AS bin_id, genome_id, local_peak_idx FROM peaks WHERE milli_mz // {BIN_WIDTH} = 2500000 // {BIN_WIDTH}")
+@query(f"{A.with_views('lib0', 'peaks')} SELECT milli_mz // {BIN_WIDTH} AS bin_id, genome_id, local_peak_idx FROM peaks WHERE milli_mz // {BIN_WIDTH} = (SELECT any_value(milli_mz) FROM peaks WHERE genome_id = 3 AND local_peak_idx = 0) // {BIN_WIDTH}")
 def postings_of_peak(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The postings in the bin of one m/z."""
-    return L.lookup_postings(L.postings(A.peaks(spark, sf_dir)), 2_500_000, BIN_WIDTH)
+    """The postings in the bin of one m/z, that of a genome's first peak."""
+    peaks = A.peaks(spark, sf_dir)
+    one = L.lookup_peaks(peaks, 3).where("local_peak_idx = 0").first()
+    return L.lookup_postings(L.postings(peaks), one.milli_mz, BIN_WIDTH)
 
 
 @query(f"{A.with_views('lib0', 'peaks')} SELECT local_peak_idx, milli_mz FROM peaks WHERE genome_id = 3")
@@ -341,6 +342,12 @@ def metadata_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.enrich(A.genomes(spark, sf_dir).where("genome_id % 7 != 0 and genome_id % 5 != 0"), *A.metadata(spark, sf_dir), strict=True)
 
 
+@query(f"{A.with_views('genomes')} SELECT genome_id, accession, 'name' AS lacks FROM genomes WHERE genome_id % 7 = 0 UNION ALL SELECT genome_id, accession, 'taxonomy' FROM genomes WHERE genome_id % 5 = 0")
+def metadata_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a strict enrichment of all genomes would refuse."""
+    return L.missing_metadata(A.genomes(spark, sf_dir), *A.metadata(spark, sf_dir))
+
+
 @query(f"{A.with_views('lib0', 'genomes')}, c AS (SELECT accession, count(l.genome_id) AS n FROM genomes g LEFT JOIN lib0 l USING (genome_id) GROUP BY 1) SELECT row_number() OVER (ORDER BY accession) - 1 AS genome_id, accession, n AS total_peaks FROM c")
 def accession_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Genomes numbered by accession, those without peaks too."""
@@ -368,10 +375,10 @@ def metadata_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.table(spark, sf_dir, "supplier").select("s_suppkey", E.clamp_gene_count("s_acctbal").alias("gene_count"), tax["id"].alias("taxonomy_id"), tax["text"].alias("taxonomy"))
 
 
-@query("SELECT o_orderkey, printf('%.2f', CAST(o_custkey / 8 AS DOUBLE)) AS score, regexp_replace(reverse(regexp_replace(reverse(CAST(o_orderkey * 1000 AS VARCHAR)), '([0-9]{3})', '\\1,', 'g')), '^,', '') AS peaks, printf('%.2f', CAST(o_custkey / 4 AS DOUBLE)) || ' s' AS duration FROM orders WHERE o_custkey % 2 = 0")
+@query("SELECT o_orderkey, printf('%.2f', CAST(floor(o_custkey / 8 * 100 + 0.5) / 100 AS DOUBLE)) AS score, regexp_replace(reverse(regexp_replace(reverse(CAST(o_orderkey * 1000 AS VARCHAR)), '([0-9]{3})', '\\1,', 'g')), '^,', '') AS peaks, printf('%.2f', CAST(o_custkey / 4 AS DOUBLE)) || ' s' AS duration FROM orders")
 def shown_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores, counts and durations as they are shown."""
-    rows = A.table(spark, sf_dir, "orders").where("o_custkey % 2 = 0")
+    """Scores (halves up), counts and durations as they are shown."""
+    rows = A.table(spark, sf_dir, "orders")
     return rows.select("o_orderkey", E.score_text(F.col("o_custkey") / 8).alias("score"), E.count_text(F.col("o_orderkey") * 1000).alias("peaks"), E.seconds_text(F.col("o_custkey") * 250_000).alias("duration"))
 
 
@@ -410,7 +417,7 @@ def known_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates of genomes that the library hasn't got are dropped by the rerank."""
     found = coarse_topk(spark, sf_dir)
     asked = found.union(found.select("query_id", F.col("genome_id") + 1_000_000, "hit_count"))
-    return S.rerank(asked, A.library(spark, sf_dir), A.queries(spark, sf_dir)).select("query_id", "genome_id")
+    return S.rerank(asked, A.library(spark, sf_dir), A.queries(spark, sf_dir), genomes=A.genomes(spark, sf_dir)).select("query_id", "genome_id")
 
 
 @query(f"""{A.with_views('lib0', 'genomes')}, r AS (SELECT genome_id, row_number() OVER (ORDER BY genome_id) AS n, least(5, count(*) OVER ()) AS total FROM genomes QUALIFY n <= 5),
@@ -422,23 +429,43 @@ def sample_query_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.sample_queries(A.source(spark, sf_dir), 5)
 
 
-_FALLING = "o AS (SELECT id, CASE WHEN id % 11 = 4 THEN pos - 1000000 ELSE pos END AS pos FROM o0)"
+def _edges_sql(rule: str) -> str:
+    """The four rules of offsets o (id, pos) of `total` rows."""
+    return f"""n AS (SELECT id, pos, lead(id) OVER w AS nid, lead(pos) OVER w AS npos FROM o WINDOW w AS (ORDER BY id)), e AS (SELECT min(id) AS low, arg_min(pos, id) AS first, arg_max(pos, id) AS last FROM o)
+SELECT '{rule}_first' AS rule, CAST(CASE WHEN first <> 0 OR low <> 0 THEN 1 ELSE 0 END AS BIGINT) AS violations FROM e UNION ALL SELECT '{rule}_last', CAST(CASE WHEN last <> (SELECT count(*) FROM lib0) THEN 1 ELSE 0 END AS BIGINT) FROM e
+UNION ALL SELECT '{rule}_gap', count(*) FROM n WHERE nid <> id + 1 UNION ALL SELECT '{rule}_fall', count(*) FROM n WHERE npos < pos"""
+
 
+def _tampered_offsets(offsets: DataFrame, id_: str, offset: str) -> DataFrame:
+    """Offsets with faults of each kind: some fall, some are missing, and all begin one too late."""
+    fallen = F.col(offset) + 1 - F.when(F.col(id_) % 11 == 4, 1_000_000).otherwise(0)
+    return offsets.where(F.col(id_) % 13 != 5).select(id_, fallen.alias(offset))
 
-def _falling(offsets: DataFrame, id_: str, offset: str) -> DataFrame:
-    """Offsets with faults, so that the rule has something to count."""
-    return offsets.select(id_, (F.col(offset) - F.when(F.col(id_) % 11 == 4, 1_000_000).otherwise(0)).alias(offset))
 
+_FAULTS = "o AS (SELECT id, CASE WHEN id % 11 = 4 THEN pos + 1 - 1000000 ELSE pos + 1 END AS pos FROM o0 WHERE id % 13 <> 5)"
 
-@query(f"{A.with_views('lib0')}, h AS (SELECT milli_mz // {BIN_WIDTH} AS b, count(*) AS n FROM lib0 GROUP BY 1), d AS (SELECT unnest(range((SELECT max(b) FROM h) + 2)) AS id), o0 AS (SELECT id, sum(coalesce(n, 0)) OVER (ORDER BY id) - coalesce(n, 0) AS pos FROM d LEFT JOIN h ON b = id), {_FALLING} SELECT 'bin_offsets' AS rule, count(*) AS violations FROM o JOIN o n ON n.id = o.id + 1 WHERE n.pos < o.pos")
+
+@query(f"{A.with_views('lib0')}, h AS (SELECT milli_mz // {BIN_WIDTH} AS b, count(*) AS n FROM lib0 GROUP BY 1), d AS (SELECT unnest(range((SELECT max(b) FROM h) + 2)) AS id), o0 AS (SELECT id, sum(coalesce(n, 0)) OVER (ORDER BY id) - coalesce(n, 0) AS pos FROM d LEFT JOIN h ON b = id), {_FAULTS}, {_edges_sql('bin_offsets')}")
 def invariant_bin_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.monotonic(_falling(L.bin_offsets(A.library(spark, sf_dir)), "bin_id", "offset"), "bin_id", "offset", "bin_offsets")
+    """Rules of a bin table with faults."""
+    library = A.library(spark, sf_dir)
+    return V.offset_edges(_tampered_offsets(L.bin_offsets(library), "bin_id", "offset"), "bin_id", "offset", library.count(), "bin_offsets")
 
 
-@query(f"{A.with_views('lib0', 'genomes')}, c AS (SELECT g.genome_id AS id, count(l.genome_id) AS n FROM genomes g LEFT JOIN lib0 l USING (genome_id) GROUP BY 1), o0 AS (SELECT id, sum(n) OVER (ORDER BY id) - n AS pos FROM c), {_FALLING} SELECT 'genome_offsets' AS rule, count(*) AS violations FROM o JOIN o n ON n.id = o.id + 1 WHERE n.pos < o.pos")
+@query(f"{A.with_views('lib0', 'genomes')}, c AS (SELECT g.genome_id AS id, count(l.genome_id) AS n FROM genomes g LEFT JOIN lib0 l USING (genome_id) GROUP BY 1), o0 AS (SELECT id, sum(n) OVER (ORDER BY id) - n AS pos FROM c), {_FAULTS}, {_edges_sql('genome_offsets')}")
 def invariant_genome_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    offsets = L.genome_offsets(A.library(spark, sf_dir), A.genomes(spark, sf_dir))
-    return V.monotonic(_falling(offsets, "genome_id", "start_offset"), "genome_id", "start_offset", "genome_offsets")
+    """Rules of a genome table with faults."""
+    library = A.library(spark, sf_dir)
+    offsets = L.genome_offsets(library, A.genomes(spark, sf_dir))
+    return V.offset_edges(_tampered_offsets(offsets, "genome_id", "start_offset"), "genome_id", "start_offset", library.count(), "genome_offsets")
+
+
+@query(f"{A.with_views('lib0')}, h AS (SELECT milli_mz // {BIN_WIDTH} AS b, count(*) AS n FROM lib0 GROUP BY 1) SELECT 'bin_offsets_agree' AS rule, count(*) AS violations FROM h WHERE b % 17 = 3")
+def invariant_offsets_agree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bins whose stored offsets don't fit an index that lacks the postings of some bins."""
+    library = A.library(spark, sf_dir)
+    lacking = L.bin_histogram(library).where("bin_id % 17 != 3")
+    return V.offsets_agree(L.bin_offsets(library), "bin_id", "offset", lacking, "peak_count", "bin_offsets_agree")
 
 
 def _dictionary_rule_sql(column: str) -> str:
@@ -474,9 +501,56 @@ def invariant_utf8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.strings(rows, "name", "name_utf8")
 
 
-@query(f"{A.with_views('lib0', 'genomes')} SELECT 'schema_version' AS rule, CAST(1 AS BIGINT) AS violations UNION ALL SELECT 'bin_width', 1 UNION ALL SELECT 'bin_count', 0 UNION ALL SELECT 'posting_count', 0 UNION ALL SELECT 'total_peak_count', 1 UNION ALL SELECT 'genome_count', 0")
+@query(f"""{_TAMPERED}, claim AS (SELECT (SELECT count(*) FROM customer) AS genomes, (SELECT count(*) FROM orders) AS peaks, (SELECT max(milli_mz) // {BIN_WIDTH} + 1 FROM lib0) AS bins),
+kept AS (SELECT * FROM post WHERE genome_id IN (SELECT genome_id FROM genomes))
+SELECT 'schema_version' AS rule, CAST(CASE WHEN (SELECT count(*) FROM region) = 1 THEN 0 ELSE 1 END AS BIGINT) AS violations UNION ALL SELECT 'bin_width', CAST(CASE WHEN (SELECT count(*) FROM nation) > 0 THEN 0 ELSE 1 END AS BIGINT) UNION ALL SELECT 'bin_count', CAST(CASE WHEN bins = (SELECT max(milli_mz) // (SELECT count(*) FROM nation) + 1 FROM lib0) THEN 0 ELSE 1 END AS BIGINT) FROM claim
+UNION ALL SELECT 'posting_count', CAST(CASE WHEN (SELECT count(*) FROM kept) = (SELECT count(*) FROM lib0) THEN 0 ELSE 1 END AS BIGINT) UNION ALL SELECT 'total_peak_count', CAST(CASE WHEN peaks = (SELECT count(*) FROM lib0) THEN 0 ELSE 1 END AS BIGINT) FROM claim UNION ALL SELECT 'genome_count', CAST(CASE WHEN genomes = (SELECT count(*) FROM genomes) THEN 0 ELSE 1 END AS BIGINT) FROM claim""")
 def invariant_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A manifest with a wrong version, bin width and number of peaks."""
+    """A manifest that takes its numbers from other tables, against a library whose index lacks postings."""
+    count = lambda name: A.table(spark, sf_dir, name).count()
     peaks, genomes = A.peaks(spark, sf_dir), A.genomes(spark, sf_dir)
-    manifest = {"schema_version": 2, "bin_width": 0, "bin_count": 5, "total_peak_count": -1, "genome_count": genomes.count()}
-    return V.manifest_rules(manifest, peaks, L.postings(peaks), genomes)
+    bins = L.build_report(peaks, genomes).first().bin_count
+    manifest = {"schema_version": count("region"), "bin_width": count("nation"), "bin_count": bins, "total_peak_count": count("orders"), "genome_count": count("customer")}
+    return V.manifest_rules(manifest, peaks, _tampered(spark, sf_dir).join(genomes, "genome_id", "left_semi"), genomes)
+
+
+def _built(spark: SparkSession, sf_dir: str, order: str = "accession") -> L.Library:
+    """A library of the views, built in a new folder of the shared one."""
+    return L.build_library(A.source(spark, sf_dir), *A.metadata(spark, sf_dir), new_folder(spark, "lumispec-library"), order=order)
+
+
+_BUILT = f"""{A.with_views('lib0', 'genomes', 'meta')}, ids AS (SELECT genome_id AS old_id, row_number() OVER (ORDER BY accession) - 1 AS genome_id, accession FROM genomes),
+bp AS (SELECT i.genome_id, row_number() OVER (PARTITION BY i.genome_id ORDER BY l_orderkey, l_linenumber, milli_mz) - 1 AS local_peak_idx, milli_mz FROM lib0 JOIN ids i ON i.old_id = lib0.genome_id)"""
+
+
+@query(f"{_BUILT} SELECT genome_id, accession, local_peak_idx, milli_mz FROM bp JOIN ids USING (genome_id)")
+def built_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The peaks of a library that is built in order of accessions and read back, each with its genome's accession."""
+    library = _built(spark, sf_dir)
+    return library.peaks.join(library.genomes.select("genome_id", "accession"), "genome_id").select("genome_id", "accession", "local_peak_idx", "milli_mz")
+
+
+@query(f"""{_BUILT}, c AS (SELECT genome_id, count(*) AS n FROM bp GROUP BY 1),
+b AS (SELECT i.genome_id, i.accession, display_name, taxonomy, taxonomy_id, gene_count, coalesce(n, 0) AS total_peaks FROM ids i JOIN meta m ON m.genome_id = i.old_id LEFT JOIN c ON c.genome_id = i.genome_id),
+dn AS (SELECT display_name, row_number() OVER (ORDER BY g, display_name) AS name_id FROM (SELECT display_name, min(genome_id) AS g FROM b WHERE display_name <> '' GROUP BY 1)),
+dt AS (SELECT taxonomy, row_number() OVER (ORDER BY g, taxonomy) AS taxon_id FROM (SELECT taxonomy, min(genome_id) AS g FROM b WHERE taxonomy <> '' GROUP BY 1))
+SELECT b.*, coalesce(name_id, 0) AS name_id, coalesce(taxon_id, 0) AS taxon_id, CAST(sum(total_peaks) OVER (ORDER BY genome_id) - total_peaks AS BIGINT) AS start_offset FROM b LEFT JOIN dn USING (display_name) LEFT JOIN dt USING (taxonomy)""")
+def built_genomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The genomes of such a library with their dictionary ids and offsets."""
+    library = _built(spark, sf_dir)
+    return library.genomes.join(library.genome_offsets.select("genome_id", "start_offset"), "genome_id")
+
+
+@query(f"""{_BUILT}, asked AS (SELECT DISTINCT milli_mz FROM bp WHERE local_peak_idx = 0)
+SELECT a.milli_mz, bp.milli_mz // {BIN_WIDTH} AS bin_id, genome_id, local_peak_idx FROM asked a JOIN bp ON bp.milli_mz // {BIN_WIDTH} = a.milli_mz // {BIN_WIDTH}""")
+def stored_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored postings of the bins of all genomes' first peaks, by the index's folders and bins."""
+    library = _built(spark, sf_dir)
+    return library.postings_of(library.peaks.where("local_peak_idx = 0"))
+
+
+@query(f"{A.with_views('lib0')} SELECT 'row_order' AS rule, count(*) AS rows, CAST(0 AS BIGINT) AS violations FROM lib0")
+def stored_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the stored index, and places where they aren't in order, from row to row and from file to file."""
+    library = _built(spark, sf_dir, "source")
+    return layout.order_faults(spark, f"{library.path}/postings", L.STORED["postings"][0])

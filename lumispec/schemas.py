@@ -9,6 +9,7 @@ RESULTS = "query_id long, genome_id long, score float, matched_ribosomal long, m
 
 #: Fixed values of the domain.
 BIN_WIDTH = 100
+SHARDS = 64
 COARSE_LIMIT = 8
 TOP_RESULTS = 8
 PPM = 50

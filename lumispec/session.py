@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from .operators.library import Library, build_library
 from .operators.search import identify
 from .operators.validate import validate
-from .schemas import BIN_WIDTH, COARSE_LIMIT, PPM, TOP_RESULTS
+from .schemas import BIN_WIDTH, COARSE_LIMIT, PPM, SHARDS, TOP_RESULTS
+from .shared import shared_dir
 from .ship import ship
 from .sources import export, pickle_source
 from .sources.discovery import discover
@@ -31,18 +32,18 @@ class Session:
         self.library = Library(self.spark, path)
         return self.library
 
-    def build(self, source: str, path: str, bin_width: int = BIN_WIDTH, order: str = "source", strict: bool = False, on_event: Callable[[dict], None] | None = None, genes: str | None = None, names: str | None = None, taxonomy: str | None = None) -> Library:
-        """Builds a library from pickle files and opens it. on_event gets start, metaStart, finalizeStart and done with elapsed_ms."""
+    def build(self, source: str, path: str, bin_width: int = BIN_WIDTH, order: str = "source", strict: bool = False, shards: int = SHARDS, on_event: Callable[[dict], None] | None = None, genes: str | None = None, names: str | None = None, taxonomy: str | None = None) -> Library:
+        """Builds a library from pickle files and opens it. on_event gets start, indexStart, metaStart, finalizeStart and done, with elapsed_ms and the
+        counts that are known by then. The peaks' pickle is one stream and is decoded once, by one task, into a checkpoint."""
         began = time.monotonic()
         tell = lambda stage, **x: on_event({"stage": stage, **x, "elapsed_ms": int((time.monotonic() - began) * 1000)}) if on_event else None
         found = discover(source, genes, names, taxonomy)
         tell("start", all_db=str(found.peaks))
-        peaks = pickle_source.read_peaks(self.spark, str(found.peaks), strict)
+        shared_dir(self.spark)
+        peaks = pickle_source.read_peaks(self.spark, str(found.peaks), strict).checkpoint()
         paths = [str(x) if x else None for x in (found.genes, found.names, found.taxonomy)]
         meta = [read(self.spark, x) for read, x in zip((pickle_source.read_genes, pickle_source.read_names, pickle_source.read_taxonomy), paths, strict=True)]
-        tell("metaStart")
-        library = build_library(peaks, *meta, path, bin_width, order, strict)
-        tell("finalizeStart")
+        library = build_library(peaks, *meta, path, bin_width, order, strict, shards, on_event=lambda event: tell(**event))
         self.library = library
         tell("done", **{k: library.manifest[k] for k in ("genome_count", "total_peak_count", "bin_count")})
         return library

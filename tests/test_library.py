@@ -4,7 +4,9 @@ import pickle
 import pickletools
 
 import pytest
+from pyspark.sql import functions as F
 
+from lumispec.operators import layout
 from lumispec.operators import library as L
 from lumispec.operators import progress as P
 from lumispec.operators import validate as V
@@ -40,7 +42,7 @@ def test_session(spark, source, queries, tmp_path):
     with pytest.raises(RuntimeError, match="not loaded"):
         session.identify(queries)
     library = session.build(str(source), str(tmp_path / "library"), on_event=events.append)
-    assert [e["stage"] for e in events] == ["start", "metaStart", "finalizeStart", "done"]
+    assert [e["stage"] for e in events] == ["start", "indexStart", "metaStart", "finalizeStart", "done"]
     assert (events[-1]["genome_count"], events[-1]["total_peak_count"], events[-1]["bin_count"]) == (2, 4, 14001)
     assert [tuple(r) for r in library.postings.orderBy("bin_id", "genome_id").collect()] == [(10000, 0, 0), (10010, 1, 0), (12000, 0, 1), (14000, 1, 1)]
     assert [tuple(r) for r in library.postings_for(1000050).collect()] == [(10000, 0, 0)]
@@ -63,9 +65,9 @@ def test_session(spark, source, queries, tmp_path):
     assert binary.validate(out) == (True, [])
 
 
-def test_stream(spark, source, queries, tmp_path):
+def test_stream(spark, source, queries, tmp_path, tmp_path_factory):
     session = Session(spark)
-    library = session.build(str(source), str(tmp_path / "library"))
+    library = session.build(str(source), str(tmp_path_factory.mktemp("library") / "library"))
     found = []
     query = identify_stream(spark, str(tmp_path), library.peaks, lambda df, n: found.extend(tuple(r) for r in df.select("query_file", "genome_id", "rank").collect()), str(tmp_path / "checkpoint"), available_now=True)
     query.awaitTermination()
@@ -213,3 +215,85 @@ def test_genomes_without_peaks_stay(spark, tmp_path, order):
     want = [("c", 1), ("b", 0), ("a", 2)]
     assert got == [(k, *x) for k, x in enumerate(want if order == "source" else want[::-1])]
     assert library.manifest["genome_count"] == 3 and library.peaks.where("genome_id = 1").count() == 0
+
+
+def test_many_genomes_in_accession_order(spark, tmp_path):
+    """No genome is lost where the table has many partitions, with the lists or without."""
+    n, each = 20_000, 40
+    accession = F.concat(F.lit("acc"), (F.col("id") * 7919 % n).cast("string"))
+    peaks = F.transform(F.sequence(F.lit(1), F.lit(each)), lambda k: (F.col("id") % 97 * 10 + k).cast("double"))
+    source = spark.range(0, n, 1, 16).select(F.col("id").alias("ordinal"), accession.alias("accession"), peaks.alias("peaks"))
+    want = {f"acc{i * 7919 % n}": i for i in range(n)}
+    got = L.numbered(source, "accession").select("genome_id", "accession", F.element_at("peaks", 1).alias("first")).collect()
+    assert [(r.accession, r.first) for r in sorted(got)] == [(a, want[a] % 97 * 10 + 1.0) for a in sorted(want)]
+    assert sorted(r.genome_id for r in got) == list(range(n))
+    genes, names, taxa = (spark.createDataFrame([], f"accession string, {x}") for x in ("gene_count long", "name string", "taxonomy_id long, taxonomy string"))
+    library = L.build_library(source, genes, names, taxa, str(tmp_path / "library"), order="accession", shards=4)
+    assert (library.manifest["genome_count"], library.manifest["total_peak_count"]) == (n, n * each)
+    assert library.genomes.count() == n and library.peaks.count() == library.postings.count() == n * each
+    bad = {r.rule: r.violations for r in V.validate(library).collect()}
+    assert len(bad) > 25 and not any(bad.values())
+    assert V.checksums(library).count() == 2
+    # a lookup reads one folder, and of it the row groups that can hold its key
+    hits = library.postings_for(50_000)
+    plan = hits._jdf.queryExecution()
+    text = plan.explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert "PartitionFilters: [isnotnull(band" in text and "EqualTo(bin_id,500)" in text
+    assert plan.toRdd().count() == hits.count() > 0
+    read = plan.executedPlan().collectLeaves().head().metrics().apply("numFiles").value()
+    assert 0 < read < len(library.table("postings").inputFiles())
+    assert library.genome_peaks(123).count() == each and library.genome_metadata(123).first().accession == sorted(want)[123] and library.genome_peaks(n).count() == 0
+    assert library.postings_for(10**12).count() == 0
+    many = library.postings_of(spark.createDataFrame([(50_000,), (50_050,), (7,)], "milli_mz long"))
+    assert many.count() == 2 * hits.count()
+
+
+def test_stored_faults_are_found(spark, tmp_path):
+    """Offsets, order and bytes of stored tables, each broken on purpose."""
+    offsets = lambda *rows: spark.createDataFrame(rows, "k long, o long")
+    count = lambda df: {r.rule.removeprefix("r_"): r.violations for r in df.collect()}
+    good = [(k, 3 * k) for k in range(10_000)]
+    edges = lambda rows: count(V.offset_edges(offsets(*rows), "k", "o", 29_997, "r"))
+    assert edges(good) == {"first": 0, "last": 0, "gap": 0, "fall": 0}
+    assert edges([(0, 1), *good[1:]]) == {"first": 1, "last": 0, "gap": 0, "fall": 0}
+    assert edges(good[1:])["first"] == 1
+    assert edges(good[:-1]) == {"first": 0, "last": 1, "gap": 0, "fall": 0}
+    assert edges([*good[:4096], *good[4097:]]) == {"first": 0, "last": 0, "gap": 1, "fall": 0}
+    assert edges([*good[:4095], (4095, 99_999), *good[4096:]]) == {"first": 0, "last": 0, "gap": 0, "fall": 1}
+    assert edges([*good, good[7]])["gap"] == 1
+    assert edges([])["first"] == edges([])["last"] == 1
+    counts = spark.createDataFrame([(k, 3) for k in range(9999)], "k long, n long")
+    assert V.offsets_agree(offsets(*good), "k", "o", counts, "n", "r").first().violations == 0
+    assert V.offsets_agree(offsets(*good), "k", "o", counts.where("k != 4095"), "n", "r").first().violations == 1
+    rows = spark.range(30_000).select((F.col("id") * 7919 % 3001).alias("a"), (F.col("id") % 977).alias("b"))
+    rows.repartitionByRange(5, "a", "b").sortWithinPartitions("a", "b").write.parquet(str(tmp_path / "t"))
+    rows.repartition(3).write.parquet(str(tmp_path / "shuffled"))
+    ends = rows.orderBy("a", "b").collect()
+    import zlib
+
+    import numpy as np
+
+    whole = np.array([(r.b, r.a) for r in ends], "<u4").tobytes()
+    assert tuple(layout.checksum(spark, str(tmp_path / "t"), ["a", "b"], ["b", "a"]).first()) == (30_000, zlib.crc32(whole))
+    assert layout.order_faults(spark, str(tmp_path / "t"), ["a", "b"]).first().violations == 0
+    assert layout.order_faults(spark, str(tmp_path / "shuffled"), ["a", "b"]).first().violations > 10_000
+    changed = rows.withColumn("b", F.when((F.col("a") == 5) & (F.col("b") == rows.where("a = 5").first().b), 976).otherwise(F.col("b")))
+    changed.repartitionByRange(5, "a", "b").sortWithinPartitions("a", "b").write.parquet(str(tmp_path / "changed"))
+    assert layout.checksum(spark, str(tmp_path / "changed"), ["a", "b"], ["b", "a"]).first().crc != zlib.crc32(whole)
+    # two sorted files whose ranges overlap
+    rows.where("a < 2000").coalesce(1).sortWithinPartitions("a", "b").write.parquet(str(tmp_path / "two"))
+    rows.where("a > 1000").coalesce(1).sortWithinPartitions("a", "b").write.mode("append").parquet(str(tmp_path / "two"))
+    assert layout.order_faults(spark, str(tmp_path / "two"), ["a", "b"]).first().violations == 1
+
+
+def test_stored_checksum_is_the_binary_layouts(spark, source, tmp_path):
+    session = Session(spark)
+    library = session.build(str(source), str(tmp_path / "library"))
+    binary.from_library(library, tmp_path / "binary")
+    head = binary.header((tmp_path / "binary" / "header.bin").read_bytes())
+    assert library.manifest["crc_peaks"] == head["crc_peaks"]
+    spark.createDataFrame([(0, 0, 1), (0, 1, 2)], "genome_id long, local_peak_idx long, milli_mz long").withColumn("shard", F.lit(0).cast("long")).write.mode("overwrite").partitionBy("shard").parquet(str(tmp_path / "library/peaks"))
+    bad = {r.rule for r in session.validate().collect() if r.violations}
+    assert {"crc_peaks", "total_peak_count", "posting_count", "coverage", "genome_offsets_agree"} <= bad
+    again = L.build_library(spark.createDataFrame([(0, "z", [5.0])], "ordinal long, accession string, peaks array<double>"), *(spark.createDataFrame([], f"accession string, {x}") for x in ("gene_count long", "name string", "taxonomy_id long, taxonomy string")), str(tmp_path / "library"), mode="overwrite")
+    assert again.manifest["genome_count"] == 1 and not any(r.violations for r in V.validate(again).collect())
