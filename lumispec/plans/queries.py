@@ -36,17 +36,17 @@ def query(sql: str) -> Callable:
     return add
 
 
-def _hits(width: int = BIN_WIDTH) -> str:
+def hits_sql(width: int = BIN_WIDTH) -> str:
     return f"hits AS (SELECT query_id, genome_id, count(*) AS hit_count FROM q JOIN lib0 ON q_mz // {width} = milli_mz // {width} GROUP BY query_id, genome_id)"
 
 
-def _cand(limit: int | None) -> str:
+def candidates_sql(limit: int | None) -> str:
     if limit is None:
         return "cand AS (SELECT * FROM hits)"
     return f"cand AS (SELECT query_id, genome_id, hit_count FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hit_count DESC, genome_id) AS r FROM hits) WHERE r <= {limit})"
 
 
-def _ranked(ppm: int) -> str:
+def ranked_sql(ppm: int) -> str:
     return f"""best AS (SELECT c.query_id, c.genome_id, q.ord, q.intensity, min(abs(q_mz - milli_mz) * 1000000 // nullif(q_mz, 0)) AS d
  FROM cand c JOIN q USING (query_id) JOIN lib0 l ON l.genome_id = c.genome_id AND l.milli_mz >= q_mz - (q_mz * {ppm}) // 1000000 AND l.milli_mz <= q_mz + (q_mz * {ppm + 1} - 1) // 1000000
  WHERE q_mz > 0 GROUP BY c.query_id, c.genome_id, q.ord, q.intensity),
@@ -56,7 +56,7 @@ ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY scor
 
 
 def _identify(limit: int | None, ppm: int = PPM, where: str = "") -> str:
-    return f"{A.with_views('lib0', 'q')}, {_hits()}, {_cand(limit)}, {_ranked(ppm)} SELECT query_id, genome_id, score, matched_ribosomal, matched_total, rank FROM ranked {where}"
+    return f"{A.with_views('lib0', 'q')}, {hits_sql()}, {candidates_sql(limit)}, {ranked_sql(ppm)} SELECT query_id, genome_id, score, matched_ribosomal, matched_total, rank FROM ranked {where}"
 
 
 @query(_identify(COARSE_LIMIT))
@@ -65,17 +65,17 @@ def identify_flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.identify(A.library(spark, sf_dir), A.queries(spark, sf_dir))
 
 
-@query(f"{A.with_views('lib0', 'q')}, {_hits()} SELECT query_id, genome_id, CAST(hit_count AS BIGINT) AS hit_count FROM hits")
+@query(f"{A.with_views('lib0', 'q')}, {hits_sql()} SELECT query_id, genome_id, CAST(hit_count AS BIGINT) AS hit_count FROM hits")
 def coarse_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.coarse_hits(A.library(spark, sf_dir), A.queries(spark, sf_dir))
 
 
-@query(f"{A.with_views('lib0', 'q')}, {_hits()}, {_cand(COARSE_LIMIT)} SELECT query_id, genome_id, CAST(hit_count AS BIGINT) AS hit_count FROM cand")
+@query(f"{A.with_views('lib0', 'q')}, {hits_sql()}, {candidates_sql(COARSE_LIMIT)} SELECT query_id, genome_id, CAST(hit_count AS BIGINT) AS hit_count FROM cand")
 def coarse_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.top_per_query(coarse_hits(spark, sf_dir), COARSE_LIMIT)
 
 
-@query(f"{A.with_views('lib0', 'q')}, {_hits()}, {_cand(1)} SELECT query_id, genome_id, CAST(hit_count AS BIGINT) AS hit_count FROM cand")
+@query(f"{A.with_views('lib0', 'q')}, {hits_sql()}, {candidates_sql(1)} SELECT query_id, genome_id, CAST(hit_count AS BIGINT) AS hit_count FROM cand")
 def coarse_limit_1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.top_per_query(coarse_hits(spark, sf_dir), 1)
 
@@ -106,12 +106,12 @@ def ppm_window_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sweep_sql() -> str:
     parts = []
     for ppm in (5, 50, 500):
-        renamed = _ranked(ppm)
+        renamed = ranked_sql(ppm)
         for name in ("best", "fold", "res", "ranked"):
             renamed = renamed.replace(f"{name} AS (SELECT", f"{name}{ppm} AS (SELECT").replace(f"FROM {name} ", f"FROM {name}{ppm} ").replace(f"JOIN {name} ", f"JOIN {name}{ppm} ").replace(f"FROM {name})", f"FROM {name}{ppm})")
         parts.append(renamed)
     union = " UNION ALL ".join(f"SELECT {p} AS ppm, query_id, genome_id, score, matched_ribosomal, matched_total, rank FROM ranked{p}" for p in (5, 50, 500))
-    return f"{A.with_views('lib0', 'q')}, {_hits()}, {_cand(COARSE_LIMIT)}, {', '.join(parts)} {union}"
+    return f"{A.with_views('lib0', 'q')}, {hits_sql()}, {candidates_sql(COARSE_LIMIT)}, {', '.join(parts)} {union}"
 
 
 @query(_sweep_sql())
@@ -196,25 +196,25 @@ def csv_database_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FILE = "'q' || query_id || CASE query_id % 3 WHEN 0 THEN ',a.txt' WHEN 1 THEN ' \"b\".mgf' ELSE '.txt' END"
 
 
-@query(f"{A.with_views('lib0', 'q')}, {_hits()}, {_cand(COARSE_LIMIT)}, {_ranked(PPM)}, f AS (SELECT *, {_FILE} AS query_file FROM ranked) SELECT query_id, rank, {_csv('query_file')} || ',' || genome_id || ',' || printf('%.6f', CAST(score AS DOUBLE)) || ',' || matched_ribosomal || ',' || matched_total AS line FROM f")
+@query(f"{A.with_views('lib0', 'q')}, {hits_sql()}, {candidates_sql(COARSE_LIMIT)}, {ranked_sql(PPM)}, f AS (SELECT *, {_FILE} AS query_file FROM ranked) SELECT query_id, rank, {_csv('query_file')} || ',' || genome_id || ',' || printf('%.6f', CAST(score AS DOUBLE)) || ',' || matched_ribosomal || ',' || matched_total AS line FROM f")
 def csv_result_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("query_id") % 3
     file = F.concat(F.lit("/data/q"), F.col("query_id").cast("string"), F.when(kind == 0, ",a.txt").when(kind == 1, ' "b".mgf').otherwise(".txt"))
     return X.result_lines(identify_flagship(spark, sf_dir).withColumn("query_file", E.basename(file)))
 
 
-_RE2 = SPACE.replace("\\x0B", "\\x{0B}")
+RE2 = SPACE.replace("\\x0B", "\\x{0B}")
 
 
 @query(
-    rf"""{A.with_views('lines')}, t AS (SELECT src, id, line, regexp_replace(line, '^[{_RE2}]+|[{_RE2}]+$', '', 'g') AS s FROM lines),
-f AS (SELECT *, list_filter(regexp_split_to_array(s, '[{_RE2},]+'), lambda x : x <> '') AS a FROM t WHERE s <> '' AND NOT starts_with(s, '#') AND NOT starts_with(s, 'COM='))
+    rf"""{A.with_views('lines')}, t AS (SELECT src, id, line, regexp_replace(line, '^[{RE2}]+|[{RE2}]+$', '', 'g') AS s FROM lines),
+f AS (SELECT *, list_filter(regexp_split_to_array(s, '[{RE2},]+'), lambda x : x <> '') AS a FROM t WHERE s <> '' AND NOT starts_with(s, '#') AND NOT starts_with(s, 'COM='))
 SELECT src, id, CAST(a[1] AS DOUBLE) AS mz, CASE WHEN len(a) > 1 THEN TRY_CAST(a[2] AS DOUBLE) ELSE 1.0::DOUBLE END AS intensity FROM f
 WHERE regexp_matches(a[1], '{NUMBER}') AND (len(a) = 1 OR regexp_matches(a[2], '{NUMBER}'))"""
 )
 def parse_peak_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = A.lines(spark, sf_dir).withColumn("peak", parse_peak_line("line"))
-    return parsed.where("peak is not null").select("src", "id", "peak.*")
+    found = F.explode(F.array_compact(F.array(parse_peak_line("line"))))  # parsed once for filter and columns
+    return A.lines(spark, sf_dir).select("src", "id", found.alias("peak")).select("src", "id", "peak.*")
 
 
 @query("SELECT p_partkey, regexp_replace(p_name || '/' || p_brand || ':' || p_type || '.db', '[^A-Za-z0-9._-]', '_', 'g') AS name FROM part")
@@ -398,7 +398,7 @@ def parse_query_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_files(A.files(spark, sf_dir))
 
 
-@query(f"{A.with_views('lib0')}, {_FILES_SQL}, q AS (SELECT * FROM parsed), {_hits()}, {_cand(COARSE_LIMIT)}, {_ranked(PPM)} SELECT DISTINCT r.query_id, query_file, genome_id, score, matched_ribosomal, matched_total, rank FROM ranked r JOIN parsed USING (query_id) WHERE rank <= 3")
+@query(f"{A.with_views('lib0')}, {_FILES_SQL}, q AS (SELECT * FROM parsed), {hits_sql()}, {candidates_sql(COARSE_LIMIT)}, {ranked_sql(PPM)} SELECT DISTINCT r.query_id, query_file, genome_id, score, matched_ribosomal, matched_total, rank FROM ranked r JOIN parsed USING (query_id) WHERE rank <= 3")
 def identify_query_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three best results of each query file, from its text."""
     queries = parse_files(A.files(spark, sf_dir))
@@ -412,7 +412,7 @@ def batch_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.totals(identify_flagship(spark, sf_dir))
 
 
-@query(f"{A.with_views('lib0', 'q')}, {_hits()}, {_cand(COARSE_LIMIT)}, asked AS (SELECT query_id, genome_id, hit_count FROM cand UNION ALL SELECT query_id, genome_id + 1000000, hit_count FROM cand) SELECT query_id, genome_id FROM asked WHERE genome_id IN (SELECT genome_id FROM lib0)")
+@query(f"{A.with_views('lib0', 'q')}, {hits_sql()}, {candidates_sql(COARSE_LIMIT)}, asked AS (SELECT query_id, genome_id, hit_count FROM cand UNION ALL SELECT query_id, genome_id + 1000000, hit_count FROM cand) SELECT query_id, genome_id FROM asked WHERE genome_id IN (SELECT genome_id FROM lib0)")
 def known_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates of genomes that the library hasn't got are dropped by the rerank."""
     found = coarse_topk(spark, sf_dir)

@@ -2,12 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import encode as E
-from ..functions.peaks import parse_peak_line
+from ..functions.peaks import PEAK, classify_peak_line, once, parse_peak_line, peak_fields
+
+
+#: Kind of a line whose numbers are well written but beyond what is stored.
+OUT_OF_RANGE = "out_of_range"
+
+
+def classified(line: Column | str) -> Column:
+    """struct<kind, milli_mz, intensity> of a line: an encoded peak, or why it is none; kinds are those of functions.peaks, and out_of_range."""
+
+    def stored(x: Column) -> Column:
+        return F.struct(x["kind"].alias("kind"), E.encode_mz(x["mz"], False).alias("milli_mz"), E.encode_intensity(x["intensity"], False).alias("intensity"))
+
+    def known(x: Column) -> Column:
+        lost = (x["kind"] == PEAK) & (x["milli_mz"].isNull() | x["intensity"].isNull())
+        return F.struct(F.when(lost, OUT_OF_RANGE).otherwise(x["kind"]).alias("kind"), F.when(~lost, x["milli_mz"]).alias("milli_mz"), F.when(~lost, x["intensity"]).alias("intensity"))
+
+    return once(once(classify_peak_line(peak_fields(line)), stored), known)
+
+
+def classified_files(files: DataFrame, content: str = "content") -> DataFrame:
+    """Every line of files (any columns, content) as a row: the other columns, line_no from 0, kind, milli_mz and intensity. Peaks and faults come
+    from one pass, and together they are all lines; a null content is one blank line. No row needs another, so that streams may use it too."""
+    lines = F.split(F.coalesce(F.col(content), F.lit("")), "\r?\n")
+    rest = [F.col(f"`{c}`") for c in files.columns if c != content]
+    rows = files.select(*rest, F.posexplode(F.transform(lines, classified)).alias("line_no", "_line"))
+    return rows.select(*rest, F.col("line_no").cast("long").alias("line_no"), "_line.*")
 
 
 def parse_files(files: DataFrame, split_mgf: bool = False, permissive: bool = False) -> DataFrame:
@@ -21,7 +47,7 @@ def parse_files(files: DataFrame, split_mgf: bool = False, permissive: bool = Fa
         begins = F.when(F.upper(F.trim("line")) == "BEGIN IONS", 1).otherwise(0)
         block = F.sum(begins).over(Window.partitionBy("query_id").orderBy("line_no"))
         lines = lines.withColumn("query_id", F.col("query_id") * (1 << 20) + block)
-    parsed = lines.withColumn("peak", parse_peak_line("line")).where("peak is not null")
+    parsed = lines.select("query_id", "query_file", "line_no", F.explode(F.array_compact(F.array(parse_peak_line("line")))).alias("peak"))
     peaks = parsed.select("query_id", "query_file", "line_no", E.encode_mz("peak.mz", not permissive).alias("milli_mz"), E.encode_intensity("peak.intensity", not permissive).alias("intensity"))
     if permissive:
         peaks = peaks.where("milli_mz is not null and intensity is not null")
