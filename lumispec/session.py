@@ -17,7 +17,7 @@ from .shared import shared_dir
 from .ship import ship
 from .sources import export, pickle_source
 from .sources.discovery import discover
-from .sources.spectra import parse_files, read_files
+from .sources.spectra import read_files, read_queries
 
 GROUP = "lumispec-identify"
 
@@ -54,13 +54,14 @@ class Session:
         return self.library
 
     def identify(self, paths: list[str], coarse_limit: int = COARSE_LIMIT, ppm: int = PPM, top: int = TOP_RESULTS, permissive: bool = False, split_mgf: bool = False) -> DataFrame:
-        """Results of query files with query_file, as one lazy plan in the order of files, then rank. What is run on it within running() is what
-        cancel() ends."""
+        """Results of query files with query_file, in the order of files, then rank. The files are read and parsed once, when this is called: their
+        peaks are a checkpoint, which both searches use. The rest is one lazy plan: what is run on it within running() is what cancel() ends."""
         library = self._open()
-        files = read_files(self.spark, paths)
-        queries = parse_files(files, split_mgf, permissive)
+        shared_dir(self.spark)
+        queries = read_queries(self.spark, paths, split_mgf, permissive).checkpoint()
         found = identify(library.peaks, queries, coarse_limit, ppm, library.manifest["bin_width"], top)
-        return found.join(queries.select("query_id", "query_file").distinct(), "query_id").orderBy("query_id", "rank")
+        names = queries.select("query_id", "query_file").distinct() if split_mgf else F.broadcast(read_files(self.spark, paths).drop("path"))
+        return found.join(names, "query_id").orderBy("query_id", "rank")
 
     def identify_in_blocks(self, paths: list[str], every: int = 64, cancelled: Callable[[], bool] = lambda: False, **options: object) -> Iterator[tuple[int, int, DataFrame | None]]:
         """(processed, total, results) block by block of `every` files, first (0, total, None): for a progress display. The files of a block are one

@@ -26,11 +26,11 @@ def result_lines(results: DataFrame) -> DataFrame:
 
 
 def write_lines(lines: DataFrame, header: str, order: list[str], path: str) -> None:
-    """Text files in order, the header first; a range partition each."""
-    spark = lines.sparkSession
-    head = spark.createDataFrame([(header,)], "value string").coalesce(1)
-    head.write.mode("append").text(f"{path}/part=0")
-    lines.orderBy(*order).select(F.col("line").alias("value")).write.mode("append").text(f"{path}/part=1")
+    """One CSV text in parts: the header once, then all lines in order; the parts' bytes, one after another by name, are the text. Spark shows the
+    parts when all of them are written, so that a run that fails leaves none."""
+    head = lines.sparkSession.createDataFrame([(header,)], "line string").select(F.lit(0).alias("_part"), *(F.lit(None).cast(lines.schema[c].dataType).alias(c) for c in order), "line")
+    rows = head.union(lines.select(F.lit(1), *order, "line")).orderBy("_part", *order)
+    rows.select(F.col("line").alias("value")).write.mode("overwrite").option("lineSep", "\n").text(path)
 
 
 def sample_queries(source: DataFrame, count: int) -> DataFrame:

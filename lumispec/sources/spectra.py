@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -36,23 +38,24 @@ def classified_files(files: DataFrame, content: str = "content") -> DataFrame:
     return rows.select(*rest, F.col("line_no").cast("long").alias("line_no"), "_line.*")
 
 
-def parse_files(files: DataFrame, split_mgf: bool = False, permissive: bool = False) -> DataFrame:
-    """files (query_id, query_file, content) to queries (query_id, query_file, ord, milli_mz, intensity).
+def parse_lines(lines: DataFrame, files: DataFrame, split_mgf: bool = False, permissive: bool = False) -> DataFrame:
+    """lines (query_id, query_file, block, row, line) of files (query_id, query_file) to queries (query_id, query_file, ord, milli_mz, intensity).
 
-    A file without a peak is an error, and so are numbers out of range; with permissive, such peaks, and files without any, are left out. With
-    split_mgf, each BEGIN IONS block is a spectrum of its own: query_id becomes query_id * 2^20 + block.
+    A line's place in its file is (block, row): blocks in order, rows in order within one; a file has as many blocks as it takes, and is numbered
+    block by block. A file without a peak is an error, and so are numbers out of range; with permissive, such peaks, and files without any, are left
+    out. With split_mgf, each BEGIN IONS block of lines is a spectrum of its own: query_id becomes query_id * 2^20 + its number.
     """
-    lines = files.select("query_id", "query_file", F.posexplode(F.split("content", "\r?\n")).alias("line_no", "line"))
+    peak = F.explode(F.array_compact(F.array(parse_peak_line("line")))).alias("peak")
+    keys, at = ["query_id"], ["query_id", "block"]
     if split_mgf:
         begins = F.when(F.upper(F.trim("line")) == "BEGIN IONS", 1).otherwise(0)
-        block = F.sum(begins).over(Window.partitionBy("query_id").orderBy("line_no"))
-        lines = lines.withColumn("query_id", F.col("query_id") * (1 << 20) + block)
-    parsed = lines.select("query_id", "query_file", "line_no", F.explode(F.array_compact(F.array(parse_peak_line("line")))).alias("peak"))
-    peaks = parsed.select("query_id", "query_file", "line_no", E.encode_mz("peak.mz", not permissive).alias("milli_mz"), E.encode_intensity("peak.intensity", not permissive).alias("intensity"))
+        lines = _summed(lines.withColumn("_spectrum", begins.cast("long")), at, "_spectrum", 0).withColumn("query_id", F.col("query_id") * (1 << 20) + F.col("_spectrum"))
+    parsed = lines.select("query_id", "query_file", "block", "row", peak)
+    peaks = parsed.select("query_id", "query_file", "block", "row", E.encode_mz("peak.mz", not permissive).alias("milli_mz"), E.encode_intensity("peak.intensity", not permissive).alias("intensity"))
     if permissive:
         peaks = peaks.where("milli_mz is not null and intensity is not null")
-    order = Window.partitionBy("query_id").orderBy("line_no")
-    out = peaks.select("query_id", "query_file", (F.row_number().over(order) - 1).cast("long").alias("ord"), "milli_mz", "intensity")
+    numbered = _summed(peaks.withColumn("ord", F.lit(1).cast("long")), [*keys, "block"], "ord", -1)
+    out = numbered.select("query_id", "query_file", "ord", "milli_mz", "intensity")
     if permissive or split_mgf:
         return out
     empty = files.select("query_id", "query_file").join(out.select("query_id").distinct(), "query_id", "left_anti")
@@ -60,18 +63,46 @@ def parse_files(files: DataFrame, split_mgf: bool = False, permissive: bool = Fa
     return out.unionByName(empty.select("query_id", "query_file", fault.cast("long").alias("ord"), F.lit(None).cast("long").alias("milli_mz"), F.lit(None).cast("float").alias("intensity")))
 
 
+def _summed(rows: DataFrame, at: list[str], value: str, more: int) -> DataFrame:
+    """rows with value as its sum up to each row of its file, plus more; at: the file's key and its block. A window runs over the rows of one block,
+    and one over the blocks of a file."""
+    key = at[:-1]
+    sums = rows.groupBy(*at).agg(F.sum(value).alias("_sum"))
+    earlier = Window.partitionBy(*key).orderBy(at[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select(*at, (F.coalesce(F.sum("_sum").over(earlier), F.lit(0)) + more).alias("_before"))
+    within = Window.partitionBy(*at).orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn(value, F.sum(value).over(within)).join(before, at).withColumn(value, F.col(value) + F.col("_before")).drop("_before")
+
+
+def parse_files(files: DataFrame, split_mgf: bool = False, permissive: bool = False) -> DataFrame:
+    """files (query_id, query_file, content), whole texts in rows, to queries; see parse_lines()."""
+    lines = files.select("query_id", "query_file", F.lit(0).cast("long").alias("block"), F.posexplode(F.split("content", "\r?\n")).alias("row", "line"))
+    return parse_lines(lines, files, split_mgf, permissive)
+
+
 def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(query_id, query_file, content): query_id is the path's place in the list; a file is read whole, as its lines must stay in order."""
+    """(query_id, query_file, path): query_id is the path's place in the list, path as the files' metadata have it."""
     if not paths:
         raise ValueError("no query files")
-    names = spark.createDataFrame([(i, p.rstrip("/").rpartition("/")[2] or p, p) for i, p in enumerate(paths)], "query_id long, query_file string, given string")
-    found = spark.read.format("binaryFile").load(paths).select(F.regexp_replace("path", "^file:/*", "/").alias("path"), F.decode("content", "UTF-8").alias("content"))
-    key = F.regexp_replace("given", "^file:/*", "/")
-    return names.join(found, key == F.col("path")).select("query_id", "query_file", "content")
+    rows = [(i, p.rstrip("/").rpartition("/")[2] or p, re.sub("^file:/*", "/", p)) for i, p in enumerate(paths)]
+    return spark.createDataFrame(rows, "query_id long, query_file string, path string")
+
+
+def text_lines(files: DataFrame) -> DataFrame:
+    """The lines of a read of text files (value, with their metadata): path, block, row, line. Spark splits large files by itself: a split is a block,
+    and its rows are in order."""
+    path = F.regexp_replace(F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B"))), "^file:/*", "/")
+    return files.select(path.alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), F.col("value").alias("line"))
+
+
+def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(query_id, query_file, block, row, line) of query files: a file of any size is read by as many tasks as it has splits."""
+    lines = text_lines(spark.read.option("lineSep", "\n").text(paths))
+    return lines.join(F.broadcast(read_files(spark, paths)), "path").drop("path")  # the list of paths is the caller's
 
 
 def read_queries(spark: SparkSession, paths: list[str], split_mgf: bool = False, permissive: bool = False) -> DataFrame:
-    return parse_files(read_files(spark, paths), split_mgf, permissive)
+    return parse_lines(read_lines(spark, paths), read_files(spark, paths), split_mgf, permissive)
 
 
 def read_folder(spark: SparkSession, path: str) -> DataFrame:

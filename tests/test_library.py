@@ -2,6 +2,7 @@ import datetime as dt
 import io
 import pickle
 import pickletools
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,7 +15,8 @@ from lumispec.operators.ordered import exclusive_sum, number_by
 from lumispec.session import Session
 from lumispec.sources import binary, export, pickle_source
 from lumispec.sources.discovery import discover
-from lumispec.streaming.identify import identify_stream
+from lumispec.sources.spectra import read_queries
+from lumispec.streaming.identify import identify_folder, identify_stream
 
 SOURCE = {"g0": [1000.0, 1200.0], "g1": [1001.0, 1400.0]}
 
@@ -54,7 +56,8 @@ def test_session(spark, source, queries, tmp_path):
     session.export_genomes(str(tmp_path / "genomes"))
     session.export_results(session.identify(queries), str(tmp_path / "results"))
     assert "0,Genome Zero,d__Bacteria;p__Shared,2,900" in [r[0] for r in spark.read.text(str(tmp_path / "genomes")).collect()]
-    assert [r[0] for r in spark.read.text(str(tmp_path / "results/part=0")).collect()] == [export.RESULTS_HEADER]
+    parts = sorted((tmp_path / "results").glob("part-*"))
+    assert b"".join(p.read_bytes() for p in parts) == (export.RESULTS_HEADER + "\nquery-a.mgf,0,0.800000,2,2\nquery-a.mgf,1,0.200000,1,1\nquery-b.txt,1,1.000000,2,2\n").encode()
     assert Session(spark).open(str(tmp_path / "library")).manifest == library.manifest
     steps = [(n, total, df and df.count()) for n, total, df in session.identify_in_blocks(queries, every=1)]
     assert steps == [(0, 2, None), (1, 2, 2), (2, 2, 1)]
@@ -297,3 +300,72 @@ def test_stored_checksum_is_the_binary_layouts(spark, source, tmp_path):
     assert {"crc_peaks", "total_peak_count", "posting_count", "coverage", "genome_offsets_agree"} <= bad
     again = L.build_library(spark.createDataFrame([(0, "z", [5.0])], "ordinal long, accession string, peaks array<double>"), *(spark.createDataFrame([], f"accession string, {x}") for x in ("gene_count long", "name string", "taxonomy_id long, taxonomy string")), str(tmp_path / "library"), mode="overwrite")
     assert again.manifest["genome_count"] == 1 and not any(r.violations for r in V.validate(again).collect())
+
+
+def test_one_ordered_csv(spark, tmp_path):
+    rows = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("query_id"), F.lit(1).alias("rank")).withColumn("line", F.concat(F.lit("l"), F.col("query_id").cast("string"))).repartition(7)
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    try:
+        export.write_lines(rows, "head", ["query_id", "rank"], str(tmp_path / "csv"))
+    finally:
+        spark.conf.unset(key)
+    parts = sorted((tmp_path / "csv").glob("part-*"))
+    assert len(parts) > 1 and b"".join(p.read_bytes() for p in parts) == ("head\n" + "".join(f"l{i}\n" for i in range(5000))).encode()
+    broken = rows.withColumn("line", F.when(F.col("query_id") == 4999, F.raise_error(F.lit("lost"))).otherwise(F.col("line")))
+    with pytest.raises(Exception, match="lost"):
+        export.write_lines(broken, "head", ["query_id", "rank"], str(tmp_path / "failed"))
+    assert not list((tmp_path / "failed").glob("part-*"))
+
+
+def test_lines_of_large_files(spark, tmp_path):
+    """A file that Spark splits gives its peaks in order, and a spectrum for each block of an MGF file; names may hold blanks and signs."""
+    lines = [f"{100 + i * 0.5:.1f} {i % 9 + 1}" + ("\r" if i % 3 else "") for i in range(40_000)]
+    mgf = "".join(f"BEGIN IONS\nTITLE={k}\n" + "\n".join(lines[k * 100 : k * 100 + 100]) + "\nEND IONS\n" for k in range(400))
+    paths = [str(tmp_path / n) for n in ("a b+c%41.txt", "m.mgf")]
+    for path, text in zip(paths, ("\n".join(lines), mgf), strict=True):
+        with open(path, "w", newline="") as f:
+            f.write(text)
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "30000")
+        assert spark.read.text(paths[:1]).rdd.getNumPartitions() > 8
+        got = read_queries(spark, paths).orderBy("query_id", "ord").collect()
+        split = read_queries(spark, paths[1:], split_mgf=True).collect()
+    finally:
+        spark.conf.set(key, before)
+    want = [100_000 + 500 * i for i in range(40_000)]
+    for q, name in enumerate(("a b+c%41.txt", "m.mgf")):
+        own = [r for r in got if r.query_id == q]
+        assert [r.milli_mz for r in own] == want and [r.ord for r in own] == list(range(40_000)) and {r.query_file for r in own} == {name}
+    assert sorted((r.query_id, r.ord, r.milli_mz) for r in split) == [(1 + i // 100, i % 100, m) for i, m in enumerate(want)]
+    (tmp_path / "none.txt").write_text("# nothing\n")
+    with pytest.raises(Exception, match="no peaks in none.txt"):
+        read_queries(spark, [str(tmp_path / "none.txt")]).collect()
+
+
+def test_folder_run_with_progress_and_cancel(spark, tmp_path):
+    """A run is stopped midway: finished batches stay; the next one goes on and ends with what one run gives."""
+    folder = tmp_path / "in"
+    folder.mkdir()
+    library = spark.createDataFrame([(g, 1000 * g + 100 * k) for g in range(1, 30) for k in range(5)], "genome_id long, milli_mz long")
+    for i in range(1, 9):
+        (folder / f"q{i}.txt").write_text(f"{i}.0 1\n{i}.1 2\n" if i != 5 else "# empty\n")
+    out, mark = str(tmp_path / "out"), str(tmp_path / "mark")
+    seen, again = [], []
+    whole = identify_folder(spark, str(folder), library, out, mark, every=2, on_progress=lambda *x: seen.append(x), cancelled=lambda: len(seen) > 2)
+    assert not whole and seen[:3] == [(0, 8), (2, 8), (4, 8)]
+    kept = spark.read.parquet(f"{out}/files").where("batch < 2").count()
+    assert kept == 4
+    assert identify_folder(spark, str(folder), library, out, mark, every=2, on_progress=lambda *x: again.append(x))
+    assert again[0][0] >= 4 and again[-1] == (8, 8) and again == sorted(again)
+    columns = ["query_file", "genome_id", "score", "matched_ribosomal", "matched_total", "rank"]
+    assert identify_folder(spark, str(folder), library, str(tmp_path / "one"), str(tmp_path / "mark1"), every=100)
+    rows = lambda path: sorted(tuple(r) for r in spark.read.parquet(f"{path}/results").select(columns).collect())
+    assert rows(out) == rows(tmp_path / "one") and len({r[0] for r in rows(out)}) == 7
+    assert {r.query_file: r.peaks for r in spark.read.parquet(f"{out}/files").collect()} == {f"q{i}.txt": 0 if i == 5 else 2 for i in range(1, 9)}
+    # a batch that is given again replaces itself
+    shutil.rmtree(tmp_path / "mark")
+    assert identify_folder(spark, str(folder), library, out, mark, every=2)
+    assert rows(out) == rows(tmp_path / "one")
