@@ -6,12 +6,16 @@ import string
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Text bytes that a Python worker handles at once; a single longer text is handled alone.
 CHUNK_BYTES = 1 << 20
@@ -55,8 +59,19 @@ def give_back() -> None:
         pass
 
 
-#: Paths of the tables that written() has made and drop_tables() hasn't deleted.
-_TABLES: list[str] = []
+#: Paths of the tables that the run at hand has made and not deleted; each run has a list of its own, in its own thread too.
+_RUN: ContextVar[list[str] | None] = ContextVar("tables", default=None)
+
+
+@contextmanager
+def own_tables() -> Iterator[list[str]]:
+    """The list of the tables that written() makes within."""
+    made: list[str] = []
+    token = _RUN.set(made)
+    try:
+        yield made
+    finally:
+        _RUN.reset(token)
 
 
 def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
@@ -65,21 +80,46 @@ def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
     small_batches(spark)
     path = f"{shared_dir(spark)}/lumispec-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    _TABLES.append(path)
+    run = _RUN.get()
+    if run is not None:
+        run.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def tables() -> list[str]:
-    return list(_TABLES)
-
-
-def drop_tables(spark: SparkSession, paths: list[str]) -> None:
-    """Deletes written tables that nothing reads any more."""
+def drop_tables(spark: SparkSession, made: list[str], keep: int) -> None:
+    """Deletes all tables of a run but its last `keep`, which are what is still read."""
     jvm = spark.sparkContext._jvm
-    for path in paths:
+    for path in made[: len(made) - keep]:
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        _TABLES.remove(path)
+        made.remove(path)
+
+
+def finished(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """query with its result written, so that all other tables that it has made can go."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        with own_tables() as made:
+            out = written(query(spark, sf_dir))
+            drop_tables(spark, made, 1)
+        return out
+
+    return run
+
+
+def column(name: str) -> Column:
+    """A column by its whole name, whatever signs it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def mapped(docs: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], added: str = "") -> DataFrame:
+    """docs.mapInArrow(run) with the columns of docs and those of added (DDL), which replace any of their names. Other columns than text have plain
+    names on the way, so that theirs may hold any signs."""
+    more = StructType.fromDDL(added) if added else StructType()
+    names = [c for c in docs.columns if c not in more.names]
+    held = docs.select(*(column(c).alias(c if c == "text" else f"c{i}") for i, c in enumerate(names)))
+    return held.mapInArrow(run, StructType([*held.schema, *more])).toDF(*names, *more.names)
 
 
 def remainder5(doc_id: Column) -> Column:

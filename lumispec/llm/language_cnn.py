@@ -170,10 +170,9 @@ def identify(docs: DataFrame, model: ByteCNN) -> DataFrame:
     """docs (text and more columns) with lang_pred and score, its probability; `und` and 0 for a text that is null or has no letter.
 
     Whole texts are read, however long; repeated rows have equal answers, and of equally likely languages the first by name counts. An empty table
-    gives none. Other columns pass through; those named lang_pred or score are replaced. A model that has seen one language or none
+    gives none. Other columns pass through, whatever their names; those named lang_pred or score are replaced. A model that has seen one language or none
     answers with it, or with `und`.
     """
-    held = docs.drop("lang_pred", "score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = model.pairs()
@@ -188,8 +187,7 @@ def identify(docs: DataFrame, model: ByteCNN) -> DataFrame:
                 score[some] = p
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang), pa.array(score)], names=[*part.schema.names, "lang_pred", "score"])
 
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema]
-    return held.mapInArrow(run, ", ".join([*kinds, "lang_pred string", "score double"]))
+    return U.mapped(docs, run, "lang_pred string, score double")
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:

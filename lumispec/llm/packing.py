@@ -69,8 +69,8 @@ def pack(docs: DataFrame, length: str, buckets: int = BUCKETS, budget: int = BUD
     replaced, others pass through, whatever their names. An empty table gives none. The driver gathers one count for each distinct length.
     """
     own = [c for c in docs.columns if c not in ("bucket", "bucket_length", "batch", "slot")]
-    row = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(own))).alias("row")
-    held = docs.select(row, F.col("doc_id").alias("id"), F.greatest(F.coalesce(F.col(f"`{length}`"), F.lit(1)), F.lit(1)).cast("long").alias("length"))
+    row = F.struct(*(U.column(c).alias(f"c{i}") for i, c in enumerate(own))).alias("row")
+    held = docs.select(row, F.col("doc_id").alias("id"), F.greatest(F.coalesce(U.column(length), F.lit(1)), F.lit(1)).cast("long").alias("length"))
     histogram = held.groupBy("length").count().toPandas().sort_values("length")
     cuts = boundaries(histogram["length"].to_numpy(), histogram["count"].to_numpy(), buckets) or [1]
     shards = max(1, -(-int(histogram["count"].sum()) // SHARD_ROWS))

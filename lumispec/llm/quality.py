@@ -137,32 +137,33 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int =
     return model
 
 
+def _scores(batches: Iterator[pa.RecordBatch], model: NBSVM) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    grams = NGrams()
+    for part in U.slices(batches, "text"):
+        yield part, model.score(*grams.of(U.byte_texts(part), model.kept), len(part))
+
+
 def score_documents(docs: DataFrame, model: NBSVM) -> DataFrame:
     """docs (text and more columns) with score, the probability of class 1. Null and empty texts have the score of no n-grams; equal texts have
-    equal scores, and very long ones are read whole. An empty table gives none. Other columns pass through; one named score is replaced."""
-    columns = [c for c in docs.columns if c != "score"]
+    equal scores, and very long ones are read whole. An empty table gives none. Other columns pass through, whatever their names; one named score
+    is replaced."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams = NGrams()
-        for part in U.slices(batches, "text"):
-            score = model.score(*grams.of(U.byte_texts(part), model.kept), len(part))
+        for part, score in _scores(batches, model):
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], names=[*part.schema.names, "score"])
 
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema]
-    return docs.select(*columns).mapInArrow(run, ", ".join([*kinds, "score double"]))
+    return U.mapped(docs, run, "score double")
 
 
 def keep_good(docs: DataFrame, model: NBSVM, least: float) -> DataFrame:
     """The rows of docs (text and more columns, whatever their names) whose score is `least` or more; null and empty texts are judged by the score of
-    no n-grams, equal texts alike."""
+    no n-grams, equal texts alike, very long ones whole. An empty table gives none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams = NGrams()
-        for part in U.slices(batches, "text"):
-            score = model.score(*grams.of(U.byte_texts(part), model.kept), len(part))
+        for part, score in _scores(batches, model):
             yield part.filter(pa.array(score >= least))
 
-    return docs.mapInArrow(run, docs.schema)
+    return U.mapped(docs, run)
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

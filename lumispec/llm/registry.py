@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import _util as U
 from . import decontaminate, language_cnn, maxent, packing, prefix_trie, quality, shingle_join, simhash, span_hash, substring_dedup, token_files, toxicity
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+_QUERIES = {
     "op1_maxent_score": maxent.op1_maxent_score,
     "op2_quality": quality.op2_quality,
     "op3_span_fingerprints": span_hash.op3_span_fingerprints,
@@ -23,6 +24,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op12_simhash": simhash.op12_simhash,
 }
 
+#: Each leaves one table, its result.
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: U.finished(query) for name, query in _QUERIES.items()}
+
 ORACLE_SQL: dict[str, str] = {
     "op4_substring_dedup": substring_dedup.OP4_SQL,
     "op5_shingle_join": shingle_join.OP5_SQL,

@@ -345,7 +345,7 @@ def repeated_ranges(docs: DataFrame, folded: DataFrame, window: int = 13) -> Dat
 def _cut(docs: DataFrame, window: int, as_they_are: bool) -> DataFrame:
     """doc_id, rest (a structure of all other columns, if there are any), kept, n_words and n_removed of docs."""
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    named = docs.select("doc_id", *([F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest))).alias("rest")] if rest else []), "text")
+    named = docs.select("doc_id", *([F.struct(*(U.column(c).alias(f"c{i}") for i, c in enumerate(rest))).alias("rest")] if rest else []), "text")
     own = [c for c in ("doc_id", "rest") if c in named.columns]
     fields = {f.name: f for f in named.schema}
 

@@ -164,10 +164,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = S
 
 def score_documents(docs: DataFrame, chain: Chain) -> DataFrame:
     """docs (text and more columns) with a probability column for each category of the chain, named p_<category>. Null and empty texts are scored
-    as texts without words, equal texts equally, and very long ones over all their words. An empty table gives none. Other columns pass through;
-    those of these names are replaced."""
+    as texts without words, equal texts equally, and very long ones over all their words. An empty table gives none. Other columns pass through,
+    whatever their names; those of these names are replaced."""
     added = [f"p_{name}" for name in chain.names]
-    held = docs.drop(*added)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = U.HashTable(chain.kept.astype(np.uint64) << np.uint64(32))
@@ -175,8 +174,7 @@ def score_documents(docs: DataFrame, chain: Chain) -> DataFrame:
             scores = chain.score(*word_features(U.byte_texts(part), kept), len(part))
             yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(x) for x in scores.T)], names=[*part.schema.names, *added])
 
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema]
-    return held.mapInArrow(run, ", ".join([*kinds, *(f"`{x}` double" for x in added)]))
+    return U.mapped(docs, run, ", ".join(f"`{x}` double" for x in added))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
