@@ -26,10 +26,11 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near duplicates (five-word shingles with a Jaccard similarity of 0.8 or more): that of the smallest
-    doc_id. Documents without words or doc_id stay. Of rows with one doc_id all stay or go."""
+    doc_id. Documents without words or doc_id stay. Of rows with one doc_id all stay or go. Very long texts are compared whole; an empty table
+    stays empty."""
     found = shingle_join.link_documents(docs, width=NEAR_WIDTH, percent=NEAR_PERCENT)
     gone = found.where("component_id is not null and component_id != doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*map(U.column, docs.columns))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,10 +40,11 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item. Null and empty texts hold none; of rows with one doc_id all go if one does, and rows without doc_id
-    stay."""
-    found = U.written(decontaminate.leaks(docs, U.table(spark, sf_dir, "benchmark")).select("doc_id").distinct())
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """Documents that hold no benchmark item. Each row is judged by its own text, with a doc_id or without, and equal texts alike; null and empty
+    texts hold none. Very long texts are searched whole; an empty table stays empty."""
+    digest = F.xxhash64("text")
+    found = U.written(decontaminate.leaks(docs.select(digest.alias("doc_id"), "text"), U.table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_digest")).distinct())
+    return docs.join(found, digest == F.col("_digest"), "left_anti").select(*map(U.column, docs.columns))
 
 
 def pack_lengths(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,13 +65,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written in the shared folder and read again by the next. Tables that only a finished stage has read are
-    deleted."""
+    """All stages over documents, each written in the shared folder and read again by the next. A stage's own tables are deleted when it is done, and
+    its result when the next is."""
     docs = U.table(spark, sf_dir, "documents")
-    before: list[str] = U.tables()
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = U.written(docs)
-            U.drop_tables(spark, [path for path in U.tables()[:-1] if path not in before])
+    with U.own_tables() as made:
+        for _, stage in STAGES:
+            docs = U.written(stage(spark, docs, sf_dir))
+            U.drop_tables(spark, made, 1)
     return docs
