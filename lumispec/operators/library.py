@@ -176,7 +176,7 @@ def build_library(
 ) -> Library:
     """Writes a library to path from a source (ordinal, accession, peaks) and its metadata. shards: folders of each partitioned table, about. mode:
     Spark's, for all tables; with overwrite a build may be run again over what an earlier one left. on_event gets a dict for each stage that
-    begins: index, metadata, finalize, each with the counts that are known by then."""
+    begins, with the counts that are known by then: genome (all peaks are written, in one job), indexStart, metaStart, finalizeStart."""
     if bin_width <= 0 or shards <= 0:
         raise ValueError("bin width and shards must be positive")
     spark, path = source.sparkSession, path.rstrip("/")
@@ -187,6 +187,7 @@ def build_library(
     shard_width = max(1, -(-((n if n is not None else 0) + 1) // shards))
     peaks = _stored(listed(ids).select("genome_id", "local_peak_idx", "milli_mz"), f"{path}/peaks", "shard", shard_width, ["genome_id", "local_peak_idx"], mode)
     report = build_report(peaks, sizes, bin_width).first().asDict()
+    tell({"stage": "genome", **report})
     tell({"stage": "indexStart", **report})
     band_width = max(1, -(-report["bin_count"] // shards))
     _stored(postings(peaks, bin_width), f"{path}/postings", "band", band_width, ["bin_id", "genome_id", "local_peak_idx"], mode)

@@ -5,7 +5,7 @@ Events: run_id, seq, ts (timestamp), stage (start, genome, indexStart, metaStart
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -77,3 +77,59 @@ def throttle_stream(events: DataFrame, interval_us: int) -> DataFrame:
             state.update((int(last),))
 
     return held.groupBy("run_id").applyInPandasWithState(run, events.schema, "last long", "append", "NoTimeout")
+
+
+_STATE = "last long, genomes long, peaks long, us array<long>, seq array<long>, stage array<string>, own_genomes array<long>, own_peaks array<long>"
+
+
+def _in_order(events: DataFrame, delay: str, schema: str, step: Callable[[list, list[tuple]], Iterator[tuple]]) -> DataFrame:
+    """Folds the events of each run in order of (ts, seq), in whatever order and batches they come: they wait in the run's state until the watermark,
+    the newest time less delay, has passed them. Rows later than that can't be placed any more and are left out; the events of the last delay come
+    out once newer ones arrive. step(memory, events) changes memory, [last, genomes, peaks], and gives rows of the schema."""
+    held = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).withColumn("_us", F.unix_micros("ts"))
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        last, genomes, peaks, *waiting = state.get if state.exists else (None, 0, 0, [], [], [], [], [])
+        rows = list(zip(*waiting, strict=True))
+        if not state.hasTimedOut:
+            for batch in batches:
+                rows += zip(*(batch[c].tolist() for c in ("_us", "seq", "stage", "genomes", "peaks")), strict=True)
+        mark = state.getCurrentWatermarkMs()
+        rows.sort(key=lambda r: r[:2])
+        ready = sum(r[0] <= mark * 1000 for r in rows)
+        memory = [last, genomes, peaks]
+        out = [(key[0], *row) for row in step(memory, rows[:ready])]
+        rest = [list(x) for x in zip(*rows[ready:], strict=True)] or [[], [], [], [], []]
+        state.update((*memory, *rest))
+        if ready < len(rows):
+            state.setTimeoutTimestamp(max(rows[ready][0] // 1000 + 1, mark + 1))
+        yield pd.DataFrame(out, columns=names)
+
+    return held.groupBy("run_id").applyInPandasWithState(run, schema, _STATE, "append", "EventTimeTimeout")
+
+
+def throttle_late_stream(events: DataFrame, interval_us: int, delay: str) -> DataFrame:
+    """(run_id, seq, stage) of what throttle() emits, over a stream whose events come shuffled within delay."""
+
+    def step(memory: list, rows: list[tuple]) -> Iterator[tuple]:
+        for us, seq, stage, *_ in rows:
+            if stage == "genome":
+                if memory[0] is not None and us - memory[0] < interval_us:
+                    continue
+                memory[0] = us
+            yield seq, stage
+
+    return _in_order(events, delay, "run_id long, seq long, stage string", step)
+
+
+def reduce_stream(events: DataFrame, delay: str) -> DataFrame:
+    """reduce_status() over a stream whose events come shuffled within delay."""
+
+    def step(memory: list, rows: list[tuple]) -> Iterator[tuple]:
+        for _, seq, stage, genomes, peaks in rows:
+            if stage in ("start", "genome", "done"):
+                memory[1:] = [0, 0] if stage == "start" else [memory[1] if genomes is None else genomes, memory[2] if peaks is None else peaks]
+            yield seq, stage, *memory[1:]
+
+    return _in_order(events, delay, "run_id long, seq long, stage string, genomes_processed long, peaks_processed long", step)

@@ -14,10 +14,11 @@ from ..operators import library as L
 from ..operators import progress as P
 from ..operators import search as S
 from ..operators import validate as V
+from ..operators.ordered import sorted_number
 from ..schemas import BIN_WIDTH, COARSE_LIMIT, PPM
 from ..shared import new_folder
 from ..sources import export as X
-from ..sources.spectra import parse_files
+from ..sources.spectra import parse_files, parse_lines, text_lines
 from . import adapter as A
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -554,3 +555,28 @@ def stored_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of the stored index, and places where they aren't in order, from row to row and from file to file."""
     library = _built(spark, sf_dir, "source")
     return layout.order_faults(spark, f"{library.path}/postings", L.STORED["postings"][0])
+
+
+_WHOLE = 64
+
+
+@query(f"SELECT o_custkey % {_WHOLE} AS query_id, 'query_id=' || o_custkey % {_WHOLE} AS query_file, CAST(row_number() OVER (PARTITION BY o_custkey % {_WHOLE} ORDER BY o_orderkey) - 1 AS BIGINT) AS ord, CAST(floor(CAST(printf('%.4f', CAST(o_totalprice AS DOUBLE) / 50) AS DOUBLE) * 1000 + 0.5) AS BIGINT) AS milli_mz, CAST(CAST(substr(o_orderpriority, 1, 1) AS DOUBLE) AS FLOAT) AS intensity FROM orders")
+def stored_query_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Query files that are written as text, a folder each, and read back: their lines come from as many splits as Spark makes of them."""
+    line = F.concat(F.format_string("%.4f", F.col("o_totalprice").cast("double") / 50), F.lit(" "), F.substring("o_orderpriority", 1, 1), F.lit("\r"))
+    rows = A.table(spark, sf_dir, "orders").select((F.col("o_custkey") % _WHOLE).alias("query_id"), "o_orderkey", line.alias("value"))
+    path = new_folder(spark, "lumispec-queries")
+    rows.repartition("query_id").sortWithinPartitions("query_id", "o_orderkey").select("query_id", "value").write.partitionBy("query_id").option("lineSep", "\n").text(path)
+    found = spark.read.schema("value string, query_id long").option("lineSep", "\n").text(path)
+    lines = text_lines(found, "query_id").withColumn("query_file", F.concat(F.lit("query_id="), F.col("query_id").cast("string")))
+    return parse_lines(lines, lines.select("query_id", "query_file").distinct())
+
+
+@query(f"{_identify(COARSE_LIMIT).rpartition(' SELECT ')[0]}, l AS (SELECT query_id, rank, 'q' || query_id || ',' || genome_id || ',' || printf('%.6f', CAST(score AS DOUBLE)) || ',' || matched_ribosomal || ',' || matched_total AS line FROM ranked) SELECT CAST(0 AS BIGINT) AS line_no, '{X.RESULTS_HEADER}' AS line UNION ALL SELECT row_number() OVER (ORDER BY query_id, rank), line FROM l")
+def csv_result_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of one written CSV text by their places in it: the header, then all results by query and rank."""
+    path = new_folder(spark, "lumispec-csv")
+    results = identify_flagship(spark, sf_dir).withColumn("query_file", F.concat(F.lit("q"), F.col("query_id").cast("string")))
+    X.write_lines(X.result_lines(results), X.RESULTS_HEADER, ["query_id", "rank"], path)
+    lines = text_lines(spark.read.option("lineSep", "\n").text(path))
+    return sorted_number(lines, ["path", "block", "row"], "line_no").select("line_no", "line")

@@ -161,22 +161,66 @@ def read_peaks(spark: SparkSession, path: str, strict: bool = False) -> DataFram
     return spark.read.format("peak_pickle").option("strict", str(strict).lower()).load(path)
 
 
-def _items(path: str | None) -> Iterator[tuple[str, object]]:
+def _genes(key: str, value: object) -> tuple:
+    return key, int(value)
+
+
+def _name(key: str, value: object) -> tuple:
+    return key, str(value)
+
+
+def _taxon(key: str, value: object) -> tuple:
+    return (key, 0, value) if isinstance(value, str) else (key, int(value.get("id", 0)), value.get("text", ""))
+
+
+#: Rows of each kind of metadata, and what makes them.
+METADATA = {"genes": ("accession string, gene_count long", _genes), "names": ("accession string, name string", _name), "taxonomy": ("accession string, taxonomy_id long, taxonomy string", _taxon)}
+
+
+class _ItemReader(DataSourceReader):
+    def __init__(self, path: str, kind: str) -> None:
+        self.path, self.kind = path, kind
+
+    def partitions(self) -> list[InputPartition]:
+        return [InputPartition(0)]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        row = METADATA[self.kind][1]
+        with open(self.path, "rb") as f:
+            for key, value in walk(f, keep=True):
+                yield row(key, value)
+
+
+class MetadataPickle(DataSource):
+    """spark.read.format("metadata_pickle").option("kind", "genes" | "names" | "taxonomy").load(path): rows go from the task that walks the file to
+    Spark, none through the driver."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "metadata_pickle"
+
+    def schema(self) -> str:
+        return METADATA[self.options["kind"]][0]
+
+    def reader(self, schema: StructType) -> DataSourceReader:
+        return _ItemReader(self.options["path"], self.options["kind"])
+
+
+def _metadata(spark: SparkSession, path: str | None, kind: str) -> DataFrame:
     if path is None:
-        return iter(())
-    with open(path, "rb") as f:
-        return iter(list(walk(f, keep=True)))
+        return spark.createDataFrame([], METADATA[kind][0])
+    spark.dataSource.register(MetadataPickle)
+    return spark.read.format("metadata_pickle").option("kind", kind).load(path)
 
 
 def read_genes(spark: SparkSession, path: str | None) -> DataFrame:
-    return spark.createDataFrame([(k, int(v)) for k, v in _items(path)], "accession string, gene_count long")
+    return _metadata(spark, path, "genes")
 
 
 def read_names(spark: SparkSession, path: str | None) -> DataFrame:
-    return spark.createDataFrame([(k, str(v)) for k, v in _items(path)], "accession string, name string")
+    return _metadata(spark, path, "names")
 
 
 def read_taxonomy(spark: SparkSession, path: str | None) -> DataFrame:
     """A record {id, text}, either of which may be missing, or the text alone."""
-    rows = [(k, 0, v) if isinstance(v, str) else (k, int(v.get("id", 0)), v.get("text", "")) for k, v in _items(path)]
-    return spark.createDataFrame(rows, "accession string, taxonomy_id long, taxonomy string")
+    return _metadata(spark, path, "taxonomy")

@@ -88,11 +88,11 @@ def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     return spark.createDataFrame(rows, "query_id long, query_file string, path string")
 
 
-def text_lines(files: DataFrame) -> DataFrame:
-    """The lines of a read of text files (value, with their metadata): path, block, row, line. Spark splits large files by itself: a split is a block,
-    and its rows are in order."""
+def text_lines(files: DataFrame, *more: str) -> DataFrame:
+    """The lines of a read of text files (value, with their metadata): more columns, path, block, row, line. Spark splits large files by itself: a
+    split is a block, and its rows are in order."""
     path = F.regexp_replace(F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B"))), "^file:/*", "/")
-    return files.select(path.alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), F.col("value").alias("line"))
+    return files.select(*more, path.alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), F.col("value").alias("line"))
 
 
 def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:

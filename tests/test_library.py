@@ -2,7 +2,9 @@ import datetime as dt
 import io
 import pickle
 import pickletools
+import random
 import shutil
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -44,7 +46,7 @@ def test_session(spark, source, queries, tmp_path):
     with pytest.raises(RuntimeError, match="not loaded"):
         session.identify(queries)
     library = session.build(str(source), str(tmp_path / "library"), on_event=events.append)
-    assert [e["stage"] for e in events] == ["start", "indexStart", "metaStart", "finalizeStart", "done"]
+    assert [e["stage"] for e in events] == ["start", "genome", "indexStart", "metaStart", "finalizeStart", "done"]
     assert (events[-1]["genome_count"], events[-1]["total_peak_count"], events[-1]["bin_count"]) == (2, 4, 14001)
     assert [tuple(r) for r in library.postings.orderBy("bin_id", "genome_id").collect()] == [(10000, 0, 0), (10010, 1, 0), (12000, 0, 1), (14000, 1, 1)]
     assert [tuple(r) for r in library.postings_for(1000050).collect()] == [(10000, 0, 0)]
@@ -369,3 +371,33 @@ def test_folder_run_with_progress_and_cancel(spark, tmp_path):
     shutil.rmtree(tmp_path / "mark")
     assert identify_folder(spark, str(folder), library, out, mark, every=2)
     assert rows(out) == rows(tmp_path / "one")
+
+
+def test_shuffled_streams_give_the_batch_rows(spark, tmp_path):
+    """Events that come late and out of order, over several batches, fold as the batch queries fold them."""
+    rnd = random.Random(4)
+    t = dt.datetime(2024, 1, 1)
+    rows = []
+    for run in range(1, 5):
+        at, stages = 0.0, ["start", *["genome"] * 40, "indexStart", *["genome"] * 3, "metaStart", "finalizeStart", "done"]
+        for i, stage in enumerate(stages):
+            at += rnd.choice([0.0, 5.0, 30.0, 61.0])
+            rows.append((run, i, t + dt.timedelta(seconds=at), stage, i * 10, i * 100))
+    schema = "run_id long, seq long, ts timestamp, stage string, genomes long, peaks long"
+    events = spark.createDataFrame(rows, schema)
+    # up to five minutes late, in files that are read one by one; last of all, one event far ahead lets all others out
+    shuffled = sorted(rows, key=lambda r: r[2] + dt.timedelta(seconds=rnd.uniform(0, 290)))
+    for k in range(0, len(shuffled), 30):
+        spark.createDataFrame(shuffled[k : k + 30], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(1.1)  # files are read in order of their times
+    spark.createDataFrame([(99, 0, t + dt.timedelta(days=1), "start", 0, 0)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    came = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    for name, stream, batch in (
+        ("late_throttled", P.throttle_late_stream(came(), 60_000_000, "5 minutes"), P.throttle(events, 60_000_000).select("run_id", "seq", "stage")),
+        ("late_reduced", P.reduce_stream(came(), "5 minutes"), P.reduce_status(events)),
+    ):
+        query = stream.writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        query.awaitTermination()
+        got = sorted(tuple(r) for r in spark.table(name).where("run_id < 99").collect())
+        assert got == sorted(tuple(r) for r in batch.collect()), name
+        assert len([p for p in query.recentProgress if p["numInputRows"]]) > 4
