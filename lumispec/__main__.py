@@ -1,4 +1,4 @@
-"""Command line: python -m lumispec build | samples | validate | identify."""
+"""Command line: python -m lumispec build | samples | validate | identify | identify-folder."""
 
 from __future__ import annotations
 
@@ -39,6 +39,15 @@ def main(argv: list[str] | None = None) -> int:
     run.add_argument("files", nargs="+")
     run.add_argument("--coarse-limit", type=int, default=COARSE_LIMIT)
     run.add_argument("--ppm", type=int, default=PPM)
+    whole = sub.add_parser("identify-folder", help="identify the query files of a folder, batch by batch; run again to go on")
+    whole.add_argument("library")
+    whole.add_argument("out")
+    whole.add_argument("folder")
+    whole.add_argument("--checkpoint", required=True)
+    whole.add_argument("--every", type=int, default=64, help="files of a batch")
+    whole.add_argument("--coarse-limit", type=int, default=COARSE_LIMIT)
+    whole.add_argument("--ppm", type=int, default=PPM)
+    whole.add_argument("--progress-jsonl", action="store_true")
     args = parser.parse_args(argv)
     if args.command == "validate":
         ok, errors = binary.validate(args.path)
@@ -57,6 +66,10 @@ def main(argv: list[str] | None = None) -> int:
         for r in rows:
             (Path(args.out) / r.name).write_text(r.content)
         return int(not rows)
+    elif args.command == "identify-folder":
+        session.open(args.library)
+        tell = (lambda n, total: print(json.dumps({"processed": n, "total": total}), file=sys.stderr)) if args.progress_jsonl else lambda n, total: None
+        session.identify_folder(args.folder, args.out, args.checkpoint, args.every, args.coarse_limit, args.ppm, on_progress=tell)
     else:
         session.open(args.library)
         session.export_results(session.identify(args.files, args.coarse_limit, args.ppm), args.out)

@@ -282,6 +282,31 @@ def progress_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.reduce_status(A.events(spark, sf_dir))
 
 
+def _streamed(spark: SparkSession, sf_dir: str, fold: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What a fold of a stream of the events writes: they are stored shuffled, with one event of no run a day after the last, which lets all out."""
+    path = new_folder(spark, "lumispec-events")
+    events = A.events(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    none = F.lit(None).cast("long")
+    end = events.agg((F.max("ts") + F.expr("interval 1 day")).alias("ts")).select(none.alias("run_id"), none.alias("seq"), "ts", F.lit("start").alias("stage"), none.alias("genomes"), none.alias("peaks"))
+    events.repartition(4, F.xxhash64("seq")).unionByName(end).write.parquet(f"{path}/in")
+    stream = spark.readStream.schema(events.schema).parquet(f"{path}/in")
+    query = fold(stream).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.parquet(f"{path}/out").where("run_id is not null")
+
+
+@query(ORACLE_SQL["progress_throttle"])
+def progress_throttle_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Throttling of a stream of shuffled events."""
+    return _streamed(spark, sf_dir, lambda events: P.throttle_late_stream(events, INTERVAL_US, "1 hour"))
+
+
+@query(ORACLE_SQL["progress_reduce"])
+def progress_reduce_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The status after each event of a stream of shuffled events."""
+    return _streamed(spark, sf_dir, lambda events: P.reduce_stream(events, "1 hour"))
+
+
 def _first(stage: str) -> str:
     return f"min(epoch_us(ts)) FILTER (WHERE stage = '{stage}')"
 

@@ -18,6 +18,7 @@ from .ship import ship
 from .sources import export, pickle_source
 from .sources.discovery import discover
 from .sources.spectra import read_files, read_queries
+from .streaming.identify import identify_folder
 
 GROUP = "lumispec-identify"
 
@@ -77,6 +78,12 @@ class Session:
             found = self.identify(block, **options).withColumn("query_id", F.col("query_id") + at)
             yield at + len(block), total, found
 
+    def identify_folder(self, folder: str, out: str, checkpoint: str, every: int = 64, coarse_limit: int = COARSE_LIMIT, ppm: int = PPM, top: int = TOP_RESULTS, on_progress: Callable[[int, int], None] = lambda processed, total: None, cancelled: Callable[[], bool] = lambda: False) -> bool:
+        """Identifies the query files of a folder, `every` at a time, into out; what is done stays when it is cancelled or fails, and the next call with
+        the same checkpoint goes on. See streaming.identify.identify_folder()."""
+        library = self._open()
+        return identify_folder(self.spark, folder, library.peaks, out, checkpoint, every, coarse_limit, ppm, library.manifest["bin_width"], top, on_progress, cancelled)
+
     @contextmanager
     def running(self) -> Iterator[None]:
         """Jobs that this thread starts within are of one group, which cancel() ends; those after are not."""

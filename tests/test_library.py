@@ -65,6 +65,12 @@ def test_session(spark, source, queries, tmp_path):
     assert steps == [(0, 2, None), (1, 2, 2), (2, 2, 1)]
     assert [n for n, *_ in session.identify_in_blocks(queries, every=1, cancelled=lambda: True)] == [0]
     session.cancel()
+    told = []
+    (tmp_path / "files").mkdir()
+    for q in queries:
+        shutil.copy(q, tmp_path / "files")
+    assert session.identify_folder(str(tmp_path / "files"), str(tmp_path / "whole"), str(tmp_path / "mark"), every=1, on_progress=lambda *x: told.append(x))
+    assert told == [(0, 2), (1, 2), (2, 2)] and spark.read.parquet(str(tmp_path / "whole/results")).count() == 3
     out = tmp_path / "binary"
     assert binary.from_library(library, out) == {"genome_count": 2, "total_peak_count": 4, "bin_count": 14001}
     assert binary.validate(out) == (True, [])
