@@ -126,8 +126,7 @@ _WIDTHS = (50, 100, 1000)
 
 @query(f"{A.with_views('lib0', 'q')} " + " UNION ALL ".join(f"SELECT {w} AS bin_width, query_id, genome_id, CAST(hit_count AS BIGINT) AS hit_count FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hit_count DESC, genome_id) AS r FROM (SELECT query_id, genome_id, count(*) AS hit_count FROM q JOIN lib0 ON q_mz // {w} = milli_mz // {w} GROUP BY query_id, genome_id)) WHERE r <= {COARSE_LIMIT}" for w in _WIDTHS))
 def bin_width_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = S.coarse_sweep(A.library(spark, sf_dir), A.queries(spark, sf_dir), list(_WIDTHS))
-    return S.top_per_query(hits, COARSE_LIMIT, ["bin_width"])
+    return S.coarse_sweep(A.library(spark, sf_dir), A.queries(spark, sf_dir), list(_WIDTHS), COARSE_LIMIT)
 
 
 @query(f"{A.with_views('lib0', 'peaks')} SELECT milli_mz // {BIN_WIDTH} AS bin_id, genome_id, local_peak_idx FROM peaks")
