@@ -6,8 +6,10 @@ bucket. Equal windows have equal minimisers and so meet in one bucket, where sor
 compared. Each occurrence in a document with a larger doc_id than the window's first one is removed.
 
 Words travel only where they can matter: a first shuffle deals the minimisers with their places, and super-k-mers of minimisers that one
-document alone holds stay where they are. Those of a minimiser with more than HOT places travel window by window, each to the bucket of its
-words, so that a frequent minimiser is shared out among the tasks.
+document alone holds stay where they are. Those of a minimiser with more than HOT places, or in more than LOCAL documents of a chunk, travel window by
+window, each to the bucket of its words, so that a frequent minimiser is shared out among the tasks. Of its places a task sends few to the
+minimiser's own bucket. Of equal windows that travel so, a task sends those alone that no smaller document of its own has preceded, and decides
+the others at once: a window in a third of all documents sends a few rows from each task.
 """
 
 from __future__ import annotations
@@ -28,10 +30,14 @@ MMER = 5
 BUCKET_BYTES = 4 << 20
 #: Places of a minimiser from which its super-k-mers are dealt by their windows.
 HOT = 4096
-#: place: first word << 32 | number of words; kind: of PLAIN places, those whose windows are all known to be later ones (DONE), or of a hot minimiser.
-PLAIN, DONE, SPREAD = range(3)
+#: Documents of a chunk that share a minimiser, from which the task deals it by windows itself; minimisers and windows that a task remembers.
+LOCAL, REMEMBERED = 64, 200_000
+#: place: first word << 32 | number of words; kind: of PLAIN places, those whose windows are all known to be later ones (DONE), or of a hot
+#: minimiser. A HINT is no place: it tells its minimiser's bucket that a task found it hot.
+PLAIN, DONE, SPREAD, HINT = range(4)
 PLACES = "key long, doc_id long, digest long, place long, kind int"
-PIECES = "key long, doc_id long, digest long, at int, packed binary"
+#: packed is null where all windows of the words from at to last are known to be later ones.
+PIECES = "key long, doc_id long, digest long, at int, last int, packed binary"
 RANGES = "doc_id long, digest long, first int, last int"
 
 
@@ -91,9 +97,11 @@ def packed(words: U.Words, first: int, n: int) -> bytes:
 
 def _places(window: int):
     """Minimisers and places of a partition's super-k-mers. Of equal ones in a chunk only the smallest document's travel; the others are decided
-    at once (done), so that a group of copies sends a row for each chunk, not for each copy."""
+    at once (done), so that a group of copies sends a row for each chunk, not for each copy. A minimiser that more than LOCAL documents of a chunk
+    send is hot from there on: its bucket gets a hint, and its places are dealt evenly."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = np.zeros(0, np.int64)  # in order
         for part in U.slices(batches, "text"):
             doc_ids, digests = part.column(0).to_numpy(), part.column(1).to_numpy()
             found = SuperKmers(U.byte_texts(part), window)
@@ -111,7 +119,17 @@ def _places(window: int):
                     if first.setdefault(found.packed(i), ids[i]) < ids[i]:
                         later[i] = True
             send = np.flatnonzero(~later)
-            yield _rows(PLACES, found.key[send], ids[send], digests[found.doc[send]], found.at[send] << 32 | found.size[send], np.full(len(send), PLAIN))
+            order = np.lexsort((ids[send], found.key[send]))
+            key, own = found.key[send][order], ids[send][order]
+            new = np.append(True, (key[1:] != key[:-1]) | (own[1:] != own[:-1]))[: len(key)]  # rows that begin a document's places of a key
+            keys, documents = np.unique(key[new], return_counts=True)
+            if len(more := np.setdiff1d(keys[documents > LOCAL], hot, assume_unique=True)):
+                none = np.zeros(len(more), np.int64)
+                yield _rows(PLACES, more, none, none, none, np.full(len(more), HINT))
+                hot = np.union1d(hot, more) if len(hot) < REMEMBERED else more
+            spread = np.isin(found.key[send], hot)
+            key = np.where(spread, U.mix64(ids[send] + found.at[send]).view(np.int64), found.key[send])
+            yield _rows(PLACES, key, ids[send], digests[found.doc[send]], found.at[send] << 32 | found.size[send], np.where(spread, SPREAD, PLAIN))
             if len(late := np.flatnonzero(later)):
                 heads, last = _merged(found.doc[late], found.at[late], (found.at + found.size)[late])
                 late = late[heads]
@@ -122,23 +140,25 @@ def _places(window: int):
 
 
 def _shared(hot: int):
-    """Of rows in order of key and doc_id, those whose key more than one document has, and those that are done. A key's rows are held until it ends,
-    or has more than `hot` of them: from there on they pass at once."""
+    """Of rows in order of key and doc_id, those whose key more than one document has, and those that are done or dealt by windows already. A key's
+    rows are held until it ends, or has more than `hot` of them: from there on they pass at once. A key with a hint is hot as well."""
 
     def kept(rows: pa.Table, spread: bool = False) -> Iterator[pa.RecordBatch]:
         """Rows of whole keys, or of one hot key."""
         key, ids = rows["key"].to_numpy(), rows["doc_id"].to_numpy()
         heads = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         sizes = np.diff(np.append(heads, len(key)))
-        several = np.repeat((ids[heads] != ids[heads + sizes - 1]) | spread, sizes)
-        kind = np.where(np.repeat((sizes > hot) | spread, sizes), SPREAD, PLAIN)
+        hint = rows["kind"].to_numpy() == HINT
+        hinted = np.logical_or.reduceat(hint, heads) | spread
+        several = np.repeat((ids[heads] != ids[heads + sizes - 1]) | hinted, sizes) & ~hint
+        kind = np.where(np.repeat((sizes > hot) | hinted, sizes), SPREAD, PLAIN)
         rows = rows.set_column(4, "kind", pa.array(kind, pa.int32())).filter(pa.array(several))
         yield from rows.to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, hot_key = None, None
         for batch in batches:
-            done = pc.equal(batch.column(4), DONE)
+            done = pc.or_(pc.equal(batch.column(4), DONE), pc.equal(batch.column(4), SPREAD))
             if len(late := batch.filter(done)):
                 yield late
             rows = pa.Table.from_batches([batch.filter(pc.invert(done))])
@@ -191,9 +211,11 @@ def _whole_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _pieces(window: int):
-    """The packed words of the places asked for in each document; those of hot minimisers window by window, with a key from their words."""
+    """The packed words of the places asked for in each document; those of hot minimisers window by window, with a key from their words. Of these,
+    windows that began in a smaller document of this task are decided at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least: dict[bytes, int] = {}  # the smallest document so far of windows of hot minimisers
         for part in _whole_slices(batches):
             ids, digests = part.column(0).to_numpy(), part.column(1).to_numpy()
             column = part.column(part.schema.get_field_index("places"))
@@ -211,8 +233,27 @@ def _pieces(window: int):
 
                 some = np.flatnonzero(spread)
                 keys = keys.copy()
+                own = list(zip(some.tolist(), ids[rows[some]].tolist(), strict=True))
+                for i, x in own:
+                    if least.setdefault(made[i], x) > x:
+                        least[made[i]] = x
+                late = np.array([i for i, x in own if least[made[i]] < x], np.int64)
+                if len(least) > REMEMBERED:
+                    least = {}
+                stay = np.ones(len(rows), bool)
+                stay[late] = False
+                if len(late):
+                    order = late[np.lexsort((at[late], rows[late]))]
+                    heads, last = _merged(rows[order], at[order], at[order] + window)
+                    heads = order[heads]
+                    first = at[heads]
+                    yield _rows(PIECES, U.mix64(ids[rows[heads]] + first).view(np.int64), ids[rows[heads]], digests[rows[heads]], first, last, pa.nulls(len(heads), pa.binary()))
+                some = some[stay[some]]
                 keys[some] = np.array([xxhash.xxh3_64_intdigest(made[i]) for i in some.tolist()], np.uint64).view(np.int64)
-            yield _rows(PIECES, keys, ids[rows], digests[rows], at, made)
+                stay = np.flatnonzero(stay)
+                keys, rows, at, size = keys[stay], rows[stay], at[stay], size[stay]
+                made = [made[i] for i in stay.tolist()]
+            yield _rows(PIECES, keys, ids[rows], digests[rows], at, at + size, made)
 
     return run
 
@@ -271,6 +312,12 @@ def _decided(window: int, limit: int):
         held: list[pa.Table] = []
         size, known, known_key = 0, None, None
         for batch in batches:
+            known_later = pc.is_null(batch.column(5))
+            if len(late := batch.filter(known_later)):
+                yield late.select(["doc_id", "digest", "at", "last"]).rename_columns(["doc_id", "digest", "first", "last"])
+                batch = batch.filter(pc.invert(known_later))
+            if not len(batch):
+                continue
             rows = pa.Table.from_batches([batch])
             held.append(rows)
             size += pc.sum(pc.binary_length(rows["packed"])).as_py()

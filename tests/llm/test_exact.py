@@ -51,6 +51,8 @@ def split(text):
 def test_substrings(spark, seed, limit, monkeypatch):
     monkeypatch.setattr(substring_dedup, "BUCKET_BYTES", limit)
     monkeypatch.setattr(substring_dedup, "HOT", 4096 if limit > 300 else 3)
+    monkeypatch.setattr(substring_dedup, "LOCAL", 64 if limit > 300 else seed)
+    monkeypatch.setattr(substring_dedup, "REMEMBERED", 200_000 if seed == 1 else 5)
     values = texts(seed)
     ids = [*range(5, len(values) + 2), 5, None, None]  # two documents of one id, and some of none
     ids = ids[: len(values)]
@@ -108,6 +110,54 @@ def test_shared_places():
         assert [g for g in got if g[0] != 20] == want  # one document's places of a hot key may pass or not
 
 
+def test_hinted_places():
+    """A hint makes all places of its minimiser hot, though they be few or of one document, and ends there; places dealt by windows pass."""
+    import pyarrow as pa
+
+    plain, spread, hint = substring_dedup.PLAIN, substring_dedup.SPREAD, substring_dedup.HINT
+    rows = [(1, 0, hint), (1, 0, hint), (1, 5, plain), (2, 7, plain), (3, 0, spread), (3, 4, plain), (3, 6, plain), (4, -9, plain), (4, 0, hint)]
+    for cut in (1, 2, 9):
+        parts = [rows[i : i + cut] for i in range(0, len(rows), cut)]
+        batches = [pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in p]) for k in (0, 1)), *(pa.array([0] * len(p)),) * 2, pa.array([r[2] for r in p], pa.int32())], names=["key", "doc_id", "digest", "place", "kind"]) for p in parts]
+        got = sorted((r["key"], r["doc_id"], r["kind"]) for x in substring_dedup._shared(10)(iter(batches)) for r in x.to_pylist())
+        assert got == [(1, 5, spread), (3, 0, spread), (3, 4, plain), (3, 6, plain), (4, -9, spread)]
+
+
+def test_frequent_window(spark):
+    """A window in every document, between words of its own: each task sends few rows to its bucket, and the result is whole."""
+    import pyarrow as pa
+    import pyarrow.compute  # noqa: F401
+
+    rnd = random.Random(8)
+    word = lambda: f"w{rnd.randrange(10**9)}"
+    passage = [word() for _ in range(13)]
+    values = [" ".join([*(word() for _ in range(rnd.randrange(30))), *passage, *(word() for _ in range(rnd.randrange(30)))]) for _ in range(3000)]
+    ids = list(range(len(values)))
+    rnd.shuffle(ids)
+    batch = lambda names, *c: pa.RecordBatch.from_arrays([pa.array(x) for x in c], names=names)
+    places = pa.Table.from_batches(substring_dedup._places(13)(iter([batch(["doc_id", "digest", "text"], ids, ids, values)]))).to_pylist()
+    hinted = {r["key"] for r in places if r["kind"] == substring_dedup.HINT}
+    assert hinted  # and of the windows beside it
+    assert sum(r["kind"] == substring_dedup.SPREAD for r in places) >= 3000
+    assert not any(r["key"] in hinted and r["kind"] != substring_dedup.HINT for r in places)
+    got = {r.doc_id: r for r in substring_dedup.dedup_substrings(documents(spark, values, ids)).collect()}
+    assert len(got) == 3000
+    for i, t in zip(ids, values, strict=True):
+        assert got[i].n_removed == (13 if i else 0)
+        assert got[i].kept == (t if i == 0 else " ".join(w for w in t.split() if w not in passage))
+
+    import zstandard
+
+    press = zstandard.ZstdCompressor()
+    folded = batch(["doc_id", "digest", "text"], ids, ids, [press.compress(t.encode()) for t in values])
+    kind = pa.list_(pa.struct([("key", pa.int64()), ("place", pa.int64()), ("kind", pa.int32())]))
+    where = [[{"key": 1, "place": t.split().index(passage[0]) << 32 | 13, "kind": substring_dedup.SPREAD}] for t in values]
+    pieces = pa.Table.from_batches(substring_dedup._pieces(13)(iter([folded.append_column("places", pa.array(where, kind))])))
+    sent = pieces.filter(pa.compute.is_valid(pieces["packed"]))
+    assert len(sent) <= 2  # two chunks: the smallest document of each
+    assert len(pieces) == 3000
+
+
 @pytest.mark.parametrize("seed", range(4))
 @pytest.mark.parametrize(("rounds", "many"), [(3, 200), (3, -1)])
 def test_shingle_join(spark, seed, rounds, many, monkeypatch):
