@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import encode as E
 from ..schemas import BIN_WIDTH, GENOMES, PEAKS, POSTINGS, SCHEMA_VERSION, SHARDS
+from ..shared import shared_dir
 from . import layout
 from .ordered import exclusive_sum, number_by, sorted_number
 
@@ -17,10 +18,14 @@ from .ordered import exclusive_sum, number_by, sorted_number
 def numbered(source: DataFrame, order: str = "source") -> DataFrame:
     """source (ordinal, accession, peaks; ordinals distinct) to (genome_id, accession, peaks): ids by source order or by accession, equal ones by
     source order. Only accessions and ordinals are sorted; the peaks meet their ids by ordinal."""
-    if order == "accession":
-        ids = sorted_number(source.select("accession", "ordinal"), ["accession", "ordinal"], "genome_id").select("ordinal", "genome_id")
-        return source.join(ids, "ordinal").select("genome_id", "accession", "peaks")
-    return source.select(F.col("ordinal").alias("genome_id"), "accession", "peaks")
+    if order != "accession":
+        return source.select(F.col("ordinal").alias("genome_id"), "accession", "peaks")
+    return source.join(genome_ids(source.select("accession", "ordinal"), order).select("ordinal", "genome_id"), "ordinal").select("genome_id", "accession", "peaks")
+
+
+def genome_ids(genomes: DataFrame, order: str = "source") -> DataFrame:
+    """genomes (ordinal, accession and more) with genome_id, as numbered() has it."""
+    return sorted_number(genomes, ["accession", "ordinal"], "genome_id") if order == "accession" else genomes.withColumn("genome_id", F.col("ordinal"))
 
 
 def listed(ids: DataFrame) -> DataFrame:
@@ -46,7 +51,11 @@ def bin_histogram(peaks: DataFrame, bin_width: int = BIN_WIDTH) -> DataFrame:
 
 def bin_offsets(peaks: DataFrame, bin_width: int = BIN_WIDTH) -> DataFrame:
     """(bin_id, offset) for each bin from 0 to the last, empty ones included, and one more: the first posting of the bin."""
-    counts = bin_histogram(peaks, bin_width)
+    return offsets_of_bins(bin_histogram(peaks, bin_width))
+
+
+def offsets_of_bins(counts: DataFrame) -> DataFrame:
+    """bin_offsets() of a histogram (bin_id, peak_count)."""
     last = counts.agg(F.max("bin_id")).first()[0]
     dense = counts.sparkSession.range((last if last is not None else 0) + 2).withColumnRenamed("id", "bin_id")
     filled = dense.join(counts, "bin_id", "left").select("bin_id", F.coalesce("peak_count", F.lit(0)).cast("long").alias("peak_count"))
@@ -56,6 +65,11 @@ def bin_offsets(peaks: DataFrame, bin_width: int = BIN_WIDTH) -> DataFrame:
 def genome_offsets(peaks: DataFrame, genomes: DataFrame) -> DataFrame:
     """(genome_id, total_peaks, start_offset, end_offset) for each of genomes (genome_id)."""
     counts = genomes.select("genome_id").join(peaks.groupBy("genome_id").agg(F.count("*").alias("n")), "genome_id", "left").select("genome_id", F.coalesce("n", F.lit(0)).cast("long").alias("total_peaks"))
+    return offsets_of_genomes(counts)
+
+
+def offsets_of_genomes(counts: DataFrame) -> DataFrame:
+    """genome_offsets() of sizes (genome_id, total_peaks)."""
     out = exclusive_sum(counts, "genome_id", "total_peaks", "start_offset")
     return out.select("genome_id", "total_peaks", "start_offset", (F.col("start_offset") + F.col("total_peaks")).alias("end_offset"))
 
@@ -176,25 +190,31 @@ def build_library(
 ) -> Library:
     """Writes a library to path from a source (ordinal, accession, peaks) and its metadata. shards: folders of each partitioned table, about. mode:
     Spark's, for all tables; with overwrite a build may be run again over what an earlier one left. on_event gets a dict for each stage that
-    begins, with the counts that are known by then: genome (all peaks are written, in one job), indexStart, metaStart, finalizeStart."""
+    begins, with the counts that are known by then: genome (all peaks are written, in one job), indexStart, metaStart, finalizeStart.
+
+    The source is read for its genomes' sizes and for its peaks alone, the stored peaks for the histogram of bins and the postings: all else comes
+    from checkpoints of the sizes, the histogram and the metadata, a row for each genome or bin."""
     if bin_width <= 0 or shards <= 0:
         raise ValueError("bin width and shards must be positive")
     spark, path = source.sparkSession, path.rstrip("/")
     tell = on_event or (lambda event: None)
-    ids = numbered(source, order)
-    sizes = ids.select("genome_id", "accession", F.size("peaks").cast("long").alias("total_peaks"))
+    shared_dir(spark)
+    sizes = genome_ids(source.select("ordinal", "accession", F.greatest(F.size("peaks"), F.lit(0)).cast("long").alias("total_peaks")).checkpoint(), order)
+    lists = numbered(source, "source") if order != "accession" else source.join(sizes.select("ordinal", "genome_id"), "ordinal")
     n = sizes.agg(F.max("genome_id")).first()[0]
     shard_width = max(1, -(-((n if n is not None else 0) + 1) // shards))
-    peaks = _stored(listed(ids).select("genome_id", "local_peak_idx", "milli_mz"), f"{path}/peaks", "shard", shard_width, ["genome_id", "local_peak_idx"], mode)
-    report = build_report(peaks, sizes, bin_width).first().asDict()
+    peaks = _stored(listed(lists).select("genome_id", "local_peak_idx", "milli_mz"), f"{path}/peaks", "shard", shard_width, ["genome_id", "local_peak_idx"], mode)
+    histogram = bin_histogram(peaks, bin_width).checkpoint()
+    counts = histogram.agg(F.coalesce(F.sum("peak_count"), F.lit(0)).alias("total_peak_count"), F.coalesce(F.max("bin_id") + 1, F.lit(1)).cast("long").alias("bin_count"))
+    report = {"genome_count": sizes.count(), **counts.first().asDict()}
     tell({"stage": "genome", **report})
     tell({"stage": "indexStart", **report})
     band_width = max(1, -(-report["bin_count"] // shards))
     _stored(postings(peaks, bin_width), f"{path}/postings", "band", band_width, ["bin_id", "genome_id", "local_peak_idx"], mode)
-    _stored(bin_offsets(peaks, bin_width), f"{path}/bin_offsets", "band", band_width, ["bin_id"], mode)
+    _stored(offsets_of_bins(histogram), f"{path}/bin_offsets", "band", band_width, ["bin_id"], mode)
     tell({"stage": "metaStart", **report})
-    offsets = _stored(genome_offsets(peaks, sizes), f"{path}/genome_offsets", "shard", shard_width, ["genome_id"], mode)
-    rows = enrich(sizes.select("genome_id", "accession"), genes, names, taxonomy, strict).join(offsets.select("genome_id", "total_peaks"), "genome_id")
+    _stored(offsets_of_genomes(sizes.select("genome_id", "total_peaks")), f"{path}/genome_offsets", "shard", shard_width, ["genome_id"], mode)
+    rows = enrich(sizes.select("genome_id", "accession"), genes, names, taxonomy, strict).join(sizes.select("genome_id", "total_peaks"), "genome_id").checkpoint()
     for column, name, id_ in (("display_name", "names", "name_id"), ("taxonomy", "taxa", "taxon_id")):
         dictionary(rows.select("genome_id", column), column, "genome_id").orderBy("dict_id").write.mode(mode).parquet(f"{path}/{name}")
         entries = spark.read.schema(_SCHEMAS[name]).parquet(f"{path}/{name}").select(F.col("dict_id").alias(id_), F.col("value").alias(column))

@@ -101,11 +101,13 @@ def manifest_rules(manifest: dict, peaks: DataFrame, postings: DataFrame, genome
     return counts.select(F.inline(F.array(*(F.struct(F.lit(k).alias("rule"), bad(v).alias("violations")) for k, v in rules.items()))))
 
 
-def checksums(library) -> DataFrame:
-    """Stored tables whose bytes, in order, haven't the manifest's checksum."""
+def stored_rules(library) -> DataFrame:
+    """Places where a stored table isn't in order, and stored tables whose bytes, in order, haven't the manifest's checksum. Each table is read once."""
     parts = []
     for name, (keys, stored) in STORED.items():
-        own = layout.checksum(library.spark, f"{library.path}/{name}", keys, stored)
+        found = layout.runs(library.spark, f"{library.path}/{name}", keys, stored)
+        parts.append(layout.order_of_runs(found).select(F.lit(f"order_{name}").alias("rule"), "violations"))
+        own = layout.checksum_of_runs(found, len(stored))
         parts.append(own.select(F.lit(f"crc_{name}").alias("rule"), F.when(F.col("crc") == F.lit(library.manifest.get(f"crc_{name}")).cast("long"), 0).otherwise(1).cast("long").alias("violations")))
     return reduce(DataFrame.union, parts)
 
@@ -117,7 +119,6 @@ def validate(library) -> DataFrame:
     offsets, bins = library.genome_offsets, library.bin_offsets
     # one offset more than genomes, as for bins
     ends = offsets.select("genome_id", "start_offset").union(offsets.agg((F.coalesce(F.max("genome_id"), F.lit(-1)) + 1).cast("long"), F.coalesce(F.max_by("end_offset", "genome_id"), F.lit(0)).cast("long")))
-    ordered = [layout.order_faults(library.spark, f"{library.path}/{name}", keys).select(F.lit(f"order_{name}").alias("rule"), "violations") for name, (keys, _) in STORED.items()]
     parts = [
         manifest_rules(manifest, peaks, postings, genomes),
         genome_bound(postings, genomes),
@@ -133,7 +134,6 @@ def validate(library) -> DataFrame:
         dictionary_ids(genomes, "taxon_id", library.taxa, "taxon_ids"),
         strings(genomes, "display_name", "name_utf8"),
         strings(genomes, "taxonomy", "taxonomy_utf8"),
-        *ordered,
-        checksums(library),
+        stored_rules(library),
     ]
     return reduce(DataFrame.union, parts)
