@@ -137,3 +137,36 @@ def test_throttle_keeps_null_stages(spark):
     rows = [(1, 0, "2024-01-01 00:00:00", None), (1, 1, "2024-01-01 00:00:01", "genome"), (1, 2, "2024-01-01 00:00:02", "genome")]
     events = spark.createDataFrame(rows, "run_id long, seq long, ts string, stage string")
     assert sorted(r.seq for r in P.throttle(events, 10_000_000).collect()) == [0, 1]
+
+
+def test_pairs_arise_in_blocks(spark):
+    # many genomes that hold all of a query's bins: hits are pairs of all, of which none is shuffled
+    library = spark.range(400).selectExpr("id div 4 AS genome_id", "1000000 + id % 4 * 5000 AS milli_mz")
+    queries = spark.range(200).selectExpr("id div 4 AS query_id", "id % 4 AS ord", "1000010 + id % 4 * 5000 AS milli_mz", "CAST(0.5 AS FLOAT) AS intensity")
+    hits = S.coarse_hits(library, queries)
+    plan = hits._jdf.queryExecution().toString()
+    assert "CartesianProduct" in plan and "Join Inner, (bin_id" not in plan and "Aggregate" not in plan
+    assert hits.count() == 100 * 50 and hits.where("hit_count = 4").count() == 5000
+    ranked = S.identify(library, queries, None)
+    assert "Window" not in ranked._jdf.queryExecution().toString()
+    assert {(r.genome_id, r["rank"]) for r in ranked.where("query_id = 7").collect()} == {(g, g + 1) for g in range(100)}
+    best = S.coarse_sweep(library, queries, [50, 100], 3)
+    assert {(r.bin_width, r.genome_id) for r in best.where("query_id = 7").collect()} == {(w, g) for w in (50, 100) for g in range(3)}
+
+
+@pytest.mark.parametrize("limit", [2, None])
+def test_small_blocks_and_chunks_against_the_model(spark, monkeypatch, limit):
+    from lumispec.operators import blocks as B
+
+    monkeypatch.setattr(B, "CHUNK", 4)
+    monkeypatch.setattr(B, "HITS", 3)
+    blocks = B.blocks
+    monkeypatch.setattr(B, "blocks", lambda queries, asked=None, size=5: blocks(queries, asked, 5))
+    rnd = random.Random(9)
+    library = [(g, 100_000 + rnd.randrange(60) * 10) for g in range(40) for _ in range(rnd.randrange(1, 12))]
+    queries = [(q, i, 100_000 + rnd.randrange(60) * 10, float(np.float32(rnd.random()))) for q in range(12) for i in range(rnd.randrange(1, 9))]
+    lib, q = frames(spark, library, queries)
+    want = model(library, queries, limit or 1000, 500, 100)
+    assert rows(S.identify(lib, q, limit, 500, 100)) == want
+    asked = spark.createDataFrame([(r[0], r[1], r[3]) for r in want], "query_id long, genome_id long, hit_count long")
+    assert rows(S.rerank(asked, lib, q, 500)) == want
