@@ -43,9 +43,11 @@ def bin_consistency(postings: DataFrame, peaks: DataFrame, bin_width: int) -> Da
 
 def coverage(postings: DataFrame, peaks: DataFrame) -> DataFrame:
     """Peaks without a posting, or with several, and postings without a peak."""
-    held = postings.groupBy("genome_id", "local_peak_idx").agg(F.count("*").alias("_n"))
-    both = peaks.select("genome_id", "local_peak_idx", F.lit(1).alias("_p")).join(held, ["genome_id", "local_peak_idx"], "full")
-    return _count(both.where(F.col("_p").isNull() | F.col("_n").isNull() | (F.col("_n") != 1)), "coverage")
+    rows = peaks.select("genome_id", "local_peak_idx", F.lit(1).alias("_p"), F.lit(0).alias("_n")).union(postings.select("genome_id", "local_peak_idx", F.lit(0), F.lit(1)))
+    both = rows.groupBy("genome_id", "local_peak_idx").agg(F.sum("_p").alias("_p"), F.sum("_n").alias("_n"))
+    lone = F.col("_p") + (F.col("_n") > 0).cast("long")  # nulls are equal to nothing
+    faults = F.when(F.col("genome_id").isNull() | F.col("local_peak_idx").isNull(), lone).when((F.col("_p") == 0) | (F.col("_n") != 1), F.greatest("_p", F.lit(1))).otherwise(0)
+    return both.agg(F.coalesce(F.sum(faults), F.lit(0)).cast("long").alias("violations")).select(F.lit("coverage").alias("rule"), "violations")
 
 
 def monotonic(offsets: DataFrame, order: str, offset: str, rule: str) -> DataFrame:

@@ -424,3 +424,14 @@ def test_shuffled_streams_give_the_batch_rows(spark, tmp_path):
         got = sorted(tuple(r) for r in spark.table(name).where("run_id < 99").collect())
         assert got == sorted(tuple(r) for r in batch.collect()), name
         assert len([p for p in query.recentProgress if p["numInputRows"]]) > 4
+
+
+def test_coverage_without_a_join(spark):
+    from lumispec.operators import validate as V
+
+    peaks = spark.createDataFrame([(1, 0), (1, 1), (1, 2), (1, 2), (2, 0), (None, 0)], "genome_id long, local_peak_idx long")
+    postings = spark.createDataFrame([(1, 0), (1, 1), (1, 1), (3, 0), (3, 0), (None, 0), (None, 0)], "genome_id long, local_peak_idx long")
+    found = V.coverage(postings, peaks)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.first().violations == 7  # two postings, two peaks without, one without a peak, a peak, nulls on both sides
+    assert V.coverage(postings.limit(0), peaks.limit(0)).first().violations == 0
