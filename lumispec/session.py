@@ -56,7 +56,8 @@ class Session:
 
     def identify(self, paths: list[str], coarse_limit: int = COARSE_LIMIT, ppm: int = PPM, top: int = TOP_RESULTS, permissive: bool = False, split_mgf: bool = False) -> DataFrame:
         """Results of query files with query_file, in the order of files, then rank. The files are read and parsed once, when this is called: their
-        peaks are a checkpoint, which both searches use. The rest is one lazy plan: what is run on it within running() is what cancel() ends."""
+        peaks are a checkpoint, which the search packs, also when this is called. The rest is one lazy plan: what is run on it within running() is what
+        cancel() ends."""
         library = self._open()
         shared_dir(self.spark)
         queries = read_queries(self.spark, paths, split_mgf, permissive).checkpoint()
