@@ -1,3 +1,4 @@
+import os
 import random
 
 import numpy as np
@@ -9,6 +10,7 @@ from lumispec.functions.peaks import parse_peak_line
 from lumispec.operators import progress as P
 from lumispec.operators import search as S
 
+SF = "/root/testdata/sf0.001"
 LIBRARY = [(0, 1000000), (0, 1200000), (1, 1001000), (1, 1400000)]
 
 
@@ -170,3 +172,14 @@ def test_small_blocks_and_chunks_against_the_model(spark, monkeypatch, limit):
     assert rows(S.identify(lib, q, limit, 500, 100)) == want
     asked = spark.createDataFrame([(r[0], r[1], r[3]) for r in want], "query_id long, genome_id long, hit_count long")
     assert rows(S.rerank(asked, lib, q, 500)) == want
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_queries_are_dealt_once(spark):
+    from lumispec.operators import blocks as B
+    from lumispec.plans import adapter as A
+
+    plan = A.queries(spark, SF).repartition("query_id").where("milli_mz is not null")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    packed = B.chunks(A.library(spark, SF))
+    assert packed.inputFiles() and all(name.endswith(".zstd.parquet") for name in packed.inputFiles())
