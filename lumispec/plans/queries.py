@@ -14,11 +14,10 @@ from ..operators import library as L
 from ..operators import progress as P
 from ..operators import search as S
 from ..operators import validate as V
-from ..operators.ordered import sorted_number
 from ..schemas import BIN_WIDTH, COARSE_LIMIT, PPM
 from ..shared import new_folder
 from ..sources import export as X
-from ..sources.spectra import parse_files, parse_lines, text_lines
+from ..sources.spectra import numbered_lines, parse_files, parse_lines, text_lines
 from . import adapter as A
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -602,5 +601,4 @@ def csv_result_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_folder(spark, "lumispec-csv")
     results = identify_flagship(spark, sf_dir).withColumn("query_file", F.concat(F.lit("q"), F.col("query_id").cast("string")))
     X.write_lines(X.result_lines(results), X.RESULTS_HEADER, ["query_id", "rank"], path)
-    lines = text_lines(spark.read.option("lineSep", "\n").text(path))
-    return sorted_number(lines, ["path", "block", "row"], "line_no").select("line_no", "line")
+    return numbered_lines(text_lines(spark.read.option("lineSep", "\n").text(path)))

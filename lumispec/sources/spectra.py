@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import encode as E
 from ..functions.peaks import PEAK, classify_peak_line, once, parse_peak_line, peak_fields
+from ..shared import new_folder
 
 
 #: Kind of a line whose numbers are well written but beyond what is stored.
@@ -95,6 +96,19 @@ def text_lines(files: DataFrame, *more: str) -> DataFrame:
     return files.select(*more, path.alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), F.col("value").alias("line"))
 
 
+def numbered_lines(lines: DataFrame) -> DataFrame:
+    """(line_no, line) of text_lines() of one text in parts: places from 0, in order of files and splits. The lines are stored once, compressed, so that
+    splits and rows are the same when they are counted and when they are numbered; they are neither sorted nor shuffled. The window runs over a row
+    for each split."""
+    path = new_folder(lines.sparkSession, "lumispec-lines")
+    lines.select("path", "block", "row", "line").write.parquet(path)
+    stored = lines.sparkSession.read.schema("path string, block long, row long, line string").parquet(path)
+    splits = stored.groupBy("path", "block").agg(F.min("row").alias("_first"), F.count("*").alias("_n"))
+    earlier = Window.orderBy("path", "block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = splits.select("path", "block", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_start"))
+    return stored.join(F.broadcast(starts), ["path", "block"]).select((F.col("_start") + F.col("row")).alias("line_no"), "line")
+
+
 def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(query_id, query_file, block, row, line) of query files: a file of any size is read by as many tasks as it has splits."""
     lines = text_lines(spark.read.option("lineSep", "\n").text(paths))

@@ -183,3 +183,19 @@ def test_queries_are_dealt_once(spark):
     assert plan.count("Exchange hashpartitioning") == 1
     packed = B.chunks(A.library(spark, SF))
     assert packed.inputFiles() and all(name.endswith(".zstd.parquet") for name in packed.inputFiles())
+
+
+def test_lines_are_numbered_without_a_shuffle(spark, tmp_path):
+    from lumispec.sources.spectra import numbered_lines, text_lines
+
+    path = str(tmp_path / "text")
+    spark.range(5000).selectExpr("concat('line ', id) AS value").repartitionByRange(3, "value").sortWithinPartitions("value").write.text(path)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")  # several splits a file
+    try:
+        got = numbered_lines(text_lines(spark.read.option("lineSep", "\n").text(path)))
+        lines = {r.line_no: r.line for r in got.collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [lines[i] for i in range(5000)] == sorted(f"line {i}" for i in range(5000))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and "SortMergeJoin" not in plan
