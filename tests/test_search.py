@@ -199,3 +199,15 @@ def test_lines_are_numbered_without_a_shuffle(spark, tmp_path):
     assert [lines[i] for i in range(5000)] == sorted(f"line {i}" for i in range(5000))
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "rangepartitioning" not in plan and "SortMergeJoin" not in plan
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_known_candidates_pack_the_library_once(spark, monkeypatch):
+    from lumispec.operators import blocks as B
+    from lumispec.plans import queries as Q
+
+    calls, chunks = [], B.chunks
+    monkeypatch.setattr(B, "chunks", lambda library: calls.append(1) or chunks(library))
+    found = Q.known_candidates(spark, SF)
+    assert len(calls) == 1
+    assert rows(found) == rows(Q.identify_flagship(spark, SF).select("query_id", "genome_id"))
