@@ -435,3 +435,15 @@ def test_coverage_without_a_join(spark):
     assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
     assert found.first().violations == 7  # two postings, two peaks without, one without a peak, a peak, nulls on both sides
     assert V.coverage(postings.limit(0), peaks.limit(0)).first().violations == 0
+
+
+def test_places_are_checked_from_one_shuffle(spark):
+    from lumispec.operators import validate as V
+
+    peaks = spark.createDataFrame([(1, 0, 100), (1, 1, 250), (1, 1, 990), (2, 0, None), (None, 0, 5), (3, 0, 300)], "genome_id long, local_peak_idx long, milli_mz long")
+    postings = spark.createDataFrame([(1, 1, 0), (2, 1, 1), (9, 1, 1), (0, 2, 0), (0, None, 0), (4, 3, 0), (None, 3, 0), (7, 8, 0)], "bin_id long, genome_id long, local_peak_idx long")
+    got = V.places(postings, peaks, 100)
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    one = {r.rule: r.violations for r in V.bin_consistency(postings, peaks, 100).union(V.coverage(postings, peaks)).collect()}
+    assert {r.rule: r.violations for r in got.collect()} == one and all(one.values())
+    assert {r.rule: r.violations for r in V.places(postings.limit(0), peaks.limit(0), 100).collect()} == {"bin_consistency": 0, "coverage": 0}
