@@ -425,9 +425,9 @@ def parse_query_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{A.with_views('lib0')}, {_FILES_SQL}, q AS (SELECT * FROM parsed), {hits_sql()}, {candidates_sql(COARSE_LIMIT)}, {ranked_sql(PPM)} SELECT DISTINCT r.query_id, query_file, genome_id, score, matched_ribosomal, matched_total, rank FROM ranked r JOIN parsed USING (query_id) WHERE rank <= 3")
 def identify_query_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three best results of each query file, from its text."""
-    queries = parse_files(A.files(spark, sf_dir))
-    found = S.identify(A.library(spark, sf_dir), queries, top=3)
-    return found.join(queries.select("query_id", "query_file").distinct(), "query_id")
+    files = A.files(spark, sf_dir)
+    found = S.identify(A.library(spark, sf_dir), parse_files(files), top=3)
+    return found.join(files.select("query_id", "query_file"), "query_id")  # names of files, whose texts needn't be parsed again
 
 
 @query(f"{_identify(COARSE_LIMIT).rpartition(' SELECT ')[0]} SELECT count(DISTINCT query_id) AS queries, count(*) AS results, CAST(sum(matched_total) AS BIGINT) AS matched FROM ranked")

@@ -211,3 +211,11 @@ def test_known_candidates_pack_the_library_once(spark, monkeypatch):
     found = Q.known_candidates(spark, SF)
     assert len(calls) == 1
     assert rows(found) == rows(Q.identify_flagship(spark, SF).select("query_id", "genome_id"))
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_query_files_are_parsed_once(spark):
+    from lumispec.plans import queries as Q
+
+    plan = Q.identify_query_files(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "posexplode" not in plan and "o_totalprice" not in plan  # the texts were packed already
